@@ -1,0 +1,141 @@
+"""Folders of ``.xlsx`` workbooks: the first sheet of each, one Spark task per workbook."""
+
+from __future__ import annotations
+
+import datetime as dt
+import io
+import re
+import zipfile
+from collections.abc import Iterator, Sequence
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+_BATCH_ROWS = 20_000
+_EPOCH = dt.datetime(1899, 12, 30)
+# Built-in cell format numbers that show a date or a time.
+_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+
+
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
+
+
+def _texts(book: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in book.namelist():
+        return []
+    root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
+    return ["".join(t.text or "" for t in item.iter() if _local(t.tag) == "t") for item in root]
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    custom = {
+        int(n.get("numFmtId")): n.get("formatCode", "") for n in root.iter() if _local(n.tag) == "numFmt"
+    }
+
+    def shows_date(number: int) -> bool:
+        code = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", custom.get(number, ""))
+        return number in _DATE_FORMATS or bool(re.search(r"[ymdhs]", code, re.IGNORECASE))
+
+    cells = next((n for n in root.iter() if _local(n.tag) == "cellXfs"), ())
+    return {i for i, xf in enumerate(cells) if shows_date(int(xf.get("numFmtId", 0)))}
+
+
+def _first_sheet(book: zipfile.ZipFile) -> str:
+    """Path of the sheet listed first in the workbook."""
+    workbook = ElementTree.fromstring(book.read("xl/workbook.xml"))
+    sheet = next(n for n in workbook.iter() if _local(n.tag) == "sheet")
+    ref = next(v for k, v in sheet.attrib.items() if _local(k) == "id")
+    links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
+    target = next(n.get("Target") for n in links if n.get("Id") == ref)
+    return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+
+
+def _column_number(reference: str) -> int:
+    number = 0
+    for letter in re.match(r"[A-Z]+", reference)[0]:
+        number = number * 26 + ord(letter) - 64
+    return number - 1
+
+
+def _cell_text(cell, texts: list[str], dates: set[int]) -> str | None:
+    kind = cell.get("t", "n")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter() if _local(t.tag) == "t")
+    value = next((n.text for n in cell if _local(n.tag) == "v"), None)
+    if value is None or kind == "e":
+        return None
+    if kind == "s":
+        return texts[int(value)]
+    if kind == "b":
+        return "true" if value == "1" else "false"
+    if kind == "n" and int(cell.get("s", 0)) in dates:
+        moment = _EPOCH + dt.timedelta(seconds=round(float(value) * 86_400))
+        return moment.strftime("%Y-%m-%d %H:%M:%S")
+    return value
+
+
+def sheet_rows(content: bytes) -> Iterator[dict[int, str | None]]:
+    """Rows of the first sheet as {column number: text}, streamed from the XML."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        texts, dates = _texts(book), _date_styles(book)
+        with book.open(_first_sheet(book)) as sheet:
+            for _, node in ElementTree.iterparse(sheet):
+                if _local(node.tag) != "row":
+                    continue
+                row = {}
+                for position, cell in enumerate(n for n in node if _local(n.tag) == "c"):
+                    where = cell.get("r")
+                    row[_column_number(where) if where else position] = _cell_text(cell, texts, dates)
+                yield row
+                node.clear()
+
+
+def _header(row: dict[int, str | None]) -> dict[int, str]:
+    return {i: text.strip() for i, text in row.items() if text and text.strip()}
+
+
+def _parse(names: Sequence[str]):
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                rows = sheet_rows(content)
+                header = _header(next(rows, {}))
+                buffer: list[list[str | None]] = []
+                for row in rows:
+                    record = {header[i]: v for i, v in row.items() if i in header}
+                    if not any(v is not None for v in record.values()):
+                        continue
+                    buffer.append([record.get(n) for n in names])
+                    if len(buffer) >= _BATCH_ROWS:
+                        yield pd.DataFrame(buffer, columns=list(names), dtype=object)
+                        buffer = []
+                if buffer:
+                    yield pd.DataFrame(buffer, columns=list(names), dtype=object)
+
+    return parse
+
+
+def _discover(files: DataFrame) -> list[str]:
+    """Header of one workbook of the folder, read in a task; only names reach the driver."""
+
+    def names(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                header = _header(next(sheet_rows(content), {}))
+                yield pd.DataFrame({"name": [header[i] for i in sorted(header)]})
+
+    return [r["name"] for r in files.limit(1).mapInPandas(names, "name string").collect()]
+
+
+def read_workbooks(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """All cells as text, columns matched by trimmed header; ``columns`` avoids looking into a file first."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("content")
+    names = list(columns) if columns is not None else _discover(files)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return files.mapInPandas(_parse(names), schema)
