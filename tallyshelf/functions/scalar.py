@@ -10,28 +10,33 @@ from pyspark.sql import types as T
 
 from tallyshelf.schema import UNKNOWN_CUSTOMER
 
-# Timestamp layouts accepted in text columns, tried in this order.
-TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy",
+# Every white-space character of Unicode (the blank alone is what trim removes).
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 
 def strip_text(c: Column) -> Column:
-    """Remove white space of every Unicode kind at both ends (trim only knows the blank)."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Remove white space of every kind at both ends."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
-def parse_timestamp(c: Column, data_type: T.DataType, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
-    """Timestamp without zone; text that fits no layout becomes null instead of an error."""
+def parse_timestamp(c: Column, data_type: T.DataType, formats: Sequence[str] = ()) -> Column:
+    """Timestamp without zone; text that is no date becomes null instead of an error.
+
+    Text may be ISO (``2010-12-01[ T]08:26[:00[.000]]``, date alone included) or month first
+    (``12/1/2010 8:26``). Month-first text is rearranged and one cast reads both: a failed cast
+    costs nothing, whereas a failed pattern raises and catches an exception for every row.
+    ``formats`` replaces this by explicit patterns, tried in order.
+    """
     if isinstance(data_type, T.StringType):
-        text = F.trim(c)
-        c = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+        text = strip_text(c)
+        if formats:
+            c = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+        else:
+            iso = F.regexp_replace(text, r"^(\d{1,2})/(\d{1,2})/(\d{4})(?=\D|$)", "$3-$1-$2")
+            c = F.when(F.contains(text, F.lit("/")), iso).otherwise(text).try_cast("timestamp_ntz")
     return c.cast("timestamp_ntz")
 
 

@@ -66,12 +66,13 @@ def errors(w: np.ndarray, x: np.ndarray, beta: np.ndarray, parts: list[np.ndarra
     ma = _poly(1.0, parts[2], parts[3], orders.s)
     e = np.convolve(z, ar)[: len(z)]
     e[: min(len(ar) - 1, len(e))] = 0.0
-    lags = np.flatnonzero(ma[1:]) + 1
-    if len(lags):
-        weights = ma[lags]
-        for t in range(len(ar) - 1, len(z)):
-            use = lags <= t
-            e[t] -= weights[use] @ e[t - lags[use]]
+    steps = [(int(k), float(ma[k])) for k in np.flatnonzero(ma) if k]
+    if steps:
+        # plain floats: this loop over a few lags is faster than array slices
+        run = e.tolist()
+        for t in range(len(ar) - 1, len(run)):
+            run[t] -= sum(weight * run[t - k] for k, weight in steps if k <= t)
+        e = np.asarray(run)
     return e, z
 
 

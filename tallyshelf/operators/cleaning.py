@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyshelf.functions.quantiles import approximate_quantiles, quantiles
-from tallyshelf.functions.scalar import customer_text, matches_term, parse_timestamp, strip_text
+from tallyshelf.functions.scalar import as_text, customer_text, matches_term, parse_timestamp, strip_text
 from tallyshelf.schema import ROW_ID, UNKNOWN_CUSTOMER, kind_of, nan_to_null, require_columns
 from tallyshelf.sources.files import trim_headers
 
@@ -31,57 +31,81 @@ class CleaningRules:
     missing_text: str = "drop"
 
 
-def standardize(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
-    """Trimmed headers, parsed dates, customer keys, stripped texts; no row is removed yet."""
-    if rules.missing_text not in ("drop", "nan"):
-        raise ValueError("missing_text must be 'drop' or 'nan'")
-    df = nan_to_null(trim_headers(df))
+def _typed(df: DataFrame) -> DataFrame:
+    """Parsed dates, numbers as numbers, one missing marker."""
     types = {f.name: f.dataType for f in df.schema.fields}
     steps: dict[str, Column] = {}
     if "InvoiceDate" in types:
         steps["InvoiceDate"] = parse_timestamp(F.col("InvoiceDate"), types["InvoiceDate"])
+    steps |= {c: _number(c, types) for c in ("Quantity", "UnitPrice") if c in types and kind_of(types[c]) == "string"}
+    return nan_to_null(df.withColumns(steps) if steps else df)
+
+
+def _number(name: str, types: dict) -> Column:
+    return F.col(name).try_cast("double") if kind_of(types[name]) == "string" else F.col(name)
+
+
+def _keep_rules(df: DataFrame, rules: CleaningRules) -> list[tuple[str, Column]]:
+    """(reason for dropping, condition for keeping) in rule order, on columns as they were read.
+
+    Conditions on raw columns can be pushed to the scan, each to the table its column comes from.
+    """
+    if rules.missing_text not in ("drop", "nan"):
+        raise ValueError("missing_text must be 'drop' or 'nan'")
+    types = {f.name: f.dataType for f in df.schema.fields}
+    keep: list[tuple[str, Column]] = []
+    if "InvoiceDate" in types:
+        keep.append(("bad_date", parse_timestamp(F.col("InvoiceDate"), types["InvoiceDate"]).isNotNull()))
+    if rules.missing_text == "drop":
+        for reason, name in (("no_description", "Description"), ("no_stock_code", "StockCode")):
+            if name in types:
+                keep.append((reason, F.col(name).isNotNull()))
+    if {"Quantity", "UnitPrice"} <= set(types):
+        switches = (
+            ("quantity_not_positive", "Quantity", rules.remove_cancelled_orders),
+            ("price_not_positive", "UnitPrice", rules.remove_zero_unit_price),
+        )
+        for reason, name, on in switches:
+            if on:
+                number = _number(name, types)
+                # NaN counts as larger than any number
+                keep.append((reason, (number > 0) & ~F.isnan(number)))
+    return keep
+
+
+def _tidy_texts(df: DataFrame, rules: CleaningRules) -> DataFrame:
+    """Customer keys and stripped texts."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    steps: dict[str, Column] = {}
     if "CustomerID" in types:
         steps["CustomerID"] = customer_text(F.col("CustomerID"), types["CustomerID"])
     for name in ("Description", "StockCode"):
         if name in types:
-            text = strip_text(F.col(name).cast("string"))
+            text = strip_text(as_text(F.col(name), types[name]))
             steps[name] = F.coalesce(text, F.lit("nan")) if rules.missing_text == "nan" else text
-    for name in ("Quantity", "UnitPrice"):
-        if name in types and kind_of(types[name]) == "string":
-            number = F.col(name).try_cast("double")
-            steps[name] = F.nanvl(number, F.lit(None).cast("double"))
     return df.withColumns(steps) if steps else df
 
 
 def mark_drops(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
-    """Add the name of the first rule a standardized row breaks (null: the row stays)."""
-    have = set(df.columns)
-    checks: list[tuple[str, Column]] = []
-    if "InvoiceDate" in have:
-        checks.append(("bad_date", F.col("InvoiceDate").isNull()))
-    if "Description" in have:
-        checks.append(("no_description", F.col("Description").isNull()))
-    if "StockCode" in have:
-        checks.append(("no_stock_code", F.col("StockCode").isNull()))
-    if {"Quantity", "UnitPrice"} <= have:
-        if rules.remove_cancelled_orders:
-            checks.append(("quantity_not_positive", ~F.coalesce(F.col("Quantity") > 0, F.lit(False))))
-        if rules.remove_zero_unit_price:
-            checks.append(("price_not_positive", ~F.coalesce(F.col("UnitPrice") > 0, F.lit(False))))
+    """Typed rows with the name of the first rule they break (null: the row stays)."""
+    df = trim_headers(df)
     reason = F.lit(None).cast("string")
-    for name, broken in reversed(checks):
-        reason = F.when(broken, name).otherwise(reason)
-    return df.withColumn(REASON, reason)
+    for name, keep in reversed(_keep_rules(df, rules)):
+        reason = F.when(F.coalesce(keep, F.lit(False)), reason).otherwise(name)
+    return _typed(df.withColumn(REASON, reason))
 
 
 def apply_row_rules(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
     """Everything that looks at one row at a time; also valid on a streaming DataFrame."""
-    return mark_drops(standardize(df, rules), rules).where(F.col(REASON).isNull()).drop(REASON)
+    df = trim_headers(df)
+    for _, keep in _keep_rules(df, rules):
+        df = df.where(keep)
+    return _tidy_texts(_typed(df), rules)
 
 
 def rejected_rows(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
     """The dropped rows with the reason why."""
-    return mark_drops(standardize(df, rules), rules).where(F.col(REASON).isNotNull())
+    return _tidy_texts(mark_drops(df, rules).where(F.col(REASON).isNotNull()), rules)
 
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, *, exact: bool = True) -> DataFrame:
@@ -167,10 +191,12 @@ class CleaningAudit:
 
 def clean(df: DataFrame, rules: CleaningRules = CleaningRules(), audit: CleaningAudit | None = None) -> DataFrame:
     """The whole cleaning: row rules, capping, removal of copies."""
-    marked = mark_drops(standardize(df, rules), rules)
     if audit:
+        marked = mark_drops(df, rules)
         marked = marked.observe(audit.rows, *audit_counters(marked))
-    kept = marked.where(F.col(REASON).isNull()).drop(REASON)
+        kept = _tidy_texts(marked.where(F.col(REASON).isNull()).drop(REASON), rules)
+    else:
+        kept = apply_row_rules(df, rules)
     capped = [
         c for c, on in (("Quantity", rules.cap_quantity), ("UnitPrice", rules.cap_unit_price)) if on
     ]
@@ -184,13 +210,14 @@ def audit_counters(marked: DataFrame) -> list[Column]:
     counters = [F.count(F.lit(1)).alias("rows_in"), F.count_if(F.col(REASON).isNull()).alias("rows_kept")]
     counters += [F.count_if(F.col(REASON) == r).alias(r) for r in REASONS]
     if "CustomerID" in marked.columns:
-        counters.append(F.count_if(F.col("CustomerID") == UNKNOWN_CUSTOMER).alias("unknown_customers"))
+        key = customer_text(F.col("CustomerID"), marked.schema["CustomerID"].dataType)
+        counters.append(F.count_if(key == UNKNOWN_CUSTOMER).alias("unknown_customers"))
     return counters
 
 
 def cleaning_report(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
     """The row-rule counters as a one-row table, from one aggregate over the raw rows."""
-    marked = mark_drops(standardize(df, rules), rules)
+    marked = mark_drops(df, rules)
     return marked.agg(*audit_counters(marked))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -81,7 +82,13 @@ def fit_forest(
         minInstancesPerNode=1, bootstrap=True, subsamplingRate=1.0,
     )
     rows = train.select(*features, F.col(target).cast("double").alias("__label")).where("__label IS NOT NULL")
-    return Pipeline(stages=[*_stages(train, features), forest]).fit(rows)
+    # indexing, binning and the trees pass over the rows again and again; blocks lost with an
+    # executor are computed again from the plan
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=[*_stages(rows, features), forest]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def trained_features(model: PipelineModel) -> list[str]:

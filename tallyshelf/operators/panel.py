@@ -49,6 +49,9 @@ def fit_panel(
         *keys, BUCKET, F.col(value).cast("double").alias("_y"),
         *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(exog)],
     )
+    # A fixed number of partitions: left to itself, AQE packs series by bytes, and a few
+    # megabytes of series are already minutes of fitting in one task.
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     levels = ["_y", *[f"_x{i}" for i in range(len(exog))]]
     for c in levels:
         df = difference(df, c, f"_d{c}", orders.d, orders.D, orders.s, keys)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyshelf.schema import UNKNOWN_CUSTOMER, columns_of_kind, require_columns, require_kind
+from tallyshelf.schema import UNKNOWN_CUSTOMER, columns_of_kind, nan_to_null, require_columns, require_kind
 
 
 def valid_key(df: DataFrame, key: str) -> Column:
@@ -78,7 +78,10 @@ def headline_figures(df: DataFrame, *, approximate: bool = False) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair over the rows where both are present, in long form.
 
-    One aggregate with a handful of running moments per pair; a constant column gives null.
+    Each row is read once and spread over the pairs, so the aggregation keeps one small set of
+    moments however many columns there are (one wide aggregate would outgrow code generation).
+    Partial moments are combined before the shuffle, which moves one row per pair and task.
+    A constant column gives null.
     """
     columns = columns or columns_of_kind(df, "numeric")
     if len(columns) < 2:
@@ -87,15 +90,25 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
         require_kind(df, c, "numeric")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
 
-    def correlation(a: str, b: str) -> Column:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-        return F.try_divide(F.covar_pop(x, y), spread)
-
-    moments = df.agg(*[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for row, col in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(row).alias("row"), F.lit(col).alias("col"), F.col(f"r{i}").alias("corr")))
-    return moments.select(F.inline(F.array(*cells)))
+    def number(c: str) -> Column:
+        return F.col(c).cast("double")
+
+    spread = F.array(
+        *[F.struct(F.lit(i).alias("pair"), number(a).alias("x"), number(b).alias("y")) for i, (a, b) in enumerate(pairs)]
+    )
+    moments = (
+        nan_to_null(df.select(*columns)).select(F.inline(spread))
+        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        .groupBy("pair")
+        .agg(F.covar_pop("x", "y").alias("_xy"), F.stddev_pop("x").alias("_x"), F.stddev_pop("y").alias("_y"))
+    )
+    corr = F.try_divide(F.col("_xy"), F.col("_x") * F.col("_y"))
+    cells = F.array(
+        *[
+            F.struct(F.lit(i).alias("pair"), F.lit(r).alias("row"), F.lit(c).alias("col"))
+            for i, pair in enumerate(pairs) for r, c in sorted({pair, pair[::-1]})
+        ]
+    )
+    # pairs without a common row still get their (null) cells; both sides have one row per pair
+    grid = df.sparkSession.range(1).select(F.inline(cells))
+    return grid.join(F.broadcast(moments), "pair", "left").select("row", "col", corr.alias("corr"))

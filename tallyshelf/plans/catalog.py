@@ -20,7 +20,7 @@ from tallyshelf.operators.features import add_features
 from tallyshelf.operators.metrics import regression_metrics
 from tallyshelf.plans.report import headline_texts, processed_lines
 from tallyshelf.schema import ROW_ID
-from tallyshelf.session import staging_dir
+from tallyshelf.session import staging_dir, stored
 from tallyshelf.sources.files import read_lines, type_columns
 from tallyshelf.sources.payload import parse_objects
 from tallyshelf.sources.sinks import write_table
@@ -716,8 +716,12 @@ RATE = 0.7310585786300049
 
 MONTHLY = f"""m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket, COUNT(*) AS n_orders,
     CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) * CAST({RATE} AS DOUBLE) AS value FROM orders GROUP BY 1)"""
-PANEL = f"""m AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket,
-    CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) * CAST({RATE} AS DOUBLE) AS value FROM orders GROUP BY 1, 2)"""
+PANEL = f"""a AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket,
+    CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1, 2),
+  g AS (SELECT o_orderpriority, CAST(unnest(generate_series(MIN(bucket), MAX(bucket), INTERVAL 1 MONTH)) AS DATE) AS bucket
+    FROM a GROUP BY 1),
+  m AS (SELECT g.o_orderpriority, g.bucket, COALESCE(total, 0) * CAST({RATE} AS DOUBLE) AS value
+    FROM g LEFT JOIN a ON g.o_orderpriority = a.o_orderpriority AND g.bucket = a.bucket)"""
 
 
 def _monthly(spark: SparkSession, folder: str, *by: str) -> DataFrame:
@@ -862,18 +866,18 @@ def _decompose_sql(model: str, source: str, key: str | None) -> str:
     lead = f"{key}, " if key else ""
     phase = f"PARTITION BY {lead}pos % {period}"
     return f"""WITH {source},
-    a AS (SELECT *, row_number() OVER ({part} ORDER BY bucket) - 1 AS pos, COUNT(*) OVER ({part}) AS n FROM m),
+    p AS (SELECT *, row_number() OVER ({part} ORDER BY bucket) - 1 AS pos, COUNT(*) OVER ({part}) AS n FROM m),
     b AS (SELECT *, CASE WHEN pos >= 6 AND pos < n - 6 THEN (SUM(value) OVER ({part} ORDER BY bucket ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
-      + 0.5 * (LAG(value, 6) OVER ({part} ORDER BY bucket) + LEAD(value, 6) OVER ({part} ORDER BY bucket))) / 12 END AS ma FROM a),
+      + 0.5 * (LAG(value, 6) OVER ({part} ORDER BY bucket) + LEAD(value, 6) OVER ({part} ORDER BY bucket))) / 12 END AS ma FROM p),
     c AS (SELECT *, CASE WHEN pos >= 6 AND pos < LEAST(18, n - 7) THEN ma END AS hy,
       CASE WHEN pos >= GREATEST(6, n - 7 - 12) AND pos < n - 7 THEN ma END AS ty FROM b),
     d AS (SELECT *, CASE WHEN pos < 6 THEN regr_slope(hy, pos) OVER ({part}) * pos + regr_intercept(hy, pos) OVER ({part})
       WHEN pos > n - 7 THEN regr_slope(ty, pos) OVER ({part}) * pos + regr_intercept(ty, pos) OVER ({part}) ELSE ma END AS trend FROM c),
     e AS (SELECT *, value {minus} trend AS free FROM d),
     f AS (SELECT *, AVG(free) OVER ({phase}) AS idx FROM e),
-    g AS (SELECT *, idx {minus} (AVG(CASE WHEN pos < {period} THEN idx END) OVER ({part})) AS seasonal FROM f)
+    h AS (SELECT *, idx {minus} (AVG(CASE WHEN pos < {period} THEN idx END) OVER ({part})) AS seasonal FROM f)
     SELECT {lead}bucket, {_r("value", 2)} AS value, {_r("trend", 2)} AS trend, {_r("seasonal", digits)} AS seasonal,
-    {_r(f"free {minus} seasonal", digits)} AS resid, 'ok' AS status FROM g"""
+    {_r(f"free {minus} seasonal", digits)} AS resid, 'ok' AS status FROM h"""
 
 
 def _decomposed(model: str, *by: str) -> Run:
@@ -898,7 +902,7 @@ def _metrics_sql(source: str, key: str | None) -> str:
     return f"""WITH {source}, f AS (SELECT *, LAG(value, 12) OVER ({part} ORDER BY bucket) AS forecast FROM m),
     e AS (SELECT {lead}value AS y, value - forecast AS err FROM f WHERE forecast IS NOT NULL)
     SELECT {lead}COUNT(*) AS n, {_r("AVG(err * err)", 0)} AS mse, {_r("sqrt(AVG(err * err))", 4)} AS rmse,
-    {_r("AVG(abs(err))", 4)} AS mae, {_r("1 - AVG(err * err) / VAR_POP(y)")} AS r2, {_r("AVG(abs(err / y)) * 100")} AS mape
+    {_r("AVG(abs(err))", 4)} AS mae, {_r("1 - AVG(err * err) / VAR_POP(y)")} AS r2, {_r("AVG(abs(err / CASE WHEN y = 0 THEN 1e-8 ELSE y END)) * 100")} AS mape
     FROM e {f"GROUP BY {key}" if key else ""}"""
 
 
@@ -978,7 +982,9 @@ def _forest(spark: SparkSession, folder: str):
     sales = _sales(spark, folder, "InvoiceNo", "StockCode", "Country").drop("TotalPrice")
     features = [*forest.default_features(sales, "Quantity"), "UnitPrice", "Country"]
     order = ["InvoiceDate", "InvoiceNo", "StockCode"]
-    train, test = splits.ordered_split(sales.select(*order, "Quantity", *features), order, 0.2)
+    # the split and the training pass over these rows many times
+    rows = stored(sales.select(*order, "Quantity", *features))
+    train, test = splits.ordered_split(rows, order, 0.2)
     return forest.fit_forest(train, "Quantity", features, trees=20, max_depth=6), test
 
 

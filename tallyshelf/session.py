@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 STAGING_CONF = "spark.checkpoint.dir"
 
@@ -42,6 +42,13 @@ def staging_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tallyshelf/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same table read back from the shared folder: what follows starts there, also after a lost executor."""
+    path = staging_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever the driver was started from."""
     context = spark.sparkContext
