@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_SALTS = 16
+
 
 def _count_values(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     entries = F.array(
@@ -64,10 +66,15 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     wanted = ranges.where(holds_rank).select(*keys, "_lo", "_hi", "_before", "_total")
     if not by:
         # at most two ranges per probability and column
-        wanted = F.broadcast(wanted)
+        wanted, on = F.broadcast(wanted), keys
+    else:
+        # a group may hold most of the values: spread it over several tasks of the join
+        salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+        counts = counts.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(_SALTS)))
+        wanted, on = wanted.withColumn("_salt", salts), [*keys, "_salt"]
 
     ranked = (
-        counts.join(wanted, keys)
+        counts.join(wanted, on)
         .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         .withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_lo").orderBy("_v")))
     )

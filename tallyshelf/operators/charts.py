@@ -52,7 +52,9 @@ def density_curve(df: DataFrame, column: str, bins: int = 30, points: int = 200,
     """
     require_kind(df, column, "numeric")
     values = df.select(F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    spread = values.agg(F.stddev_samp("_v").alias("_sd"), F.count("_v").alias("_rows"))
+    spread = values.agg(
+        F.stddev_samp("_v").alias("_sd"), F.count("_v").alias("_rows"), (F.min("_v") < F.max("_v")).alias("_varies")
+    )
     facts = _range(values, "_v").crossJoin(F.broadcast(spread))
     cells = (
         values.crossJoin(F.broadcast(_range(values, "_v")))
@@ -60,7 +62,7 @@ def density_curve(df: DataFrame, column: str, bins: int = 30, points: int = 200,
         .agg(F.count("*").cast("double").alias("n"), F.avg("_v").alias("m"))
         .agg(F.collect_list(F.struct("n", "m")).alias("_cells"))
     )
-    curve = cells.crossJoin(F.broadcast(facts)).where(F.col("_sd") > 0)
+    curve = cells.crossJoin(F.broadcast(facts)).where("_varies")
     h = F.col("_sd") * F.pow(F.col("_rows").cast("double"), F.lit(-0.2))
     step = (F.col("_hi") - F.col("_lo")) / (points - 1)
     scale = (F.col("_hi") - F.col("_lo")) / bins / (F.col("_h") * F.sqrt(2 * F.pi()))

@@ -26,11 +26,13 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
         F.avg(error * error).alias("mse"),
         F.avg(F.abs(error)).alias("mae"),
         F.var_pop(y).alias("_var"),
+        (F.min(y) == F.max(y)).alias("_constant"),
+        F.max(F.abs(error)).alias("_worst"),
         (F.avg(F.abs(error / divisor)) * 100).alias("mape"),
     )
     r2 = (
         F.when(F.col("n") < 2, None)
-        .when(F.col("_var") == 0, F.when(F.col("mse") == 0, 1.0).otherwise(0.0))
+        .when(F.col("_constant"), F.when(F.col("_worst") == 0, 1.0).otherwise(0.0))
         .otherwise(1 - F.try_divide(F.col("mse"), F.col("_var")))
     )
     return sums.select(*by, "n", "mse", F.sqrt("mse").alias("rmse"), "mae", r2.alias("r2"), "mape")

@@ -100,9 +100,13 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
         nan_to_null(df.select(*columns)).select(F.inline(spread))
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
         .groupBy("pair")
-        .agg(F.covar_pop("x", "y").alias("_xy"), F.stddev_pop("x").alias("_x"), F.stddev_pop("y").alias("_y"))
+        .agg(
+            F.covar_pop("x", "y").alias("_xy"), F.stddev_pop("x").alias("_x"), F.stddev_pop("y").alias("_y"),
+            # merged moments of a constant are not exactly zero, so constants are told by their range
+            ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("_varies"),
+        )
     )
-    corr = F.try_divide(F.col("_xy"), F.col("_x") * F.col("_y"))
+    corr = F.when(F.col("_varies"), F.try_divide(F.col("_xy"), F.col("_x") * F.col("_y")))
     cells = F.array(
         *[
             F.struct(F.lit(i).alias("pair"), F.lit(r).alias("row"), F.lit(c).alias("col"))
