@@ -1,10 +1,12 @@
-"""Exact quantiles that never hold a group in one task.
+"""Exact quantiles that never hold an unbounded group in one task.
 
 The built-in exact ``percentile`` keeps a value-to-count map of the whole group in a single
-aggregation buffer. Here values are counted first (partial counts collapse on the map side),
-the counts are laid out by value range, and only the ranges that hold a wanted rank are ranked
-row by row. Every step is a shuffle whose largest task is one value range, so one hot group or
-a column with billions of distinct values spreads over the cluster.
+aggregation buffer. Here values are counted first (partial counts collapse on the map side).
+Groups with a bounded number of distinct values then go through the built-in with those counts;
+for the others, and for a whole column, the counts are laid out by value range and only the
+ranges that hold a wanted rank are ranked row by row. Every step of that is a shuffle whose
+largest task is one value range, so a hot group or a column with billions of distinct values
+spreads over the cluster.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SALTS = 16
+# distinct values up to which a group may be held in one aggregation buffer
+SMALL_GROUP = 50_000
 
 
 def _count_values(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -40,7 +43,25 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     by, columns = list(by), list(columns)
     keys = [*by, "_col"]
     counts = _count_values(df, columns, by)
+    if by:
+        large = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct")).where(F.col("_distinct") > SMALL_GROUP)
+        # one row per SMALL_GROUP distinct values at most
+        large = F.broadcast(large.drop("_distinct"))
+        found = _of_small_groups(counts.join(large, keys, "left_anti"), keys, probs).unionByName(
+            _by_ranges(counts.join(large, keys, "left_semi"), keys, probs)
+        )
+    else:
+        found = _by_ranges(counts, keys, probs)
+    wide = [F.max(F.when(F.col("_col") == i, F.col("_q"))).alias(c) for i, c in enumerate(columns)]
+    return found.groupBy(*by).agg(*wide)
+
+
+def _of_small_groups(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    return counts.groupBy(*keys).agg(F.percentile("_v", wanted, F.col("_n")).alias("_q"))
 
+
+def _by_ranges(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
     # Ranges are described by their own smallest and largest value, never by a partition
     # number, so they stay valid whichever way the runtime coalesces or re-runs partitions.
     ranges = (
@@ -63,18 +84,10 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     holds_rank = inside[0]
     for cond in inside[1:]:
         holds_rank = holds_rank | cond
-    wanted = ranges.where(holds_rank).select(*keys, "_lo", "_hi", "_before", "_total")
-    if not by:
-        # at most two ranges per probability and column
-        wanted, on = F.broadcast(wanted), keys
-    else:
-        # a group may hold most of the values: spread it over several tasks of the join
-        salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-        counts = counts.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(_SALTS)))
-        wanted, on = wanted.withColumn("_salt", salts), [*keys, "_salt"]
-
+    # at most two ranges per probability for the whole column or for each large group
+    wanted = F.broadcast(ranges.where(holds_rank).select(*keys, "_lo", "_hi", "_before", "_total"))
     ranked = (
-        counts.join(wanted, on)
+        counts.join(wanted, keys)
         .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         .withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_lo").orderBy("_v")))
     )
@@ -85,9 +98,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
         low, high = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
         return low + (high - low) * (h - F.floor(h))
 
-    found = found.select(*keys, F.array(*[value(i, h) for i, h in enumerate(position)]).alias("_q"))
-    wide = [F.max(F.when(F.col("_col") == i, F.col("_q"))).alias(c) for i, c in enumerate(columns)]
-    return found.groupBy(*by).agg(*wide)
+    return found.select(*keys, F.array(*[value(i, h) for i, h in enumerate(position)]).alias("_q"))
 
 
 def approximate_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:

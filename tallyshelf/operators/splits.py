@@ -16,9 +16,11 @@ def _at_rank(df: DataFrame, keys: Sequence[str], rank: Column) -> Row:
     holds the rank is ranked, so no task ever sees more than one range. ``rank`` may use the
     total number of rows, ``_total``. One row reaches the driver.
     """
-    counts = df.select(F.struct(*keys).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    key = F.struct(*keys).alias("_key")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ranges = (
-        counts.repartitionByRange("_key")
+        counts.repartitionByRange(*keys)
+        .select(key, "_n")
         .withColumn("_part", F.spark_partition_id())
         .groupBy("_part")
         .agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"), F.sum("_n").alias("_size"))
@@ -32,7 +34,7 @@ def _at_rank(df: DataFrame, keys: Sequence[str], rank: Column) -> Row:
     holding = ranges.where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_size")))
     upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_lo").orderBy("_key"))
     ranked = (
-        counts.join(F.broadcast(holding), F.col("_key").between(F.col("_lo"), F.col("_hi")))
+        counts.select(key, "_n").join(F.broadcast(holding), F.col("_key").between(F.col("_lo"), F.col("_hi")))
         .withColumn("_upto", upto)
         .where(F.col("_upto") >= F.col("_rank"))
         .select(F.struct("_key", (F.col("_upto") - F.col("_n")).alias("_smaller"), "_rank").alias("_hit"))

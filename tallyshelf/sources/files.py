@@ -47,10 +47,9 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that parsed, and rows that did not (those keep their raw text)."""
     if CORRUPT not in df.columns:
         return df, df.limit(0)
-    # Spark refuses to scan a text file for the corrupt column alone, which a count would do;
-    # this always-true look at another column keeps that one in the scan
-    other = next(c for c in df.columns if c != CORRUPT)
-    present = F.hash(F.col(f"`{other}`")) >= -(2**31)
+    # A line is only known to be broken when all its columns are parsed: without this always-true
+    # look at them, a count would prune them and see no broken lines (or be refused)
+    present = F.hash(*[F.col(f"`{c}`") for c in df.columns if c != CORRUPT]) >= -(2**31)
     bad = F.col(CORRUPT).isNotNull()
     return df.where(~bad & present).drop(CORRUPT), df.where(bad & present)
 
