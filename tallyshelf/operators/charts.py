@@ -6,39 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyshelf.operators.totals import sum_by
-from tallyshelf.schema import require_columns, require_kind
+from tallyshelf.schema import nan_to_null, require_columns, require_kind
 
 # Fixed value: two-sided 95 % point of the normal distribution.
 Z95 = 1.959963984540054
 
 
-def _range(df: DataFrame, column: str) -> DataFrame:
-    """One row: lo, hi and width of the value range; a constant column gets half a unit on each side."""
-    lo, hi = F.min(column).cast("double"), F.max(column).cast("double")
-    ends = df.agg(lo.alias("lo"), hi.alias("hi"))
-    pad = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
-    return ends.select((F.col("lo") - pad).alias("_lo"), (F.col("hi") + pad).alias("_hi"))
+def _facts(values: DataFrame) -> Column:
+    """Scalar struct of the column ``_v``: ends of the range, count, spread, whether it varies.
 
+    A constant column gets half a unit of room on each side.
+    """
+    lo, hi = F.min("_v"), F.max("_v")
+    pad = F.when(lo == hi, 0.5).otherwise(0.0)
+    facts = values.agg(
+        F.struct(
+            (lo - pad).alias("lo"), (hi + pad).alias("hi"), F.count("_v").alias("rows"),
+            F.stddev_samp("_v").alias("sd"), (lo < hi).alias("varies"),
+        )
+    )
+    return facts.scalar()
 
-def _bin_of(value: Column, bins: int) -> Column:
-    share = (value - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+
+def _bin_of(value: Column, facts: Column, bins: int) -> Column:
+    share = (value - facts["lo"]) / (facts["hi"] - facts["lo"])
     return F.least(F.floor(share * bins) + 1, F.lit(bins)).cast("int")
 
 
+def _values(df: DataFrame, column: str) -> DataFrame:
+    require_kind(df, column, "numeric")
+    return nan_to_null(df.select(F.col(column).cast("double").alias("_v"))).where(F.col("_v").isNotNull())
+
+
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width bins from the minimum to the maximum, the last one closed; empty bins show 0."""
-    require_kind(df, column, "numeric")
-    values = df.select(F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ends = _range(values, "_v")
-    counts = (
-        values.crossJoin(F.broadcast(ends)).groupBy(_bin_of(F.col("_v"), bins).alias("bin")).agg(F.count("*").alias("_n"))
-    )
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    edges = ends.where(F.col("_lo").isNotNull()).select(
-        F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "_lo", "_hi"
-    )
-    edges = edges.select(
-        "bin", (F.col("_lo") + (F.col("bin") - 1) * width).alias("lower"), (F.col("_lo") + F.col("bin") * width).alias("upper")
+    values = _values(df, column)
+    facts = _facts(values)
+    counts = values.select(_bin_of(F.col("_v"), facts, bins).alias("bin")).groupBy("bin").agg(F.count("*").alias("_n"))
+    edges = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"), facts.alias("_f"))
+    width = (F.col("_f.hi") - F.col("_f.lo")) / bins
+    edges = edges.where(F.col("_f.lo").isNotNull()).select(
+        "bin", (F.col("_f.lo") + (F.col("bin") - 1) * width).alias("lower"), (F.col("_f.lo") + F.col("bin") * width).alias("upper")
     )
     return edges.join(counts, "bin", "left").select("bin", "lower", "upper", F.coalesce("_n", F.lit(0)).alias("n"))
 
@@ -50,32 +58,28 @@ def density_curve(df: DataFrame, column: str, bins: int = 30, points: int = 200,
     then a sum over those cells, so the work on the curve does not grow with the data. Bandwidth
     is Scott's rule.
     """
-    require_kind(df, column, "numeric")
-    values = df.select(F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    spread = values.agg(
-        F.stddev_samp("_v").alias("_sd"), F.count("_v").alias("_rows"), (F.min("_v") < F.max("_v")).alias("_varies")
-    )
-    facts = _range(values, "_v").crossJoin(F.broadcast(spread))
+    values = _values(df, column)
+    facts = _facts(values)
     cells = (
-        values.crossJoin(F.broadcast(_range(values, "_v")))
-        .groupBy(_bin_of(F.col("_v"), fine_bins).alias("_cell"))
+        values.select("_v", _bin_of(F.col("_v"), facts, fine_bins).alias("_cell"))
+        .groupBy("_cell")
         .agg(F.count("*").cast("double").alias("n"), F.avg("_v").alias("m"))
-        .agg(F.collect_list(F.struct("n", "m")).alias("_cells"))
+        .agg(F.collect_list(F.struct("n", "m")).alias("cells"))
     )
-    curve = cells.crossJoin(F.broadcast(facts)).where("_varies")
-    h = F.col("_sd") * F.pow(F.col("_rows").cast("double"), F.lit(-0.2))
-    step = (F.col("_hi") - F.col("_lo")) / (points - 1)
-    scale = (F.col("_hi") - F.col("_lo")) / bins / (F.col("_h") * F.sqrt(2 * F.pi()))
-    curve = curve.withColumn("_h", h).select(
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_lo") + i * step)).alias("point", "x"),
-        "_cells", "_h", scale.alias("_scale"),
+    curve = df.sparkSession.range(points).select(
+        F.col("id").cast("int").alias("point"), facts.alias("_f"), cells.scalar().alias("_cells")
+    ).where("_f.varies")
+    # grid points are independent: each task sums the cells for some of them
+    curve = curve.select(
+        "point", "_cells",
+        (F.col("_f.lo") + F.col("point") * ((F.col("_f.hi") - F.col("_f.lo")) / (points - 1))).alias("x"),
+        (F.col("_f.sd") * F.pow(F.col("_f.rows").cast("double"), F.lit(-0.2))).alias("_h"),
+        ((F.col("_f.hi") - F.col("_f.lo")) / bins).alias("_width"),
     )
-    # grid points are independent: spread them over tasks before summing the cells
-    curve = curve.repartition("point")
     summed = F.aggregate(
         "_cells", F.lit(0.0), lambda acc, c: acc + c["n"] * F.exp(-0.5 * F.pow((F.col("x") - c["m"]) / F.col("_h"), 2))
     )
-    return curve.select("point", "x", (F.col("_scale") * summed).alias("density"))
+    return curve.select("point", "x", (F.col("_width") / (F.col("_h") * F.sqrt(2 * F.pi())) * summed).alias("density"))
 
 
 def bar_table(df: DataFrame, x: str, y: str, *, order: str = "desc", top_n: int | None = None) -> DataFrame:

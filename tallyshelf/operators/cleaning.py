@@ -125,43 +125,45 @@ def iqr_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, *
 def winsorize(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, *, exact: bool = True) -> DataFrame:
     """Pull values outside the quartile fences back to the fence; missing values stay missing.
 
-    Absent and non-numeric columns are left alone. The fences are a one-row table.
+    Absent and non-numeric columns are left alone. The fences are a scalar subquery: one row,
+    computed once and shared by all references.
     """
     columns = [c for c in columns if c in df.columns and kind_of(df.schema[c].dataType) == "numeric"]
     if not columns:
         return df
-    bounds = iqr_bounds(df, columns, multiplier, exact=exact).select(F.struct(*columns).alias("_fence"))
+    fence = iqr_bounds(df, columns, multiplier, exact=exact).select(F.struct(*columns)).scalar()
 
     def capped(c: str) -> Column:
-        value, lo, hi = F.col(c).cast("double"), F.col(f"_fence.{c}.lo"), F.col(f"_fence.{c}.hi")
-        return F.when(value < lo, lo).when(value > hi, hi).otherwise(value)
+        value = F.col(c).cast("double")
+        # least and greatest skip nulls, a missing value must not
+        return F.when(value.isNotNull(), F.least(F.greatest(value, fence[c]["lo"]), fence[c]["hi"]))
 
-    return df.crossJoin(F.broadcast(bounds)).withColumns({c: capped(c) for c in columns}).drop("_fence")
+    return df.withColumns({c: capped(c) for c in columns})
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
     """Per column: the fences and how many values lie below and above them."""
-    bounds = iqr_bounds(df, columns, multiplier).select(F.struct(*columns).alias("_fence"))
-    counted = df.crossJoin(F.broadcast(bounds)).agg(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.max(F.col(f"_fence.{c}.lo")).alias("lower"),
-                F.max(F.col(f"_fence.{c}.hi")).alias("upper"),
-                F.count_if(F.col(c) < F.col(f"_fence.{c}.lo")).alias("n_below"),
-                F.count_if(F.col(c) > F.col(f"_fence.{c}.hi")).alias("n_above"),
-            ).alias(c)
-            for c in columns
-        ]
+    fence = iqr_bounds(df, columns, multiplier).select(F.struct(*columns)).scalar()
+    beyond = df.select(
+        *[(F.col(c) < fence[c]["lo"]).alias(f"{c}_below") for c in columns],
+        *[(F.col(c) > fence[c]["hi"]).alias(f"{c}_above") for c in columns],
     )
-    return counted.select(F.inline(F.array(*columns)))
+    counted = beyond.agg(*[F.count_if(F.col(flag)).alias(flag) for flag in beyond.columns])
+    rows = [
+        F.struct(
+            F.lit(c).alias("column"), fence[c]["lo"].alias("lower"), fence[c]["hi"].alias("upper"),
+            F.col(f"{c}_below").alias("n_below"), F.col(f"{c}_above").alias("n_above"),
+        )
+        for c in columns
+    ]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def at_most_quantile(df: DataFrame, column: str, prob: float = 0.99) -> DataFrame:
     """Rows whose value does not exceed the given quantile of the column."""
     require_columns(df, column)
-    limit = quantiles(df, [column], [prob]).select(F.col(column)[0].alias("_limit"))
-    return df.crossJoin(F.broadcast(limit)).where(F.col(column) <= F.col("_limit")).drop("_limit")
+    limit = quantiles(df, [column], [prob]).select(F.col(column)[0])
+    return df.where(F.col(column) <= limit.scalar())
 
 
 def drop_copies(df: DataFrame) -> DataFrame:

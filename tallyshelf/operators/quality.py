@@ -51,18 +51,17 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for c in columns
         ]
     )
-    cuts = quantiles(df, columns, (0.25, 0.5, 0.75)).select(*[F.col(c).alias(f"q_{c}") for c in columns])
+    cuts = quantiles(df, columns, (0.25, 0.5, 0.75)).select(F.struct(*columns)).scalar()
     rows = [
         F.struct(
             F.lit(c).alias("column"),
             *[F.col(f"m_{c}.{n}").alias(n) for n in ("count", "mean", "std", "min")],
-            *[F.col(f"q_{c}")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))],
+            *[cuts[c][i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))],
             F.col(f"m_{c}.max").alias("max"),
         )
         for c in columns
     ]
-    # one row meets one row
-    return moments.crossJoin(F.broadcast(cuts)).select(F.inline(F.array(*rows)))
+    return moments.select(F.inline(F.array(*rows)))
 
 
 def preview(df: DataFrame, n: int = 5, *order) -> DataFrame:

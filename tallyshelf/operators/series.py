@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tallyshelf.functions.aggregates import AGGREGATORS, ZERO_WHEN_EMPTY, named_aggregate
 from tallyshelf.functions.buckets import bucket_for
 from tallyshelf.functions.quantiles import quantiles
-from tallyshelf.schema import require_columns, require_kind
+from tallyshelf.functions.scalar import parse_timestamp
+from tallyshelf.schema import kind_of, require_columns, require_kind
 
 BUCKET = "bucket"
 
@@ -101,7 +102,10 @@ def daily_trend(df: DataFrame, ts: str, value: str, how: str = "sum", by: Sequen
 
 
 def trend(df: DataFrame, ts: str, value: str, how: str = "sum", freq: str = "", by: Sequence[str] = ()) -> DataFrame:
-    """Trend by frequency, or by day that occurs when none is given."""
+    """Trend by frequency, or by day that occurs when none is given; dates held as text are parsed first."""
+    require_columns(df, ts, value)
+    if kind_of(df.schema[ts].dataType) == "string":
+        df = df.withColumn(ts, parse_timestamp(F.col(ts), df.schema[ts].dataType)).dropna(subset=[ts])
     if not freq.strip():
         return daily_trend(df, ts, value, how, by)
     return resample(df, ts, {value: (value, how)}, freq, by)

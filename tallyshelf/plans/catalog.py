@@ -767,6 +767,22 @@ def _daily_trend(spark, folder):
     return series.trend(retail_lines(spark, folder, ["InvoiceDate", "Quantity"]), "InvoiceDate", "Quantity")
 
 
+@register(
+    "trend_of_text_dates",
+    """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket, COUNT(*) AS o_totalprice FROM orders
+    WHERE o_orderpriority <> '5-LOW' GROUP BY 1""",
+)
+def _trend_of_text_dates(spark, folder):
+    date = F.col("o_orderdate")
+    text = (
+        F.when(F.col("o_orderpriority") == "5-LOW", "no date")
+        .when(F.col("o_orderpriority") == "2-HIGH", F.date_format(date, "M/d/yyyy"))
+        .otherwise(F.date_format(date, "yyyy-MM-dd HH:mm:ss"))
+    )
+    orders = table(spark, folder, "orders").select(text.alias("day"), "o_totalprice")
+    return series.trend(orders, "day", "o_totalprice", "count", "MS").where("o_totalprice > 0")
+
+
 @register(
     "tail_split",
     f"""WITH {MONTHLY} SELECT bucket, value, row_number() OVER (ORDER BY bucket DESC) <= 12 AS is_test FROM m""",
