@@ -16,8 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# distinct values up to which a group may be held in one aggregation buffer
+# Groups with more distinct values than SMALL_GROUP are spread over value ranges, the LARGE_GROUPS
+# largest of them if there are more. That bounds the list that is broadcast, and any group left to
+# the built-in aggregate holds at most one in LARGE_GROUPS of all distinct values.
 SMALL_GROUP = 50_000
+LARGE_GROUPS = 100_000
 
 
 def _count_values(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -44,9 +47,8 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     keys = [*by, "_col"]
     counts = _count_values(df, columns, by)
     if by:
-        large = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct")).where(F.col("_distinct") > SMALL_GROUP)
-        # one row per SMALL_GROUP distinct values at most
-        large = F.broadcast(large.drop("_distinct"))
+        sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct")).where(F.col("_distinct") > SMALL_GROUP)
+        large = F.broadcast(sizes.orderBy(F.desc("_distinct")).limit(LARGE_GROUPS).select(*keys))
         found = _of_small_groups(counts.join(large, keys, "left_anti"), keys, probs).unionByName(
             _by_ranges(counts.join(large, keys, "left_semi"), keys, probs)
         )
@@ -84,7 +86,7 @@ def _by_ranges(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -
     holds_rank = inside[0]
     for cond in inside[1:]:
         holds_rank = holds_rank | cond
-    # at most two ranges per probability for the whole column or for each large group
+    # at most two ranges per probability, for the whole column or each of the large groups
     wanted = F.broadcast(ranges.where(holds_rank).select(*keys, "_lo", "_hi", "_before", "_total"))
     ranked = (
         counts.join(wanted, keys)

@@ -21,17 +21,14 @@ def processed_lines(raw: DataFrame, rules: CleaningRules = CleaningRules()) -> D
 
 def headline_texts(df: DataFrame) -> DataFrame:
     """The headline figures as the texts the report prints."""
-    facts = headline_figures(df)
-    best = top_by_sum(df, "Country", "TotalPrice", 1).select(
-        F.col("Country").alias("best_country"), money_text(F.col("TotalPrice")).alias("best_country_sales")
-    )
-    texts = facts.select(
+    best = top_by_sum(df, "Country", "TotalPrice", 1)
+    country = best.select(F.struct("Country", money_text(F.col("TotalPrice")).alias("sales"))).scalar()
+    return headline_figures(df).select(
         "records", "features", money_text(F.col("revenue")).alias("revenue"),
         "invoices", "known_customers", "products",
         day_text(F.col("first_date")).alias("first_date"), day_text(F.col("last_date")).alias("last_date"),
+        country["Country"].alias("best_country"), country["sales"].alias("best_country_sales"),
     )
-    # one row each; left so that an empty table still reports its zeros
-    return texts.join(F.broadcast(best), F.lit(True), "left")
 
 
 def sales_report(df: DataFrame) -> dict[str, DataFrame]:

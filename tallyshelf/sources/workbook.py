@@ -135,6 +135,7 @@ def _discover(files: DataFrame) -> list[str]:
 
 def read_workbooks(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """All cells as text, columns matched by trimmed header; ``columns`` avoids looking into a file first."""
+    # a task gets files up to spark.sql.files.maxPartitionBytes together, which bounds what it holds
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("content")
     names = list(columns) if columns is not None else _discover(files)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
