@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.llm import bitsliced, chat, mil, mixing, pieces, pii, quality_rules, secrets, simhash
+from tallyshelf.llm import bitsliced, chat, mil, mixing, passages, pieces, pii, quality_rules, secrets, simhash
 from tallyshelf.llm.common import Query, Run
 from tallyshelf.sources.star import table
 
@@ -54,6 +54,11 @@ def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@register("op6_suffix_array")
+def _suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.remove_repeats(table(spark, folder, "documents"))
+
+
 @register("op7_topk", bitsliced.SQL)
 def _topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = bitsliced.quantised(table(spark, folder, "embeddings"))

@@ -12,7 +12,7 @@ Defined results: a null or empty text is a bag of one empty passage and gets a s
 rows score alike; rows without an id are never held out and never trained on; labels other than 0 and 1 and rows
 without a text to learn from are left out of training; with a class missing, every score is the share of label 1
 among the sample (0.5 without any); an empty table gives an empty result; further columns pass through `classify`,
-and a column called `score` is replaced.
+where a column called as the added one (`score` unless named) is replaced, and through `accepted`.
 """
 
 from __future__ import annotations
@@ -201,23 +201,32 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     return train(*training_bags(documents, labels, per_class))
 
 
-def classify(df: DataFrame, model: AttentionModel, text: str = "text", keep: list[str] | None = None,
-             at_least: float | None = None) -> DataFrame:
-    """The kept columns (all by default) and `score`; with `at_least`, only rows that score so much."""
-    df = df.drop("score")
+def classify(df: DataFrame, model: AttentionModel, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The kept columns (all by default) and the score."""
+    df = df.drop(name)
     keep = df.columns if keep is None else keep
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PassageEncoder()
         for batch in sliced(batches, text):
             scores = model.score([encoder.encode(t) for t in texts_of(batch, text)])
-            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores)], [*keep, "score"])
-            yield out if at_least is None else out.filter(pa.array(scores >= at_least))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores)], [*keep, name])
 
     return df.mapInArrow(run, schema)
 
 
+def accepted(df: DataFrame, model: AttentionModel, at_least: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of `df` that score at least so much."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = PassageEncoder()
+        for batch in sliced(batches, text):
+            scores = model.score([encoder.encode(t) for t in texts_of(batch, text)])
+            yield batch.filter(pa.array(scores >= at_least))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def score_all(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns of the contract."""
     scored = classify(documents.select("doc_id", "text"), fit(documents, labels), keep=["doc_id"])

@@ -252,12 +252,12 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def round_trip_digest(df: DataFrame, model: str) -> DataFrame:
-    """The columns of the contract: encoded, then decoded from those ids."""
+def round_trip_digest(df: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
+    """The columns of the contract: encoded, then decoded from those ids; `with_ids` adds the ids themselves."""
     encoded = encode(df.select("doc_id", "text"), model, keep=["doc_id"])
     schema = T.StructType([
         encoded.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
-        T.StructField("decoded_sha256", T.StringType())])
+        T.StructField("decoded_sha256", T.StringType()), *[encoded.schema["ids"]] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = loaded(model).library
@@ -270,6 +270,6 @@ def round_trip_digest(df: DataFrame, model: str) -> DataFrame:
                 texts.append(hashlib.sha256(library.decode(ids.tolist()).encode("utf-8", "replace")).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(column[i].values) for i in range(len(column))], pa.int64()),
-                 pa.array(own, pa.string()), pa.array(texts, pa.string())], schema.names)
+                 pa.array(own, pa.string()), pa.array(texts, pa.string()), *[column] * with_ids], schema.names)
 
     return encoded.mapInArrow(run, schema)
