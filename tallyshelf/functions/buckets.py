@@ -1,39 +1,74 @@
 """Calendar buckets: the start of a bucket, the label it is known by, and the step between starts.
 
-Gap filling always runs on starts, which step uniformly; month, quarter and year ends only
-appear in the label.
+Gap filling always runs on starts, which step uniformly; week, month, quarter and year ends only appear in the label.
+A multiple (``2D``, ``2W``, ``3MS``) counts its units from the first bucket of each series: buckets labelled by their
+start begin there, buckets labelled by their end have their first end there.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+CHUNK = 1024  # steps per array when gaps are filled
+
 
 @dataclass(frozen=True)
 class Bucket:
+    """``unit`` is day, month or second and ``size`` their number in a step; ``every`` steps make a bucket."""
+
     name: str
     start: Callable[[Column], Column]
     label: Callable[[Column], Column]
-    step: str
-    intraday: bool = False
-
-    def starts_until(self, first: Column, following: Column) -> Column:
-        """All bucket starts from ``first`` up to, not including, ``following`` (null: only ``first``)."""
-        before = following - F.expr("interval 1 microsecond") if self.intraday else F.date_sub(following, 1)
-        return F.sequence(first, F.coalesce(before, first), F.expr(f"interval {self.step}"))
+    unit: str
+    size: int
+    every: int = 1
+    ends: bool = False
+    workdays: bool = False
+
+    @property
+    def intraday(self) -> bool:
+        return self.unit == "second"
+
+    def between(self, first: Column, second: Column) -> Column:
+        """Whole steps (of one unit size) from one start to another."""
+        if self.workdays:
+            # both are working days: five for every seven, and those of the rest
+            days = F.datediff(second, first)
+            return days - 2 * F.floor((days + F.weekday(first)) / 7)
+        if self.unit == "month":
+            steps = (F.year(second) - F.year(first)) * 12 + F.month(second) - F.month(first)
+        elif self.unit == "day":
+            steps = F.datediff(second, first)
+        else:
+            steps = F.timestamp_diff("SECOND", first, second)
+        return F.floor(steps / self.size)
 
     def advance(self, start: Column, count: Column) -> Column:
-        size, unit = self.step.split()
-        if unit.startswith("month"):
-            return F.add_months(start, (count * int(size)).cast("int"))
-        if unit.startswith("day"):
-            return F.date_add(start, (count * int(size)).cast("int"))
-        return start + F.make_dt_interval(mins=(count * int(size)).cast("int"))
+        """The start that lies ``count`` steps after another."""
+        steps = (count * self.size).cast("int" if not self.intraday else "long")
+        if self.workdays:
+            at = F.weekday(start) + count
+            return F.date_add(start, (count + 2 * F.floor(at / 5)).cast("int"))
+        if self.unit == "month":
+            return F.add_months(start, steps)
+        if self.unit == "day":
+            return F.date_add(start, steps)
+        return F.timestamp_add("SECOND", steps, start)
+
+    def anchored(self, start: Column, first: Column) -> Column:
+        """The start of the multiple that holds a unit bucket; ``first`` is the first unit bucket of the series."""
+        steps = self.between(first, start) / self.every
+        whole = F.ceil(steps) if self.ends else F.floor(steps)
+        return self.advance(first, whole * self.every)
+
+    def following(self, start: Column, later: Column) -> Column:
+        """How many buckets begin from ``start`` up to, not including, ``later`` (null: one)."""
+        return F.coalesce(F.floor(self.between(start, later) / self.every), F.lit(1)).cast("long")
 
 
 def _trunc(unit: str) -> Callable[[Column], Column]:
@@ -47,15 +82,19 @@ def _same(start: Column) -> Column:
 # Other spellings of the same frequency.
 _ALIASES = {"ME": "M", "QE": "Q", "YS": "AS", "YE": "A", "Y": "A", "W-SUN": "W"}
 _WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
+_SECONDS = {"s": 1, "S": 1, "min": 60, "T": 60, "h": 3600, "H": 3600}
 
 _CALENDAR = {
-    "D": Bucket("D", lambda ts: ts.cast("date"), _same, "1 day"),
-    "MS": Bucket("MS", _trunc("month"), _same, "1 month"),
-    "M": Bucket("M", _trunc("month"), lambda s: F.last_day(s), "1 month"),
-    "QS": Bucket("QS", _trunc("quarter"), _same, "3 month"),
-    "Q": Bucket("Q", _trunc("quarter"), lambda s: F.last_day(F.add_months(s, 2)), "3 month"),
-    "AS": Bucket("AS", _trunc("year"), _same, "12 month"),
-    "A": Bucket("A", _trunc("year"), lambda s: F.make_date(F.year(s), F.lit(12), F.lit(31)), "12 month"),
+    "D": Bucket("D", lambda ts: ts.cast("date"), _same, "day", 1),
+    "MS": Bucket("MS", _trunc("month"), _same, "month", 1),
+    "M": Bucket("M", _trunc("month"), lambda s: F.last_day(s), "month", 1, ends=True),
+    "QS": Bucket("QS", _trunc("quarter"), _same, "month", 3),
+    "Q": Bucket("Q", _trunc("quarter"), lambda s: F.last_day(F.add_months(s, 2)), "month", 3, ends=True),
+    "AS": Bucket("AS", _trunc("year"), _same, "month", 12),
+    "A": Bucket("A", _trunc("year"), lambda s: F.make_date(F.year(s), F.lit(12), F.lit(31)), "month", 12, ends=True),
+    # a weekend belongs to the Friday before it
+    "B": Bucket("B", lambda ts: F.date_sub(ts.cast("date"), F.greatest(F.weekday(ts.cast("date")) - 4, F.lit(0))), _same, "day", 1,
+                workdays=True),
 }
 
 
@@ -65,34 +104,36 @@ def _week_ending(day: str, name: str) -> Bucket:
         name,
         lambda ts: F.date_sub(F.next_day(F.date_sub(ts.cast("date"), 1), day), 6),
         lambda s: F.date_add(s, 6),
-        "7 day",
+        "day", 7, ends=True,
     )
 
 
-def _intraday(minutes: int, name: str) -> Bucket:
-    if minutes <= 0 or 1440 % minutes:
-        raise ValueError(f"frequency {name!r} must divide a day evenly")
-    width = f"{minutes} minutes"
-    return Bucket(name, lambda ts: F.window(ts, width)["start"], _same, f"{minutes} minute", intraday=True)
+def _intraday(seconds: int, name: str) -> Bucket:
+    if 86_400 % seconds == 0:
+        return Bucket(name, lambda ts: F.window(ts, f"{seconds} seconds")["start"], _same, "second", seconds)
+    # counted from midnight of the first day of the series
+    return Bucket(name, lambda ts: F.date_trunc("second", ts).cast("timestamp_ntz"), _same, "second", 1, every=seconds)
 
 
 def bucket_for(freq: str) -> Bucket:
-    """Bucket rule for D, W (or W-MON .. W-SUN), MS, M, QS, Q, AS, A, and n minutes or n hours."""
-    text = freq.strip()
-    name = _ALIASES.get(text.upper(), text.upper())
+    """Bucket rule for [n]D, [n]W (or W-MON .. W-SUN), [n]MS, M, QS, Q, AS, A, B, and n seconds, minutes or hours."""
+    found = re.fullmatch(r"(\d*)\s*([A-Za-z]+(?:-[A-Za-z]{3})?)", freq.strip())
+    n, word = (int(found[1] or 1), found[2]) if found else (0, "")
+    name = _ALIASES.get(word.upper(), word.upper())
+    if n > 0 and word in _SECONDS:
+        return _intraday(n * _SECONDS[word], freq.strip())
+    rule = None
     if name in _CALENDAR:
-        return _CALENDAR[name]
-    if name == "W":
-        return _week_ending("SUN", "W")
-    if name.startswith("W-") and name[2:] in _WEEKDAYS:
-        return _week_ending(name[2:], name)
-    found = re.fullmatch(r"(\d*)\s*(min|T|h|H)", text)
-    if found:
-        minutes = int(found[1] or 1) * (1 if found[2] in ("min", "T") else 60)
-        return _intraday(minutes, text)
-    raise ValueError(
-        f"unsupported frequency {freq!r}: use D, W, W-MON..W-SUN, MS, M, QS, Q, AS, A, or n min / n h"
-    )
+        rule = _CALENDAR[name]
+    elif name == "W":
+        rule = _week_ending("SUN", "W")
+    elif name.startswith("W-") and name[2:] in _WEEKDAYS:
+        rule = _week_ending(name[2:], name)
+    if rule is None or n < 1:
+        raise ValueError(
+            f"unsupported frequency {freq!r}: use D, B, W, W-MON..W-SUN, MS, M, QS, Q, AS, A, multiples of them, or n s / n min / n h"
+        )
+    return replace(rule, every=n) if n > 1 else rule
 
 
 # Season length assumed for a frequency when the caller names none.

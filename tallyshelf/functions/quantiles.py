@@ -1,12 +1,9 @@
-"""Exact quantiles that never hold an unbounded group in one task.
-
-The built-in exact ``percentile`` keeps a value-to-count map of the whole group in a single
-aggregation buffer. Here values are counted first (partial counts collapse on the map side).
-Groups with a bounded number of distinct values then go through the built-in with those counts;
-for the others, and for a whole column, the counts are laid out by value range and only the
-ranges that hold a wanted rank are ranked row by row. Every step of that is a shuffle whose
-largest task is one value range, so a hot group or a column with billions of distinct values
-spreads over the cluster.
+"""Exact quantiles by refinement of value ranges.
+
+The range of a column, or of each group, is cut into equal bins and the rows per bin are counted; only the bins
+that hold a wanted rank are cut and counted again, and in the end only the values inside those fine bins are
+counted one by one. Every pass is a partial aggregate over the rows, so a hot group or a column with billions of
+different values costs one small buffer per task, and no task ever holds or sorts more than one fine bin.
 """
 
 from __future__ import annotations
@@ -16,91 +13,100 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups with more distinct values than SMALL_GROUP are spread over value ranges, the LARGE_GROUPS
-# largest of them if there are more. That bounds the list that is broadcast, and any group left to
-# the built-in aggregate holds at most one in LARGE_GROUPS of all distinct values.
-SMALL_GROUP = 50_000
-LARGE_GROUPS = 100_000
+BINS = 4096  # per pass for a whole column: two passes leave about one in 16 million of the value range
+GROUP_BINS = 256  # per pass and group
 
 
-def _count_values(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    entries = F.array(
-        *[F.struct(F.lit(i).alias("_col"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)]
-    )
-    rows = df.dropna(subset=list(by)) if by else df
-    # several columns share one scan; a single one needs no explode
-    rows = (
-        rows.select(*by, F.explode(entries).alias("_e")).select(*by, "_e._col", "_e._v")
-        if len(columns) > 1
-        else rows.select(*by, F.lit(0).alias("_col"), F.col(columns[0]).cast("double").alias("_v"))
-    )
-    return rows.where(F.col("_v").isNotNull()).groupBy(*by, "_col", "_v").agg(F.count(F.lit(1)).alias("_n"))
+def _bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
+    width = high - low
+    at = F.least(F.floor((value - low) / width * bins), F.lit(bins - 1))
+    # an infinite range is cut into its two ends and all finite values
+    ends = F.when(value == float("-inf"), 0).when(value == float("inf"), 2).otherwise(1)
+    return F.when(width == 0, F.lit(0)).when(width < float("inf"), at).otherwise(ends).cast("int")
+
+
+def _attach(rows: DataFrame, cells: DataFrame, by: Sequence[str], few_groups: bool) -> DataFrame:
+    """The rows with the array `_cells` of their group."""
+    if by:
+        return rows.join(F.broadcast(cells) if few_groups else cells, list(by))
+    return rows.withColumn("_cells", cells.select("_cells").scalar())
+
+
+def _inside(rows: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """One row per value that lies in a cell of its column: (by, _col, _v, _cell)."""
+    def entry(i: int, c: str) -> Column:
+        held = F.filter("_cells", lambda x: (x["col"] == i) & F.col(c).between(x["low"], x["high"]))
+        return F.struct(F.lit(i).alias("_col"), F.col(c).alias("_v"), F.get(held, F.lit(0)).alias("_cell"))
+
+    spread = rows.select(*by, F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))
+    return spread.where(F.col("_cell").isNotNull())
+
 
+def _ranks(total: Column, probs: Sequence[float]) -> list[Column]:
+    return [r((total - 1) * F.lit(float(p))) for p in probs for r in (F.floor, F.ceil)]
 
-def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+
+def _refine(rows: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], bins: int) -> DataFrame:
+    """Per group the cells of the next pass: the bins that hold a wanted rank, with the rows before them."""
+    inside = _inside(rows, columns, by)
+    keys = [*by, "_col", "_cell"]
+    counted = (
+        inside.withColumn("_bin", _bin_of(F.col("_v"), F.col("_cell.low"), F.col("_cell.high"), bins))
+        .groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_cell.before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    placed = counted.withColumn("_before", before)
+    wanted = F.lit(False)
+    for k in _ranks(F.col("_cell.total"), probs):
+        wanted = wanted | ((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")))
+    cell = F.struct(F.col("_col").alias("col"), F.col("_low").alias("low"), F.col("_high").alias("high"),
+                    F.col("_before").alias("before"), F.col("_cell.total").alias("total"))
+    return placed.where(wanted).groupBy(*by).agg(F.collect_list(cell).alias("_cells"))
+
+
+def quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), *, few_groups: bool = False
+) -> DataFrame:
     """Linear-interpolation quantiles of each column, per group of ``by``.
 
-    One row per group with an array column per input column, aligned with ``probs``. Missing
-    values are skipped; rows with a missing group key are dropped.
+    One row per group with an array column per input column, aligned with ``probs``. Missing values (NaN too) are
+    skipped; rows with a missing group key are dropped. ``few_groups`` promises that the number of groups is bounded
+    (calendar buckets, say), so that the cells of all groups can be sent to every task; without it they are joined.
     """
     by, columns = list(by), list(columns)
-    keys = [*by, "_col"]
-    counts = _count_values(df, columns, by)
-    if by:
-        sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct")).where(F.col("_distinct") > SMALL_GROUP)
-        large = F.broadcast(sizes.orderBy(F.desc("_distinct")).limit(LARGE_GROUPS).select(*keys))
-        found = _of_small_groups(counts.join(large, keys, "left_anti"), keys, probs).unionByName(
-            _by_ranges(counts.join(large, keys, "left_semi"), keys, probs)
-        )
-    else:
-        found = _by_ranges(counts, keys, probs)
-    wide = [F.max(F.when(F.col("_col") == i, F.col("_q"))).alias(c) for i, c in enumerate(columns)]
-    return found.groupBy(*by).agg(*wide)
-
-
-def _of_small_groups(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return counts.groupBy(*keys).agg(F.percentile("_v", wanted, F.col("_n")).alias("_q"))
-
-
-def _by_ranges(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    # Ranges are described by their own smallest and largest value, never by a partition
-    # number, so they stay valid whichever way the runtime coalesces or re-runs partitions.
-    ranges = (
-        counts.repartitionByRange(*keys, "_v")
-        .withColumn("_part", F.spark_partition_id())
-        .groupBy(*keys, "_part")
-        .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_size"))
-    )
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(
-        *keys, "_lo", "_hi", "_size",
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_size").over(group).alias("_total"),
-    )
-
-    position = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
-    ranks = [r(h) for h in position for r in (F.floor, F.ceil)]
-    inside = [(F.col("_before") <= k) & (k < F.col("_before") + F.col("_size")) for k in ranks]
-    holds_rank = inside[0]
-    for cond in inside[1:]:
-        holds_rank = holds_rank | cond
-    # at most two ranges per probability, for the whole column or each of the large groups
-    wanted = F.broadcast(ranges.where(holds_rank).select(*keys, "_lo", "_hi", "_before", "_total"))
-    ranked = (
-        counts.join(wanted, keys)
-        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_lo").orderBy("_v")))
-    )
+    names = [f"_c{i}" for i in range(len(columns))]
+    rows = df.dropna(subset=by) if by else df
+    numbers = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(n) for c, n in zip(columns, names)]
+    rows = rows.select(*by, *numbers)
+    whole = [
+        F.struct(F.lit(i).alias("col"), F.min(n).alias("low"), F.max(n).alias("high"), F.lit(0).cast("long").alias("before"),
+                 F.count(n).alias("total")) for i, n in enumerate(names)
+    ]
+    cells = rows.groupBy(*by).agg(F.array(*whole).alias("_cells"))
+    bins = GROUP_BINS if by else BINS
+    for _ in range(2):
+        cells = _refine(_attach(rows, cells, by, few_groups), names, probs, by, bins)
+    counts = _inside(_attach(rows, cells, by, few_groups), names, by).groupBy(*by, "_col", "_cell", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.col("_cell.before") + F.sum("_n").over(Window.partitionBy(*by, "_col", "_cell").orderBy("_v"))
+    ranked = counts.withColumn("_upto", upto)
+    ranks = _ranks(F.col("_cell.total"), probs)
     picks = [F.min(F.when(F.col("_upto") > k, F.col("_v"))).alias(f"_r{i}") for i, k in enumerate(ranks)]
-    found = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+    found = ranked.groupBy(*by, "_col").agg(F.max("_cell.total").alias("_total"), *picks)
+
+    def value(i: int, p: float) -> Column:
+        low, high, h = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}"), (F.col("_total") - 1) * F.lit(float(p))
+        # equal neighbours may both be infinite
+        return F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h)))
+
+    found = found.select(*by, "_col", *[value(i, p).alias(f"_q{i}") for i, p in enumerate(probs)])
 
-    def value(i: int, h: Column) -> Column:
-        low, high = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
-        return low + (high - low) * (h - F.floor(h))
+    def of(j: int) -> Column:
+        here = F.col("_col") == j
+        cuts = F.array(*[F.max(F.when(here, F.col(f"_q{i}"))) for i in range(len(probs))])
+        return F.when(F.count_if(here) > 0, cuts).alias(columns[j])
 
-    return found.select(*keys, F.array(*[value(i, h) for i, h in enumerate(position)]).alias("_q"))
+    return found.groupBy(*by).agg(*[of(j) for j in range(len(columns))])
 
 
 def approximate_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:

@@ -22,21 +22,53 @@ def strip_text(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
+# English month names by their first three letters, four characters apart.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
+
+
+def _iso_date(text: Column) -> Column:
+    """The date in front of a text rearranged to year-month-day; other texts stay as they are."""
+    slashed = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})(?=\D|$)", "$1-$2-$3")
+    slashed = F.regexp_replace(slashed, r"^(\d{1,2})/(\d{1,2})/(\d{4})(?=\D|$)", "$3-$1-$2")
+    # two digits: 69 and later are of the last century
+    slashed = F.regexp_replace(slashed, r"^(\d{1,2})/(\d{1,2})/([0-5]\d|6[0-8])(?=\D|$)", "20$3-$1-$2")
+    slashed = F.regexp_replace(slashed, r"^(\d{1,2})/(\d{1,2})/(69|[7-9]\d)(?=\D|$)", "19$3-$1-$2")
+    pattern = r"^(?:(\d{1,2})[ -]([A-Za-z]{3})[A-Za-z]*\.?[ ,-]+|([A-Za-z]{3})[A-Za-z]*\.? +(\d{1,2}),? +)(\d{4})(?=\D|$)"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    place = F.instr(F.lit(MONTHS), F.lower(F.concat(part(2), part(3))))
+    month = ((place + 3) / 4).cast("int").cast("string")
+    rest = F.regexp_replace(text, pattern, "")
+    named = F.when((place > 0) & (place % 4 == 1), F.concat(part(5), F.lit("-"), month, F.lit("-"), part(1), part(4), rest))
+    return F.when(F.contains(text, F.lit("/")), slashed).when(text.rlike("[A-Za-z]{3}"), named).otherwise(text)
+
+
+def _whole_day_clock(text: Column) -> Column:
+    """A clock with AM or PM at the end turned into 24 hours."""
+    pattern = r"(?i)(\d{1,2})(:\d{2}(?::\d{2}(?:\.\d+)?)?) ?([ap])\.?m\.?$"
+    hour = F.regexp_extract(text, pattern, 1).try_cast("int")
+    late = F.lower(F.regexp_extract(text, pattern, 3)) == "p"
+    moved = F.when(hour.between(1, 12), hour % 12 + F.when(late, 12).otherwise(0))
+    clock = F.concat(F.lpad(moved.cast("string"), 2, "0"), F.regexp_extract(text, pattern, 2))
+    return F.when(text.rlike(pattern), F.concat(F.regexp_replace(text, pattern, ""), clock)).otherwise(text)
+
+
 def parse_timestamp(c: Column, data_type: T.DataType, formats: Sequence[str] = ()) -> Column:
     """Timestamp without zone; text that is no date becomes null instead of an error.
 
-    Text may be ISO (``2010-12-01[ T]08:26[:00[.000]]``, date alone included) or month first
-    (``12/1/2010 8:26``). Month-first text is rearranged and one cast reads both: a failed cast
-    costs nothing, whereas a failed pattern raises and catches an exception for every row.
-    ``formats`` replaces this by explicit patterns, tried in order.
+    Text may be ISO (``2010-12-01[ T]08:26[:00[.000]]``, date alone included), year first or month first with slashes
+    (``2010/12/01``, ``12/1/2010 8:26``, ``12/1/10 8:26``), or have an English month name (``1 Dec 2010``,
+    ``December 1, 2010``); a clock may end in AM or PM. Such text is rearranged and one cast reads all: a failed cast
+    costs nothing, whereas a failed pattern raises and catches an exception for every row. ``formats`` replaces
+    this by explicit patterns, tried in order.
     """
     if isinstance(data_type, T.StringType):
         text = strip_text(c)
         if formats:
             c = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
         else:
-            iso = F.regexp_replace(text, r"^(\d{1,2})/(\d{1,2})/(\d{4})(?=\D|$)", "$3-$1-$2")
-            c = F.when(F.contains(text, F.lit("/")), iso).otherwise(text).try_cast("timestamp_ntz")
+            plain = text.try_cast("timestamp_ntz")
+            unusual = text.rlike("[/A-Za-z]")
+            c = F.when(unusual, F.coalesce(plain, _iso_date(_whole_day_clock(text)).try_cast("timestamp_ntz"))).otherwise(plain)
     return c.cast("timestamp_ntz")
 
 

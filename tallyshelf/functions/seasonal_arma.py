@@ -100,7 +100,18 @@ def _start(z: np.ndarray, orders: Orders) -> list[np.ndarray]:
 
 
 def estimate(w: np.ndarray, x: np.ndarray, orders: Orders, steps: int = 25):
-    """(beta, [phi, Phi, theta, Theta], status) for one differenced series and its regressors."""
+    """(beta, [phi, Phi, theta, Theta], status) for one differenced series and its regressors.
+
+    Status is ok, short (too few values for the lags), ridge (singular steps were damped), not_converged (the steps
+    ran out) or failed (the algebra broke down); short and failed leave plain differencing.
+    """
+    try:
+        return _estimate(w, x, orders, steps)
+    except np.linalg.LinAlgError:
+        return np.zeros(x.shape[1]), [np.zeros(n) for n in orders.sizes], "failed"
+
+
+def _estimate(w: np.ndarray, x: np.ndarray, orders: Orders, steps: int):
     k = x.shape[1]
     skip = orders.p + orders.P * orders.s
     size = k + sum(orders.sizes)
@@ -120,8 +131,12 @@ def estimate(w: np.ndarray, x: np.ndarray, orders: Orders, steps: int = 25):
     theta = min((theta, plain), key=lambda t: float(loss(t) @ loss(t)))
     e = loss(theta)
     best, damping, status = float(e @ e), 1e-2, "ok"
+    if not np.isfinite(best):
+        raise np.linalg.LinAlgError("no finite start")
+    improved = False
     for _ in range(steps):
         if not size or best == 0.0:
+            improved = False
             break
         delta = 1e-5 * np.maximum(1.0, np.abs(theta))
         slope = np.column_stack([(loss(theta + np.eye(size)[i] * delta[i]) - e) / delta[i] for i in range(size)])
@@ -143,7 +158,7 @@ def estimate(w: np.ndarray, x: np.ndarray, orders: Orders, steps: int = 25):
         if not improved:
             break
     beta, parts = _split(theta, orders, k)
-    return beta, parts, status
+    return beta, parts, "not_converged" if improved else status
 
 
 def extend(

@@ -51,35 +51,47 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return edges.join(counts, "bin", "left").select("bin", "lower", "upper", F.coalesce("_n", F.lit(0)).alias("n"))
 
 
-def density_curve(df: DataFrame, column: str, bins: int = 30, points: int = 200, fine_bins: int = 2000) -> DataFrame:
+CELLS_PER_BANDWIDTH = 16
+REACH = 9  # bandwidths; what lies further off adds less than 1e-17 of a row
+
+
+def density_curve(df: DataFrame, column: str, bins: int = 30, points: int = 200) -> DataFrame:
     """Gaussian density estimate over the value range, scaled to the counts of a ``bins``-bin histogram.
 
-    The rows are first reduced to ``fine_bins`` cells (count and mean of each); each grid point is
-    then a sum over those cells, so the work on the curve does not grow with the data. Bandwidth
-    is Scott's rule.
+    Rows are reduced to cells of a sixteenth of the bandwidth (Scott's rule), each with its count, mean and central
+    moments up to the fourth; only cells that hold rows exist, however wide the range. A grid point adds up the
+    cells within nine bandwidths, which it meets by cell number, with the kernel expanded around each cell's mean;
+    the sum agrees with the sum over all rows to about nine digits.
     """
     values = _values(df, column)
-    facts = _facts(values)
-    cells = (
-        values.select("_v", _bin_of(F.col("_v"), facts, fine_bins).alias("_cell"))
-        .groupBy("_cell")
-        .agg(F.count("*").cast("double").alias("n"), F.avg("_v").alias("m"))
-        .agg(F.collect_list(F.struct("n", "m")).alias("cells"))
-    )
-    curve = df.sparkSession.range(points).select(
-        F.col("id").cast("int").alias("point"), facts.alias("_f"), cells.scalar().alias("_cells")
-    ).where("_f.varies")
-    # grid points are independent: each task sums the cells for some of them
-    curve = curve.select(
-        "point", "_cells",
-        (F.col("_f.lo") + F.col("point") * ((F.col("_f.hi") - F.col("_f.lo")) / (points - 1))).alias("x"),
-        (F.col("_f.sd") * F.pow(F.col("_f.rows").cast("double"), F.lit(-0.2))).alias("_h"),
-        ((F.col("_f.hi") - F.col("_f.lo")) / bins).alias("_width"),
-    )
-    summed = F.aggregate(
-        "_cells", F.lit(0.0), lambda acc, c: acc + c["n"] * F.exp(-0.5 * F.pow((F.col("x") - c["m"]) / F.col("_h"), 2))
+    facts = values.select("_v").agg(
+        F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.stddev_samp("_v").alias("sd"), F.count("_v").alias("rows")).alias("_f"))
+    low, width = F.col("_f.lo"), F.col("_f.hi") - F.col("_f.lo")
+    bandwidth = F.col("_f.sd") * F.pow(F.col("_f.rows").cast("double"), F.lit(-0.2))
+    step = F.col("_h") / CELLS_PER_BANDWIDTH
+    cell_of = lambda x: F.floor((x - F.col("_lo")) / step)
+    facts = facts.where(width > 0).select(low.alias("_lo"), width.alias("_w"), bandwidth.alias("_h"))
+    one = facts.select(F.struct("*"))
+    rows = values.withColumn("_f", one.scalar()).select("_v", "_f.*").where("_h IS NOT NULL")
+    # values are taken relative to the middle of their cell, which keeps the moments accurate
+    rows = rows.withColumn("_cell", cell_of(F.col("_v")))
+    rows = rows.withColumn("_d", (F.col("_v") - F.col("_lo") - (F.col("_cell") + 0.5) * step) / F.col("_h"))
+    powers = [F.sum(F.pow("_d", F.lit(float(k)))).alias(f"_s{k}") for k in range(1, 5)]
+    cells = rows.groupBy("_cell").agg(F.count("*").cast("double").alias("_n"), *powers)
+    grid = df.sparkSession.range(points).crossJoin(F.broadcast(facts)).select(
+        F.col("id").cast("int").alias("point"), (F.col("_lo") + F.col("id") * (F.col("_w") / (points - 1))).alias("x"), "_lo", "_w", "_h")
+    near = F.sequence(cell_of(F.col("x")) - REACH * CELLS_PER_BANDWIDTH, cell_of(F.col("x")) + REACH * CELLS_PER_BANDWIDTH)
+    met = grid.withColumn("_cell", F.explode(near)).join(cells, "_cell")
+    u = (F.col("x") - F.col("_lo") - (F.col("_cell") + 0.5) * step) / F.col("_h")
+    # the kernel at u - d in powers of d: Hermite polynomials of u
+    series = (
+        F.col("_n") + u * F.col("_s1") + (u * u - 1) / 2 * F.col("_s2") + (u * u * u - 3 * u) / 6 * F.col("_s3")
+        + (F.pow(u, F.lit(4.0)) - 6 * u * u + 3) / 24 * F.col("_s4")
     )
-    return curve.select("point", "x", (F.col("_width") / (F.col("_h") * F.sqrt(2 * F.pi())) * summed).alias("density"))
+    summed = met.groupBy("point").agg(F.sum(F.exp(-0.5 * u * u) * series).alias("_sum"))
+    scale = F.col("_w") / bins / (F.col("_h") * F.sqrt(2 * F.pi()))
+    return grid.join(F.broadcast(summed), "point", "left").select(
+        "point", "x", (scale * F.coalesce("_sum", F.lit(0.0))).alias("density"))
 
 
 def bar_table(df: DataFrame, x: str, y: str, *, order: str = "desc", top_n: int | None = None) -> DataFrame:

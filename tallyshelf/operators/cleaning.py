@@ -27,16 +27,20 @@ class CleaningRules:
     remove_zero_unit_price: bool = True
     cap_quantity: bool = False
     cap_unit_price: bool = False
+    # fences from exact quartiles, or from one mergeable sketch
+    exact_caps: bool = True
     # "drop" removes lines without description or stock code; "nan" keeps them under that text
     missing_text: str = "drop"
+    # patterns for dates held as text, tried in order; none: the layouts of parse_timestamp
+    date_formats: tuple[str, ...] = ()
 
 
-def _typed(df: DataFrame) -> DataFrame:
+def _typed(df: DataFrame, rules: CleaningRules) -> DataFrame:
     """Parsed dates, numbers as numbers, one missing marker."""
     types = {f.name: f.dataType for f in df.schema.fields}
     steps: dict[str, Column] = {}
     if "InvoiceDate" in types:
-        steps["InvoiceDate"] = parse_timestamp(F.col("InvoiceDate"), types["InvoiceDate"])
+        steps["InvoiceDate"] = parse_timestamp(F.col("InvoiceDate"), types["InvoiceDate"], rules.date_formats)
     steps |= {c: _number(c, types) for c in ("Quantity", "UnitPrice") if c in types and kind_of(types[c]) == "string"}
     return nan_to_null(df.withColumns(steps) if steps else df)
 
@@ -55,7 +59,7 @@ def _keep_rules(df: DataFrame, rules: CleaningRules) -> list[tuple[str, Column]]
     types = {f.name: f.dataType for f in df.schema.fields}
     keep: list[tuple[str, Column]] = []
     if "InvoiceDate" in types:
-        keep.append(("bad_date", parse_timestamp(F.col("InvoiceDate"), types["InvoiceDate"]).isNotNull()))
+        keep.append(("bad_date", parse_timestamp(F.col("InvoiceDate"), types["InvoiceDate"], rules.date_formats).isNotNull()))
     if rules.missing_text == "drop":
         for reason, name in (("no_description", "Description"), ("no_stock_code", "StockCode")):
             if name in types:
@@ -92,7 +96,7 @@ def mark_drops(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFra
     reason = F.lit(None).cast("string")
     for name, keep in reversed(_keep_rules(df, rules)):
         reason = F.when(F.coalesce(keep, F.lit(False)), reason).otherwise(name)
-    return _typed(df.withColumn(REASON, reason))
+    return _typed(df.withColumn(REASON, reason), rules)
 
 
 def apply_row_rules(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
@@ -100,7 +104,7 @@ def apply_row_rules(df: DataFrame, rules: CleaningRules = CleaningRules()) -> Da
     df = trim_headers(df)
     for _, keep in _keep_rules(df, rules):
         df = df.where(keep)
-    return _tidy_texts(_typed(df), rules)
+    return _tidy_texts(_typed(df, rules), rules)
 
 
 def rejected_rows(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
@@ -141,9 +145,9 @@ def winsorize(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, *,
     return df.withColumns({c: capped(c) for c in columns})
 
 
-def outlier_counts(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
+def outlier_counts(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, *, exact: bool = True) -> DataFrame:
     """Per column: the fences and how many values lie below and above them."""
-    fence = iqr_bounds(df, columns, multiplier).select(F.struct(*columns)).scalar()
+    fence = iqr_bounds(df, columns, multiplier, exact=exact).select(F.struct(*columns)).scalar()
     beyond = df.select(
         *[(F.col(c) < fence[c]["lo"]).alias(f"{c}_below") for c in columns],
         *[(F.col(c) > fence[c]["hi"]).alias(f"{c}_above") for c in columns],
@@ -159,10 +163,10 @@ def outlier_counts(df: DataFrame, columns: Sequence[str], multiplier: float = 1.
     return counted.select(F.inline(F.array(*rows)))
 
 
-def at_most_quantile(df: DataFrame, column: str, prob: float = 0.99) -> DataFrame:
+def at_most_quantile(df: DataFrame, column: str, prob: float = 0.99, *, exact: bool = True) -> DataFrame:
     """Rows whose value does not exceed the given quantile of the column."""
     require_columns(df, column)
-    limit = quantiles(df, [column], [prob]).select(F.col(column)[0])
+    limit = (quantiles if exact else approximate_quantiles)(df, [column], [prob]).select(F.col(column)[0])
     return df.where(F.col(column) <= limit.scalar())
 
 
@@ -203,7 +207,7 @@ def clean(df: DataFrame, rules: CleaningRules = CleaningRules(), audit: Cleaning
         c for c, on in (("Quantity", rules.cap_quantity), ("UnitPrice", rules.cap_unit_price)) if on
     ]
     if capped and {"Quantity", "UnitPrice"} <= set(kept.columns):
-        kept = winsorize(kept, capped)
+        kept = winsorize(kept, capped, exact=rules.exact_caps)
     cleaned = drop_copies(kept)
     return cleaned.observe(audit.final, F.count(F.lit(1)).alias("rows_out")) if audit else cleaned
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -74,8 +73,7 @@ def fit_forest(
     features = feature_columns(train, target, features)
     require_kind(train, target, "numeric")
     if max_depth > MAX_DEPTH:
-        warnings.warn(f"max_depth {max_depth} exceeds the limit of {MAX_DEPTH}; using {MAX_DEPTH}", stacklevel=2)
-        max_depth = MAX_DEPTH
+        raise ValueError(f"max_depth {max_depth} exceeds {MAX_DEPTH}, the deepest tree that Spark ML grows")
     forest = RandomForestRegressor(
         featuresCol="__features", labelCol="__label", predictionCol="prediction", numTrees=trees,
         maxDepth=max_depth, seed=seed, maxBins=max_bins, featureSubsetStrategy="all",
@@ -106,7 +104,10 @@ def _text_features(model: PipelineModel) -> set[str]:
 
 
 def predict_forest(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """The rows with a prediction; absent features count as 0, columns the model does not know pass through."""
+    """The rows with a prediction; columns the model does not know pass through.
+
+    An absent number counts as 0; an absent text gets the label "0", which is unseen unless the training rows had it.
+    """
     features, texts = trained_features(model), _text_features(model)
     absent = {c: F.lit("0") if c in texts else F.lit(0.0) for c in features if c not in df.columns}
     scored = model.transform(df.withColumns(absent) if absent else df)

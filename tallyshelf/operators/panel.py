@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +38,8 @@ def fit_panel(
 ) -> DataFrame:
     """Fit every series; one row each with coefficients, fitted values, errors and the state to forecast from.
 
-    ``status``: ok, ridge (singular step, damped), short (no lags could be estimated: plain
-    differencing is used) or has_nulls (not fitted). Series must have no gaps (see ``resample``).
+    ``status`` is that of ``estimate``, or has_nulls for a series with missing or infinite values, which is not
+    fitted. Series must have no gaps (see ``resample``).
     """
     require_columns(series, value, BUCKET, *exog, *by)
     df, keys = _keyed(series, by)
@@ -75,7 +75,7 @@ def fit_panel(
         row = {k: pdf[k].iloc[0] for k in keys}
         row |= {"n": len(y), "first_bucket": pdf[BUCKET].iloc[0], "last_bucket": pdf[BUCKET].iloc[-1], "actual": y}
         nothing = {c: [] for c in ("beta", *_PARTS, "fitted", "resid", "z_tail", "e_tail", "level_tail")}
-        if pdf[levels].isna().to_numpy().any():
+        if not np.isfinite(pdf[levels].to_numpy(float)).all():
             return pd.DataFrame([row | nothing | {"status": "has_nulls", "sigma2": None}])
         w = pdf["_d_y"].to_numpy(float)[lost:]
         x = pdf[[f"_d_x{i}" for i in range(len(exog))]].to_numpy(float)[lost:]
@@ -111,49 +111,60 @@ def forecast_panel(
     future: DataFrame | None = None,
     exog: Sequence[str] = (),
 ) -> DataFrame:
-    """The next ``steps`` buckets of every fitted series: (keys, step, bucket, forecast).
+    """The next ``steps`` buckets of every series: (keys, step, bucket, forecast, status).
 
-    A model trained with exogenous columns needs their future values: ``future`` holds the
-    series keys, the bucket and the columns, at least ``steps`` buckets after the last one.
+    A model trained with exogenous columns needs their future values: ``future`` holds the series keys, the bucket
+    and the columns, and is matched by bucket. A series that was not fitted, or lacks a future value (status
+    no_future), keeps its rows with missing forecasts.
     """
     keys, rule = _model_keys(model), bucket_for(freq)
     weights = difference_weights(orders.d, orders.D, orders.s)
     if exog and future is None:
         raise ValueError("the model uses exogenous columns: pass their future values")
-    rows = model.where(F.col("status") != "has_nulls")
+
+    def bucket_at(step: Column) -> Column:
+        return rule.label(rule.advance(rule.start(F.col("last_bucket")), step * rule.every))
+
+    rows = model
     if exog:
         future, _ = _keyed(future, [] if keys == [SERIES] and SERIES not in future.columns else keys)
-        point = F.struct(BUCKET, F.array(*[F.col(c).cast("double") for c in exog]).alias("x"))
-        after = future.join(rows.select(*keys, "last_bucket"), keys).where(F.col(BUCKET) > F.col("last_bucket"))
-        paths = after.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_path"))
-        flat = F.flatten(F.transform(F.slice("_path", 1, steps), lambda s: s["x"]))
+        grid = model.select(*keys, "last_bucket", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+        known = future.select(*keys, BUCKET, F.array(*[F.col(c).cast("double") for c in exog]).alias("_known"))
+        met = grid.withColumn(BUCKET, bucket_at(F.col("step"))).join(known, [*keys, BUCKET], "left")
+        # one entry per step and series
+        paths = met.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "_known"))).alias("_path"))
+        flat = F.flatten(F.transform("_path", lambda s: F.coalesce(s["_known"], F.array_repeat(F.lit(None).cast("double"), len(exog)))))
         rows = rows.join(paths.select(*keys, flat.alias("_x")), keys, "left")
     else:
         rows = rows.withColumn("_x", F.array().cast(_NUMBERS))
 
-    schema = T.StructType([*[model.schema[k] for k in keys], model.schema["last_bucket"], T.StructField("_path", _NUMBERS)])
+    schema = T.StructType([
+        *[model.schema[k] for k in keys], model.schema["last_bucket"], model.schema["status"], T.StructField("_path", _NUMBERS)])
+
+    def path_of(row: dict) -> tuple[str, np.ndarray]:
+        if row["status"] == "has_nulls":
+            return "has_nulls", np.full(steps, np.nan)
+        parts = [np.asarray(row[c], dtype=float) for c in _PARTS]
+        path = extend(steps, row["z_tail"], row["e_tail"], row["level_tail"], weights, parts, orders)
+        if not exog:
+            return row["status"], path
+        x = np.asarray([np.nan if v is None else v for v in row["_x"]], dtype=float)
+        if len(x) != steps * len(exog) or not np.isfinite(x).all():
+            return "no_future", np.full(steps, np.nan)
+        return row["status"], path + x.reshape(steps, len(exog)) @ np.asarray(row["beta"], dtype=float)
 
     def extend_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            paths = []
-            for row in batch.to_dict("records"):
-                parts = [np.asarray(row[c], dtype=float) for c in _PARTS]
-                path = extend(steps, row["z_tail"], row["e_tail"], row["level_tail"], weights, parts, orders)
-                if exog:
-                    x = np.asarray(row["_x"] if row["_x"] is not None else [], dtype=float)
-                    if len(x) < steps * len(exog) or np.isnan(x).any():
-                        raise ValueError(f"future exogenous values are missing for series {[row[k] for k in keys]}")
-                    path = path + x.reshape(steps, len(exog)) @ np.asarray(row["beta"], dtype=float)
-                paths.append(path)
+            found = [path_of(row) for row in batch.to_dict("records")]
             out = batch[[*keys, "last_bucket"]].copy()
-            out["_path"] = paths
+            out["status"], out["_path"] = [f[0] for f in found], [f[1] for f in found]
             yield out
 
-    needed = [*keys, "last_bucket", "beta", *_PARTS, "z_tail", "e_tail", "level_tail", "_x"]
+    needed = [*keys, "last_bucket", "status", "beta", *_PARTS, "z_tail", "e_tail", "level_tail", "_x"]
     paths = rows.select(*needed).mapInPandas(extend_rows, schema)
-    long = paths.select(*keys, "last_bucket", F.posexplode("_path").alias("_i", "forecast"))
-    long = long.withColumn("_start", rule.start(F.col("last_bucket"))).withColumn("step", F.col("_i") + 1)
-    return long.select(*keys, "step", rule.label(rule.advance(F.col("_start"), F.col("step"))).alias(BUCKET), "forecast")
+    long = paths.select(*keys, "last_bucket", "status", F.posexplode("_path").alias("_i", "forecast")).withColumn("step", F.col("_i") + 1)
+    forecast = F.nanvl(F.col("forecast"), F.lit(None).cast("double"))
+    return long.select(*keys, "step", bucket_at(F.col("step")).alias(BUCKET), forecast.alias("forecast"), "status")
 
 
 def in_sample(model: DataFrame, freq: str, first=None, last=None) -> DataFrame:
@@ -168,7 +179,7 @@ def in_sample(model: DataFrame, freq: str, first=None, last=None) -> DataFrame:
         return F.nanvl(F.col(f"_p.{name}"), F.lit(None).cast("double")).alias(name)
 
     points = points.select(
-        *keys, rule.label(rule.advance(F.col("_start"), F.col("_i"))).alias(BUCKET),
+        *keys, rule.label(rule.advance(F.col("_start"), F.col("_i") * rule.every)).alias(BUCKET),
         F.col("_p.actual").alias("actual"), number("fitted"), number("resid"),
     )
     if first is not None:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyshelf.functions.quantiles import quantiles
+from tallyshelf.functions.quantiles import approximate_quantiles, quantiles
 from tallyshelf.schema import kind_of, require_kind
 
 
@@ -35,8 +35,8 @@ def total_missing(df: DataFrame) -> DataFrame:
     return column_profile(df).agg(F.sum("n_missing").alias("n_missing"))
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, exact quartiles and max of numeric columns, one row per column."""
+def describe(df: DataFrame, columns: Sequence[str], *, exact: bool = True) -> DataFrame:
+    """count, mean, std, min, quartiles (exact, or from a sketch) and max of numeric columns, one row per column."""
     for c in columns:
         require_kind(df, c, "numeric")
     moments = df.agg(
@@ -51,7 +51,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for c in columns
         ]
     )
-    cuts = quantiles(df, columns, (0.25, 0.5, 0.75)).select(F.struct(*columns)).scalar()
+    cuts = (quantiles if exact else approximate_quantiles)(df, columns, (0.25, 0.5, 0.75)).select(F.struct(*columns)).scalar()
     rows = [
         F.struct(
             F.lit(c).alias("column"),

@@ -11,8 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyshelf.functions.aggregates import AGGREGATORS, ZERO_WHEN_EMPTY, named_aggregate
-from tallyshelf.functions.buckets import bucket_for
+from tallyshelf.functions.aggregates import AGGREGATORS, ZERO_WHEN_EMPTY, named_aggregate, order_of
+from tallyshelf.functions.buckets import CHUNK, Bucket, bucket_for
 from tallyshelf.functions.quantiles import quantiles
 from tallyshelf.functions.scalar import parse_timestamp
 from tallyshelf.schema import kind_of, require_columns, require_kind
@@ -26,12 +26,13 @@ def series_window(by: Sequence[str], *order) -> Window:
 
 
 def aggregate_by_key(
-    df: DataFrame, keys: Sequence[str], outputs: Mapping[str, tuple[str, str]], order: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], outputs: Mapping[str, tuple[str, str]], order: Sequence[str] = (), *,
+    few_groups: bool = False,
 ) -> DataFrame:
     """``outputs`` maps a result name to (column, aggregator name); all in one aggregation.
 
-    ``order`` decides first and last; ties are broken by the value. Medians come from the
-    distributed quantile plan, because a hot group must not fit into one buffer.
+    ``order`` decides first and last (see ``order_of``). Medians come from the distributed quantile plan, because a
+    hot group must not fit into one buffer; ``few_groups`` is passed on to it.
     """
     unknown = [how for _, how in outputs.values() if how not in AGGREGATORS]
     if unknown:
@@ -39,14 +40,14 @@ def aggregate_by_key(
     plain = {o: (c, how) for o, (c, how) in outputs.items() if how != "median"}
     medians = {o: c for o, (c, how) in outputs.items() if how == "median"}
     expressions = [
-        named_aggregate(how, F.col(c), F.struct(*order, c)).alias(o) for o, (c, how) in plain.items()
+        named_aggregate(how, F.col(c), order_of(df, order, c)).alias(o) for o, (c, how) in plain.items()
     ]
     rows = df.dropna(subset=list(keys))
     # the row count also keeps groups alive whose values are all missing
     result = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *expressions)
     if medians:
         columns = list(dict.fromkeys(medians.values()))
-        middle = quantiles(rows, columns, [0.5], by=keys)
+        middle = quantiles(rows, columns, [0.5], by=keys, few_groups=few_groups)
         middle = middle.select(*keys, *[F.col(c)[0].alias(o) for o, c in medians.items()])
         result = result.join(middle, list(keys), "left")
     return result.select(*keys, *outputs)
@@ -71,13 +72,21 @@ def resample(
     rows = df.where(F.col(ts).isNotNull()).select(
         rule.start(F.col(ts)).alias("_start"), F.col(ts).alias("_ts"), *[F.col(c) for c in columns]
     )
-    sums = aggregate_by_key(rows, [*by, "_start"], outputs, order=("_ts", *tie_break))
-
-    # each bucket brings the empty ones that follow it: one window, no calendar join
+    if rule.every > 1:
+        rows = rows.withColumn("_start", rule.anchored(F.col("_start"), _first_start(rows, rule, by)))
+    # days and longer buckets of a single series are bounded by the calendar
+    few = not by and not rule.intraday
+    sums = aggregate_by_key(rows, [*by, "_start"], outputs, order=("_ts", *tie_break), few_groups=few)
+
+    # each bucket brings the empty ones that follow it: one window, no calendar join; the steps are laid out in
+    # chunks, so that no array grows with a gap
     following = F.lead("_start").over(series_window(by, "_start"))
-    spans = sums.withColumn("_starts", rule.starts_until(F.col("_start"), following))
-    spread = spans.withColumn("_at", F.explode("_starts"))
-    empty = F.col("_at") != F.col("_start")
+    spans = sums.withColumn("_steps", rule.following(F.col("_start"), following))
+    chunks = spans.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_steps") - 1) / CHUNK).cast("int"))))
+    base = F.col("_chunk").cast("long") * CHUNK
+    spread = chunks.withColumn("_step", F.explode(F.sequence(base, F.least(F.col("_steps") - 1, base + CHUNK - 1))))
+    spread = spread.withColumn("_at", rule.advance(F.col("_start"), F.col("_step") * rule.every))
+    empty = F.col("_step") != 0
 
     def value(out: str, how: str) -> Column:
         nothing = F.lit(0).cast(sums.schema[out].dataType) if how in ZERO_WHEN_EMPTY else F.lit(None)
@@ -88,6 +97,14 @@ def resample(
     )
 
 
+def _first_start(rows: DataFrame, rule: Bucket, by: Sequence[str]) -> Column:
+    """The first unit bucket of a row's series, for buckets that are counted from there."""
+    first = F.min("_start") if not rule.intraday else F.min(F.date_trunc("day", F.col("_start")).cast("timestamp_ntz"))
+    if not by:
+        return rows.agg(first.alias("_first")).scalar()
+    return first.over(Window.partitionBy(*by))
+
+
 def forward_fill(series: DataFrame, columns: Sequence[str], by: Sequence[str] = (), order: str = BUCKET) -> DataFrame:
     """Missing values take the last present one before them."""
     past = series_window(by, order).rowsBetween(Window.unboundedPreceding, 0)
@@ -101,11 +118,12 @@ def daily_trend(df: DataFrame, ts: str, value: str, how: str = "sum", by: Sequen
     return days.where(F.col(value) != 0) if how in ZERO_WHEN_EMPTY else days.where(F.col(value).isNotNull())
 
 
-def trend(df: DataFrame, ts: str, value: str, how: str = "sum", freq: str = "", by: Sequence[str] = ()) -> DataFrame:
+def trend(df: DataFrame, ts: str, value: str, how: str = "sum", freq: str = "", by: Sequence[str] = (),
+          date_formats: Sequence[str] = ()) -> DataFrame:
     """Trend by frequency, or by day that occurs when none is given; dates held as text are parsed first."""
     require_columns(df, ts, value)
     if kind_of(df.schema[ts].dataType) == "string":
-        df = df.withColumn(ts, parse_timestamp(F.col(ts), df.schema[ts].dataType)).dropna(subset=[ts])
+        df = df.withColumn(ts, parse_timestamp(F.col(ts), df.schema[ts].dataType, date_formats)).dropna(subset=[ts])
     if not freq.strip():
         return daily_trend(df, ts, value, how, by)
     return resample(df, ts, {value: (value, how)}, freq, by)

@@ -74,7 +74,17 @@ def ordered_split(df: DataFrame, order: Sequence[str], test_size: float = 0.2) -
     return train, test
 
 
-def random_split(df: DataFrame, test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Seeded random split by share."""
-    train, test = df.randomSplit([1 - test_size, test_size], seed=seed)
-    return train, test
+def random_split(
+    df: DataFrame, test_size: float = 0.2, seed: int = 42, key: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Seeded random split by share.
+
+    Each row's part follows from a hash of the seed and its key (all columns unless named), so it does not depend on
+    how the rows are distributed, and rows with equal keys stay together.
+    """
+    if not 0 < test_size < 1:
+        raise ValueError("test_size must lie between 0 and 1")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key or df.columns)]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"))
+    draw = F.conv(F.substr(digest, F.lit(1), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+    return df.where(draw >= test_size), df.where(draw < test_size)

@@ -58,30 +58,37 @@ def headline_figures(df: DataFrame, *, approximate: bool = False) -> DataFrame:
     which shuffle every distinct key, for mergeable sketches.
     """
     have = set(df.columns)
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+
+    def distinct(c: str) -> Column:
+        if approximate:
+            return F.approx_count_distinct(F.col(c))
+        # a subquery of its own: distinct counts side by side would copy every row once per count
+        return df.where(F.col(c).isNotNull()).select(c).distinct().agg(F.count(F.lit(1))).scalar()
+
     figures = [F.count(F.lit(1)).alias("records"), F.lit(len(df.columns)).alias("features")]
     if "TotalPrice" in have:
         figures.append(F.coalesce(F.sum("TotalPrice"), F.lit(0)).alias("revenue"))
-    if "InvoiceNo" in have:
-        figures.append(distinct(F.col("InvoiceNo")).alias("invoices"))
-    if "CustomerID" in have:
-        known = F.when(F.col("CustomerID") != UNKNOWN_CUSTOMER, F.col("CustomerID"))
-        figures.append(distinct(known).alias("known_customers"))
-    if "StockCode" in have:
-        figures.append(distinct(F.col("StockCode")).alias("products"))
+    counted = {"InvoiceNo": "invoices", "CustomerID": "known_customers", "StockCode": "products"}
+    counted = {c: name for c, name in counted.items() if c in have}
     if "InvoiceDate" in have:
         figures.append(F.min(F.col("InvoiceDate").cast("date")).alias("first_date"))
         figures.append(F.max(F.col("InvoiceDate").cast("date")).alias("last_date"))
-    return df.agg(*figures)
+    if "CustomerID" in have:
+        df = df.withColumn("CustomerID", F.when(F.col("CustomerID") != UNKNOWN_CUSTOMER, F.col("CustomerID")))
+    counts = [distinct(c).alias(name) for c, name in counted.items()]
+    order = ["records", "features", "revenue", *counted.values(), "first_date", "last_date"]
+    found = df.agg(*figures, *counts) if approximate else df.agg(*figures).select("*", *counts)
+    return found.select(*[c for c in order if c in found.columns])
+
+
+PAIR_BLOCK = 15  # pairs per aggregate, which keeps generated code small
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair over the rows where both are present, in long form.
 
-    Each row is read once and spread over the pairs, so the aggregation keeps one small set of
-    moments however many columns there are (one wide aggregate would outgrow code generation).
-    Partial moments are combined before the shuffle, which moves one row per pair and task.
-    A constant column gives null.
+    Each block of pairs is one aggregate over its own columns: partial moments are combined before the shuffle, which
+    moves one row per block and task, and no row is copied. A constant column gives null.
     """
     columns = columns or columns_of_kind(df, "numeric")
     if len(columns) < 2:
@@ -90,29 +97,30 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
         require_kind(df, c, "numeric")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
 
-    def number(c: str) -> Column:
-        return F.col(c).cast("double")
-
-    spread = F.array(
-        *[F.struct(F.lit(i).alias("pair"), number(a).alias("x"), number(b).alias("y")) for i, (a, b) in enumerate(pairs)]
-    )
-    moments = (
-        nan_to_null(df.select(*columns)).select(F.inline(spread))
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("pair")
-        .agg(
-            F.covar_pop("x", "y").alias("_xy"), F.stddev_pop("x").alias("_x"), F.stddev_pop("y").alias("_y"),
+    def moments(block: list[tuple[int, tuple[str, str]]]) -> DataFrame:
+        used = list(dict.fromkeys(c for _, pair in block for c in pair))
+        numbers = nan_to_null(df.select(*[F.col(c).cast("double").alias(c) for c in used]))
+        aggregates = []
+        for i, (a, b) in block:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
             # merged moments of a constant are not exactly zero, so constants are told by their range
-            ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("_varies"),
-        )
-    )
-    corr = F.when(F.col("_varies"), F.try_divide(F.col("_xy"), F.col("_x") * F.col("_y")))
+            varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+            spread = F.stddev_pop(x) * F.stddev_pop(y)
+            aggregates.append(F.struct(F.lit(i).alias("pair"), F.covar_pop(x, y).alias("_xy"), spread.alias("_spread"), varies.alias("_varies")))
+        return numbers.agg(F.array(*aggregates).alias("_p")).select(F.inline("_p"))
+
+    numbered = list(enumerate(pairs))
+    found = moments(numbered[:PAIR_BLOCK])
+    for at in range(PAIR_BLOCK, len(numbered), PAIR_BLOCK):
+        found = found.unionByName(moments(numbered[at:at + PAIR_BLOCK]))
+    corr = F.when(F.col("_varies"), F.try_divide(F.col("_xy"), F.col("_spread")))
     cells = F.array(
         *[
             F.struct(F.lit(i).alias("pair"), F.lit(r).alias("row"), F.lit(c).alias("col"))
             for i, pair in enumerate(pairs) for r, c in sorted({pair, pair[::-1]})
         ]
     )
-    # pairs without a common row still get their (null) cells; both sides have one row per pair
+    # both sides have one row per pair
     grid = df.sparkSession.range(1).select(F.inline(cells))
-    return grid.join(F.broadcast(moments), "pair", "left").select("row", "col", corr.alias("corr"))
+    return grid.join(F.broadcast(found), "pair", "left").select("row", "col", corr.alias("corr"))

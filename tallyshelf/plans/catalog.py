@@ -11,18 +11,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyshelf.functions.scalar import customer_text, strip_text
+from tallyshelf.functions.scalar import customer_text, parse_timestamp, strip_text
 from tallyshelf.functions.seasonal_arma import Orders
 from tallyshelf.operators import charts, cleaning, diagnostics, forest, inventory, panel, quality, series, splits, totals
 from tallyshelf.operators.decomposition import decompose
 from tallyshelf.operators.features import add_features
 from tallyshelf.operators.metrics import regression_metrics
 from tallyshelf.plans.report import headline_texts, processed_lines
-from tallyshelf.schema import ROW_ID
-from tallyshelf.session import staging_dir, stored
-from tallyshelf.sources.files import read_lines, type_columns
-from tallyshelf.sources.payload import parse_objects
+from tallyshelf.schema import CORRUPT, ROW_ID
+from tallyshelf.session import staging_dir
+from tallyshelf.sources.files import keep_raw, read_csv, read_csv_with_rejects, read_lines, type_columns
+from tallyshelf.sources.payload import parse_objects, read_payload
 from tallyshelf.sources.sinks import write_table
 from tallyshelf.sources.star import retail_lines, table
 
@@ -627,19 +628,25 @@ def _histogram(spark, folder):
     return _rounded(charts.histogram(table(spark, folder, "events"), "value"), 6, "lower", "upper")
 
 
-@register(
-    "density_curve",
-    f"""WITH f AS (SELECT MIN(value) AS lo, MAX(value) AS hi, STDDEV_SAMP(value) * pow(COUNT(value), -0.2) AS h FROM events),
-    c AS (SELECT LEAST(CAST(floor((value - lo) / (hi - lo) * 2000) AS INT) + 1, 2000) AS cell, COUNT(*) AS n, AVG(value) AS m
-      FROM events, f GROUP BY 1),
+def _density_sql(relation: str, digits: int) -> str:
+    """The kernel summed over all rows."""
+    return f"""WITH v AS ({relation}), f AS (SELECT MIN(v) AS lo, MAX(v) AS hi, STDDEV_SAMP(v) * pow(COUNT(v), -0.2) AS h FROM v),
     g AS (SELECT CAST(i AS INT) AS point, lo + i * ((hi - lo) / 199) AS x, lo, hi, h FROM f, range(0, 200) t(i))
-    SELECT point, {_r("x")} AS x, {_r("SUM(n * exp(-0.5 * pow((x - m) / h, 2))) * ((MAX(hi) - MAX(lo)) / 30 / (MAX(h) * sqrt(2 * pi())))", 4)} AS density
-    FROM g, c GROUP BY point, x""",
-)
+    SELECT point, {_r("x")} AS x, {_r("SUM(exp(-0.5 * pow((x - v) / h, 2))) * ((MAX(hi) - MAX(lo)) / 30 / (MAX(h) * sqrt(2 * pi())))", digits)} AS density
+    FROM g, v GROUP BY point, x"""
+
+
+@register("density_curve", _density_sql("SELECT value AS v FROM events", 4))
 def _density_curve(spark, folder):
     return _rounded(_rounded(charts.density_curve(table(spark, folder, "events"), "value"), 6, "x"), 4, "density")
 
 
+@register("density_heavy_tail", _density_sql("SELECT value * value * value AS v FROM events", 3))
+def _density_heavy_tail(spark, folder):
+    cubed = table(spark, folder, "events").select((F.col("value") * F.col("value") * F.col("value")).alias("v"))
+    return _rounded(_rounded(charts.density_curve(cubed, "v"), 6, "x"), 3, "density")
+
+
 @register(
     "line_mean",
     f"""WITH a AS (SELECT l_linenumber, l_returnflag, AVG(l_extendedprice) AS m, STDDEV_SAMP(l_extendedprice) AS s, COUNT(*) AS n
@@ -711,6 +718,66 @@ for _freq in SQL_BUCKETS:
     register(f"resample_{_freq.lower()}", _resample_sql(_freq))(_resample(_freq))
 
 
+# multiples count from the first unit: SQL for the unit start, its index after the first one, the way back, the step
+SQL_MULTIPLES = {
+    "2D": ("CAST(o_orderdate AS DATE)", "first + CAST(2 * floor(datediff('day', first, u) / 2.0) AS INT)", "s", "2 day"),
+    "3MS": ("CAST(date_trunc('month', o_orderdate) AS DATE)",
+            "CAST(first + to_months(CAST(3 * floor(datediff('month', first, u) / 3.0) AS INT)) AS DATE)", "s", "3 month"),
+    "2W": ("CAST(date_trunc('week', o_orderdate) AS DATE)", "first + CAST(14 * ceil(datediff('day', first, u) / 14.0) AS INT)",
+           "s + 6", "14 day"),
+    "2M": ("CAST(date_trunc('month', o_orderdate) AS DATE)",
+           "CAST(first + to_months(CAST(2 * ceil(datediff('month', first, u) / 2.0) AS INT)) AS DATE)", "last_day(s)", "2 month"),
+}
+
+
+def _multiple_sql(freq: str) -> str:
+    unit, start, label, step = SQL_MULTIPLES[freq]
+    return f"""WITH r AS (SELECT {unit} AS u, o_totalprice FROM orders), f AS (SELECT MIN(u) AS first FROM r),
+    a AS (SELECT {start} AS s, COUNT(*) AS n, quantile_cont(o_totalprice, 0.5) AS median FROM r, f GROUP BY 1),
+    g AS (SELECT CAST(unnest(generate_series(MIN(s), MAX(s), INTERVAL {step})) AS DATE) AS s FROM a)
+    SELECT CAST({label} AS DATE) AS bucket, COALESCE(n, 0) AS n, {_r("median")} AS median FROM (SELECT g.s, n, median FROM g LEFT JOIN a ON g.s = a.s)"""
+
+
+def _counted(freq: str) -> Run:
+    def run(spark, folder):
+        outputs = {"n": ("o_totalprice", "count"), "median": ("o_totalprice", "median")}
+        return _rounded(series.resample(table(spark, folder, "orders"), "o_orderdate", outputs, freq), 6, "median")
+
+    return run
+
+
+for _freq in SQL_MULTIPLES:
+    register(f"resample_{_freq.lower()}", _multiple_sql(_freq))(_counted(_freq))
+
+register(
+    "resample_b",
+    f"""WITH a AS (SELECT CAST(o_orderdate AS DATE) - greatest(isodow(o_orderdate) - 5, 0)::INT AS s, COUNT(*) AS n,
+      quantile_cont(o_totalprice, 0.5) AS median FROM orders GROUP BY 1),
+    g AS (SELECT s FROM (SELECT CAST(unnest(generate_series(MIN(s), MAX(s), INTERVAL 1 DAY)) AS DATE) AS s FROM a) WHERE isodow(s) < 6)
+    SELECT g.s AS bucket, COALESCE(n, 0) AS n, {_r("median")} AS median FROM g LEFT JOIN a ON g.s = a.s""",
+)(_counted("B"))
+
+
+def _clock_sql(seconds: int) -> str:
+    return f"""WITH f AS (SELECT date_trunc('day', MIN(ts)) AS first FROM events),
+    a AS (SELECT CAST(floor(date_diff('second', first, date_trunc('second', ts)) / {seconds}.0) AS BIGINT) AS k, COUNT(*) AS n FROM events, f GROUP BY 1),
+    g AS (SELECT unnest(range(MIN(k), MAX(k) + 1)) AS k FROM a)
+    SELECT strftime(first + to_seconds(g.k * {seconds}), '%Y-%m-%d %H:%M:%S') AS bucket, COALESCE(n, 0) AS n FROM f, g LEFT JOIN a ON g.k = a.k"""
+
+
+def _clock(freq: str) -> Run:
+    def run(spark, folder):
+        found = series.resample(table(spark, folder, "events"), "ts", {"n": ("value", "count")}, freq)
+        return found.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:mm:ss"))
+
+    return run
+
+
+register("resample_15min", _clock_sql(900))(_clock("15min"))
+register("resample_7min", _clock_sql(420))(_clock("7min"))
+register("resample_30s", _clock_sql(30))(_clock("30s"))
+
+
 # Monthly values are converted at this rate: an odd factor keeps exact halves out of the rounding.
 RATE = 0.7310585786300049
 
@@ -970,10 +1037,32 @@ def _qq_points(spark, folder):
     return _rounded(_rounded(points, 6, "sample"), 8, "share").drop("theoretical")
 
 
-@register("qq_theoretical")
+def _normal_sql(share: str) -> str:
+    """The rational approximation as SQL."""
+    def polynomial(x: str, coefficients) -> str:
+        out = f"CAST({coefficients[0]!r} AS DOUBLE)"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + CAST({c!r} AS DOUBLE))"
+        return out
+
+    near, centred = f"LEAST({share}, 1 - {share})", f"({share} - 0.5)"
+    root, squared = f"sqrt(-2 * ln({near}))", f"({centred} * {centred})"
+    tail = f"{polynomial(root, diagnostics.TAIL_TOP)} / {polynomial(root, diagnostics.TAIL_BOTTOM)}"
+    middle = f"{polynomial(squared, diagnostics.MIDDLE_TOP)} * {centred} / {polynomial(squared, diagnostics.MIDDLE_BOTTOM)}"
+    return f"CASE WHEN {near} >= {diagnostics.TAIL} THEN {middle} WHEN {share} < 0.5 THEN {tail} ELSE -({tail}) END"
+
+
+@register(
+    "qq_theoretical",
+    f"""WITH {MONTHLY}, d AS (SELECT value - LAG(value) OVER (ORDER BY bucket) AS r FROM m),
+    s AS (SELECT CAST(row_number() OVER (ORDER BY r) AS INT) AS rank, row_number() OVER (ORDER BY r) / (COUNT(*) OVER () + 1) AS share
+      FROM d WHERE r IS NOT NULL)
+    SELECT rank, {_r("share", 8)} AS share, {_r(_normal_sql("share"), 7)} AS theoretical FROM s""",
+)
 def _qq_theoretical(spark, folder):
     changes = series.difference(_monthly(spark, folder), "value", "resid")
-    return diagnostics.qq_points(diagnostics.standardized(changes)).select("rank", "share", "theoretical")
+    points = diagnostics.qq_points(diagnostics.standardized(changes)).select("rank", "share", "theoretical")
+    return _rounded(_rounded(points, 8, "share"), 7, "theoretical")
 
 
 @register(
@@ -988,7 +1077,10 @@ def _ordered_split(spark, folder):
     return marked[0].unionByName(marked[1])
 
 
-@register("random_split")
+@register(
+    "random_split",
+    "SELECT o_orderkey, CAST('0x' || md5('42|' || o_orderkey)[1:8] AS BIGINT) / 4294967296 < 0.2 AS is_test FROM orders",
+)
 def _random_split(spark, folder):
     train, test = splits.random_split(table(spark, folder, "orders").select("o_orderkey"), 0.2)
     return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
@@ -998,10 +1090,8 @@ def _forest(spark: SparkSession, folder: str):
     sales = _sales(spark, folder, "InvoiceNo", "StockCode", "Country").drop("TotalPrice")
     features = [*forest.default_features(sales, "Quantity"), "UnitPrice", "Country"]
     order = ["InvoiceDate", "InvoiceNo", "StockCode"]
-    # the split and the training pass over these rows many times
-    rows = stored(sales.select(*order, "Quantity", *features))
-    train, test = splits.ordered_split(rows, order, 0.2)
-    return forest.fit_forest(train, "Quantity", features, trees=20, max_depth=6), test
+    train, test = splits.ordered_split(sales.select(*order, "Quantity", *features), order, 0.2)
+    return forest.fit_forest(train, "Quantity", features), test
 
 
 @register("rf_forecast")
@@ -1036,6 +1126,186 @@ def _panel_forecast(spark, folder):
     return panel.forecast_panel(model, 12, "MS", SEASONAL)
 
 
+# Without lags, a forecast is last year's value plus the last yearly change, and a fitted value the same one step back.
+NAIVE = Orders(0, 1, 0, 0, 1, 0, 12)
+SERIES_OF = f"""{PANEL}, s AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY bucket) AS i,
+    COUNT(*) OVER (PARTITION BY o_orderpriority) AS n, MAX(bucket) OVER (PARTITION BY o_orderpriority) AS last FROM m)"""
+PRIORITY = "o_orderpriority"
+
+
+@register(
+    "panel_naive_forecast",
+    f"""WITH {SERIES_OF}, e AS (SELECT {PRIORITY}, MAX(value) FILTER (i = n) - MAX(value) FILTER (i = n - 12) AS change FROM s GROUP BY 1)
+    SELECT {PRIORITY}, CAST(i - n + 12 AS INT) AS step, CAST(last + to_months(CAST(i - n + 12 AS INT)) AS DATE) AS bucket,
+    {_r("value + change", 2)} AS forecast, 'ok' AS status FROM s JOIN e USING ({PRIORITY}) WHERE i > n - 12""",
+)
+def _panel_naive_forecast(spark, folder):
+    model = panel.fit_panel(_monthly(spark, folder, PRIORITY), orders=NAIVE, by=[PRIORITY])
+    return _rounded(panel.forecast_panel(model, 12, "MS", NAIVE), 2, "forecast")
+
+
+@register(
+    "panel_naive_in_sample",
+    f"""WITH {SERIES_OF}, f AS (SELECT *, CASE WHEN i > 13 THEN LAG(value) OVER w + LAG(value, 12) OVER w - LAG(value, 13) OVER w END AS fitted
+      FROM s WINDOW w AS (PARTITION BY {PRIORITY} ORDER BY bucket))
+    SELECT {PRIORITY}, bucket, {_r("value", 2)} AS actual, {_r("fitted", 2)} AS fitted, {_r("value - fitted", 2)} AS resid FROM f""",
+)
+def _panel_naive_in_sample(spark, folder):
+    model = panel.fit_panel(_monthly(spark, folder, PRIORITY), orders=NAIVE, by=[PRIORITY])
+    return _rounded(panel.in_sample(model, "MS"), 2, "actual", "fitted", "resid")
+
+
+@register(
+    "panel_naive_metrics",
+    f"""WITH {SERIES_OF}, e AS (SELECT {PRIORITY}, MAX(value) FILTER (i = n - 12) - MAX(value) FILTER (i = n - 24) AS change FROM s GROUP BY 1),
+    p AS (SELECT {PRIORITY}, value AS y, value - (LAG(value, 12) OVER (PARTITION BY {PRIORITY} ORDER BY bucket) + change) AS err, i, n
+      FROM s JOIN e USING ({PRIORITY}))
+    SELECT {PRIORITY}, COUNT(*) AS n, {_r("AVG(err * err)", 0)} AS mse, {_r("sqrt(AVG(err * err))", 4)} AS rmse,
+    {_r("AVG(abs(err))", 4)} AS mae, {_r("1 - AVG(err * err) / VAR_POP(y)")} AS r2,
+    {_r("AVG(abs(err / CASE WHEN y = 0 THEN 1e-8 ELSE y END)) * 100")} AS mape FROM p WHERE i > n - 12 GROUP BY 1""",
+)
+def _panel_naive_metrics(spark, folder):
+    train, test = series.split_tail(_monthly(spark, folder, PRIORITY), 12, [PRIORITY])
+    path = panel.forecast_panel(panel.fit_panel(train, orders=NAIVE, by=[PRIORITY]), 12, "MS", NAIVE)
+    return _metric_rounding(regression_metrics(test.join(path, [PRIORITY, "bucket"]), "value", "forecast", [PRIORITY]))
+
+
+@register(
+    "panel_status",
+    f"""WITH {SERIES_OF} SELECT DISTINCT {PRIORITY}, CASE {PRIORITY} WHEN '1-URGENT' THEN 'has_nulls' WHEN '2-HIGH' THEN 'has_nulls'
+    WHEN '3-MEDIUM' THEN 'no_future' WHEN '4-NOT SPECIFIED' THEN 'short' ELSE 'ok' END AS status,
+    CAST(CASE WHEN {PRIORITY} IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 0 ELSE 6 END AS BIGINT) AS n_forecasts FROM s""",
+)
+def _panel_status(spark, folder):
+    """A missing value, an infinite one, a missing future value, and a short series, made from the whole table."""
+    months = _monthly(spark, folder, PRIORITY)
+    last = F.max("bucket").over(series.series_window([PRIORITY]))
+    at_end = F.col("bucket") == last
+    value = F.when(at_end & (F.col(PRIORITY) == "1-URGENT"), None).when(at_end & (F.col(PRIORITY) == "2-HIGH"), float("inf"))
+    months = months.withColumn("_last", last).withColumn("value", value.otherwise(F.col("value"))).withColumn("x", F.month("bucket").cast("double"))
+    months = months.where((F.col(PRIORITY) != "4-NOT SPECIFIED") | (F.months_between("_last", "bucket") < 3))
+    orders = Orders(1, 0, 0, 0, 0, 0, 12)
+    future = months.select(PRIORITY, "_last").distinct().withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    future = future.withColumn("bucket", F.add_months("_last", F.col("_k"))).withColumn("x", F.month("bucket").cast("double"))
+    future = future.where((F.col(PRIORITY) != "3-MEDIUM") | (F.col("_k") != 3))
+    model = panel.fit_panel(months.drop("_last"), orders=orders, exog=["x"], by=[PRIORITY])
+    path = panel.forecast_panel(model, 6, "MS", orders, future, ["x"])
+    return path.groupBy(PRIORITY).agg(F.max("status").alias("status"), F.count("forecast").alias("n_forecasts"))
+
+
+@register(
+    "panel_phi",
+    f"""WITH {SERIES_OF}, z AS (SELECT {PRIORITY}, bucket, value - LAG(value) OVER (PARTITION BY {PRIORITY} ORDER BY bucket) AS z FROM s),
+    p AS (SELECT {PRIORITY}, z, LAG(z) OVER (PARTITION BY {PRIORITY} ORDER BY bucket) AS z1 FROM z)
+    SELECT {PRIORITY}, {_r("SUM(z * z1) / SUM(z1 * z1)", 3)} AS phi FROM p WHERE z1 IS NOT NULL AND z IS NOT NULL GROUP BY 1""",
+)
+def _panel_phi(spark, folder):
+    orders = Orders(1, 1, 0, 0, 0, 0, 12)
+    model = panel.fit_panel(_monthly(spark, folder, PRIORITY), orders=orders, by=[PRIORITY])
+    return _rounded(panel.coefficients(model).where("part = 'phi'").select(PRIORITY, F.col("value").alias("phi")), 3, "phi")
+
+
+def _steps(spark: SparkSession, folder: str) -> DataFrame:
+    """A target that is a step function of one feature, which any grown forest returns exactly."""
+    part = table(spark, folder, "part")
+    return part.select("p_partkey", F.when(F.col("p_size") > 25, 40.0).otherwise(10.0).alias("target"), "p_size", F.lit(1).alias("same"))
+
+
+STEP_FOREST = {"target": "target", "features": ["p_size", "same"], "trees": 10, "max_depth": 3}
+
+
+@register("rf_steps_forecast", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 40.0 ELSE 10.0 END::DOUBLE AS prediction FROM part")
+def _rf_steps_forecast(spark, folder):
+    rows = _steps(spark, folder)
+    return forest.predict_forest(forest.fit_forest(rows, **STEP_FOREST), rows).select("p_partkey", "prediction")
+
+
+@register("rf_steps_metrics", "SELECT COUNT(*) AS n, 0.0::DOUBLE AS mse, 0.0::DOUBLE AS rmse, 0.0::DOUBLE AS mae, 1.0::DOUBLE AS r2, 0.0::DOUBLE AS mape FROM part")
+def _rf_steps_metrics(spark, folder):
+    rows = _steps(spark, folder)
+    return regression_metrics(forest.predict_forest(forest.fit_forest(rows, **STEP_FOREST), rows), "target", "prediction")
+
+
+@register(
+    "rf_steps_importance",
+    """SELECT 'p_size' AS Feature, 1.0::DOUBLE AS Importance FROM part HAVING COUNT(DISTINCT p_size > 25) = 2
+    UNION ALL SELECT 'same', 0.0::DOUBLE""",
+)
+def _rf_steps_importance(spark, folder):
+    rows = _steps(spark, folder)
+    return forest.feature_importances(forest.fit_forest(rows, **STEP_FOREST), rows)
+
+
+@register(
+    "csv_mixed_headers",
+    "SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN value END AS value FROM events",
+)
+def _csv_mixed_headers(spark, folder):
+    """The events as two folders of files, one with another column order, one without a column."""
+    events, root = table(spark, folder, "events"), staging_dir(spark)
+    write_table(events.where("event_id % 2 = 0").select("event_id", "value", "event_type"), f"{root}/even.csv")
+    write_table(events.where("event_id % 2 = 1").select(F.col("event_type").alias(" event_type "), "event_id"), f"{root}/odd.csv")
+    found = read_csv(spark, [f"{root}/even.csv", f"{root}/odd.csv"], by_name=True)
+    return found.select(F.col("event_id").cast("long").alias("event_id"), "event_type", F.col("value").cast("double").alias("value"))
+
+
+@register(
+    "csv_rejects",
+    "SELECT event_id || ',' || event_type || ',extra' AS line FROM events WHERE event_type = 'error'",
+)
+def _csv_rejects(spark, folder):
+    events, path = table(spark, folder, "events"), f"{staging_dir(spark)}/lines.csv"
+    cells = F.concat_ws(",", "event_id", "event_type", F.when(F.col("event_type") == "error", "extra"))
+    events.select(F.lit("").alias("value")).limit(0).write.text(path)
+    header = spark.range(1).select(F.lit("event_id,event_type").alias("value"))
+    # every file of the folder begins with the header
+    lines = events.select(cells.alias("value"), (F.col("event_id") % 4).alias("part"))
+    for i in range(4):
+        header.union(lines.where(F.col("part") == i).select("value")).coalesce(1).write.mode("append").text(path)
+    return read_csv_with_rejects(spark, path)[1].select(F.col(CORRUPT).alias("line"))
+
+
+@register(
+    "json_payload_list",
+    "SELECT event_id, event_type FROM events",
+)
+def _json_payload_list(spark, folder):
+    path = f"{staging_dir(spark)}/list.json"
+    events = table(spark, folder, "events").select("event_id", "event_type")
+    # a file holds one list, here of a thousand events
+    lists = events.groupBy(F.floor(F.col("event_id") / 1000).alias("file")).agg(F.collect_list(F.struct("event_id", "event_type")).alias("l"))
+    lists.select("file", F.to_json("l").alias("value")).write.partitionBy("file").text(path)
+    return read_payload(spark, f"{path}/*", "json", T.StructType.fromDDL("event_id bigint, event_type string"))[0]
+
+
+@register("raw_copy", "SELECT event_id || ',' || event_type AS value FROM events")
+def _raw_copy(spark, folder):
+    root = staging_dir(spark)
+    table(spark, folder, "events").select(F.concat_ws(",", "event_id", "event_type").alias("value")).write.text(f"{root}/in")
+    keep_raw(spark, f"{root}/in", f"{root}/raw")
+    return spark.read.text(f"{root}/raw")
+
+
+DATE_LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "M/d/yyyy H:mm", "M/d/yy h:mm a", "d MMM yyyy", "MMMM d, yyyy h:mm:ss a", "dd-MMM-yyyy HH:mm")
+
+
+@register("dates_in_layouts", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
+def _dates_in_layouts(spark, folder):
+    date, place = F.col("o_orderdate"), F.col("o_orderkey") % len(DATE_LAYOUTS)
+    text = F.coalesce(*[F.when(place == i, F.date_format(date, f)) for i, f in enumerate(DATE_LAYOUTS)])
+    rows = table(spark, folder, "orders").select("o_orderkey", text.alias("t"))
+    return rows.select("o_orderkey", parse_timestamp(F.col("t"), rows.schema["t"].dataType).cast("date").alias("day"))
+
+
+@register("dates_with_formats", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 3 < 2")
+def _dates_with_formats(spark, folder):
+    date, place = F.col("o_orderdate"), F.col("o_orderkey") % 3
+    text = F.when(place == 0, F.date_format(date, "dd.MM.yyyy")).when(place == 1, F.date_format(date, "yyyy|MM|dd")).otherwise("neither")
+    rows = table(spark, folder, "orders").select("o_orderkey", text.alias("t"))
+    day = parse_timestamp(F.col("t"), rows.schema["t"].dataType, ("dd.MM.yyyy", "yyyy|MM|dd")).cast("date")
+    return rows.select("o_orderkey", day.alias("day")).where("day IS NOT NULL")
+
+
 @register("panel_coefficients")
 def _panel_coefficients(spark, folder):
     model = panel.fit_panel(_country_months(spark, folder), orders=SEASONAL, exog=["UnitPrice"], by=["Country"])

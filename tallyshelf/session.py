@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 STAGING_CONF = "spark.checkpoint.dir"
+_local_roots: dict[str, str] = {}
 
 # Labels and calendar buckets assume wall-clock time without a zone, so the session
 # zone is pinned; AQE picks partition counts, join strategy and skew splits at run time.
@@ -33,12 +35,13 @@ def build_session(app_name: str = "tallyshelf", master: str | None = None, **set
 def staging_dir(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Only a session that names none (local tests) gets a temporary root of its own.
+    A session without one is an error, except in local mode, where driver and executors are one process.
     """
-    root = spark.conf.get(STAGING_CONF, None)
+    root = spark.conf.get(STAGING_CONF, None) or _local_roots.get(spark.sparkContext.applicationId)
     if not root:
-        root = tempfile.mkdtemp(prefix="tallyshelf-")
-        spark.conf.set(STAGING_CONF, root)
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {STAGING_CONF} to a folder that the driver and all executors share")
+        root = _local_roots[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tallyshelf-")
     return f"{root.rstrip('/')}/tallyshelf/{uuid.uuid4().hex}"
 
 

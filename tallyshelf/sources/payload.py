@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyshelf.schema import CORRUPT
-from tallyshelf.sources.files import read_csv, split_rejects
+from tallyshelf.sources.files import read_csv_with_rejects, split_rejects
 
 
 def read_records(
@@ -27,13 +27,15 @@ def read_records(
     return split_rejects(df)
 
 
-def read_payload(spark: SparkSession, path: str, file_format: str = "csv", schema: T.StructType | None = None) -> DataFrame:
-    """Table from a landed payload of the given format."""
+def read_payload(
+    spark: SparkSession, path: str, file_format: str = "csv", schema: T.StructType | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Table and rejects from a landed payload of the given format."""
     name = file_format.lower()
     if name == "csv":
-        return read_csv(spark, path)
+        return read_csv_with_rejects(spark, path)
     if name == "json":
-        return read_records(spark, path, schema)[0]
+        return read_records(spark, path, schema)
     raise ValueError(f"unsupported payload format {file_format!r}: use csv or json")
 
 

@@ -7,6 +7,8 @@ table and stay in the batch job that reads the landed result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -18,10 +20,12 @@ from tallyshelf.sources.files import type_columns
 from tallyshelf.sources.sinks import PARTITION_COLUMNS
 
 
-def landing_stream(spark: SparkSession, folder: str, schema: StructType = RAW_RETAIL_SCHEMA) -> DataFrame:
-    """CSV files appearing in a folder, typed."""
-    raw = spark.readStream.schema(schema).option("header", True).option("escape", '"').csv(folder)
-    return type_columns(raw)
+def landing_stream(
+    spark: SparkSession, folder: str, schema: StructType = RAW_RETAIL_SCHEMA, date_formats: Sequence[str] = ()
+) -> DataFrame:
+    """CSV files appearing in a folder, typed; a file with another header stops the stream instead of being misread."""
+    raw = spark.readStream.schema(schema).options(header=True, escape='"', enforceSchema=False).csv(folder)
+    return type_columns(raw, date_formats)
 
 
 def processed_stream(lines: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:

@@ -78,7 +78,7 @@ def test_forest_arguments(training):
     for bad in (("nope", None), ("sales_quantity", ["nope"]), ("group", ["feature1"])):
         with pytest.raises(ValueError):
             forest.fit_forest(training, *bad)
-    with pytest.warns(UserWarning, match="max_depth"):
+    with pytest.raises(ValueError, match="max_depth"):
         forest.fit_forest(training.limit(20), "sales_quantity", ["feature1"], trees=1, max_depth=40)
 
 

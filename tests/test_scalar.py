@@ -82,3 +82,19 @@ def test_search_terms(spark):
     assert hits(term="red") == ["Red Mug"]
     assert hits(term="A.B") == ["a.b", "axb"]
     assert hits(term="A.B", literal=True) == ["a.b"]
+
+
+LAYOUTS = {
+    "2010/12/01": (2010, 12, 1), "1 Dec 2010": (2010, 12, 1), "December 1, 2010": (2010, 12, 1), "01-Dec-2010 08:26": (2010, 12, 1, 8, 26),
+    "12/1/2010 8:26 PM": (2010, 12, 1, 20, 26), "12/1/2010 12:05 am": (2010, 12, 1, 0, 5), "12/1/10 8:26": (2010, 12, 1, 8, 26),
+    "12/1/99": (1999, 12, 1), "2010-12-01T08:26:30.5": (2010, 12, 1, 8, 26, 30, 500000), "Sept 3, 2011 1:02:03 PM": (2011, 9, 3, 13, 2, 3),
+    "2010/12/1 08:26": (2010, 12, 1, 8, 26), "Dez 1 2010": None, "13/13/2010": None, "12/1/2010 13:00 PM": None, "c 2010": None,
+}
+
+
+def test_date_layouts(spark):
+    df = spark.createDataFrame([(t,) for t in LAYOUTS], "t string")
+    found = df.select("t", scalar.parse_timestamp(F.col("t"), df.schema["t"].dataType).alias("ts")).collect()
+    assert {r["t"]: r["ts"] for r in found} == {t: v and dt.datetime(*v) for t, v in LAYOUTS.items()}
+    shown = scalar.parse_timestamp(F.lit("01.12.2010"), df.schema["t"].dataType, ["yyyy/MM/dd", "dd.MM.yyyy"])
+    assert spark.range(1).select(shown).first()[0] == dt.datetime(2010, 12, 1)

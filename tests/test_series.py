@@ -76,7 +76,7 @@ def test_series_do_not_mix(spark):
 
 def test_unknown_names_are_refused(frame):
     _, df = frame
-    for freq in ("fortnight", "7min", "0h", "B"):
+    for freq in ("fortnight", "0h", "2X", "W-XYZ"):
         with pytest.raises(ValueError):
             series.resample(df, "ts", {"s": ("v", "sum")}, freq)
     with pytest.raises(ValueError):

@@ -1,6 +1,5 @@
 import datetime as dt
 import json
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +11,6 @@ from tallyshelf.operators.features import add_features
 from tallyshelf.sources import files, payload, sinks
 from tallyshelf.sources.paths import extension, path_exists, processed_path, stored_or
 from tallyshelf.sources.star import retail_lines
-from tallyshelf.sources.workbook import read_workbooks
 
 CSV = '''InvoiceNo , StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country
 536365,85123A,"HEART, ""RED"" HOLDER",6,12/1/2010 8:26,2.55,17850.0,UK
@@ -71,8 +69,8 @@ def test_json_payloads(spark, tmp_path, schema):
     assert read("list.json")[0].count() == 2 and read("one.json")[0].count() == 1
     records, rejects = read("scalar.json")
     assert records.count() == 0 and rejects.count() == 1
-    both = payload.read_payload(spark, str(tmp_path / "list.json"), "JSON", schema)
-    assert set(both.columns) == {"userId", "id", "title", "completed"}
+    both, none = payload.read_payload(spark, str(tmp_path / "list.json"), "JSON", schema)
+    assert none.count() == 0 and set(both.columns) == {"userId", "id", "title", "completed"}
     with pytest.raises(ValueError):
         payload.read_payload(spark, str(tmp_path / "list.json"), "xml")
 
@@ -110,46 +108,19 @@ def test_sinks(spark, tmp_path, data):
         sinks.write_table(df, str(tmp_path / "x.xlsx"))
 
 
-def workbook(path, shared=True):
-    """A minimal workbook: header, shared and inline texts, numbers, a date cell, a second sheet to ignore."""
-    head = ["InvoiceNo", "StockCode ", "Quantity", "InvoiceDate", "UnitPrice", "Flag"]
-    strings = "".join(f"<si><t>{h}</t></si>" for h in head) + "<si><r><t>85</t></r><r><t>123A</t></r></si>"
-    cells = "".join(f'<c r="{"ABCDEF"[i]}1" t="s"><v>{i}</v></c>' for i in range(6))
-    sheet = f"""<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1">{cells}</row>
-    <row r="2"><c r="A2"><v>536365</v></c><c r="B2" t="s"><v>6</v></c><c r="C2"><v>6</v></c><c r="D2" s="1"><v>40513.351388888892</v></c>
-    <c r="E2"><v>2.55</v></c><c r="F2" t="b"><v>1</v></c></row>
-    <row r="3"><c r="A3" t="inlineStr"><is><t>C536366</t></is></c><c r="C3"><v>-1</v></c><c r="E3" t="e"><v>#N/A</v></c></row>
-    <row r="4"/></sheetData></worksheet>"""
-    parts = {
-        "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="s" sheetId="1" r:id="rId7"/><sheet name="t" sheetId="2" r:id="rId8"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId8" Target="worksheets/sheet1.xml"/><Relationship Id="rId7" Target="worksheets/sheet2.xml"/></Relationships>',
-        "xl/sharedStrings.xml": f'<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{strings}</sst>',
-        "xl/styles.xml": '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts><numFmt numFmtId="164" formatCode="m/d/yyyy h:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": "<worksheet/>",
-        "xl/worksheets/sheet2.xml": sheet,
-    }
-    with zipfile.ZipFile(path, "w") as book:
-        for name, text in parts.items():
-            book.writestr(name, text)
-
-
-def test_workbooks(spark, tmp_path):
-    workbook(tmp_path / "a.xlsx")
-    workbook(tmp_path / "b.xlsx")
-    df = files.read_lines(spark, str(tmp_path), file_format="xlsx")
-    assert df.columns == ["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "Flag"]
-    got = rows(df.distinct(), "InvoiceNo")
-    assert got == [
-        ("536365", "85123A", 6.0, dt.datetime(2010, 12, 1, 8, 26), 2.55, "true"),
-        ("C536366", None, -1.0, None, None, None),
-    ]
-    assert df.count() == 4
-    some = read_workbooks(spark, str(tmp_path / "a.xlsx"), columns=["Quantity", "Absent"])
-    assert rows(some.orderBy("Quantity")) == [("-1", None), ("6", None)]
-
-
-def test_star_joins_only_what_is_asked(spark, data):
-    plan = retail_lines(spark, data, ["StockCode", "Quantity"])._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan
-    assert retail_lines(spark, data).count() == spark.read.parquet(f"{data}/lineitem.parquet").count()
-    assert retail_lines(spark, data).where(F.col("Country").isNull()).count() == 0
+def test_headers_in_another_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Quantity,UnitPrice,Country\n1,2.5,UK\n2,3.5,FR\n")
+    (tmp_path / "b.csv").write_text("UnitPrice, Quantity \n9.5,4\n")
+    found = files.read_lines(spark, str(tmp_path), file_format="csv", by_name=True)
+    assert rows(found.select("Quantity", "UnitPrice", "Country"), "Quantity") == [(1.0, 2.5, "UK"), (2.0, 3.5, "FR"), (4.0, 9.5, None)]
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        files.read_csv(spark, str(tmp_path)).collect()
+
+
+def test_lines_of_the_wrong_width_come_back(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Quantity,UnitPrice\n1,2.5\n2\n3,4.5,lost\n")
+    good, rejects = files.read_lines_with_rejects(spark, str(tmp_path))
+    assert rows(good.select("Quantity", "UnitPrice")) == [(1.0, 2.5)]
+    assert sorted(r[0] for r in rejects.collect()) == ["2", "3,4.5,lost"]
+    both = payload.read_payload(spark, str(tmp_path))
+    assert both[0].count() == 1 and both[1].count() == 2
