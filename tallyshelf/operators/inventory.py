@@ -46,7 +46,9 @@ def stock_estimate(
     )
     start = F.lit(initial_stock).cast("long")
     if opening is not None:
-        stock = stock.join(opening.select(product, "OpeningStock"), product, "left")
+        # several rows of one product add up
+        opening = opening.groupBy(product).agg(F.sum("OpeningStock").alias("OpeningStock"))
+        stock = stock.join(opening, product, "left")
         start = F.coalesce(F.col("OpeningStock").cast("long"), start)
     return stock.select(product, "TotalSold", (start - F.col("TotalSold")).alias(STOCK))
 

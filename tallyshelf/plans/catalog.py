@@ -6,6 +6,7 @@ means and other doubles are rounded.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from tallyshelf.functions.scalar import customer_text, parse_timestamp, strip_text
 from tallyshelf.functions.seasonal_arma import Orders
-from tallyshelf.operators import charts, cleaning, diagnostics, forest, inventory, panel, quality, series, splits, totals
+from tallyshelf.operators import charts, cleaning, diagnostics, forest, inventory, model_store, panel, quality, series, splits, totals
 from tallyshelf.operators.decomposition import decompose
 from tallyshelf.operators.features import add_features
 from tallyshelf.operators.metrics import regression_metrics
@@ -1206,12 +1207,13 @@ def _panel_phi(spark, folder):
 
 
 def _steps(spark: SparkSession, folder: str) -> DataFrame:
-    """A target that is a step function of one feature, which any grown forest returns exactly."""
+    """A target that follows a feature of two values, which any grown forest returns exactly."""
     part = table(spark, folder, "part")
-    return part.select("p_partkey", F.when(F.col("p_size") > 25, 40.0).otherwise(10.0).alias("target"), "p_size", F.lit(1).alias("same"))
+    large = F.col("p_size") > 25
+    return part.select("p_partkey", F.when(large, 40.0).otherwise(10.0).alias("target"), large.cast("int").alias("large"), F.lit(1).alias("same"))
 
 
-STEP_FOREST = {"target": "target", "features": ["p_size", "same"], "trees": 10, "max_depth": 3}
+STEP_FOREST = {"target": "target", "features": ["large", "same"], "trees": 10, "max_depth": 3}
 
 
 @register("rf_steps_forecast", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 40.0 ELSE 10.0 END::DOUBLE AS prediction FROM part")
@@ -1228,7 +1230,7 @@ def _rf_steps_metrics(spark, folder):
 
 @register(
     "rf_steps_importance",
-    """SELECT 'p_size' AS Feature, 1.0::DOUBLE AS Importance FROM part HAVING COUNT(DISTINCT p_size > 25) = 2
+    """SELECT 'large' AS Feature, 1.0::DOUBLE AS Importance FROM part HAVING COUNT(DISTINCT p_size > 25) = 2
     UNION ALL SELECT 'same', 0.0::DOUBLE""",
 )
 def _rf_steps_importance(spark, folder):
@@ -1236,6 +1238,69 @@ def _rf_steps_importance(spark, folder):
     return forest.feature_importances(forest.fit_forest(rows, **STEP_FOREST), rows)
 
 
+@register("model_round_trip", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 40.0 ELSE 10.0 END::DOUBLE AS prediction FROM part")
+def _model_round_trip(spark, folder):
+    """The newest of two stored models, loaded, predicts what the trained one did."""
+    rows, root = _steps(spark, folder), staging_dir(spark)
+    model = forest.fit_forest(rows, **STEP_FOREST)
+    for second in (1, 2):
+        name = model_store.model_name("RandomForest", "target", dt.datetime(2025, 5, 28, 9, 32, second))
+        model_store.save_forest(spark, model, f"{root}/{name}", "target", STEP_FOREST["features"])
+    loaded = model_store.load_forest(spark, model_store.newest_model(spark, root))
+    return forest.predict_forest(loaded, rows).select("p_partkey", "prediction")
+
+
+@register(
+    "decompose_status",
+    f"""WITH {PANEL} SELECT DISTINCT {PRIORITY}, CASE {PRIORITY} WHEN '1-URGENT' THEN 'has_nulls' WHEN '2-HIGH' THEN 'non_positive'
+    WHEN '3-MEDIUM' THEN 'short' ELSE 'ok' END AS status FROM m""",
+)
+def _decompose_status(spark, folder):
+    months = _monthly(spark, folder, PRIORITY)
+    last = F.max("bucket").over(series.series_window([PRIORITY]))
+    at_end = F.col("bucket") == last
+    value = F.when(at_end & (F.col(PRIORITY) == "1-URGENT"), None).when(at_end & (F.col(PRIORITY) == "2-HIGH"), 0.0)
+    # a month without orders counts as 1
+    months = months.withColumn("_last", last).withColumn("value", value.otherwise(F.greatest(F.col("value"), F.lit(1.0))))
+    months = months.where((F.col(PRIORITY) != "3-MEDIUM") | (F.months_between("_last", "bucket") < 23)).drop("_last")
+    return decompose(months, "value", 12, "multiplicative", [PRIORITY]).select(PRIORITY, "status").distinct()
+
+
+NAMED = {"D": ("day", "D", 7), "W": ("week", "W-SUN", 52), "MS": ("month", "MS", 12), "QS": ("quarter", "QS", 4), "AS": ("year", "AS", None)}
+
+
+@register(
+    "infer_frequency_names",
+    " UNION ALL ".join(
+        f"""SELECT '{f}' AS made, datediff('{unit}', date_trunc('{unit}', MIN(o_orderdate)), date_trunc('{unit}', MAX(o_orderdate))) + 1 AS n, '{name}' AS freq,
+        CAST({period or 'NULL'} AS INT) AS period FROM orders""" for f, (unit, name, period) in NAMED.items()
+    ),
+)
+def _infer_frequency_names(spark, folder):
+    orders, found = table(spark, folder, "orders"), None
+    for f in NAMED:
+        one = series.resample(orders, "o_orderdate", {"n": ("o_totalprice", "count")}, f).withColumn("made", F.lit(f))
+        found = one if found is None else found.unionByName(one)
+    return series.infer_frequency(found, ["made"])
+
+
+@register(
+    "stock_chosen_columns",
+    """SELECT l_returnflag, CAST(SUM(l_orderkey) AS BIGINT) AS TotalSold, 1000 - CAST(SUM(l_orderkey) AS BIGINT) AS EstimatedCurrentStock
+    FROM lineitem GROUP BY 1""",
+)
+def _stock_chosen_columns(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    return inventory.stock_estimate(lines, *inventory.choose_columns(lines))
+
+
+@register("csv_payload", "SELECT event_id, event_type FROM events")
+def _csv_payload(spark, folder):
+    path = f"{staging_dir(spark)}/payload.csv"
+    write_table(table(spark, folder, "events").select("event_id", "event_type"), path)
+    return read_payload(spark, path, "CSV")[0].select(F.col("event_id").cast("long").alias("event_id"), "event_type")
+
+
 @register(
     "csv_mixed_headers",
     "SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN value END AS value FROM events",

@@ -183,3 +183,32 @@ def test_single_series_month_ends(spark):
     path = panel.forecast_panel(model, 3, "M", Orders(0, 1, 1, 0, 1, 1, 12)).orderBy("step").collect()
     assert [r["bucket"] for r in path] == [dt.date(2024, 1, 31), dt.date(2024, 2, 29), dt.date(2024, 3, 31)]
     assert {r["series_key"] for r in path} == {"all"}
+
+
+def test_future_values_are_matched_by_bucket(spark):
+    """A gap in the future values takes that series' forecasts, not another month's value."""
+    months = [dt.date(2020 + i // 12, i % 12 + 1, 1) for i in range(40)]
+    rng = np.random.default_rng(5)
+    x = rng.random(40)
+    rows = [(k, months[i], float(100 + 50 * x[i] + rng.normal()), float(x[i])) for k in "ab" for i in range(36)]
+    known = spark.createDataFrame(rows, "k string, bucket date, value double, x double")
+    ahead = [("a", months[36 + i], float(x[36 + i])) for i in (3, 1, 0, 2)] + [("b", months[36 + i], float(x[36 + i])) for i in (0, 2, 3)]
+    future = spark.createDataFrame(ahead, "k string, bucket date, x double")
+    orders = Orders(0, 0, 0, 0, 0, 0, 12)
+    model = panel.fit_panel(known, orders=orders, exog=["x"], by=["k"])
+    found = panel.forecast_panel(model, 4, "MS", orders, future, ["x"]).orderBy("k", "step").collect()
+    assert [r["bucket"] for r in found[:4]] == months[36:]
+    beta = model.where("k = 'a'").first()["beta"][0]
+    assert [r["forecast"] for r in found[:4]] == pytest.approx([beta * v for v in x[36:]])
+    assert {(r["status"], r["forecast"]) for r in found[4:]} == {("no_future", None)}
+
+
+def test_a_broken_series_does_not_end_the_job(spark):
+    months = [dt.date(2020 + i // 12, i % 12 + 1, 1) for i in range(36)]
+    rows = [(k, m, float("inf") if k == "bad" and i == 5 else float(i % 7)) for k in ("good", "bad") for i, m in enumerate(months)]
+    series_ = spark.createDataFrame(rows, "k string, bucket date, value double")
+    orders = Orders(1, 0, 0, 0, 0, 0, 12)
+    model = panel.fit_panel(series_, orders=orders, by=["k"])
+    found = panel.forecast_panel(model, 2, "MS", orders).collect()
+    assert {(r["k"], r["forecast"] is None) for r in found} == {("good", False), ("bad", True)}
+    assert estimate(np.full(30, np.nan), np.zeros((30, 0)), orders)[2] == "failed"

@@ -237,3 +237,18 @@ def test_ordered_split_on_times_and_small_tables(spark):
         splits.ordered_split(df, ["t"], 1.5)
     a, b = splits.random_split(df, 0.3)
     assert a.count() + b.count() == 10
+
+
+def test_correlations_of_many_columns(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(size=(200, 20)), columns=[f"c{i}" for i in range(20)])
+    pdf["c3"] = pdf["c2"] * 2 + 1e6
+    pdf["c4"] = 7.0
+    pdf.loc[::5, "c5"] = np.nan
+    found = {(r["row"], r["col"]): r["corr"] for r in totals.correlation_matrix(spark.createDataFrame(pdf), list(pdf.columns)).collect()}
+    want = pdf.corr()
+    assert len(found) == 400 and found["c4", "c1"] is None
+    assert all(abs(found[a, b] - want.loc[a, b]) < 1e-9 for a in pdf for b in pdf if "c4" not in (a, b))
