@@ -6,13 +6,12 @@ merging the first pair replaces the pairs with its neighbours. What is not a pie
 pieces.
 
 If no piece has a space symbol after another character, no merge crosses the start of a run of space symbols, so
-the runs between those points are encoded one by one and the ids of short ones are remembered in a bounded cache.
-New short runs of a batch go through their agendas together: runs of one length form a matrix whose rows are
+the runs between those points are encoded one by one and remembered in a bounded cache. New short runs of a batch go through their agendas together: runs of one length form a matrix whose rows are
 agendas, and each step merges the best pair of every row. Long runs, and whole texts under other vocabularies,
 have an agenda of their own in a heap.
 
-Every run that enters the cache, and every long one, is first compared with what the library makes of it, a
-batch at a time; the first difference raises.
+Every run that enters the cache is compared with what the library makes of it, a batch at a time; the first
+difference raises.
 
 Defined results: a null text counts as empty (only the begin and end ids); repeated rows, rows without an id and
 empty tables need no care; further columns pass through, and those called `ids` or `decoded` are replaced.
@@ -24,6 +23,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -35,7 +35,8 @@ from tallyshelf.llm.common import sliced, texts_of
 
 SPACE = "▁"
 CACHE_RUNS = 400_000
-CACHE_LENGTH = 48
+CACHE_IDS = 1 << 22
+TOGETHER = 48  # characters of the longest runs that are learned together
 NONE = (1 << 31) - 1
 BATCH_BYTES = 4 << 20
 RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -57,15 +58,42 @@ class PieceModel:
         self.bos, self.eos = lib.bos_id(), lib.eos_id()
         self.split = not any(a != SPACE and b == SPACE for p in self.pieces for a, b in zip(p, p[1:]))
         self.check = check
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self._forget()
         self._tables()
 
+    def _forget(self) -> None:
+        """The cache: a number for every known run, and its ids in one long array."""
+        self.known: dict[str, int] = {}
+        self.begins, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.arena, self.used = np.zeros(1 << 18, np.int32), 0
+
+    def _store(self, runs: list[str], ids: np.ndarray) -> None:
+        """Remember runs with equally many ids, given as a matrix."""
+        first, n = len(self.known), len(runs)
+        while first + n > len(self.begins):
+            self.begins, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begins, self.sizes))
+        while self.used + ids.size > len(self.arena):
+            self.arena = np.concatenate([self.arena, np.zeros_like(self.arena)])
+        self.known.update(zip(runs, range(first, first + n)))
+        self.begins[first:first + n] = self.used + np.arange(n) * ids.shape[1]
+        self.sizes[first:first + n] = ids.shape[1]
+        self.arena[self.used:self.used + ids.size] = ids.ravel()
+        self.used += ids.size
+
+    def _gather(self, runs, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of n known runs one after the other, and how many each has."""
+        numbers = np.fromiter(map(self.known.__getitem__, runs), np.int64, n)
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.arena[np.repeat(self.begins[numbers] - ends + sizes, sizes) + np.arange(ends[-1] if n else 0)], sizes
+
     def _tables(self) -> None:
         """Symbols are the pieces and the characters in them; pairs map (left, right) to the rank of their union."""
         scores = {p: self.library.get_score(i) for p, i in self.pieces.items() if len(p) > 1}
         places = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {p: places[s] for p, s in scores.items()}  # 0 for the best score, pieces of equal score share one
-        self.symbols = list(dict.fromkeys([*self.pieces, *(c for p in self.pieces for c in p)]))
+        one_byte = [chr(b) for b in range(128)]
+        self.symbols = list(dict.fromkeys([*self.pieces, *(c for p in self.pieces for c in p), *one_byte]))
         number = {s: i for i, s in enumerate(self.symbols)}
         self.of_char = np.full(0x110000, -1, np.int32)
         for s, i in number.items():
@@ -75,7 +103,9 @@ class PieceModel:
             (number[p[:k]] * len(number) + number[p[k:]], self.rank[p])
             for p in self.rank for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
         self.pair_keys, self.pair_ranks = np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int32)
-        self.ids = np.array([self.pieces.get(s, -1) for s in self.symbols] + [-1], np.int32)
+        # a character of one byte that is no piece is spelled by one byte piece
+        spelled = {c: self.byte_ids[ord(c)] for c in one_byte} | self.pieces
+        self.ids = np.array([spelled.get(s, -1) for s in self.symbols] + [-1], np.int32)
         of_rank: dict[int, list[int]] = {}
         for p, r in self.rank.items():
             of_rank.setdefault(r, []).append(number[p])
@@ -89,11 +119,10 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE)
 
-    def together(self, runs: list[str]) -> list[tuple[int, ...]]:
-        """The ids of runs of one length. A row of `ranks` is the agenda of a run."""
+    def together(self, runs: list[str]) -> None:
+        """Learn runs of one length. A row of `ranks` is the agenda of a run."""
         chars = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32).reshape(len(runs), -1)
         symbols, rows = self.of_char[chars], np.arange(len(runs))
-        out: list = [None] * len(runs)
         ranks = self._ranks(symbols[:, :-1], symbols[:, 1:])
         while True:
             width = symbols.shape[1] - 1
@@ -101,11 +130,11 @@ class PieceModel:
             lowest = ranks[np.arange(len(rows)), best] if width else np.full(len(rows), NONE)
             ended = lowest == NONE
             if ended.any():
-                self._spell(runs, rows[ended], symbols[ended], out)
+                self._spell(runs, rows[ended], symbols[ended])
                 left = ~ended
                 rows, symbols, ranks, best, lowest = rows[left], symbols[left], ranks[left], best[left], lowest[left]
             if not len(rows):
-                return out
+                return
             each = np.arange(len(rows))
             merged = self.union[lowest]
             for i in np.flatnonzero(merged < 0).tolist():
@@ -123,25 +152,24 @@ class PieceModel:
                 r, p = each[fits], at[fits]
                 ranks[r, p] = self._ranks(symbols[r, p], symbols[r, p + 1])
 
-    def _spell(self, runs: list[str], rows: np.ndarray, symbols: np.ndarray, out: list) -> None:
+    def _spell(self, runs: list[str], rows: np.ndarray, symbols: np.ndarray) -> None:
         ids = self.ids[symbols]
         plain = (ids >= 0).all(axis=1)
-        for row, found in zip(rows[plain].tolist(), ids[plain].tolist()):
-            out[row] = tuple(found)
+        self._store([runs[r] for r in rows[plain].tolist()], ids[plain])
         for row, found in zip(rows[~plain].tolist(), symbols[~plain].tolist()):
             spelled, at = [], 0
             for s in found:
                 size = len(self.symbols[s]) if s >= 0 else 1
                 spelled += self._piece_or_bytes(runs[row][at:at + size])
                 at += size
-            out[row] = tuple(spelled)
+            self._store([runs[row]], np.array([spelled], np.int32))
 
     def _piece_or_bytes(self, symbol: str) -> list[int]:
         i = self.pieces.get(symbol)
         return [self.byte_ids[b] for b in symbol.encode("utf-8", "replace")] if i is None else [i]
 
-    def alone(self, run: str) -> tuple[int, ...]:
-        """The ids of one run of any length; entries of the agenda whose symbols have changed since are skipped."""
+    def alone(self, run: str) -> None:
+        """Learn one run of any length; entries of the agenda whose symbols have changed since are skipped."""
         rank, size = self.rank, len(run)
         symbols: list[str] = list(run)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
@@ -164,41 +192,54 @@ class PieceModel:
                 offer(left, after[left])
             if before[left] >= 0:
                 offer(before[left], left)
-        return tuple(chain.from_iterable(self._piece_or_bytes(s) for s in symbols if s))
+        self._store([run], np.array([[*chain.from_iterable(self._piece_or_bytes(s) for s in symbols if s)]], np.int32))
 
-    def checked(self, runs: list[str], ids: list[tuple[int, ...]]) -> None:
+    def checked(self, runs: list[str]) -> None:
         """Raise if the library encodes one of the runs, each with its space symbol in front, in another way."""
-        texts = [r[1:].replace(SPACE, " ") for r in runs]
-        for run, own, other in zip(runs, ids, self.library.encode(texts, num_threads=1)):
-            # the library makes nothing of an empty text
-            if list(own) != other and len(run) > 1:
-                raise ValueError(f"the library encodes {run[:100]!r} as {other[:50]}, the agenda as {own[:50]}")
-
-    def learn(self, runs: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of new runs, checked."""
+        runs = [r for r in runs if len(r) > 1]  # the library makes nothing of an empty text
+        others = self.library.encode([r[1:].replace(SPACE, " ") for r in runs], num_threads=1)
+        own, sizes = self._gather(runs, len(runs))
+        if [*map(len, others)] == sizes.tolist() and np.array_equal(own, np.fromiter(chain.from_iterable(others), np.int32, len(own))):
+            return
+        for run, at, size, other in zip(runs, np.cumsum(sizes) - sizes, sizes, others):
+            if own[at:at + size].tolist() != other:
+                raise ValueError(f"the library encodes {run[:100]!r} as {other[:50]}, the agenda as {own[at:at + size][:50]}")
+
+    def learn(self, runs: set[str]) -> None:
+        """Put new runs into the cache, checked."""
         by_length: dict[int, list[str]] = {}
         for run in runs:
             by_length.setdefault(len(run), []).append(run)
-        known: dict[str, tuple[int, ...]] = {}
         for length, some in by_length.items():
-            ids = self.together(some) if length <= CACHE_LENGTH else [self.alone(r) for r in some]
+            if length <= TOGETHER:
+                self.together(some)
+            else:
+                for run in some:
+                    self.alone(run)
             if self.check:
-                self.checked(some, ids)
-            known.update(zip(some, ids))
-        return known
+                self.checked(some)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of whole texts, each between the begin and the end id."""
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts, each between the begin and the end id, and where each text begins and the last ends."""
         spaced = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         runs = [RUN.findall(t) if self.split else [t] * bool(t) for t in spaced]
-        wanted = set().union(*runs)
-        if len(self.cache) > CACHE_RUNS:
-            self.cache.clear()
-        new = self.learn(wanted - self.cache.keys())
-        long = {r: i for r, i in new.items() if len(r) > CACHE_LENGTH}
-        self.cache.update((r, i) for r, i in new.items() if len(r) <= CACHE_LENGTH)
-        ids_of = self.cache if not long else {r: self.cache.get(r) or long[r] for r in wanted}
-        return [[self.bos, *chain.from_iterable(map(ids_of.__getitem__, r)), self.eos] for r in runs]
+        if len(self.known) > CACHE_RUNS or self.used > CACHE_IDS:
+            self._forget()
+        self.learn(set().union(*runs) - self.known.keys())
+        counts = np.array([len(r) for r in runs])
+        ids, sizes = self._gather(chain.from_iterable(runs), int(counts.sum()))
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum(counts)]
+        offsets = np.append(0, ends + 2 * np.arange(1, len(texts) + 1))
+        out, inner = np.empty(offsets[-1], np.int32), np.ones(offsets[-1], bool)
+        inner[offsets[:-1]] = inner[offsets[1:] - 1] = False
+        out[offsets[:-1]], out[offsets[1:] - 1], out[inner] = self.bos, self.eos, ids
+        return out, offsets
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if not texts:
+            return []
+        ids, offsets = self.encode_flat(texts)
+        return [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
 
 
 _loaded: dict[tuple[str, bool], PieceModel] = {}
@@ -211,9 +252,12 @@ def loaded(path: str, check: bool = True) -> PieceModel:
     return _loaded[path, check]
 
 
-def _ids_array(ids: list[list[int]]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1]))
+@cache
+def library(path: str):
+    """The library's processor of a worker process; enough for decoding."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
 def encode(df: DataFrame, model: str, text: str = "text", keep: list[str] | None = None, check: bool = True) -> DataFrame:
@@ -225,7 +269,8 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: list[str] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model, check)
         for batch in sliced(batches, text, BATCH_BYTES):
-            ids = _ids_array(pieces.encode(texts_of(batch, text)))
+            ids, offsets = pieces.encode_flat(texts_of(batch, text))
+            ids = pa.ListArray.from_arrays(offsets.astype(np.int32), ids)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids], [*keep, "ids"])
 
     return df.mapInArrow(run, schema)
@@ -238,9 +283,9 @@ def decode(df: DataFrame, model: str, ids: str = "ids", keep: list[str] | None =
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = loaded(model).library
+        decode = library(model).decode
         for part in _parts(batches):
-            texts = [library.decode(i or []) for i in part.column(ids).to_pylist()]
+            texts = [decode(i or []) for i in part.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, "decoded"])
 
     return df.mapInArrow(run, schema)
@@ -260,16 +305,16 @@ def round_trip_digest(df: DataFrame, model: str, with_ids: bool = False) -> Data
         T.StructField("decoded_sha256", T.StringType()), *[encoded.schema["ids"]] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = loaded(model).library
+        decode = library(model).decode
         for part in _parts(batches):
             column = part.column("ids")
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
             own, texts = [], []
-            for i in range(len(column)):
-                ids = column[i].values.to_numpy()
-                own.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                texts.append(hashlib.sha256(library.decode(ids.tolist()).encode("utf-8", "replace")).hexdigest())
+            for a, b in zip(offsets, offsets[1:]):
+                own.append(hashlib.sha256(values[a:b].astype("<u4").tobytes()).hexdigest())
+                texts.append(hashlib.sha256(decode(values[a:b].tolist()).encode("utf-8", "replace")).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(column[i].values) for i in range(len(column))], pa.int64()),
+                [part.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)),
                  pa.array(own, pa.string()), pa.array(texts, pa.string()), *[column] * with_ids], schema.names)
 
     return encoded.mapInArrow(run, schema)

@@ -39,8 +39,10 @@ def test_whole_texts_as_one_run():
 
 
 def test_a_difference_raises():
+    model = pieces.PieceModel(PATH)
+    model._store(["▁the"], pieces.np.array([[1, 2]], pieces.np.int32))
     with pytest.raises(ValueError, match="library"):
-        MODEL.checked(["▁the"], [(1, 2)])
+        model.checked(["▁the"])
 
 
 def test_digest_and_round_trip(spark):
