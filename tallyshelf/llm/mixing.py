@@ -14,7 +14,8 @@
 
 Defined results: null or empty texts have no tokens, no influence on the fit, and the rate their posteriors imply;
 repeated rows are documents of their own; rows without an id are rated, and rounded with the hash of null; an
-empty documents table gives an empty result; a domain without labels has posterior 0 and cannot gain tokens;
+empty documents table gives an empty result; a domain without labelled documents in the table has posterior 0 and
+cannot gain tokens;
 without any labels every posterior is uniform; further columns pass through, those named like an added one
 (n_words, posteriors, rate, copies) are replaced.
 """
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +58,14 @@ def label_domain() -> Column:
 
 
 class WordHashes:
-    """Buckets of words and of their beginnings, without case and outer punctuation, remembered up to a bound."""
+    """Buckets of words and of their beginnings, without case and outer punctuation, remembered up to a bound.
 
-    def __init__(self):
+    With `telling`, a flag per bucket, only those buckets are returned.
+    """
+
+    def __init__(self, telling: np.ndarray | None = None):
         self.known: dict[str, tuple[int, ...]] = {}
+        self.telling = None if telling is None else frozenset(np.flatnonzero(telling).tolist())
 
     def of(self, text: str) -> tuple[np.ndarray, int]:
         """The different buckets of a text, and its number of words."""
@@ -75,8 +80,12 @@ class WordHashes:
             if buckets is None:
                 bare = w.lower().strip(EDGES)
                 parts = [bare, *(f"{bare[:n]}*" for n in BEGINNINGS if len(bare) > n)]
-                buckets = known[w] = tuple(xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) % BUCKETS for x in parts)
-            found.update(buckets)
+                buckets = tuple(xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) % BUCKETS for x in parts)
+                if self.telling is not None:
+                    buckets = tuple(b for b in buckets if b in self.telling)
+                known[w] = buckets
+            if buckets:
+                found.update(buckets)
         # the share of different words tells repeated text from prose
         found.add(BUCKETS + min(9, 10 * len(different) // max(1, len(words))))
         return np.fromiter(found, np.int64, len(found)), len(words)
@@ -139,7 +148,7 @@ def learn(sample: list[np.ndarray], labels: np.ndarray, totals: np.ndarray, doma
             bias -= 0.3 * gb / np.sqrt(seen_bias)
         weights[-1] = 0
     with np.errstate(divide="ignore"):
-        prior = np.log(np.maximum(totals, 0)) - np.log(np.maximum(taken, 1)) if totals.sum() else np.zeros(k)
+        prior = np.where(taken > 0, np.log(totals) - np.log(np.maximum(taken, 1)), -np.inf) if taken.sum() else np.zeros(k)
     return DomainModel(domains, places, weights, bias + prior)
 
 
@@ -147,6 +156,8 @@ def fit_domains(documents: DataFrame, labelled: DataFrame, domains: tuple[str, .
                 per_domain: int = SAMPLE_PER_DOMAIN) -> DomainModel:
     """`labelled` has doc_id and domain; at most `per_domain` documents of each domain are read for learning."""
     known = labelled.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("domain").alias("domain"))
+    # only labels of documents that are here: their shares are the prior, and a domain that is gone must get none
+    known = known.join(documents.select("doc_id"), "doc_id", "left_semi")
     counts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     picked = [known.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain) for d in domains]
     sample = picked[0]
@@ -179,7 +190,7 @@ def with_posteriors(df: DataFrame, model: DomainModel, text: str = "text", keep:
                            T.StructField("posteriors", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(model.places < len(model.weights) - 1)
         for batch in sliced(batches, text):
             found = [hashes.of(t) for t in texts_of(batch, text)]
             yield pa.RecordBatch.from_arrays(
@@ -190,11 +201,6 @@ def with_posteriors(df: DataFrame, model: DomainModel, text: str = "text", keep:
     return df.mapInArrow(run, schema)
 
 
-def _sums(terms: dict[str, Column], df: DataFrame) -> np.ndarray:
-    row = df.agg(*[F.sum(c).alias(n) for n, c in terms.items()]).collect()[0]
-    return np.array([row[n] or 0.0 for n in terms])
-
-
 @dataclass(frozen=True)
 class Fit:
     """The residual of every step, from which any document's rate follows."""
@@ -205,50 +211,72 @@ class Fit:
     expected: tuple[float, ...]
     target: tuple[float, ...]
 
-    def rate(self, posteriors: Column) -> Column:
-        return _walk(posteriors, self.residuals, self.step, self.ridge)["rate"]
+    def walk(self, posteriors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates after the steps so far, and the points ahead of them where the next residual is taken (Nesterov's)."""
+        rate = ahead = np.ones(len(posteriors))
+        for t, residual in enumerate(self.residuals, 1):
+            slope = posteriors @ np.array(residual) + self.ridge * (ahead - 1)
+            before, rate = rate, np.maximum(0.0, ahead - self.step * slope)
+            ahead = rate + t / (t + 3) * (rate - before)
+        return rate, ahead
+
 
+def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    return batch.column("posteriors").flatten().to_numpy().reshape(-1, k)
 
-def _walk(posteriors: Column, residuals, step: float, ridge: float) -> Column:
-    """The rate after the steps so far, and the point ahead of it where the next residual is taken (Nesterov's)."""
-    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
-    if not residuals:
-        return start
-    k = len(residuals[0])
-    listed = F.array(*[F.array(*[F.lit(float(x)) for x in (*r, t / (t + 3))]) for t, r in enumerate(residuals, 1)])
 
-    def one(at: Column, item: Column) -> Column:
-        slope = sum((posteriors[d] * item[d] for d in range(1, k)), posteriors[0] * item[0])
-        rate = F.greatest(F.lit(0.0), at["ahead"] - F.lit(step) * (slope + F.lit(ridge) * (at["ahead"] - 1)))
-        return F.struct(rate.alias("rate"), (rate + item[k] * (rate - at["rate"])).alias("ahead"))
+def _totals(rated: DataFrame, terms, k: int) -> np.ndarray:
+    """The sum over all rows of the vectors that `terms(n_words, posteriors)` gives as rows of a matrix."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            found = terms(batch.column("n_words").to_numpy().astype(float), _matrix(batch, k)).sum(0)
+            held = found if held is None else held + found
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), pa.array(held)], ["i", "v"])
 
-    return F.aggregate(listed, start, one)
+    sums = rated.select("n_words", "posteriors").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    return np.array([v for _, v in sorted((r["i"], r["v"]) for r in sums.collect())])
 
 
 def fit_rates(rated: DataFrame, weights: dict[str, float], held: str, domains: tuple[str, ...] = DOMAINS, steps: int = STEPS,
               ridge: float = RIDGE, tolerance: float = 2e-4) -> Fit:
-    """Accelerated projected gradient over stored posteriors.
+    """Accelerated projected gradient over stored posteriors, one pass over them per step.
 
     `weights` are the wanted proportions of the domains' tokens; the domain `held` keeps the total that it has.
     """
-    k, p = len(domains), F.col("posteriors")
+    k = len(domains)
     goal = np.array([weights[d] / weights[held] for d in domains])
-    total = float(_sums({"n": F.col("n_words").cast("double")}, rated)[0])
-    if total == 0:
-        return Fit((), 1.0, ridge, tuple([0.0] * k), tuple(goal.tolist()))
-    share = F.col("n_words") / F.lit(total)
-    pairs = _sums({f"c{i}_{j}": share * p[i] * p[j] for i in range(k) for j in range(k)}, rated).reshape(k, k)
-    present = _sums({f"s{d}": share * p[d] for d in range(k)}, rated)
-    goal = goal * present[domains.index(held)]
-    step = 1 / (float(np.linalg.eigvalsh(pairs)[-1]) + ridge)
-    residuals: list[tuple[float, ...]] = []
+    sums = _totals(rated, lambda n, p: np.concatenate([n[:, None], n[:, None] * p, (n[:, None, None] * p[:, :, None] * p[:, None, :]).reshape(len(n), -1)], 1), k)
+    if not len(sums) or sums[0] == 0:
+        return Fit((), 1.0, ridge, (0.0,) * k, tuple(goal.tolist()))
+    total = sums[0]
+    goal = goal * sums[1 + domains.index(held)] / total
+    step = 1 / (float(np.linalg.eigvalsh(sums[1 + k:].reshape(k, k) / total)[-1]) + ridge)
+    fit = Fit((), step, ridge, (), tuple(goal.tolist()))
     while True:
-        walked = _walk(p, residuals, step, ridge)
-        sums = _sums({f"{at}{d}": share * walked[at] * p[d] for at in ("rate", "ahead") for d in range(k)}, rated)
-        expected, off = sums[:k], sums[k:] - goal
-        if len(residuals) == steps or np.abs(expected - goal).max() < tolerance:
-            return Fit(tuple(residuals), step, ridge, tuple(expected.tolist()), tuple(goal.tolist()))
-        residuals.append(tuple(off.tolist()))
+        def both(n: np.ndarray, p: np.ndarray, fit: Fit = fit) -> np.ndarray:
+            rate, ahead = fit.walk(p)
+            return np.concatenate([(n * rate)[:, None] * p, (n * ahead)[:, None] * p], 1)
+
+        sums = _totals(rated, both, k) / total
+        fit = replace(fit, expected=tuple(sums[:k].tolist()))
+        if len(fit.residuals) == steps or np.abs(sums[:k] - goal).max() < tolerance:
+            return fit
+        fit = replace(fit, residuals=(*fit.residuals, tuple((sums[k:] - goal).tolist())))
+
+
+def with_rates(rated: DataFrame, fit: Fit) -> DataFrame:
+    """The rows with their `rate`."""
+    k = len(fit.target)
+    schema = T.StructType([*rated.schema.fields, T.StructField("rate", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rate, _ = fit.walk(_matrix(batch, k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], schema.names)
+
+    return rated.mapInArrow(run, schema)
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -268,4 +296,4 @@ def mix(documents: DataFrame, labelled: DataFrame, weights: dict[str, float], he
     model = fit_domains(documents, labelled, domains)
     rated = stored(with_posteriors(documents.drop("rate", "copies"), model, keep=keep))
     fitted = fit_rates(rated.select("n_words", "posteriors"), weights, held, domains)
-    return rated.withColumn("rate", fitted.rate(F.col("posteriors"))).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    return with_rates(rated, fitted).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))

@@ -99,7 +99,8 @@ def test_rates_against_projected_gradient(spark):
     df = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(60)], "doc_id long, n_words long, posteriors array<double>")
     weights = {"clean": 0.6, "low": 0.4, "toxic": 0.0}
     fit = mixing.fit_rates(df, weights, "clean")
-    got = np.array([r["r"] for r in df.select(fit.rate(df["posteriors"]).alias("r"), "doc_id").orderBy("doc_id").collect()])
+    got = np.array([r["rate"] for r in mixing.with_rates(df, fit).orderBy("doc_id").collect()])
+    assert np.allclose(got, fit.walk(p)[0])
     share = n / n.sum()
     goal = (share @ p)[0] * np.array([1, 0.4 / 0.6, 0])
     rates = np.ones(60)
@@ -113,6 +114,15 @@ def test_rates_against_projected_gradient(spark):
     assert (got >= 0).all() and value(got) <= value(rates) + 1e-4
 
 
+def test_labels_of_absent_documents_have_no_say(spark):
+    docs, marks, names = labelled_corpus(spark)
+    present = docs.where("doc_id < 120")  # the low-quality ones are gone, their labels are not
+    rows = mixing.mix(present, marks, {"clean": 1.0, "low": 0.0, "toxic": 0.0}, "clean").collect()
+    assert all(r["posteriors"][1] == 0 for r in rows)
+    kept = {r["doc_id"] for r in rows if r["rate"] + 0.5 >= 1}
+    assert kept == {i for i in range(120) if names[i] == "clean"}
+
+
 def test_mixing_edges(spark):
     df = odd_rows(spark, AWKWARD)
     none = spark.createDataFrame([], "doc_id long, domain string")
