@@ -11,11 +11,12 @@ what has to be looked at:
 3. Contexts that occur once, but whose anchor occurs elsewhere, are shared in part or not at all. They go, with
    one representative of each repeated context of the same anchor, to a shard that holds that anchor. The shard's
    suffix array (see `suffix`) finds the repeated strings among them.
-4. The contexts of an anchor that has more than `PART` of them are spread over several shards. Those hand on one
+4. The contexts of an anchor that occurs more than `PART` times are spread over several shards. Those hand on one
    fingerprint of every different string, and a merge looks each up among the other shards' by binary search.
 
 Counts are aggregated before they are shuffled and joined back by key, so a hot anchor costs one partial count per
-task. Texts are shuffled once, by a key of their own; both joins use that exchange.
+task. The anchors, and then the repeating ones, are stored in the shared folder. Texts are shuffled once, by a key of their own; both
+joins use that exchange.
 
 Defined results: a null text is empty; texts shorter than the length keep everything; repeated rows repeat each
 other and lose all bytes that a string covers; rows without an id take part like any other; an empty table gives
@@ -35,11 +36,12 @@ from pyspark.sql import functions as F
 
 from tallyshelf.llm import suffix
 from tallyshelf.llm.common import sliced
+from tallyshelf.session import stored
 
 LENGTH = 200
 PIECE = 64
 PART = 4096
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18  # small arrays stay in a core's cache
 CHUNK = 1 << 22
 LOW = np.uint64((1 << 24) - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio, odd
@@ -115,20 +117,21 @@ def _anchor_rows(length: int):
     return run
 
 
-def _flags(docs: DataFrame, length: int) -> DataFrame:
-    """(key, flags): for each text the anchors that repeat, with what to do about their contexts."""
-    rows = docs.select("key", "text").mapInArrow(_anchor_rows(length), "key bigint, a bigint, c bigint, n bigint")
-    counts = rows.groupBy("a").agg(F.sum("n").alias("total"), F.min("c").alias("low"), F.max("c").alias("high")).where("total > 1")
-    repeated = rows.join(counts.select("a", "low", "high"), "a")
-    alike = repeated.where("low = high").select("key", "a", "c", F.lit(True).alias("all"), F.lit(False).alias("send"), F.lit(None).cast("int").alias("part"))
-    mixed = repeated.where("low <> high").select("key", "a", "c", "n")
-    by_context = mixed.groupBy("a", "c").agg(F.sum("n").alias("copies"), F.min("key").alias("chosen"))
-    crowded = by_context.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
-    judged = mixed.join(by_context, ["a", "c"]).join(crowded, "a", "left").select(
-        "key", "a", "c", (F.col("copies") > 1).alias("all"),
-        ((F.col("copies") == 1) | (F.col("key") == F.col("chosen"))).alias("send"),
-        F.pmod(F.xxhash64("key", "c"), F.col("parts")).cast("int").alias("part"))
-    return alike.union(judged).groupBy("key").agg(F.collect_list(F.struct("a", "c", "all", "send", "part")).alias("flags"))
+def _flags(rows: DataFrame) -> DataFrame:
+    """(key, flags): for each text the anchors that repeat, with what to do about their contexts.
+
+    The repeating anchors are stored, since two aggregates read them. An anchor whose contexts are all alike sends none.
+    """
+    totals = rows.groupBy("a").agg(F.sum("n").alias("total")).where("total > 1")
+    repeated = stored(rows.join(totals, "a"))
+    by_context = repeated.groupBy("a", "c").agg(F.sum("n").alias("copies"), F.min("key").alias("chosen"))
+    copies, total = F.col("copies"), F.col("total")
+    parts = F.when(total > PART, F.ceil(total / PART))
+    judged = repeated.join(by_context, ["a", "c"]).select(
+        "key", "a", "c", (copies > 1).alias("all"),
+        ((copies < total) & ((copies == 1) | (F.col("key") == F.col("chosen")))).alias("send"),
+        F.pmod(F.xxhash64("key", "c"), parts).cast("int").alias("part"))
+    return judged.groupBy("key").agg(F.collect_list(F.struct("a", "c", "all", "send", "part")).alias("flags"))
 
 
 def _flag_map(flags: list[dict]) -> dict[tuple[int, int], dict]:
@@ -182,9 +185,13 @@ def _shard(rows: list[tuple], length: int, buckets: int) -> pa.RecordBatch:
     start = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.array([r[3] for r in rows])[row]
     key = np.array([r[2] for r in rows], np.int64)
     texts, text = np.unique(key, return_inverse=True)
-    positions, classes, several = suffix.repeated_starts(data, text[row] << 40 | start, length)
-    repeated = positions[several]
-    keys, begins, ends = _runs(key[row[repeated]], start[repeated])
+    # the place in the input: number of the text and start, so that neighbouring starts are neighbouring numbers
+    place = text[row] << 40 | start
+    positions, classes, several = suffix.repeated_starts(data, place, length)
+    repeated = np.unique(place[positions[several]])
+    new = np.append(True, np.diff(repeated) != 1)[:len(repeated)]
+    first, last = repeated[new], repeated[np.append(new[1:], True)[:len(repeated)]]
+    keys, begins, ends = texts[first >> 40], first & ((1 << 40) - 1), last & ((1 << 40) - 1)
     n = len(keys)
     out = [keys & 0x7FFFFFFF, keys, begins, ends, np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)]
     parts = np.array([r[1] is not None for r in rows])
@@ -274,9 +281,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, texts: bool = False) ->
     # a key of its own for every text; texts that share one by chance are still told apart by their hashes
     docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    flags = _flags(docs, length)
-    flagged = docs.join(flags, "key", "left")
-    sent = flagged.select("key", "text", "flags").mapInArrow(_sent(length), "a bigint, part int, key bigint, begin bigint, bytes binary")
+    rows = stored(docs.select("key", "text").mapInArrow(_anchor_rows(length), "key bigint, a bigint, c bigint, n bigint"))
+    # both uses read the same columns, so the exchanges below them are run once
+    flagged = docs.join(_flags(rows), "key", "left").select("doc_id", "key", "text", "flags")
+    sent = flagged.mapInArrow(_sent(length), "a bigint, part int, key bigint, begin bigint, bytes binary")
     shards = sent.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(_shards(length, buckets), FOUND_SCHEMA)
     runs = shards.groupBy("bucket").applyInArrow(_merge, "key bigint, begin bigint, end bigint")
     runs = runs.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))

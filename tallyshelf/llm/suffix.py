@@ -30,37 +30,55 @@ def symbols(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed(data) | beyond.astype(np.uint64), room
 
 
+def _sorted_places(major: np.ndarray, minor: np.ndarray, bits: int) -> np.ndarray:
+    """The stable order by two columns of numbers below 2**bits.
+
+    Both and the index go into one number where they fit, since plain numbers sort many times faster than an
+    order can be found.
+    """
+    index = np.arange(len(major))
+    if 3 * bits <= 63:
+        return np.sort((major << 2 * bits) | (minor << bits) | index) & ((1 << bits) - 1)
+    return np.lexsort((minor, major))
+
+
 def suffix_array(words: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in the order of their suffixes, and the place of each position.
 
-    Sorted by eight bytes first; then only groups that are still undecided are sorted by the place of the suffix
+    Sorted by a few bytes first; then only groups that are still undecided are sorted by the place of the suffix
     that begins where the compared part ends, which doubles that part.
     """
     n = len(words)
-    order = np.argsort(words, kind="stable")
+    bits = max(1, n.bit_length())
+    done = 5 if bits <= 24 else WORD
+    first = words >> np.uint64(8 * (WORD - done))
+    if bits <= 24:
+        order = (np.sort((first << np.uint64(bits)) | np.arange(n, dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(first, kind="stable")
     # a suffix whose compared part holds the end of its piece is decided: ends follow their position
     fresh = np.ones(n, bool)
-    fresh[1:] = (words[order][1:] != words[order][:-1]) | (room[order][1:] < WORD)
+    ordered = first[order]
+    fresh[1:] = (ordered[1:] != ordered[:-1]) | (room[order[1:]] < done)
     place = np.empty(n, np.int64)
     place[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    done = WORD
-    while True:
-        open_ = ~(fresh & np.append(fresh[1:], True))
-        at = np.flatnonzero(open_)
-        if not len(at):
-            return order, place
+    at = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+    while len(at):
         positions = order[at]
         groups, after = place[positions], place[positions + done]
-        by = np.lexsort((after, groups))
-        order[at], groups, after = positions[by], groups[by], after[by]
-        first = np.ones(len(at), bool)
-        first[1:] = (groups[1:] != groups[:-1]) | (after[1:] != after[:-1])
-        fresh[at] = first
-        place[order[at]] = np.maximum.accumulate(np.where(first, at, 0))
+        by = _sorted_places(groups, after, bits)
+        positions, groups, after = positions[by], groups[by], after[by]
+        order[at] = positions
+        new = np.ones(len(at), bool)
+        new[1:] = (groups[1:] != groups[:-1]) | (after[1:] != after[:-1])
+        place[positions] = np.maximum.accumulate(np.where(new, at, 0))
+        # what now is alone in its group is decided
+        at = at[~(new & np.append(new[1:], True))]
         done *= 2
+    return order, place
 
 
-def common_prefixes(order: np.ndarray, place: np.ndarray, words: np.ndarray, room: np.ndarray, stride: int = 512) -> np.ndarray:
+def common_prefixes(order: np.ndarray, place: np.ndarray, words: np.ndarray, room: np.ndarray, stride: int = 16) -> np.ndarray:
     """By place: how many bytes a suffix shares with the one before it in the order.
 
     Kasai's walk through the positions, where each keeps all but one of the bytes its neighbour shared; stretches
@@ -81,22 +99,24 @@ def common_prefixes(order: np.ndarray, place: np.ndarray, words: np.ndarray, roo
         length = np.minimum(np.maximum(held - 1, 0), most)
         active = np.flatnonzero(length < most)
         while len(active):
-            a, b, l = i[active], j[active], length[active]
-            differ = words[a + l] ^ words[b + l]
-            # leading equal bytes: 8 less the bytes that the highest differing bit needs
-            _, top = np.frexp((differ >> np.uint64(11)).astype(np.float64))
-            bits = np.where(differ >> np.uint64(11) == 0, _bit_length(differ), top + 11)
-            equal = WORD - (bits + 7) // 8
-            length[active] = np.minimum(l + equal, most[active])
-            active = active[(equal == WORD) & (length[active] < most[active])]
+            l = length[active]
+            differ = words[i[active] + l] ^ words[j[active] + l]
+            same = differ == 0
+            length[active] = np.minimum(l + np.where(same, WORD, _leading_bytes(differ)), most[active])
+            active = active[same]
+            active = active[length[active] < most[active]]
         shared[i] = held = length
     return shared[order]
 
 
-def _bit_length(values: np.ndarray) -> np.ndarray:
-    """Of numbers below 2**53."""
-    _, top = np.frexp((values & np.uint64((1 << 53) - 1)).astype(np.float64))
-    return top
+def _leading_bytes(differ: np.ndarray) -> np.ndarray:
+    """How many of the highest bytes are 0."""
+    zeros = np.zeros(len(differ), np.int64)
+    for shift in (32, 16, 8):
+        clear = differ >> np.uint64(64 - shift) == 0
+        zeros += clear * (shift // 8)
+        differ = np.where(clear, differ << np.uint64(shift), differ)
+    return zeros
 
 
 def repeated_starts(data: np.ndarray, identity: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,12 +130,12 @@ def repeated_starts(data: np.ndarray, identity: np.ndarray, length: int) -> tupl
     whole = room[order] >= length
     positions, classes = order[whole], np.cumsum(shared < length)[whole]
     names = identity[positions]
-    pairs = np.lexsort((names, classes))
-    c, v = classes[pairs], names[pairs]
-    new = np.ones(len(c), bool)
-    new[1:] = (c[1:] != c[:-1]) | (v[1:] != v[:-1])
-    several = np.bincount(c[new], minlength=int(classes.max(initial=0)) + 1) > 1
-    return positions, classes, several[classes]
+    # a class has several identities if its smallest differs from its largest
+    new = np.flatnonzero(np.append(True, classes[1:] != classes[:-1])) if len(classes) else np.zeros(0, np.int64)
+    if not len(new):
+        return positions, classes, np.zeros(0, bool)
+    several = np.minimum.reduceat(names, new) != np.maximum.reduceat(names, new)
+    return positions, classes, np.repeat(several, np.diff(np.append(new, len(classes))))
 
 
 def found_elsewhere(first: np.ndarray, second: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
