@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,6 +52,11 @@ def _whole_day_clock(text: Column) -> Column:
     return F.when(text.rlike(pattern), F.concat(F.regexp_replace(text, pattern, ""), clock)).otherwise(text)
 
 
+def _bound(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(value)`` with the value computed once, however often it is used: the expression stays small."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def parse_timestamp(c: Column, data_type: T.DataType, formats: Sequence[str] = ()) -> Column:
     """Timestamp without zone; text that is no date becomes null instead of an error.
 
@@ -68,7 +73,8 @@ def parse_timestamp(c: Column, data_type: T.DataType, formats: Sequence[str] = (
         else:
             plain = text.try_cast("timestamp_ntz")
             unusual = text.rlike("[/A-Za-z]")
-            c = F.when(unusual, F.coalesce(plain, _iso_date(_whole_day_clock(text)).try_cast("timestamp_ntz"))).otherwise(plain)
+            moved = _bound(_bound(text, _whole_day_clock), _iso_date)
+            c = F.when(unusual, F.coalesce(plain, moved.try_cast("timestamp_ntz"))).otherwise(plain)
     return c.cast("timestamp_ntz")
 
 
