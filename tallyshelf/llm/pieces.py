@@ -225,7 +225,7 @@ class PieceModel:
         runs = [RUN.findall(t) if self.split else [t] * bool(t) for t in spaced]
         if len(self.known) > CACHE_RUNS or self.used > CACHE_IDS:
             self._forget()
-        self.learn(set().union(*runs) - self.known.keys())
+        self.learn(set().union(*runs).difference(self.known))
         counts = np.array([len(r) for r in runs])
         ids, sizes = self._gather(chain.from_iterable(runs), int(counts.sum()))
         ends = np.append(0, np.cumsum(sizes))[np.cumsum(counts)]
