@@ -22,9 +22,9 @@ without any labels every posterior is uniform; further columns pass through, tho
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,6 @@ from pyspark.sql import types as T
 from tallyshelf.llm.common import sliced, texts_of
 from tallyshelf.session import stored
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BUCKETS = 1 << 18
 BEGINNINGS = (4, 5)
 FEATURES = 1500
@@ -48,7 +47,7 @@ ROUNDS = 200
 STEPS = 30
 RIDGE = 1e-3
 CACHE_WORDS = 300_000
-EDGES = ".,;:!?()\"'"
+EDGES = b".,;:!?()\"'"
 DOMAINS = ("clean", "low", "toxic")
 
 
@@ -64,28 +63,39 @@ class WordHashes:
     """
 
     def __init__(self, telling: np.ndarray | None = None):
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.beginnings: dict[bytes, int] = {}
         self.telling = None if telling is None else frozenset(np.flatnonzero(telling).tolist())
 
+    def _bucket(self, part: bytes) -> int:
+        """The bucket, or -1 if it tells nothing."""
+        bucket = xxhash.xxh3_64_intdigest(part) % BUCKETS
+        return bucket if self.telling is None or bucket in self.telling else -1
+
+    def _buckets(self, word: bytes) -> tuple[int, ...]:
+        bare = word.strip(EDGES)
+        found = [self._bucket(bare)]
+        for n in BEGINNINGS:
+            if len(bare) > n:
+                part = bare[:n] + b"*"
+                bucket = self.beginnings.get(part)
+                if bucket is None:
+                    bucket = self.beginnings[part] = self._bucket(part)
+                found.append(bucket)
+        return tuple(b for b in found if b >= 0)
+
     def of(self, text: str) -> tuple[np.ndarray, int]:
         """The different buckets of a text, and its number of words."""
-        words = WORD.findall(text)
+        # split() of bytes knows only the blanks x20 and x09 to x0D, lower() only A-Z
+        words = text.encode("utf-8", "replace").lower().split()
         known = self.known
-        if len(known) > CACHE_WORDS:
+        if len(known) > CACHE_WORDS or len(self.beginnings) > CACHE_WORDS:
             known.clear()
-        found: set[int] = set()
+            self.beginnings.clear()
         different = set(words)
-        for w in different:
-            buckets = known.get(w)
-            if buckets is None:
-                bare = w.lower().strip(EDGES)
-                parts = [bare, *(f"{bare[:n]}*" for n in BEGINNINGS if len(bare) > n)]
-                buckets = tuple(xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) % BUCKETS for x in parts)
-                if self.telling is not None:
-                    buckets = tuple(b for b in buckets if b in self.telling)
-                known[w] = buckets
-            if buckets:
-                found.update(buckets)
+        for w in different.difference(known):
+            known[w] = self._buckets(w)
+        found = set(chain.from_iterable(map(known.__getitem__, different)))
         # the share of different words tells repeated text from prose
         found.add(BUCKETS + min(9, 10 * len(different) // max(1, len(words))))
         return np.fromiter(found, np.int64, len(found)), len(words)
