@@ -3,13 +3,18 @@
 1. A classifier learned from a bounded sample of a labelled table gives every document the posterior probability
    of each domain (softmax regression over hashed words, corrected for the share of each domain among all labels).
 2. Every document gets a nonnegative rate: how often it should be taken. The rates minimise
-       1/2 |S - T|^2 + ridge/2 * sum over documents of share_i * (rate_i - 1)^2
+       1/2 * sum over domains of weight_d * (S_d - T_d)^2 + ridge/2 * sum over documents of share_i * (rate_i - 1)^2
    where S_d is the sum of rate_i * share_i * posterior_id, the expected tokens of domain d, share_i is the
-   document's part of all tokens, and T are the wanted totals. Projected gradient steps in the metric of the shares
-   read rate <- max(0, rate - step * (posterior . (S - T) + ridge * (rate - 1))), so a document's rate follows
-   from its posteriors and the list of residuals S - T so far. No rate is ever collected or stored between the
-   steps: each step is one pass over the stored posteriors that adds up one small vector, and the driver keeps
-   one residual per step.
+   document's part of all tokens, and T are the wanted totals. weight_d is 1, or LEAST_SHARE / share_d for a domain
+   with a smaller part of all tokens, so that the ridge moves no domain by more than about a hundredth of its own
+   tokens, however rare it is. At the minimum rate_i = max(0, 1 - posterior_i . multipliers) with one multiplier per
+   domain, so Newton's method looks for these few numbers: each step is one pass over the stored posteriors that adds
+   up a small vector for several step lengths at once. No rate is ever collected or stored between the steps.
+   What the ridge leaves of a positive target is then taken up by moving its centre to the multipliers found (the
+   method of multipliers). A target of zero is not chased like that: posteriors are never exactly 0, so it could
+   only be met by dropping documents that are almost surely of another domain. `Fit.missed` names the domains whose
+   expected tokens are not within `tolerance` of a positive target, or above NEAR_ZERO of what they had for a target
+   of zero; `mix` warns of them.
 3. `copies` turns a rate into a whole number: its integer part, plus one if the fraction exceeds a hash of the id.
 
 Defined results: null or empty texts have no tokens, no influence on the fit, and the rate their posteriors imply;
@@ -22,8 +27,9 @@ without any labels every posterior is uniform; further columns pass through, tho
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -46,6 +52,10 @@ SAMPLE_PER_DOMAIN = 2500
 ROUNDS = 200
 STEPS = 30
 RIDGE = 1e-3
+LEAST_SHARE = 0.1  # rarer domains weigh as much as one with this share: 100 ridges
+NEAR_ZERO = 0.02
+CENTRES = 8
+LENGTHS = 0.5 ** np.arange(8)
 CACHE_WORDS = 300_000
 EDGES = b".,;:!?()\"'"
 DOMAINS = ("clean", "low", "toxic")
@@ -213,22 +223,17 @@ def with_posteriors(df: DataFrame, model: DomainModel, text: str = "text", keep:
 
 @dataclass(frozen=True)
 class Fit:
-    """The residual of every step, from which any document's rate follows."""
+    """One multiplier for each domain, from which any document's rate follows, and how far the targets are met."""
 
-    residuals: tuple[tuple[float, ...], ...]
-    step: float
-    ridge: float
+    multipliers: tuple[float, ...]
     expected: tuple[float, ...]
     target: tuple[float, ...]
+    missed: tuple[str, ...] = ()
 
     def walk(self, posteriors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rates after the steps so far, and the points ahead of them where the next residual is taken (Nesterov's)."""
-        rate = ahead = np.ones(len(posteriors))
-        for t, residual in enumerate(self.residuals, 1):
-            slope = posteriors @ np.array(residual) + self.ridge * (ahead - 1)
-            before, rate = rate, np.maximum(0.0, ahead - self.step * slope)
-            ahead = rate + t / (t + 3) * (rate - before)
-        return rate, ahead
+        """Rates, and which of them are above zero and so change with the multipliers."""
+        raw = 1 - posteriors @ np.array(self.multipliers)
+        return np.maximum(0.0, raw), raw > 0
 
 
 def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
@@ -250,30 +255,58 @@ def _totals(rated: DataFrame, terms, k: int) -> np.ndarray:
 
 
 def fit_rates(rated: DataFrame, weights: dict[str, float], held: str, domains: tuple[str, ...] = DOMAINS, steps: int = STEPS,
-              ridge: float = RIDGE, tolerance: float = 2e-4) -> Fit:
-    """Accelerated projected gradient over stored posteriors, one pass over them per step.
+              ridge: float = RIDGE, tolerance: float = 1e-3) -> Fit:
+    """Newton's method for the multipliers over stored posteriors, one pass over them per step.
 
     `weights` are the wanted proportions of the domains' tokens; the domain `held` keeps the total that it has.
+    Every minimum is searched until a step changes nothing, `steps` steps at most; `tolerance` is relative to a target.
     """
     k = len(domains)
     goal = np.array([weights[d] / weights[held] for d in domains])
-    sums = _totals(rated, lambda n, p: np.concatenate([n[:, None], n[:, None] * p, (n[:, None, None] * p[:, :, None] * p[:, None, :]).reshape(len(n), -1)], 1), k)
+    sums = _totals(rated, lambda n, p: np.concatenate([n[:, None], n[:, None] * p], 1), k)
     if not len(sums) or sums[0] == 0:
-        return Fit((), 1.0, ridge, (0.0,) * k, tuple(goal.tolist()))
-    total = sums[0]
-    goal = goal * sums[1 + domains.index(held)] / total
-    step = 1 / (float(np.linalg.eigvalsh(sums[1 + k:].reshape(k, k) / total)[-1]) + ridge)
-    fit = Fit((), step, ridge, (), tuple(goal.tolist()))
-    while True:
-        def both(n: np.ndarray, p: np.ndarray, fit: Fit = fit) -> np.ndarray:
-            rate, ahead = fit.walk(p)
-            return np.concatenate([(n * rate)[:, None] * p, (n * ahead)[:, None] * p], 1)
-
-        sums = _totals(rated, both, k) / total
-        fit = replace(fit, expected=tuple(sums[:k].tolist()))
-        if len(fit.residuals) == steps or np.abs(sums[:k] - goal).max() < tolerance:
-            return fit
-        fit = replace(fit, residuals=(*fit.residuals, tuple((sums[k:] - goal).tolist())))
+        return Fit((0.0,) * k, (0.0,) * k, tuple(goal.tolist()))
+    total, now = sums[0], sums[1:] / sums[0]
+    goal = goal * now[domains.index(held)]
+    pull = ridge / np.maximum(1.0, LEAST_SHARE / np.where(now > 0, now, 1.0))
+    scale = np.maximum(np.maximum(now, goal), np.finfo(float).tiny)
+
+    def tried(points: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """At each of some multipliers: the dual's value without the ridge on them, the domains' totals, their slopes."""
+        def terms(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+            out = []
+            for m in points:
+                rate, some = Fit(tuple(m.tolist()), (), ()).walk(p)
+                out.append(np.concatenate([[n @ rate**2 / 2], (n * rate) @ p, (p.T @ ((n * some)[:, None] * p)).ravel()]))
+            return np.concatenate(out)[None, :]
+
+        parts = (_totals(rated, terms, k) / total).reshape(len(points), -1)
+        return [(v[0], v[1:1 + k], v[1 + k:].reshape(k, k)) for v in parts]
+
+    centre = at = np.zeros(k)
+    value, found, slope = tried(at[None, :])[0]
+    for _ in range(CENTRES):
+        for _ in range(steps):
+            down = found - goal - pull * (at - centre)
+            step = np.linalg.solve(slope + np.diag(pull), down)
+            gain = down @ step
+            if (np.abs(down) <= 1e-7 * scale).all() or gain <= 0:
+                break
+            points = at + LENGTHS[:, None] * step
+            worth = lambda v, m: v + m @ goal + (pull * (m - centre) ** 2).sum() / 2
+            results = tried(points)
+            values = np.array([worth(r[0], m) for r, m in zip(results, points)])
+            best = int(np.argmin(values))
+            if values[best] >= worth(value, at):  # as far as numbers of this precision go
+                break
+            at, (value, found, slope) = points[best], results[best]
+        off = np.abs(found - goal) > tolerance * goal
+        open_ = off & (goal > 0) & (now > 0)
+        if not open_.any():
+            break
+        centre = np.where(open_, at, centre)
+    missed = np.where(goal > 0, off, found > NEAR_ZERO * now)
+    return Fit(tuple(at.tolist()), tuple(found.tolist()), tuple(goal.tolist()), tuple(d for d, m in zip(domains, missed) if m))
 
 
 def with_rates(rated: DataFrame, fit: Fit) -> DataFrame:
@@ -306,4 +339,7 @@ def mix(documents: DataFrame, labelled: DataFrame, weights: dict[str, float], he
     model = fit_domains(documents, labelled, domains)
     rated = stored(with_posteriors(documents.drop("rate", "copies"), model, keep=keep))
     fitted = fit_rates(rated.select("n_words", "posteriors"), weights, held, domains)
+    if fitted.missed:
+        figures = ", ".join(f"{d} {s:.3g} for {t:.3g}" for d, s, t in zip(domains, fitted.expected, fitted.target) if d in fitted.missed)
+        warnings.warn(f"targets not reached, in parts of all tokens: {figures}", stacklevel=2)
     return with_rates(rated, fitted).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))

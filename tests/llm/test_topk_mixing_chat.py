@@ -7,6 +7,7 @@ import pytest
 from helpers import AWKWARD, documents, odd_rows, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyshelf.llm import bitsliced, chat, mixing
 
@@ -114,6 +115,30 @@ def test_rates_against_projected_gradient(spark):
     assert (got >= 0).all() and value(got) <= value(rates) + 1e-4
 
 
+@pytest.mark.parametrize("rare", [60, 20, 3])
+def test_rare_domains_reach_their_targets(spark, rare):
+    """Shares of 0.3 %, 0.1 % and 0.015 % of all tokens."""
+    names = [0] * 19_700 + [1] * 300 + [2] * rare
+    hot = np.eye(3).tolist()
+    df = spark.createDataFrame([(i, 100, hot[d]) for i, d in enumerate(names)], "doc_id long, n_words long, posteriors array<double>")
+    fit = mixing.fit_rates(df, {"clean": 1.0, "low": 0.0, "toxic": 0.0}, "clean")
+    copies = mixing.with_rates(df, fit).withColumn("copies", mixing.nearest_copies(F.col("rate")))
+    assert {r["doc_id"]: r["copies"] for r in copies.collect()} == {i: int(d == 0) for i, d in enumerate(names)}
+    assert fit.missed == ()
+    wanted = np.array([0.85, 0.1, 0.05])
+    fit = mixing.fit_rates(df, dict(zip(mixing.DOMAINS, wanted.tolist())), "clean")
+    got = np.array([r["rate"] for r in mixing.with_rates(df, fit).orderBy("doc_id").collect()])
+    totals = np.bincount(names, weights=got)
+    assert np.abs(totals / (totals[0] * wanted / wanted[0]) - 1).max() < 2e-3 and fit.missed == ()
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    docs, marks, _ = labelled_corpus(spark)
+    present = docs.where("doc_id < 120")  # no low-quality ones, yet some are wanted
+    with pytest.warns(UserWarning, match="low 0 for"):
+        mixing.mix(present, marks, {"clean": 0.7, "low": 0.2, "toxic": 0.1}, "clean")
+
+
 def test_labels_of_absent_documents_have_no_say(spark):
     docs, marks, names = labelled_corpus(spark)
     present = docs.where("doc_id < 120")  # the low-quality ones are gone, their labels are not
