@@ -69,6 +69,33 @@ def test_ratio_separates_and_counts_everything(spark):
     assert abs(next(r["score"] for r in rows if r["doc_id"] == 3) - want) < 1e-9
 
 
+def test_the_cut_follows_the_trusted_documents(spark):
+    clean = [prose(80 + i % 30, i) for i in range(300)]
+    # two words in 90 are junk: mild enough for a loose constant cut
+    mild = [" ".join(w if k % 45 else "|" for k, w in enumerate(prose(90, 2000 + i).split())) for i in range(10)]
+    docs = documents(spark, clean + mild)
+    marks = labels(spark, 290, 0)
+    rows = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, marks).collect()}
+    assert all(-0.12 < rows[i]["score"] for i in range(300, 310)) and not any(rows[i]["kept"] for i in range(300, 310))
+    assert sum(rows[i]["kept"] for i in range(300)) >= 298
+    # brute force: the least score of the trusted ones if each were not trusted, since one in 1000 of 290 is none
+    counts = quality_rules.bucket_counts(quality_rules.count_ngrams(docs.selectExpr("text", "doc_id < 290 AS trusted")))
+    hashes, least = quality_rules.Hashes(), []
+    for i in range(290):
+        codes, different = quality_rules.numbered(clean[i].split())
+        found = quality_rules.ngram_buckets(codes, hashes.of(different), quality_rules.BUCKETS).astype(np.int64)
+        others = counts[1] - np.bincount(found, minlength=quality_rules.BUCKETS)
+        least.append(quality_rules.log_ratios(counts[0], others)[found].mean())
+    cut = quality_rules.CELL * np.floor(min(least) / quality_rules.CELL)
+    assert {i for i, r in rows.items() if r["kept"]} == {i for i, r in rows.items() if not r["base_failed"] and r["score"] >= cut}
+
+
+def test_the_cut_gives_up_one_in_a_thousand(spark):
+    scores = spark.range(5000).selectExpr("(id - 2500) / 1000D + 0.00005D AS untrusted_score")
+    assert abs(quality_rules.cut(scores) + 2.495) < 1e-9
+    assert quality_rules.cut(scores.limit(0)) == -np.inf
+
+
 def test_rules_on_odd_rows_and_empty_tables(spark):
     df = odd_rows(spark, [prose(80), None])
     none = labels(spark, 0, 0)
