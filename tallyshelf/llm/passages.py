@@ -151,9 +151,13 @@ def _sent(length: int):
                     continue
                 positions, a = anchors(np.frombuffer(text, np.uint8), length)
                 begins, ends, c = contexts(text, positions, length)
+                done = set()
                 for pair, begin, end in zip(zip(a.tolist(), c.tolist()), begins, ends):
                     flag = known.get(pair)
-                    if flag and flag["send"]:
+                    if flag and flag["send"] and pair not in done:
+                        # a context that repeats is settled by counts everywhere: one occurrence stands for all in the text
+                        if flag["all"]:
+                            done.add(pair)
                         out.append((flag["a"], flag["part"], keys[i], begin, text[begin:end]))
             if out:
                 columns = list(zip(*out))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from helpers import AWKWARD, documents, odd_rows, prose
+from pyspark.sql import functions as F
 
 from tallyshelf.llm import passages, simhash, suffix, vantage
 
@@ -151,6 +152,23 @@ def test_repeats_against_brute_force(spark, monkeypatch, part, shard):
     assert passages_found(documents(spark, [t for _, t in rows])) == slow_removal(rows, passages.LENGTH)
 
 
+def test_a_long_periodic_text(spark, monkeypatch):
+    monkeypatch.setattr(passages, "PART", 16)
+    monkeypatch.setattr(passages, "SHARD_BYTES", 3000)
+    line = prose(40, 9)[:99] + "\n"
+    texts = [line * 1000, prose(60, 4) + line * 3 + prose(60, 5), line[:50] + line * 2, prose(60, 6)]
+    rows = list(enumerate(texts))
+    df = documents(spark, texts)
+    assert passages_found(df) == slow_removal(rows, passages.LENGTH)
+    # what a shard gets of one anchor: not every occurrence
+    docs = df.selectExpr("text", "xxhash64(doc_id, text) AS key")
+    found = docs.select("key", "text").mapInArrow(passages._anchor_rows(passages.LENGTH), "key bigint, a bigint, c bigint, n bigint")
+    flagged = docs.join(passages._flags(found), "key", "left")
+    sent = flagged.mapInArrow(passages._sent(passages.LENGTH), "a bigint, part int, key bigint, begin bigint, bytes binary")
+    sizes = [r["n"] for r in sent.groupBy("a", "part").agg(F.count("*").alias("n")).collect()]
+    assert sizes and max(sizes) <= passages.PART
+
+
 def test_repeats_in_odd_rows_and_empty_tables(spark):
     texts = [prose(80), None, "", "short", prose(80, 3)]
     df = odd_rows(spark, texts)
