@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.llm import bitsliced, chat, mil, mixing, passages, pieces, pii, quality_rules, secrets, simhash
+from tallyshelf.llm import bitsliced, chat, mil, mixing, passages, periodic, pieces, pii, prefix_trie, quality_rules, secrets, simhash, url_templates
 from tallyshelf.llm.common import Query, Run
 from tallyshelf.sources.star import table
 
@@ -83,3 +83,19 @@ def _chat(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)], rows.schema)
     return chat.read_back(chat.format_chat(rows.union(planted)))
+
+
+@register("op11_url_filters", url_templates.sql())
+def _url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_templates.filter_urls(table(spark, folder, "pages"))
+
+
+@register("op12_prefix_trie", prefix_trie.SQL)
+def _prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    paths = prefix_trie.with_family_heads(prefix_trie.paths_of(table(spark, folder, "conversations")))
+    return prefix_trie.trie_digest(prefix_trie.trie_nodes(paths))
+
+
+@register("op13_periodic_runs")
+def _periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.run_digest(periodic.find_runs(periodic.planted(table(spark, folder, "documents"))))
