@@ -1,9 +1,12 @@
-"""Exact quantiles by refinement of value ranges.
-
-The range of a column, or of each group, is cut into equal bins and the rows per bin are counted; only the bins
-that hold a wanted rank are cut and counted again, and in the end only the values inside those fine bins are
-counted one by one. Every pass is a partial aggregate over the rows, so a hot group or a column with billions of
-different values costs one small buffer per task, and no task ever holds or sorts more than one fine bin.
+"""Exact quantiles in two reads: a sketch gives a bracket for every wanted rank, counting gives the rank itself.
+
+The first read aggregates one mergeable rank sketch per column (and group). Asked a little below and a little above
+a rank, by more than the sketch's guaranteed error, it names two values that enclose the wanted one. The second read
+counts: a value inside a bracket counts for itself, all others only for the gap between brackets they lie in. Both are
+partial aggregates, so a hot group or a column with billions of different values costs one small buffer per task,
+and only the few values inside brackets are shuffled. They are cut into bins by value, bins are summed, and values are put
+in order only inside the bin that holds a wanted rank. Should a sketch ever break its guarantee, the rank falls into a
+gap and the query fails rather than answer.
 """
 
 from __future__ import annotations
@@ -13,8 +16,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096  # per pass for a whole column: two passes leave about one in 16 million of the value range
-GROUP_BINS = 256  # per pass and group
+BINS = 4096  # per bracket of a whole column
+GROUP_BINS = 64  # per bracket and group
+ACCURACY = 10_000  # of the sketch: ranks are off by at most one in so many rows
+# up to so many values: how far around a rank, as a share of all, the sketch is asked (beyond its error and one rank)
+FEW = 2_000  # the bracket is the whole range
+WIDTHS = ((1_000_000, 3 / ACCURACY + 2 / FEW), (None, 3 / ACCURACY + 2e-6))
 
 
 def _bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -25,81 +32,92 @@ def _bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
     return F.when(width == 0, F.lit(0)).when(width < float("inf"), at).otherwise(ends).cast("int")
 
 
-def _attach(rows: DataFrame, cells: DataFrame, by: Sequence[str], few_groups: bool) -> DataFrame:
-    """The rows with the array `_cells` of their group."""
-    if by:
-        return rows.join(F.broadcast(cells) if few_groups else cells, list(by))
-    return rows.withColumn("_cells", cells.select("_cells").scalar())
-
-
-def _inside(rows: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """One row per value that lies in a cell of its column: (by, _col, _v, _cell)."""
-    def entry(i: int, c: str) -> Column:
-        held = F.filter("_cells", lambda x: (x["col"] == i) & F.col(c).between(x["low"], x["high"]))
-        return F.struct(F.lit(i).alias("_col"), F.col(c).alias("_v"), F.get(held, F.lit(0)).alias("_cell"))
-
-    spread = rows.select(*by, F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))
-    return spread.where(F.col("_cell").isNotNull())
-
+def _brackets(rows: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """One row per group: `_brackets`, a struct with the columns' structs (lows, highs), one entry per rank."""
+    asked = sorted({min(1.0, max(0.0, p + s * w)) for p in probs for _, w in WIDTHS for s in (-1, 1)})
+    place = {q: i for i, q in enumerate(asked)}
+    grid = F.array(*[F.lit(q) for q in asked])
+    sketched = rows.groupBy(*by).agg(*[
+        F.struct(F.percentile_approx(c, grid, ACCURACY).alias("q"), F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).alias(c)
+        for c in columns])
 
-def _ranks(total: Column, probs: Sequence[float]) -> list[Column]:
-    return [r((total - 1) * F.lit(float(p))) for p in probs for r in (F.floor, F.ceil)]
+    def side(c: str, p: float, sign: int) -> Column:
+        """The nearest of the two widths that the number of values allows; the whole range for few."""
+        found = F.col(f"{c}.low" if sign < 0 else f"{c}.high")
+        narrow = None
+        for most, width in WIDTHS:
+            at = F.get(f"{c}.q", F.lit(place[min(1.0, max(0.0, p + sign * width))]))
+            narrow = F.when(F.col(f"{c}.n") <= most, at) if most else (narrow.otherwise(at) if narrow is not None else at)
+        return F.when(F.col(f"{c}.n") <= FEW, found).otherwise(narrow)
 
+    return sketched.select(*by, F.struct(*[
+        F.struct(F.array(*[side(c, p, -1) for p in probs]).alias("low"), F.array(*[side(c, p, 1) for p in probs]).alias("high")).alias(c)
+        for c in columns]).alias("_brackets"))
 
-def _refine(rows: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], bins: int) -> DataFrame:
-    """Per group the cells of the next pass: the bins that hold a wanted rank, with the rows before them."""
-    inside = _inside(rows, columns, by)
-    keys = [*by, "_col", "_cell"]
-    counted = (
-        inside.withColumn("_bin", _bin_of(F.col("_v"), F.col("_cell.low"), F.col("_cell.high"), bins))
-        .groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_cell.before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    placed = counted.withColumn("_before", before)
-    wanted = F.lit(False)
-    for k in _ranks(F.col("_cell.total"), probs):
-        wanted = wanted | ((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")))
-    cell = F.struct(F.col("_col").alias("col"), F.col("_low").alias("low"), F.col("_high").alias("high"),
-                    F.col("_before").alias("before"), F.col("_cell.total").alias("total"))
-    return placed.where(wanted).groupBy(*by).agg(F.collect_list(cell).alias("_cells"))
 
+def _counts(rows: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], bins: int) -> DataFrame:
+    """(by, _col, _cell, _bin, _v, _n): how often each value inside a bracket occurs, and how many lie in each gap.
 
-def quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), *, few_groups: bool = False
-) -> DataFrame:
+    `_cell` numbers the brackets; what lies before bracket i and after those before it has its number, bin -1 and no value.
+    """
+    def entry(i: int, c: str) -> Column:
+        value, low, high = F.col(c), F.col(f"_brackets.{c}.low"), F.col(f"_brackets.{c}.high")
+        cell, inside, at = F.lit(len(probs)), F.lit(False), F.lit(-1)
+        for k in range(len(probs) - 1, -1, -1):
+            here, first = value <= high[k], low[k]
+            cell = F.when(here, F.lit(k)).otherwise(cell)
+            inside = F.when(here, value >= first).otherwise(inside)
+            at = F.when(here, F.when(value >= first, _bin_of(value, first, high[k], bins)).otherwise(-1)).otherwise(at)
+        return F.struct(F.lit(i).alias("_col"), F.when(value.isNotNull(), cell).alias("_cell"), at.alias("_bin"), F.when(inside, value).alias("_v"))
+
+    if len(columns) == 1:
+        spread = rows.select(*by, entry(0, columns[0]).alias("_e")).select(*by, "_e.*")
+    else:
+        spread = rows.select(*by, F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))
+    return spread.where(F.col("_cell").isNotNull()).groupBy(*by, "_col", "_cell", "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles of each column, per group of ``by``.
 
     One row per group with an array column per input column, aligned with ``probs``. Missing values (NaN too) are
-    skipped; rows with a missing group key are dropped. ``few_groups`` promises that the number of groups is bounded
-    (calendar buckets, say), so that the cells of all groups can be sent to every task; without it they are joined.
+    skipped; rows with a missing group key are dropped.
     """
-    by, columns = list(by), list(columns)
+    by, columns, probs = list(by), list(columns), [float(p) for p in probs]
     names = [f"_c{i}" for i in range(len(columns))]
     rows = df.dropna(subset=by) if by else df
     numbers = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(n) for c, n in zip(columns, names)]
     rows = rows.select(*by, *numbers)
-    whole = [
-        F.struct(F.lit(i).alias("col"), F.min(n).alias("low"), F.max(n).alias("high"), F.lit(0).cast("long").alias("before"),
-                 F.count(n).alias("total")) for i, n in enumerate(names)
-    ]
-    cells = rows.groupBy(*by).agg(F.array(*whole).alias("_cells"))
-    bins = GROUP_BINS if by else BINS
-    for _ in range(2):
-        cells = _refine(_attach(rows, cells, by, few_groups), names, probs, by, bins)
-    counts = _inside(_attach(rows, cells, by, few_groups), names, by).groupBy(*by, "_col", "_cell", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.col("_cell.before") + F.sum("_n").over(Window.partitionBy(*by, "_col", "_cell").orderBy("_v"))
-    ranked = counts.withColumn("_upto", upto)
-    ranks = _ranks(F.col("_cell.total"), probs)
+    brackets = _brackets(rows, names, sorted(set(probs)), by)
+    around = rows.join(brackets, by) if by else rows.withColumn("_brackets", brackets.select("_brackets").scalar())
+    counts = _counts(around, names, sorted(set(probs)), by, GROUP_BINS if by else BINS)
+
+    group = [*by, "_col"]
+    order = Window.partitionBy(*group).orderBy("_cell", "_bin")
+    bins = counts.groupBy(*group, "_cell", "_bin").agg(F.sum("_n").alias("_n"))
+    placed = bins.withColumns({
+        "_total": F.sum("_n").over(Window.partitionBy(*group)),
+        "_before": F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")})
+    ranks = [r((F.col("_total") - 1) * F.lit(p)) for p in probs for r in (F.floor, F.ceil)]
+    wanted = F.lit(False)
+    for k in ranks:
+        wanted = wanted | ((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")))
+    missed = F.raise_error(F.lit("a rank lies outside the bracket of its sketch: raise ACCURACY or the WIDTHS"))
+    held = placed.where(wanted).select(
+        *group, "_cell", F.when(F.col("_bin") >= 0, F.col("_bin")).otherwise(missed.cast("int")).alias("_bin"), "_total", "_before")
+    inside = counts.join(held, [*group, "_cell", "_bin"])
+    values = Window.partitionBy(*group, "_cell", "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(values))
+    # the smallest value with more than k values up to it, among the bins that hold a wanted rank
     picks = [F.min(F.when(F.col("_upto") > k, F.col("_v"))).alias(f"_r{i}") for i, k in enumerate(ranks)]
-    found = ranked.groupBy(*by, "_col").agg(F.max("_cell.total").alias("_total"), *picks)
+    found = ranked.groupBy(*group).agg(F.max("_total").alias("_total"), *picks)
 
     def value(i: int, p: float) -> Column:
-        low, high, h = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}"), (F.col("_total") - 1) * F.lit(float(p))
+        low, high, h = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}"), (F.col("_total") - 1) * F.lit(p)
         # equal neighbours may both be infinite
         return F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h)))
 
-    found = found.select(*by, "_col", *[value(i, p).alias(f"_q{i}") for i, p in enumerate(probs)])
+    found = found.select(*group, *[value(i, p).alias(f"_q{i}") for i, p in enumerate(probs)])
 
     def of(j: int) -> Column:
         here = F.col("_col") == j

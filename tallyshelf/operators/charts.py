@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyshelf.operators.totals import sum_by
 from tallyshelf.schema import nan_to_null, require_columns, require_kind
@@ -11,6 +15,10 @@ from tallyshelf.schema import nan_to_null, require_columns, require_kind
 # Fixed value: two-sided 95 % point of the normal distribution.
 Z95 = 1.959963984540054
 
+PRIME = (1 << 31) - 1
+# below which draw a row is taken 0, 1, ... 9 times; beyond the last one 10 times
+POISSON_STEPS = [int(PRIME * math.exp(-1) * sum(1 / math.factorial(k) for k in range(n + 1))) for n in range(10)]
+
 
 def _facts(values: DataFrame) -> Column:
     """Scalar struct of the column ``_v``: ends of the range, count, spread, whether it varies.
@@ -129,10 +137,14 @@ def pie_table(
     return slices.withColumn("share", F.try_divide(F.col(values).cast("double"), whole.cast("double")))
 
 
+def _band_keys(df: DataFrame, x: str, y: str, hue: str | None) -> list[str]:
+    require_columns(df, x, y)
+    return [x, hue] if hue and hue in df.columns else [x]
+
+
 def line_table(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
     """Mean of y per x (and hue) with a 95 % band from the normal approximation of the mean."""
-    require_columns(df, x, y)
-    keys = [x, hue] if hue and hue in df.columns else [x]
+    keys = _band_keys(df, x, y, hue)
     means = df.dropna(subset=[*keys, y]).groupBy(*keys).agg(
         F.avg(y).alias("mean"), F.stddev_samp(y).alias("_sd"), F.count(y).alias("n")
     )
@@ -140,9 +152,52 @@ def line_table(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFra
     return means.select(*keys, "mean", "n", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
-def trend_table(df: DataFrame, date: str, sales: str) -> DataFrame:
-    """The line table of sales over dates, in date order."""
-    return line_table(df, date, sales).orderBy(date)
+def _draw(row: Column, replicate: Column, seed: int) -> Column:
+    """A whole number below PRIME for a row in a replicate, the same in every run."""
+    first = (F.pmod(row, F.lit(PRIME)) * 48_271 + replicate.cast("long") * 69_621 + seed) % PRIME
+    second = (first * (first + 16_807)) % PRIME
+    return (second * (second + 40_692)) % PRIME
+
+
+def poisson_weight(draw: Column) -> Column:
+    """How often a row is drawn: the inverse of the Poisson distribution with mean 1 at draw / PRIME."""
+    weight = F.lit(len(POISSON_STEPS))
+    for times in range(len(POISSON_STEPS) - 1, -1, -1):
+        weight = F.when(draw < POISSON_STEPS[times], times).otherwise(weight)
+    return weight
+
+
+def line_bootstrap(
+    df: DataFrame, x: str, y: str, hue: str | None = None, *, key: Sequence[str], replicates: int = 1000, seed: int = 0
+) -> DataFrame:
+    """Mean of y per x (and hue) with a 95 % band from the bootstrap of the mean.
+
+    In every replicate a row counts as often as a Poisson variable of mean 1 says, drawn from its ``key``, the replicate
+    and the seed, so a run over the same rows draws the same wherever they lie. Sums and weights are partial aggregates
+    of one scan: a point with a third of all rows sends one row per replicate and task. The band lies between the
+    2.5 % and the 97.5 % quantile (interpolated) of the replicates' means; a replicate that draws no row of a point gives it no mean.
+    ``key`` should identify a row: rows with equal keys are drawn together.
+    """
+    require_columns(df, *key)
+    keys = _band_keys(df, x, y, hue)
+    whole = len(key) == 1 and isinstance(df.schema[key[0]].dataType, (T.IntegerType, T.LongType))
+    row = F.coalesce(F.col(key[0]).cast("long"), F.lit(0)) if whole else F.xxhash64(*key)
+    rows = df.dropna(subset=[*keys, y]).select(*keys, F.col(y).cast("double").alias("_y"), row.alias("_row"))
+    spread = rows.select(*keys, "_y", "_row", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_replicate"))
+    drawn = spread.select(*keys, "_replicate", "_y", _draw(F.col("_row"), F.col("_replicate"), seed).alias("_draw"))
+    weighed = drawn.select(*keys, "_replicate", "_y", poisson_weight(F.col("_draw")).alias("_w"))
+    sums = weighed.groupBy(*keys, "_replicate").agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_y")).alias("_s"))
+    means = sums.where("_w > 0").select(*keys, (F.col("_s") / F.col("_w")).alias("_m"))
+    # at most `replicates` means per point
+    bands = means.groupBy(*keys).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
+    plain = rows.groupBy(*keys).agg(F.avg("_y").alias("mean"), F.count("_y").alias("n"))
+    return plain.join(bands, keys).select(*keys, "mean", "n", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+
+
+def trend_table(df: DataFrame, date: str, sales: str, *, key: Sequence[str] = (), replicates: int = 1000) -> DataFrame:
+    """The line table of sales over dates, in date order; with a ``key``, its band comes from the bootstrap."""
+    lines = line_bootstrap(df, date, sales, key=key, replicates=replicates) if key else line_table(df, date, sales)
+    return lines.orderBy(date)
 
 
 def scatter_table(

@@ -26,13 +26,12 @@ def series_window(by: Sequence[str], *order) -> Window:
 
 
 def aggregate_by_key(
-    df: DataFrame, keys: Sequence[str], outputs: Mapping[str, tuple[str, str]], order: Sequence[str] = (), *,
-    few_groups: bool = False,
+    df: DataFrame, keys: Sequence[str], outputs: Mapping[str, tuple[str, str]], order: Sequence[str] = ()
 ) -> DataFrame:
     """``outputs`` maps a result name to (column, aggregator name); all in one aggregation.
 
     ``order`` decides first and last (see ``order_of``). Medians come from the distributed quantile plan, because a
-    hot group must not fit into one buffer; ``few_groups`` is passed on to it.
+    hot group must not fit into one buffer.
     """
     unknown = [how for _, how in outputs.values() if how not in AGGREGATORS]
     if unknown:
@@ -47,7 +46,7 @@ def aggregate_by_key(
     result = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *expressions)
     if medians:
         columns = list(dict.fromkeys(medians.values()))
-        middle = quantiles(rows, columns, [0.5], by=keys, few_groups=few_groups)
+        middle = quantiles(rows, columns, [0.5], by=keys)
         middle = middle.select(*keys, *[F.col(c)[0].alias(o) for o, c in medians.items()])
         result = result.join(middle, list(keys), "left")
     return result.select(*keys, *outputs)
@@ -74,9 +73,7 @@ def resample(
     )
     if rule.every > 1:
         rows = rows.withColumn("_start", rule.anchored(F.col("_start"), _first_start(rows, rule, by)))
-    # days and longer buckets of a single series are bounded by the calendar
-    few = not by and not rule.intraday
-    sums = aggregate_by_key(rows, [*by, "_start"], outputs, order=("_ts", *tie_break), few_groups=few)
+    sums = aggregate_by_key(rows, [*by, "_start"], outputs, order=("_ts", *tie_break))
 
     # each bucket brings the empty ones that follow it: one window, no calendar join; the steps are laid out in
     # chunks, so that no array grows with a gap
@@ -186,41 +183,94 @@ def duplicate_buckets(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return series.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-def infer_frequency(series: DataFrame, by: Sequence[str] = (), order: str = BUCKET) -> DataFrame:
-    """Frequency name and default season length per series, from the gaps between its days.
+# Names of months and weekdays in frequency names.
+MONTH_NAMES = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+DAY_NAMES = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
+# letters after the unit by where in the month all points lie: calendar end, last working day, first, first working day
+ENDS = {"calendar_end": ("M", "Q", "A"), "working_end": ("BM", "BQ", "BA"),
+        "calendar_start": ("MS", "QS", "AS"), "working_start": ("BMS", "BQS", "BAS")}
+MICROS = {"day": 86_400_000_000, "h": 3_600_000_000, "min": 60_000_000, "s": 1_000_000, "ms": 1_000, "us": 1}
+
 
-    Null when the gaps fit no calendar rule or the series has fewer than three points.
+def infer_frequency(series: DataFrame, by: Sequence[str] = (), order: str = BUCKET) -> DataFrame:
+    """Frequency name and default season length per series, from the gaps between its points.
+
+    Multiples carry their number (``2D``, ``3W-SUN``, ``15min``). Points a whole number of days apart are years (``A``,
+    ``AS``), quarters (``Q``, ``QS``) or months (``M``, ``MS``) if all lie at the same end of the month, ``B`` before those for
+    working days; other anchors than the calendar year are named (``A-MAR``, ``QS-FEB`` counts as ``QS-NOV``). Then days, weeks
+    and working days (``B``), and the n-th weekday of months (``WOM-2TUE``). Other points are business hours (``bh``) or an
+    equal number of hours, minutes, seconds or fractions apart. Null when nothing fits, a point occurs twice, or the series
+    has fewer than three points. One aggregate over the gaps; the window runs over the points of a series.
     """
-    day = F.col(order).cast("date")
-    # repeated days make no regular calendar: their gap is 0
-    following = F.lead(day).over(series_window(by, order))
-    gaps = series.select(
-        *by,
-        day.alias("_day"),
-        F.datediff(following, day).alias("_days"),
-        ((F.year(following) - F.year(day)) * 12 + F.month(following) - F.month(day)).alias("_months"),
+    at = F.col(order).cast("timestamp_ntz")
+    points = series.where(F.col(order).isNotNull())
+    spec = series_window(by, order)
+    day, month_length = F.dayofmonth("_at"), F.dayofmonth(F.last_day("_at"))
+    weekday = F.weekday("_at")
+    ahead = points.select(*by, at.alias("_at"), F.lead(at).over(spec).alias("_next"))
+    hours = F.col("_gap") / MICROS["h"]
+    following = F.weekday("_next")
+    gaps = ahead.withColumn("_gap", F.timestamp_diff("MICROSECOND", F.col("_at"), F.col("_next"))).select(
+        *by, "_at", "_gap", day.alias("_day"), F.month("_at").alias("_month"), weekday.alias("_weekday"),
+        (F.year("_next") - F.year("_at")).alias("_years"),
+        ((F.year("_next") - F.year("_at")) * 12 + F.month("_next") - F.month("_at")).alias("_months"),
+        (day == month_length).alias("calendar_end"),
+        ((day == month_length) | ((month_length - day < 3) & (weekday == 4))).alias("working_end"),
+        (day == 1).alias("calendar_start"), ((day == 1) | ((day <= 3) & (weekday == 0))).alias("working_start"),
+        (((following == 0) & (F.col("_gap") == 3 * MICROS["day"])) | (following.between(1, 4) & (F.col("_gap") == MICROS["day"]))).alias("_working"),
+        hours.isin(1, 17, 65).alias("_office"), F.when(day <= 28, F.floor((day - 1) / 7)).alias("_week"),
     )
+    ranged = ("_gap", "_years", "_months", "_month", "_weekday", "_week")
     facts = gaps.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_days").alias("_d0"), F.max("_days").alias("_d1"),
-        F.min("_months").alias("_m0"), F.max("_months").alias("_m1"),
-        F.bool_and(F.dayofmonth("_day") == 1).alias("_first"),
-        F.bool_and(F.col("_day") == F.last_day("_day")).alias("_last"),
-        F.upper(F.date_format(F.min("_day"), "E")).alias("_weekday"),
+        F.count(F.lit(1)).alias("n"), F.month(F.min("_at")).alias("_first_month"), F.max("_weekday").alias("_a_weekday"),
+        *[f(c).alias(f"{c}{k}") for c in ranged for k, f in ((0, F.min), (1, F.max))],
+        *[F.bool_and(c).alias(c) for c in (*ENDS, "_working", "_office")],
     )
 
-    def every(low: str, high: str, n: int) -> Column:
-        return (F.col(low) == n) & (F.col(high) == n)
-
-    name = F.when(F.col("n") < 3, None).when(every("_d0", "_d1", 1), "D")
-    name = name.when(every("_d0", "_d1", 7), F.concat(F.lit("W-"), F.col("_weekday")))
-    for months, start, end in ((1, "MS", "M"), (3, "QS", "Q"), (12, "AS", "A")):
-        name = name.when(every("_m0", "_m1", months) & F.col("_first"), start)
-        name = name.when(every("_m0", "_m1", months) & F.col("_last"), end)
+    def alike(name: str) -> Column:
+        return F.col(f"{name}0") == F.col(f"{name}1")
+
+    def counted(n: Column, name: Column) -> Column:
+        return F.concat(F.when(n > 1, n.cast("string")).otherwise(""), name)
+
+    def named(names: Sequence[str], number: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(n) for n in names]), number.cast("int"))
+
+    def letters(unit: int) -> Column:
+        found = F.lit(None).cast("string")
+        for place in reversed(ENDS):
+            found = F.when(F.col(place), ENDS[place][unit]).otherwise(found)
+        return found
+
+    starts = ~F.col("calendar_end") & ~F.col("working_end")
+    month, gap = F.col("_first_month"), F.col("_gap0")
+    year_anchor = F.when(month == F.when(starts, 1).otherwise(12), "").otherwise(F.concat(F.lit("-"), named(MONTH_NAMES, month)))
+    turn = month % 3  # quarters that start in January, or end in December, need no name
+    quarter_anchor = F.when(turn == F.when(starts, 1).otherwise(0), "").otherwise(
+        F.when(turn == 0, "-DEC").when(turn == 1, "-OCT").otherwise("-NOV"))
+    in_place = letters(0).isNotNull() & (F.col("_months0") > 0)
+    days = F.floor(gap / MICROS["day"])
+    weekday_name = named(DAY_NAMES, F.col("_a_weekday") + 1)
+    name = F.when((F.col("n") < 3) | (gap == 0), None)
+    daily = gap % MICROS["day"] == 0
+    name = name.when(daily & in_place & alike("_years") & alike("_month") & (F.col("_years0") > 0),
+                     counted(F.col("_years0"), F.concat(letters(2), year_anchor)))
+    name = name.when(daily & in_place & alike("_months") & (F.col("_months0") % 3 == 0),
+                     counted(F.floor(F.col("_months0") / 3), F.concat(letters(1), quarter_anchor)))
+    name = name.when(daily & in_place & alike("_months"), counted(F.col("_months0"), letters(0)))
+    name = name.when(daily & alike("_gap") & (days % 7 == 0), counted(F.floor(days / 7), F.concat(F.lit("W-"), weekday_name)))
+    name = name.when(daily & alike("_gap"), counted(days, F.lit("D")))
+    name = name.when(daily & F.col("_working") & (F.col("_gap1") == 3 * MICROS["day"]) & (days == 1), "B")
+    name = name.when(daily & alike("_weekday") & alike("_week"),
+                     F.concat(F.lit("WOM-"), (F.col("_week0") + 1).cast("string"), weekday_name)).when(daily, None)
+    name = name.when(F.col("_office") & (gap == MICROS["h"]) & (F.col("_gap1") > gap), "bh")
+    for unit in ("h", "min", "s", "ms", "us"):
+        name = name.when(alike("_gap") & (gap % MICROS[unit] == 0), counted(F.floor(gap / MICROS[unit]), F.lit(unit)))
     found = facts.select(*by, "n", name.alias("freq"))
+    plain = F.regexp_extract("freq", "^[0-9]*([A-Za-z]+)", 1)
     period = (
-        F.when(F.col("freq") == "D", 7).when(F.startswith("freq", F.lit("W-")), 52)
-        .when(F.col("freq").isin("MS", "M"), 12).when(F.col("freq").isin("QS", "Q"), 4)
+        F.when(plain == "D", 7).when(plain == "W", 52).when(plain.isin("MS", "M", "BMS", "BM"), 12)
+        .when(plain.isin("QS", "Q", "BQS", "BQ"), 4)
     )
     return found.withColumn("period", period)
 

@@ -673,6 +673,45 @@ def _sales_trend(spark, folder):
     return _rounded(_as_double(bands, "mean"), 4, "low", "high")
 
 
+BOOTSTRAP = 200  # replicates of the registered queries
+
+
+def _bootstrap_sql(rows: str, *keys: str) -> str:
+    """The same draws: rows(keys, y, id) times replicates, weighed by the steps of the Poisson distribution."""
+    first = f"((id % {charts.PRIME}) * 48271 + r * 69621) % {charts.PRIME}"
+    weight = " ".join(f"WHEN d < {step} THEN {times}" for times, step in enumerate(charts.POISSON_STEPS))
+    k = ", ".join(keys)
+    return f"""WITH rows AS ({rows}), one AS (SELECT *, {first} AS d FROM rows, range({BOOTSTRAP}) t(r)),
+    two AS (SELECT * REPLACE ((d * (d + 16807)) % {charts.PRIME} AS d) FROM one),
+    three AS (SELECT * REPLACE ((d * (d + 40692)) % {charts.PRIME} AS d) FROM two),
+    weighed AS (SELECT *, CASE {weight} ELSE {len(charts.POISSON_STEPS)} END AS w FROM three),
+    means AS (SELECT {k}, SUM(w * y) / SUM(w) AS m FROM weighed GROUP BY {k}, r HAVING SUM(w) > 0),
+    bands AS (SELECT {k}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY {k}),
+    plain AS (SELECT {k}, AVG(y) AS mean, COUNT(*) AS n FROM rows GROUP BY {k})
+    SELECT {k}, {_r("mean", 4)} AS mean, n, {_r("low", 4)} AS low, {_r("high", 4)} AS high FROM plain JOIN bands USING ({k})"""
+
+
+@register(
+    "line_bootstrap",
+    _bootstrap_sql("SELECT l_linenumber, l_returnflag, CAST(l_extendedprice AS DOUBLE) AS y, l_orderkey * 8 + l_linenumber AS id FROM lineitem",
+                   "l_linenumber", "l_returnflag"),
+)
+def _line_bootstrap(spark, folder):
+    lines = table(spark, folder, "lineitem").withColumn("id", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long"))
+    bands = charts.line_bootstrap(lines, "l_linenumber", "l_extendedprice", "l_returnflag", key=["id"], replicates=BOOTSTRAP)
+    return _rounded(bands, 4, "mean", "low", "high")
+
+
+@register(
+    "trend_bootstrap",
+    _bootstrap_sql("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(o_totalprice AS DOUBLE) AS y, o_orderkey AS id FROM orders", "month"),
+)
+def _trend_bootstrap(spark, folder):
+    orders = table(spark, folder, "orders").withColumn("month", F.trunc(F.col("o_orderdate").cast("date"), "month"))
+    bands = charts.trend_table(orders, "month", "o_totalprice", key=["o_orderkey"], replicates=BOOTSTRAP)
+    return _rounded(bands, 4, "mean", "low", "high")
+
+
 @register("scatter_points", "SELECT p_size, p_retailprice, p_type FROM part")
 def _scatter_points(spark, folder):
     return charts.scatter_table(table(spark, folder, "part"), "p_size", "p_retailprice", "p_type")
@@ -1284,6 +1323,63 @@ def _infer_frequency_names(spark, folder):
     return series.infer_frequency(found, ["made"])
 
 
+# every kind of calendar that `resample` makes; the clock ones are laid over the events
+CALENDARS = {**{f: "orders" for f in (*SQL_BUCKETS, *SQL_MULTIPLES, "B")}, **{f: "events" for f in ("3h", "15min", "7min", "90s")}}
+
+
+def _calendar_sql(freq: str) -> str:
+    """The labels of the buckets between the first and the last one, as times."""
+    if CALENDARS[freq] == "events":
+        seconds = {"3h": 10_800, "15min": 900, "7min": 420, "90s": 90}[freq]
+        return (f"SELECT '{freq}' AS made, first + to_seconds(unnest(range(a, b + 1)) * {seconds}) AS t FROM (SELECT date_trunc('day', MIN(ts)) AS first, "
+                f"CAST(floor(date_diff('second', date_trunc('day', MIN(ts)), MIN(ts)) / {seconds}.0) AS BIGINT) AS a, "
+                f"CAST(floor(date_diff('second', date_trunc('day', MIN(ts)), MAX(ts)) / {seconds}.0) AS BIGINT) AS b FROM events)")
+    if freq == "B":
+        return """SELECT 'B' AS made, s AS t FROM (SELECT unnest(generate_series(MIN(d), MAX(d), INTERVAL 1 DAY)) AS s
+          FROM (SELECT CAST(o_orderdate AS DATE) - greatest(isodow(o_orderdate) - 5, 0)::INT AS d FROM orders)) WHERE isodow(s) < 6"""
+    if freq in SQL_BUCKETS:
+        start, label, step = SQL_BUCKETS[freq]
+        starts = f"SELECT {start.format(t='o_orderdate')} AS s FROM orders"
+        label = label.format(s="s")
+    else:
+        unit, start, label, step = SQL_MULTIPLES[freq]
+        starts = f"SELECT {start} AS s FROM (SELECT {unit} AS u FROM orders), (SELECT MIN({unit}) AS first FROM orders)"
+    spread = f"SELECT CAST(unnest(generate_series(MIN(s), MAX(s), INTERVAL {step})) AS DATE) AS s FROM ({starts})"
+    return f"SELECT '{freq}' AS made, CAST({label} AS TIMESTAMP) AS t FROM ({spread})"
+
+
+@register(
+    "infer_frequency_all",
+    f"""WITH c AS ({" UNION ALL ".join(f"({_calendar_sql(f)})" for f in CALENDARS)}),
+    g AS (SELECT *, LEAD(t) OVER (PARTITION BY made ORDER BY t) AS nxt FROM c),
+    f AS (SELECT made, COUNT(*) AS n, MIN(t) AS first, MIN(epoch_us(nxt) - epoch_us(t)) AS g0, MAX(epoch_us(nxt) - epoch_us(t)) AS g1,
+      MIN(datediff('month', t, nxt)) AS m0, MAX(datediff('month', t, nxt)) AS m1,
+      bool_and(day(t) = 1) AS cs, bool_and(day(t) = day(last_day(t))) AS ce, bool_and(isodow(t) < 6) AS work FROM g GROUP BY made),
+    u AS (SELECT *, CASE WHEN g0 < 86400000000 THEN NULL WHEN (cs OR ce) AND m0 = m1 AND m0 > 0 THEN CASE WHEN m0 % 12 = 0 THEN 'A' WHEN m0 % 3 = 0 THEN 'Q' ELSE 'M' END
+        WHEN g0 = g1 AND g0 % (7 * 86400000000) = 0 THEN 'W' WHEN g0 = g1 THEN 'D' WHEN work AND g0 = 86400000000 AND g1 = 3 * g0 THEN 'B' END AS unit FROM f),
+    k AS (SELECT *, CASE unit WHEN 'A' THEN m0 // 12 WHEN 'Q' THEN m0 // 3 WHEN 'M' THEN m0 WHEN 'W' THEN g0 // (7 * 86400000000) WHEN 'D' THEN g0 // 86400000000
+        WHEN 'B' THEN 1 ELSE CASE WHEN g0 % 3600000000 = 0 THEN g0 // 3600000000 WHEN g0 % 60000000 = 0 THEN g0 // 60000000 ELSE g0 // 1000000 END END AS times FROM u)
+    SELECT made, n, CASE WHEN times > 1 THEN CAST(CAST(times AS BIGINT) AS VARCHAR) ELSE '' END ||
+      CASE WHEN unit = 'W' THEN 'W-' || upper(strftime(first, '%a'))
+           WHEN unit = 'Q' AND month(first) % 3 = 2 THEN CASE WHEN ce THEN 'Q' ELSE 'QS' END || '-NOV'
+           WHEN unit = 'Q' AND ce THEN CASE month(first) % 3 WHEN 0 THEN 'Q' ELSE 'Q-OCT' END
+           WHEN unit = 'Q' THEN CASE month(first) % 3 WHEN 1 THEN 'QS' ELSE 'QS-DEC' END
+           WHEN unit IN ('A', 'M') AND NOT ce THEN unit || 'S'
+           WHEN unit IS NULL THEN CASE WHEN g0 % 3600000000 = 0 THEN 'h' WHEN g0 % 60000000 = 0 THEN 'min' ELSE 's' END
+           ELSE unit END AS freq,
+      CAST(CASE unit WHEN 'D' THEN 7 WHEN 'W' THEN 52 WHEN 'M' THEN 12 WHEN 'Q' THEN 4 END AS INT) AS period FROM k""",
+)
+def _infer_frequency_all(spark, folder):
+    source = {"orders": ("o_orderdate", "o_orderkey"), "events": ("ts", "event_id")}
+    found = None
+    for freq, name in CALENDARS.items():
+        ts, counted = source[name]
+        one = series.resample(table(spark, folder, name), ts, {"n": (counted, "count")}, freq)
+        one = one.select(F.lit(freq).alias("made"), F.col("bucket").cast("timestamp_ntz").alias("bucket"))
+        found = one if found is None else found.unionByName(one)
+    return series.infer_frequency(found, ["made"])
+
+
 @register(
     "stock_chosen_columns",
     """SELECT l_returnflag, CAST(SUM(l_orderkey) AS BIGINT) AS TotalSold, 1000 - CAST(SUM(l_orderkey) AS BIGINT) AS EstimatedCurrentStock

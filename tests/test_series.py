@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -125,6 +126,35 @@ def test_frequency_names(spark):
     assert series.infer_frequency(odd.limit(2)).first()["freq"] is None
 
 
+def our_name(name):
+    """The library's spelling of what pandas calls a frequency."""
+    if name is None:
+        return None
+    n, unit, anchor = re.fullmatch(r"(\d*)([A-Za-z]+)(-.*)?", name).groups()
+    unit = {"ME": "M", "BME": "BM", "QE": "Q", "BQE": "BQ", "YE": "A", "BYE": "BA", "YS": "AS", "BYS": "BAS"}.get(unit, unit)
+    default = {"A": "-DEC", "BA": "-DEC", "AS": "-JAN", "BAS": "-JAN", "Q": "-DEC", "BQ": "-DEC", "QS": "-OCT", "BQS": "-OCT"}.get(unit)
+    return n + unit + ("" if anchor in (None, default) else anchor)
+
+
+def test_frequencies_agree_with_pandas(spark):
+    made = ["D", "2D", "3D", "W-WED", "2W-FRI", "MS", "ME", "2MS", "3MS", "5ME", "BME", "BMS", "QS", "QE", "QS-FEB", "QE-JAN", "2QS", "BQE", "BQS",
+            "YS", "YE", "YS-APR", "YE-MAR", "2YS", "3YE", "BYE", "BYS", "B", "h", "3h", "25h", "15min", "7min", "90s", "s", "500ms", "WOM-2TUE", "WOM-1MON", "36h"]
+    stamps = [(f, t) for f in made for t in pd.date_range("2019-03-05 08:30", periods=17, freq=f).to_pydatetime()]
+    office = pd.date_range("2024-01-01 09:00", periods=40, freq="bh")
+    odd = {
+        "office": office, "gap": pd.to_datetime(["2020-01-01", "2020-01-02", "2020-01-05", "2020-01-09"]), "few": pd.date_range("2020-01-01", periods=2),
+        "some months": pd.to_datetime(["2020-01-01", "2020-02-01", "2020-04-01", "2020-05-01"]), "workdays": pd.date_range("2024-01-03", periods=4, freq="B"),
+        "one weekend": pd.date_range("2024-01-04", periods=4, freq="B"), "clock": pd.to_datetime(["2020-01-01 00:00", "2020-01-01 01:00", "2020-01-01 03:00"]),
+    }
+    stamps += [(k, t) for k, v in odd.items() for t in v.to_pydatetime()]
+    stamps += [("twice", dt.datetime(2020, 1, d)) for d in (1, 2, 2, 3)]
+    df = spark.createDataFrame(stamps, "made string, bucket timestamp_ntz")
+    got = {r["made"]: r["freq"] for r in series.infer_frequency(df, ["made"]).collect()}
+    index = {k: pd.DatetimeIndex([t for m, t in stamps if m == k]) for k in got}
+    expected = {k: our_name(pd.infer_freq(v)) if len(v) > 2 and v.is_unique else None for k, v in index.items()}
+    assert got == expected
+
+
 def test_duplicates_are_found(spark):
     df = spark.createDataFrame([(dt.date(2020, 1, 1),), (dt.date(2020, 1, 1),), (dt.date(2020, 1, 2),)], "bucket date")
     assert rows(series.duplicate_buckets(df)) == [(dt.date(2020, 1, 1), 2)]
