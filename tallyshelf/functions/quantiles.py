@@ -60,21 +60,26 @@ def _counts(rows: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
 
     `_cell` numbers the brackets; what lies before bracket i and after those before it has its number, bin -1 and no value.
     """
-    def entry(i: int, c: str) -> Column:
-        value, low, high = F.col(c), F.col(f"_brackets.{c}.low"), F.col(f"_brackets.{c}.high")
-        cell, inside, at = F.lit(len(probs)), F.lit(False), F.lit(-1)
-        for k in range(len(probs) - 1, -1, -1):
-            here, first = value <= high[k], low[k]
-            cell = F.when(here, F.lit(k)).otherwise(cell)
-            inside = F.when(here, value >= first).otherwise(inside)
-            at = F.when(here, F.when(value >= first, _bin_of(value, first, high[k], bins)).otherwise(-1)).otherwise(at)
-        return F.struct(F.lit(i).alias("_col"), F.when(value.isNotNull(), cell).alias("_cell"), at.alias("_bin"), F.when(inside, value).alias("_v"))
-
-    if len(columns) == 1:
-        spread = rows.select(*by, entry(0, columns[0]).alias("_e")).select(*by, "_e.*")
-    else:
-        spread = rows.select(*by, F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))
-    return spread.where(F.col("_cell").isNotNull()).groupBy(*by, "_col", "_cell", "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    def of_column(parts: Sequence[Column]) -> Column:
+        chosen = parts[-1]
+        for i in range(len(parts) - 2, -1, -1):
+            chosen = F.when(F.col("_col") == i, parts[i]).otherwise(chosen)
+        return chosen
+
+    numbers = F.lit(0) if len(columns) == 1 else F.explode(F.array(*[F.lit(i) for i in range(len(columns))]))
+    each = rows.select(*by, *columns, "_brackets", numbers.alias("_col")).select(
+        *by, "_col", of_column([F.col(c) for c in columns]).alias("_x"),
+        *[of_column([F.col(f"_brackets.{c}.{side}") for c in columns]).alias(f"_{side}s") for side in ("low", "high")],
+    ).where(F.col("_x").isNotNull())
+    value, cell, low, high = F.col("_x"), F.lit(len(probs)), F.lit(None).cast("double"), F.lit(None).cast("double")
+    for k in range(len(probs) - 1, -1, -1):
+        here = value <= F.get("_highs", F.lit(k))
+        cell = F.when(here, F.lit(k)).otherwise(cell)
+        low, high = (F.when(here, F.get(f"_{side}s", F.lit(k))).otherwise(rest) for side, rest in (("low", low), ("high", high)))
+    inside = value >= low  # null beyond the last bracket
+    placed = each.select(
+        *by, "_col", cell.alias("_cell"), F.when(inside, _bin_of(value, low, high, bins)).otherwise(-1).alias("_bin"), F.when(inside, value).alias("_v"))
+    return placed.groupBy(*by, "_col", "_cell", "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -89,7 +94,8 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     numbers = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(n) for c, n in zip(columns, names)]
     rows = rows.select(*by, *numbers)
     brackets = _brackets(rows, names, sorted(set(probs)), by)
-    around = rows.join(brackets, by) if by else rows.withColumn("_brackets", brackets.select("_brackets").scalar())
+    # without groups the brackets are one row, which every row meets
+    around = rows.join(brackets, by) if by else rows.crossJoin(F.broadcast(brackets))
     counts = _counts(around, names, sorted(set(probs)), by, GROUP_BINS if by else BINS)
 
     group = [*by, "_col"]

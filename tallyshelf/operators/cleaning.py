@@ -129,33 +129,36 @@ def iqr_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, *
 def winsorize(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, *, exact: bool = True) -> DataFrame:
     """Pull values outside the quartile fences back to the fence; missing values stay missing.
 
-    Absent and non-numeric columns are left alone. The fences are a scalar subquery: one row,
-    computed once and shared by all references.
+    Absent and non-numeric columns are left alone. The fences are one row, which every row meets.
     """
     columns = [c for c in columns if c in df.columns and kind_of(df.schema[c].dataType) == "numeric"]
     if not columns:
         return df
-    fence = iqr_bounds(df, columns, multiplier, exact=exact).select(F.struct(*columns)).scalar()
+    met = df.crossJoin(F.broadcast(_fences(df, columns, multiplier, exact)))
 
     def capped(c: str) -> Column:
         value = F.col(c).cast("double")
         # least and greatest skip nulls, a missing value must not
-        return F.when(value.isNotNull(), F.least(F.greatest(value, fence[c]["lo"]), fence[c]["hi"]))
+        return F.when(value.isNotNull(), F.least(F.greatest(value, F.col(f"_fence.{c}.lo")), F.col(f"_fence.{c}.hi")))
 
-    return df.withColumns({c: capped(c) for c in columns})
+    return met.withColumns({c: capped(c) for c in columns}).drop("_fence")
+
+
+def _fences(df: DataFrame, columns: Sequence[str], multiplier: float, exact: bool) -> DataFrame:
+    return iqr_bounds(df, columns, multiplier, exact=exact).select(F.struct(*columns).alias("_fence"))
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, *, exact: bool = True) -> DataFrame:
     """Per column: the fences and how many values lie below and above them."""
-    fence = iqr_bounds(df, columns, multiplier, exact=exact).select(F.struct(*columns)).scalar()
-    beyond = df.select(
-        *[(F.col(c) < fence[c]["lo"]).alias(f"{c}_below") for c in columns],
-        *[(F.col(c) > fence[c]["hi"]).alias(f"{c}_above") for c in columns],
+    fences = _fences(df, columns, multiplier, exact)
+    beyond = df.crossJoin(F.broadcast(fences)).select(
+        *[(F.col(c) < F.col(f"_fence.{c}.lo")).alias(f"{c}_below") for c in columns],
+        *[(F.col(c) > F.col(f"_fence.{c}.hi")).alias(f"{c}_above") for c in columns],
     )
-    counted = beyond.agg(*[F.count_if(F.col(flag)).alias(flag) for flag in beyond.columns])
+    counted = beyond.agg(*[F.count_if(F.col(flag)).alias(flag) for flag in beyond.columns]).crossJoin(F.broadcast(fences))
     rows = [
         F.struct(
-            F.lit(c).alias("column"), fence[c]["lo"].alias("lower"), fence[c]["hi"].alias("upper"),
+            F.lit(c).alias("column"), F.col(f"_fence.{c}.lo").alias("lower"), F.col(f"_fence.{c}.hi").alias("upper"),
             F.col(f"{c}_below").alias("n_below"), F.col(f"{c}_above").alias("n_above"),
         )
         for c in columns
