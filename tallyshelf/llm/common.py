@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,21 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         yield batch.slice(first)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are reused, and what they keep adds up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, and the freed memory given back after the last one."""
+    yield from batches
+    give_back()
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Whole texts; null counts as empty."""
     return ["" if t is None else t for t in batch.column(column).to_pylist()]

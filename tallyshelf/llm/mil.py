@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyshelf.llm.common import sliced, texts_of
+from tallyshelf.llm.common import sliced, texts_of, trimmed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PASSAGE_WORDS = 96
@@ -224,7 +224,7 @@ def accepted(df: DataFrame, model: AttentionModel, at_least: float = THRESHOLD,
             scores = model.score([encoder.encode(t) for t in texts_of(batch, text)])
             yield batch.filter(pa.array(scores >= at_least))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda batches: trimmed(run(batches)), df.schema)
 
 
 def score_all(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from itertools import chain
 
@@ -31,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallyshelf.llm.common import sliced, texts_of
+from tallyshelf.llm.common import give_back, sliced, texts_of
 
 SPACE = "▁"
-CACHE_RUNS = 400_000
-CACHE_IDS = 1 << 22
+CACHE_CHARS = 6 << 20  # of all runs remembered, with CACHE_RUNS and CACHE_IDS some 60 MB at most
+CACHE_RUNS = 250_000
+CACHE_IDS = 1 << 21
 TOGETHER = 48  # characters of the longest runs that are learned together
 NONE = (1 << 31) - 1
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -64,6 +66,7 @@ class PieceModel:
     def _forget(self) -> None:
         """The cache: a number for every known run, and its ids in one long array."""
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.begins, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.arena, self.used = np.zeros(1 << 18, np.int32), 0
 
@@ -75,6 +78,7 @@ class PieceModel:
         while self.used + ids.size > len(self.arena):
             self.arena = np.concatenate([self.arena, np.zeros_like(self.arena)])
         self.known.update(zip(runs, range(first, first + n)))
+        self.chars += sum(map(len, runs))
         self.begins[first:first + n] = self.used + np.arange(n) * ids.shape[1]
         self.sizes[first:first + n] = ids.shape[1]
         self.arena[self.used:self.used + ids.size] = ids.ravel()
@@ -223,7 +227,7 @@ class PieceModel:
         """The ids of whole texts, each between the begin and the end id, and where each text begins and the last ends."""
         spaced = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         runs = [RUN.findall(t) if self.split else [t] * bool(t) for t in spaced]
-        if len(self.known) > CACHE_RUNS or self.used > CACHE_IDS:
+        if len(self.known) > CACHE_RUNS or self.used > CACHE_IDS or self.chars > CACHE_CHARS:
             self._forget()
         self.learn(set().union(*runs).difference(self.known))
         counts = np.array([len(r) for r in runs])
@@ -245,11 +249,17 @@ class PieceModel:
 _loaded: dict[tuple[str, bool], PieceModel] = {}
 
 
-def loaded(path: str, check: bool = True) -> PieceModel:
-    """The model of a worker process; workers are reused, so it is read and its cache filled only once."""
+@contextmanager
+def borrowed(path: str, check: bool = True) -> Iterator[PieceModel]:
+    """The model of a worker process for one partition; workers are reused, so only the model stays, not what it learned."""
     if (path, check) not in _loaded:
         _loaded[path, check] = PieceModel(path, check)
-    return _loaded[path, check]
+    pieces = _loaded[path, check]
+    try:
+        yield pieces
+    finally:
+        pieces._forget()
+        give_back()
 
 
 @cache
@@ -267,11 +277,11 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: list[str] | None
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(model, check)
-        for batch in sliced(batches, text, BATCH_BYTES):
-            ids, offsets = pieces.encode_flat(texts_of(batch, text))
-            ids = pa.ListArray.from_arrays(offsets.astype(np.int32), ids)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids], [*keep, "ids"])
+        with borrowed(model, check) as pieces:
+            for batch in sliced(batches, text, BATCH_BYTES):
+                ids, offsets = pieces.encode_flat(texts_of(batch, text))
+                ids = pa.ListArray.from_arrays(offsets.astype(np.int32), ids)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids], [*keep, "ids"])
 
     return df.mapInArrow(run, schema)
 
@@ -298,23 +308,26 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 def round_trip_digest(df: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
-    """The columns of the contract: encoded, then decoded from those ids; `with_ids` adds the ids themselves."""
-    encoded = encode(df.select("doc_id", "text"), model, keep=["doc_id"])
+    """The columns of the contract: encoded, then decoded from those ids; `with_ids` adds the ids themselves.
+
+    One Python worker does both, with one model: a second one after it would hold as much memory again.
+    """
     schema = T.StructType([
-        encoded.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
-        T.StructField("decoded_sha256", T.StringType()), *[encoded.schema["ids"]] * with_ids])
+        df.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+        T.StructField("decoded_sha256", T.StringType()), *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = library(model).decode
-        for part in _parts(batches):
-            column = part.column("ids")
-            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
-            own, texts = [], []
-            for a, b in zip(offsets, offsets[1:]):
-                own.append(hashlib.sha256(values[a:b].astype("<u4").tobytes()).hexdigest())
-                texts.append(hashlib.sha256(decode(values[a:b].tolist()).encode("utf-8", "replace")).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)),
-                 pa.array(own, pa.string()), pa.array(texts, pa.string()), *[column] * with_ids], schema.names)
-
-    return encoded.mapInArrow(run, schema)
+        with borrowed(model) as pieces:
+            decode = pieces.library.decode
+            for batch in sliced(batches, "text", BATCH_BYTES):
+                ids, offsets = pieces.encode_flat(texts_of(batch))
+                own, texts = [], []
+                for a, b in zip(offsets, offsets[1:]):
+                    own.append(hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest())
+                    texts.append(hashlib.sha256(decode(ids[a:b].tolist()).encode("utf-8", "replace")).hexdigest())
+                column = [pa.ListArray.from_arrays(offsets.astype(np.int32), ids)] * with_ids
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)),
+                     pa.array(own, pa.string()), pa.array(texts, pa.string()), *column], schema.names)
+
+    return df.select("doc_id", "text").mapInArrow(run, schema)
