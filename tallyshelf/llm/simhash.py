@@ -22,9 +22,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyshelf.llm import vantage
-from tallyshelf.llm.common import sliced, texts_of
+from tallyshelf.llm.common import sliced, texts_of, trimmed
 from tallyshelf.session import stored
 
 SHINGLE_WORDS = 4
@@ -69,6 +70,18 @@ def fingerprints(df: DataFrame, text: str = "text", size: int = SHINGLE_WORDS) -
     return df.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fingerprint bigint")
 
 
+def fingerprints_of(df: DataFrame, name: str, text: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
+    """All rows and columns with their fingerprint."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text):
+            prints = np.array([fingerprint(t, size) for t in texts_of(batch, text)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], schema.names)
+
+    return df.mapInArrow(lambda batches: trimmed(run(batches)), schema)
+
+
 def _shards(points: DataFrame, most: int) -> tuple[list, list[tuple[int, np.uint64, int]]]:
     """A tree per block of bits, and for each its first shard, mask and reach. The sample is bounded by about `SAMPLE`."""
     n = points.count()
@@ -144,10 +157,16 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def groups_of(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """(fingerprint, component_id) for (doc_id, fingerprint): the smallest id reachable over links."""
-    points = stored(prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("id")))
-    roots = connected(links(points, most)).select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return points.join(roots, "id", "left").select("fingerprint", F.coalesce("root", "id").alias("component_id"))
+    """(fingerprint, group, component_id) for (doc_id, fingerprint): the smallest id reachable over links.
+
+    Points are named by their fingerprint, and so are the groups: an id with several texts does not join their groups.
+    """
+    points = stored(prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    roots = connected(links(points.select(F.col("fingerprint").alias("id"), "fingerprint"), most))
+    rooted = points.join(roots.select(F.col("a").alias("fingerprint"), "b"), "fingerprint", "left").select(
+        "fingerprint", "least", F.coalesce("b", "fingerprint").alias("group"))
+    smallest = rooted.groupBy("group").agg(F.min("least").alias("component_id"))
+    return rooted.join(smallest, "group").select("fingerprint", "group", "component_id")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", size: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
@@ -158,6 +177,16 @@ def near_duplicates(df: DataFrame, text: str = "text", size: int = SHINGLE_WORDS
 
 
 def one_of_each(df: DataFrame, text: str = "text", size: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
-    """The rows and columns of `df` without all but the smallest id of each group; rows without an id stay."""
-    kept = near_duplicates(df, text, size, most).where("doc_id = component_id").select("doc_id").distinct()
-    return df.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(df.where("doc_id IS NULL"))
+    """The rows and columns of `df` without all but one of each group: the one with the smallest (id, fingerprint).
+
+    Rows without an id stay. An id that occurs with several texts is a document of each of their groups; of rows with
+    equal id and fingerprint one stays.
+    """
+    mark = "_simhash_fingerprint"
+    marked = stored(fingerprints_of(df, mark, text, size))
+    prints = marked.select("doc_id", F.col(mark).alias("fingerprint"))
+    groups = groups_of(prints, most).select("fingerprint", "group")
+    first = prints.where("doc_id IS NOT NULL").distinct().join(groups, "fingerprint").groupBy("group").agg(F.min(F.struct("doc_id", "fingerprint")).alias("kept"))
+    kept = first.select(F.col("kept.doc_id").alias("doc_id"), F.col("kept.fingerprint").alias(mark))
+    chosen = marked.join(kept, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    return chosen.unionByName(marked.where("doc_id IS NULL")).select(df.columns)

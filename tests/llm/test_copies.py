@@ -6,7 +6,7 @@ from collections import Counter, deque
 import numpy as np
 import pytest
 import xxhash
-from helpers import AWKWARD, documents, odd_rows, prose
+from helpers import DOCUMENTS, AWKWARD, documents, odd_rows, prose
 from pyspark.sql import functions as F
 
 from tallyshelf.llm import passages, simhash, suffix, vantage
@@ -64,6 +64,15 @@ def test_odd_rows_and_empty_tables(spark):
     assert simhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_an_id_with_two_texts_loses_no_group(spark):
+    a, b, c = prose(120, 1), prose(130, 77), prose(140, 5)
+    rows = [(5, a), (5, b), (7, a), (8, b), (9, c), (9, c), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], DOCUMENTS)
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in simhash.one_of_each(df).collect())
+    assert kept == sorted([(5, a), (5, b), (9, c), (-1, a)])
+    assert {r["component_id"] for r in simhash.near_duplicates(df).collect()} == {5, 9}
+
+
 @pytest.mark.parametrize("blocks", [1, 2, 3, 5])
 def test_trees_miss_no_link(blocks):
     rng = np.random.default_rng(blocks)
