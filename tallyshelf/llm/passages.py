@@ -11,12 +11,15 @@ what has to be looked at:
 3. Contexts that occur once, but whose anchor occurs elsewhere, are shared in part or not at all. They go, with
    one representative of each repeated context of the same anchor, to a shard that holds that anchor. The shard's
    suffix array (see `suffix`) finds the repeated strings among them.
-4. The contexts of an anchor that occurs more than `PART` times are spread over several shards. Those hand on one
+4. A string around an anchor has `SIDE` bytes or more on one side of it. The contexts of an anchor that occurs more than
+   `PART` times are therefore dealt by the bytes next to it, once by those to the left and once by those to the right:
+   whoever shares a string meets in one of both groups. Groups of one are dropped, the others are whole in a shard.
+5. Only a group that itself has more than `PART` contexts is spread over several shards. Those hand on one
    fingerprint of every different string, and a merge looks each up among the other shards' by binary search.
 
 Counts are aggregated before they are shuffled and joined back by key, so a hot anchor costs one partial count per
-task. The anchors, and then the repeating ones, are stored in the shared folder. Texts are shuffled once, by a key of their own; both
-joins use that exchange.
+task. The anchors, the repeating ones, the contexts for the shards and what these find are stored in the shared folder.
+Texts are shuffled once, by a key of their own; both joins use that exchange.
 
 Defined results: a null text is empty; texts shorter than the length keep everything; repeated rows repeat each
 other and lose all bytes that a string covers; rows without an id take part like any other; an empty table gives
@@ -41,6 +44,7 @@ from tallyshelf.session import stored
 LENGTH = 200
 PIECE = 64
 PART = 4096
+OPEN_TOGETHER = 100_000  # fingerprints that are merged in one task
 SHARD_BYTES = 1 << 18  # small arrays stay in a core's cache
 CHUNK = 1 << 22
 LOW = np.uint64((1 << 24) - 1)
@@ -126,12 +130,11 @@ def _flags(rows: DataFrame) -> DataFrame:
     repeated = stored(rows.join(totals, "a"))
     by_context = repeated.groupBy("a", "c").agg(F.sum("n").alias("copies"), F.min("key").alias("chosen"))
     copies, total = F.col("copies"), F.col("total")
-    parts = F.when(total > PART, F.ceil(total / PART))
     judged = repeated.join(by_context, ["a", "c"]).select(
         "key", "a", "c", (copies > 1).alias("all"),
         ((copies < total) & ((copies == 1) | (F.col("key") == F.col("chosen")))).alias("send"),
-        F.pmod(F.xxhash64("key", "c"), parts).cast("int").alias("part"))
-    return judged.groupBy("key").agg(F.collect_list(F.struct("a", "c", "all", "send", "part")).alias("flags"))
+        (total > PART).alias("hot"))
+    return judged.groupBy("key").agg(F.collect_list(F.struct("a", "c", "all", "send", "hot")).alias("flags"))
 
 
 def _flag_map(flags: list[dict]) -> dict[tuple[int, int], dict]:
@@ -140,8 +143,14 @@ def _flag_map(flags: list[dict]) -> dict[tuple[int, int], dict]:
     return {(f["a"] & mask, f["c"] & mask): f for f in flags}
 
 
+SENT = ["a", "hot", "key", "begin", "bytes", "left", "right"]
+SENT_SCHEMA = "a bigint, hot boolean, key bigint, begin bigint, bytes binary, left bigint, right bigint"
+
+
 def _sent(length: int):
-    """The contexts that a shard has to look at."""
+    """The contexts that a shard has to look at; those of hot anchors with hashes of the bytes on both sides."""
+    side = -(-(length - PIECE) // 2)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             keys, flags, out = batch.column("key").to_pylist(), batch.column("flags"), []
@@ -152,23 +161,44 @@ def _sent(length: int):
                 positions, a = anchors(np.frombuffer(text, np.uint8), length)
                 begins, ends, c = contexts(text, positions, length)
                 done = set()
-                for pair, begin, end in zip(zip(a.tolist(), c.tolist()), begins, ends):
+                for pair, at, begin, end in zip(zip(a.tolist(), c.tolist()), positions.tolist(), begins, ends):
                     flag = known.get(pair)
                     if flag and flag["send"] and pair not in done:
                         # a context that repeats is settled by counts everywhere: one occurrence stands for all in the text
                         if flag["all"]:
                             done.add(pair)
-                        out.append((flag["a"], flag["part"], keys[i], begin, text[begin:end]))
+                        # none where the context ends earlier: no string has so many bytes there
+                        left = _signed(text[at - side:at]) if flag["hot"] and at - side >= begin else None
+                        right = _signed(text[at + PIECE:at + PIECE + side]) if flag["hot"] and at + PIECE + side <= end else None
+                        out.append((flag["a"], flag["hot"], keys[i], begin, text[begin:end], left, right))
             if out:
                 columns = list(zip(*out))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["a", "part", "key", "begin", "bytes"])
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], SENT)
 
     return run
 
 
-FOUND = ["bucket", "key", "begin", "end", "first", "second", "open"]
-FOUND_SCHEMA = "bucket int, key bigint, begin bigint, end bigint, first bigint, second bigint, open boolean"
+def _signed(data: bytes) -> int:
+    """A hash as a signed number of 64 bits."""
+    h = xxhash.xxh3_64_intdigest(data)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _dealt(sent: DataFrame) -> DataFrame:
+    """(a, side, part, key, begin, bytes): the rows of the shards' groups, in several parts where a group is large."""
+    cold = sent.where("NOT hot").select("a", F.lit(None).cast("long").alias("side"), F.lit(None).cast("int").alias("part"), "key", "begin", "bytes")
+    sides = F.array(F.xxhash64(F.lit("left"), "left"), F.xxhash64(F.lit("right"), "right"))
+    there = F.array(F.col("left").isNotNull(), F.col("right").isNotNull())
+    hot = sent.where("hot").select("*", F.explode(F.arrays_zip(sides.alias("side"), there.alias("there"))).alias("_s"))
+    hot = hot.where("_s.there").select("a", F.col("_s.side").alias("side"), "key", "begin", "bytes")
+    sizes = hot.groupBy("a", "side").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    parts = F.when(F.col("size") > PART, F.pmod(F.xxhash64("key", "begin"), F.ceil(F.col("size") / PART)))
+    return cold.unionByName(hot.join(sizes, ["a", "side"]).select("a", "side", parts.cast("int").alias("part"), "key", "begin", "bytes"))
+
+
+FOUND = ["key", "begin", "end", "first", "second", "open"]
+FOUND_SCHEMA = "key bigint, begin bigint, end bigint, first bigint, second bigint, open boolean"
 
 
 def _runs(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,13 +211,13 @@ def _runs(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[at], starts[at], starts[np.append(at[1:], len(keys)) - 1] if len(at) else starts
 
 
-def _shard(rows: list[tuple], length: int, buckets: int) -> pa.RecordBatch:
-    """Runs of repeated strings in one shard, and a fingerprint of each different string of a spread anchor."""
-    data = np.frombuffer(b"".join(r[4] + b"\xff" for r in rows), np.uint8)
-    sizes = np.array([len(r[4]) + 1 for r in rows])
+def _shard(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """Runs of repeated strings in one shard, and a fingerprint of each different string of a spread group."""
+    data = np.frombuffer(b"".join(r[5] + b"\xff" for r in rows), np.uint8)
+    sizes = np.array([len(r[5]) + 1 for r in rows])
     row = np.repeat(np.arange(len(rows)), sizes)
-    start = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.array([r[3] for r in rows])[row]
-    key = np.array([r[2] for r in rows], np.int64)
+    start = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.array([r[4] for r in rows])[row]
+    key = np.array([r[3] for r in rows], np.int64)
     texts, text = np.unique(key, return_inverse=True)
     # the place in the input: number of the text and start, so that neighbouring starts are neighbouring numbers
     place = text[row] << 40 | start
@@ -197,47 +227,43 @@ def _shard(rows: list[tuple], length: int, buckets: int) -> pa.RecordBatch:
     first, last = repeated[new], repeated[np.append(new[1:], True)[:len(repeated)]]
     keys, begins, ends = texts[first >> 40], first & ((1 << 40) - 1), last & ((1 << 40) - 1)
     n = len(keys)
-    out = [keys & 0x7FFFFFFF, keys, begins, ends, np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)]
-    parts = np.array([r[1] is not None for r in rows])
+    out = [keys, begins, ends, np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)]
+    parts = np.array([r[2] is not None for r in rows])
     if parts.any():
         spread = parts[row[positions]]
         _, one = np.unique(classes[spread], return_index=True)
         some = positions[spread][one]
         raw = data.tobytes()
         prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[p:p + length]) for p in some.tolist()), np.int64).reshape(-1, 2)
-        more = [prints[:, 0] & 0x7FFFFFFF, key[row[some]], start[some], start[some], prints[:, 0], prints[:, 1], np.ones(len(some), bool)]
+        more = [key[row[some]], start[some], start[some], prints[:, 0], prints[:, 1], np.ones(len(some), bool)]
         out = [np.concatenate(pair) for pair in zip(out, more)]
-    out[0] = (out[0] % buckets).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(x) for x in out], FOUND)
 
 
-def _shards(length: int, buckets: int):
-    """Rows come by anchor: whole anchors are put together until a shard is full."""
+def _shards(length: int):
+    """Rows come by group: whole groups are put together until a shard is full."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("a", "part", "key", "begin", "bytes")]):
-                # a spread anchor has shards of its own
-                if held and row[:2] != last and (size >= SHARD_BYTES or row[1] is not None or last[1] is not None):
-                    yield _shard(held, length, buckets)
+            for row in zip(*[batch.column(c).to_pylist() for c in ("a", "side", "part", "key", "begin", "bytes")]):
+                # a spread group has shards of its own
+                if held and row[:3] != last and (size >= SHARD_BYTES or row[2] is not None or last[2] is not None):
+                    yield _shard(held, length)
                     held, size = [], 0
                 held.append(row)
-                last, size = row[:2], size + len(row[4])
+                last, size = row[:3], size + len(row[5])
         if held:
-            yield _shard(held, length, buckets)
+            yield _shard(held, length)
 
     return run
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Runs as they are, and the strings of spread anchors that another shard has too."""
-    key, begin, end, first, second = (table.column(c).to_numpy() for c in FOUND[1:6])
-    open_ = table.column("open").to_numpy(zero_copy_only=False)
-    known, at = ~open_, np.flatnonzero(open_)
-    found = at[suffix.found_elsewhere(first[at], second[at], key[at], begin[at])]
+    """The strings of spread groups that another shard has too, as runs."""
+    key, begin, first, second = (table.column(c).to_numpy() for c in ("key", "begin", "first", "second"))
+    found = suffix.found_elsewhere(first, second, key, begin)
     keys, begins, ends = _runs(key[found], begin[found])
-    return pa.table({"key": np.concatenate([key[known], keys]), "begin": np.concatenate([begin[known], begins]),
-                     "end": np.concatenate([end[known], ends])})
+    return pa.table({"key": keys, "begin": begins, "end": ends})
 
 
 def covered(size: int, begins, ends, length: int = LENGTH) -> np.ndarray:
@@ -280,17 +306,19 @@ def _removed(length: int, keep: list[str], texts: bool):
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and kept_sha256 or, with `texts`, the remaining bytes as `kept`."""
-    spark = df.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a key of its own for every text; texts that share one by chance are still told apart by their hashes
     docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     rows = stored(docs.select("key", "text").mapInArrow(_anchor_rows(length), "key bigint, a bigint, c bigint, n bigint"))
     # both uses read the same columns, so the exchanges below them are run once
     flagged = docs.join(_flags(rows), "key", "left").select("doc_id", "key", "text", "flags")
-    sent = flagged.mapInArrow(_sent(length), "a bigint, part int, key bigint, begin bigint, bytes binary")
-    shards = sent.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(_shards(length, buckets), FOUND_SCHEMA)
-    runs = shards.groupBy("bucket").applyInArrow(_merge, "key bigint, begin bigint, end bigint")
+    sent = stored(flagged.mapInArrow(_sent(length), SENT_SCHEMA))
+    by_group = _dealt(sent).repartition("a", "side", "part").sortWithinPartitions("a", "side", "part")
+    found = stored(by_group.mapInArrow(_shards(length), FOUND_SCHEMA))
+    open_ = found.where("open")
+    buckets = 1 + open_.count() // OPEN_TOGETHER
+    merged = open_.groupBy(F.pmod("first", F.lit(buckets)).alias("bucket")).applyInArrow(_merge, "key bigint, begin bigint, end bigint")
+    runs = found.where("NOT open").select("key", "begin", "end").unionByName(merged)
     runs = runs.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
     kind = df.schema["doc_id"].dataType.simpleString()
     last = "kept binary" if texts else "kept_sha256 string"

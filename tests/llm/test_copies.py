@@ -6,7 +6,7 @@ from collections import Counter, deque
 import numpy as np
 import pytest
 import xxhash
-from helpers import DOCUMENTS, AWKWARD, documents, odd_rows, prose
+from helpers import AWKWARD, DOCUMENTS, documents, odd_rows, prose
 from pyspark.sql import functions as F
 
 from tallyshelf.llm import passages, simhash, suffix, vantage
@@ -173,9 +173,21 @@ def test_a_long_periodic_text(spark, monkeypatch):
     docs = df.selectExpr("text", "xxhash64(doc_id, text) AS key")
     found = docs.select("key", "text").mapInArrow(passages._anchor_rows(passages.LENGTH), "key bigint, a bigint, c bigint, n bigint")
     flagged = docs.join(passages._flags(found), "key", "left")
-    sent = flagged.mapInArrow(passages._sent(passages.LENGTH), "a bigint, part int, key bigint, begin bigint, bytes binary")
-    sizes = [r["n"] for r in sent.groupBy("a", "part").agg(F.count("*").alias("n")).collect()]
-    assert sizes and max(sizes) <= passages.PART
+    dealt = passages._dealt(flagged.mapInArrow(passages._sent(passages.LENGTH), passages.SENT_SCHEMA))
+    sizes = [r["n"] for r in dealt.groupBy("a", "side", "part").agg(F.count("*").alias("n")).collect()]
+    assert sizes and max(sizes) <= 2 * passages.PART
+
+
+@pytest.mark.parametrize("part", [3, 10, 1000])
+def test_a_hot_anchor_in_unlike_contexts(spark, monkeypatch, part):
+    """One piece with many surroundings: shared to the left, to the right, on both sides, or not at all."""
+    monkeypatch.setattr(passages, "PART", part)
+    core = prose(40, 1234)[:150]
+    lefts, rights = [prose(30, 400 + i) for i in range(6)], [prose(30, 500 + i) for i in range(6)]
+    texts = [lefts[i % 6][-(60 + i):] + core + rights[(i // 6) % 6][:50 + i] for i in range(36)]
+    texts += [prose(20, 600 + i) + core + prose(20, 700 + i) for i in range(20)] + [core, core + rights[0], lefts[0] + core]
+    rows = list(enumerate(texts))
+    assert passages_found(documents(spark, texts)) == slow_removal(rows, passages.LENGTH)
 
 
 def test_repeats_in_odd_rows_and_empty_tables(spark):
