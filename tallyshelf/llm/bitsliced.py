@@ -8,10 +8,12 @@ significant slice of the sum finds the k-th best bound, and a comparison slice b
 among the best; these boundary rows are scored exactly, ties going to the smaller id.
 
 Queries are taken in blocks of bounded size, each sent to all row blocks; a row block keeps k rows per query, and
-the best k of all blocks are the result.
+the best k of all blocks are the result. The driver holds one block of queries; what it found is stored before the
+next. Vectors with a component of 2^24 or more after quantising, whose sums could leave 64 bits, lie in blocks of their
+own and are scored in parts of 20 bits, as is every pair with such a query.
 
-Defined results: rows without an id, null vectors, and vectors with null, non-finite or huge components (beyond
-2^30 after quantising) take no part; vectors are only compared with those of the same length; a row never answers
+Defined results: rows without an id, null vectors, and vectors with null or non-finite components take no part; a
+component or a score that no long can hold fails the query; vectors are only compared with those of the same length; a row never answers
 a query with its own id; repeated rows each count; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -24,16 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyshelf.session import stored
+
 ROW_BLOCK = 8192
 QUERY_BLOCK = 4096
 DROPPED_BITS = 3
-LARGEST = 1 << 30
+NARROW = 1 << 24  # sums of products of smaller numbers fit 64 bits, for vectors of up to 2^14 components
+LIMB = 20
 
 
 def quantised(df: DataFrame, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, v): floor(scale * x) of every component of the usable vectors."""
     def usable(x):
-        return x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < LARGEST)
+        return x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))  # NaN is above infinity
 
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, usable))
     return rows.select(F.col(key).alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
@@ -148,32 +153,59 @@ class BitSlicedIndex:
         return self.ids[found[top]], scores[top]
 
 
+def narrow(vector: np.ndarray) -> bool:
+    return not len(vector) or (int(vector.max()) < NARROW and int(vector.min()) > -NARROW)
+
+
+def limbs(numbers: np.ndarray) -> list[np.ndarray]:
+    """Numbers of 64 bits as parts of LIMB bits, lowest first; the last one carries the sign."""
+    parts = [(numbers >> (LIMB * k)) & ((1 << LIMB) - 1) for k in range(3)]
+    return [*parts, numbers >> (LIMB * 3)]
+
+
+def wide_best(own: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the index finds, from exact sums of products of parts; raises if one of the best scores is no long."""
+    scores = np.zeros(len(ids), object)
+    for i, q in enumerate(limbs(query)):
+        for j, v in enumerate(limbs(vectors)):
+            if q.any() and v.any():
+                scores += (v @ q).astype(object) * (1 << (LIMB * (i + j)))
+    there = [(-s, i) for s, i in zip(scores.tolist(), ids.tolist()) if i != own]
+    best = sorted(there)[:k]
+    if any(not -(1 << 63) <= -s < 1 << 63 for s, _ in best):
+        raise OverflowError(f"a score of query {own} is too large for 64 bits")
+    return np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)
+
+
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of rows of one vector length, of bounded size."""
-    held: dict[int, list] = {}
+    """Blocks of rows of one vector length, all narrow or all wide, of bounded size."""
+    held: dict[tuple[int, bool], list] = {}
     for batch in batches:
         for key, v in zip(batch.column("vec_id").to_pylist(), batch.column("v")):
-            some = held.setdefault(len(v.values), [])
-            some.append((key, v.values.to_numpy(zero_copy_only=False)))
+            vector = v.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            some = held.setdefault((len(vector), narrow(vector)), [])
+            some.append((key, vector))
             if len(some) == ROW_BLOCK:
                 yield np.array([i for i, _ in some], np.int64), np.stack([x for _, x in some])
                 some.clear()
     for some in held.values():
         if some:
-            yield np.array([i for i, _ in some], np.int64), np.stack([x for _, x in some]).astype(np.int64)
+            yield np.array([i for i, _ in some], np.int64), np.stack([x for _, x in some])
 
 
 def _answers(rows: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, vectors in _blocks(batches):
-            index = BitSlicedIndex(ids, vectors)
+            few = narrow(vectors.ravel())
+            index = BitSlicedIndex(ids, vectors) if few else None
             out = [[], [], []]
             for own, query in queries:
                 if len(query) == vectors.shape[1]:
-                    found, scores = index.best(own, np.array(query, np.int64), k)
+                    query = np.array(query, np.int64)
+                    found, scores = index.best(own, query, k) if few and narrow(query) else wide_best(own, query, ids, vectors, k)
                     out[0].append(np.full(len(found), own))
                     out[1].append(found)
                     out[2].append(scores)
@@ -185,14 +217,14 @@ def _answers(rows: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> D
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) for integer vectors (vec_id, v): the k best rows of every query."""
-    n = queries.count()
-    parts = -(-n // QUERY_BLOCK)
-    spread = rows.repartition("vec_id")
+    rows = stored(rows.repartition("vec_id"))
+    queries = stored(queries.select("vec_id", "v"))
+    parts = -(-queries.count() // QUERY_BLOCK)
     found = rows.sparkSession.createDataFrame([], FOUND)
     for part in range(parts):
         # about QUERY_BLOCK queries at a time, whatever their number
-        some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).select("vec_id", "v").collect()
-        found = found.union(_answers(spread, [(r["vec_id"], r["v"]) for r in some], k))
+        some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).collect()
+        found = found.union(stored(_answers(rows, [(r["vec_id"], r["v"]) for r in some], k)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

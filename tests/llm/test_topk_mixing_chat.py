@@ -52,6 +52,23 @@ def test_top_k_odd_vectors(spark):
     assert found_top(spark, rows[:1]) == [] and found_top(spark, []) == []
 
 
+def test_top_k_keeps_large_finite_vectors(spark):
+    """Components of which some products leave 64 bits in the parts they are summed from, next to small ones."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 0.3, 8).astype(np.float32).tolist(), 0) for i in range(120)]
+    for i in (0, 1, 50, 77):
+        rows[i] = (i, (rng.normal(0, 1, 8) * 1e5 * 6.0 ** (i % 3)).astype(np.float32).tolist(), 0)
+    usable = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v, _ in rows]
+    want = []
+    for q, a in usable:
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in usable if i != q)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert found_top(spark, rows) == sorted(want) and {0, 50} <= {q for q, *_ in want}
+    with pytest.raises(Exception, match="too large for 64 bits"):
+        found_top(spark, [(0, [1e13, 1.0], 0), (1, [1e13, 1.0], 0)])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 40), min_size=5, max_size=5), min_size=1, max_size=9))
 def test_bitmap_sums(numbers):
