@@ -1,22 +1,38 @@
-"""Random-forest regression on rows, trained by Spark ML."""
+"""Random-forest regression on rows, trained by Spark ML.
+
+Text features are coded by frequency: the most frequent value is 0, equal frequencies follow the text, and a missing
+or unseen value comes after all of them. The codes are a table that is joined to the rows and stored with the model,
+so a feature may have any number of values; they are numbered by a sort over all partitions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyshelf.functions.scalar import date_parts
 from tallyshelf.schema import columns_of_kind, kind_of, require_columns, require_kind
+from tallyshelf.session import stored
 
 MAX_DEPTH = 30  # Spark ML accepts no deeper trees
-MAX_CATEGORIES = 10_000  # labels of a text feature end up in the model, hence the limit
+CODES_SCHEMA = "feature string, label string, code double, values bigint"
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Trees over numbers, and the codes of the text features: (feature, label, code, values), one row per value."""
+
+    trees: PipelineModel
+    codes: DataFrame
+    texts: tuple[str, ...]
 
 
 def default_features(df: DataFrame, target: str) -> list[str]:
@@ -35,28 +51,47 @@ def feature_columns(df: DataFrame, target: str, features: Sequence[str] | None =
     return [c for c in df.columns if c != target]
 
 
-def _stages(df: DataFrame, features: Sequence[str]) -> list:
+def frequency_codes(df: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """(feature, label, code, values) of every value of the text columns, numbered from 0 by falling frequency.
+
+    `values` is how many a feature has, the code of what is missing or unseen.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("label")) for c in texts])).alias("_p")
+    counted = df.select(pairs).select("_p.*").where(F.col("label").isNotNull()).groupBy("feature", "label").agg(F.count(F.lit(1)).alias("n"))
+    order = ["feature", F.desc("n"), "label"]
+    # the id has the partition in its high bits and the place in the partition in the low ones
+    placed = stored(counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    # one row per partition and feature
+    sizes = placed.groupBy("feature", part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("feature").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.select("feature", "_part", "_first", (F.sum("_n").over(before) - F.col("_n")).alias("_before"),
+                         F.sum("_n").over(Window.partitionBy("feature")).alias("values"))
+    numbered = placed.withColumn("_part", part).join(sizes, ["feature", "_part"])
+    return numbered.select("feature", "label", (F.col("_before") + F.col("_id") - F.col("_first")).cast("double").alias("code"), "values")
+
+
+def _coded(df: DataFrame, texts: Sequence[str], codes: DataFrame) -> DataFrame:
+    """The rows with `<feature>__code` for every text feature."""
+    for c in texts:
+        own = codes.where(F.col("feature") == c)
+        unseen = own.agg(F.coalesce(F.max("values"), F.lit(0)).cast("double").alias("v")).scalar()
+        labels = own.select(F.col("label").alias(c), F.col("code").alias(f"{c}__code"))
+        df = df.join(labels, c, "left").withColumn(f"{c}__code", F.coalesce(f"{c}__code", unseen))
+    return df
+
+
+def _stages(df: DataFrame, features: Sequence[str]) -> tuple[list, list[str]]:
     texts = [c for c in features if kind_of(df.schema[c].dataType) == "string"]
     unfit = [c for c in features if kind_of(df.schema[c].dataType) not in ("string", "numeric", "boolean")]
     if unfit:
         raise ValueError(f"features must be numeric, boolean or text, not {unfit}")
-    stages = []
-    if texts:
-        sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in texts]).first().asDict()
-        large = [c for c, n in sizes.items() if n > MAX_CATEGORIES]
-        if large:
-            raise ValueError(f"text features {large} have more than {MAX_CATEGORIES} values; derive numbers from them")
-        stages.append(
-            StringIndexer(inputCols=texts, outputCols=[f"{c}__code" for c in texts], handleInvalid="keep")
-        )
-    # adding 0 drops the category metadata: codes are split like any other number
-    inputs = ", ".join(
-        f"`{c}__code` + 0D AS `{c}__in`" if c in texts else f"CAST(`{c}` AS DOUBLE) AS `{c}__in`" for c in features
-    )
-    stages.append(SQLTransformer(statement=f"SELECT *, {inputs} FROM __THIS__"))
-    # missing numbers reach the trees as NaN and sort above every threshold
-    stages.append(VectorAssembler(inputCols=[f"{c}__in" for c in features], outputCol="__features", handleInvalid="keep"))
-    return stages
+    inputs = ", ".join(f"`{c}__code` AS `{c}__in`" if c in texts else f"CAST(`{c}` AS DOUBLE) AS `{c}__in`" for c in features)
+    return [
+        SQLTransformer(statement=f"SELECT *, {inputs} FROM __THIS__"),
+        # missing numbers reach the trees as NaN and sort above every threshold
+        VectorAssembler(inputCols=[f"{c}__in" for c in features], outputCol="__features", handleInvalid="keep"),
+    ], texts
 
 
 def fit_forest(
@@ -68,7 +103,7 @@ def fit_forest(
     max_depth: int = 10,
     seed: int = 42,
     max_bins: int = 64,
-) -> PipelineModel:
+) -> Forest:
     """Forest with bootstrap rows, all features tried at each split and single-row leaves allowed."""
     features = feature_columns(train, target, features)
     require_kind(train, target, "numeric")
@@ -80,43 +115,39 @@ def fit_forest(
         minInstancesPerNode=1, bootstrap=True, subsamplingRate=1.0,
     )
     rows = train.select(*features, F.col(target).cast("double").alias("__label")).where("__label IS NOT NULL")
-    # indexing, binning and the trees pass over the rows again and again; blocks lost with an
-    # executor are computed again from the plan
+    stages, texts = _stages(rows, features)
+    codes = train.sparkSession.createDataFrame([], CODES_SCHEMA)
+    if texts:
+        codes = stored(frequency_codes(rows, texts))
+        rows = _coded(rows, texts, codes)
+    # binning and the trees pass over the rows again and again; blocks lost with an executor are
+    # computed again from the plan
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=[*_stages(rows, features), forest]).fit(rows)
+        return Forest(Pipeline(stages=[*stages, forest]).fit(rows), codes, tuple(texts))
     finally:
         rows.unpersist()
 
 
-def trained_features(model: PipelineModel) -> list[str]:
+def trained_features(model: Forest) -> list[str]:
     """Feature names in training order; stored with the model, so loading recovers them."""
-    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    assembler = next(s for s in model.trees.stages if isinstance(s, VectorAssembler))
     return [c.removesuffix("__in") for c in assembler.getInputCols()]
 
 
-def _text_features(model: PipelineModel) -> set[str]:
-    return {
-        c.removesuffix("__code")
-        for s in model.stages if s.hasParam("outputCols") and s.isDefined("outputCols")
-        for c in s.getOutputCols()
-    }
-
-
-def predict_forest(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict_forest(model: Forest, df: DataFrame) -> DataFrame:
     """The rows with a prediction; columns the model does not know pass through.
 
     An absent number counts as 0; an absent text gets the label "0", which is unseen unless the training rows had it.
     """
-    features, texts = trained_features(model), _text_features(model)
-    absent = {c: F.lit("0") if c in texts else F.lit(0.0) for c in features if c not in df.columns}
-    scored = model.transform(df.withColumns(absent) if absent else df)
+    absent = {c: F.lit("0") if c in model.texts else F.lit(0.0) for c in trained_features(model) if c not in df.columns}
+    scored = model.trees.transform(_coded(df.withColumns(absent) if absent else df, model.texts, model.codes))
     return scored.select(*df.columns, "prediction")
 
 
-def feature_importances(model: PipelineModel, df: DataFrame) -> DataFrame:
+def feature_importances(model: Forest, df: DataFrame) -> DataFrame:
     """(Feature, Importance), largest first; ``df`` only lends its session."""
-    weights = model.stages[-1].featureImportances.toArray().tolist()
+    weights = model.trees.stages[-1].featureImportances.toArray().tolist()
     rows = list(zip(trained_features(model), weights, strict=True))
     schema = T.StructType([T.StructField("Feature", T.StringType()), T.StructField("Importance", T.DoubleType())])
     return df.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("Importance"), "Feature")

@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyshelf.functions.seasonal_arma import Orders
+from tallyshelf.operators.forest import Forest
 from tallyshelf.sources.paths import path_exists
 
+# Kinds in the names of stored models, and the time stamp behind them.
 FOREST, PANEL = "RandomForest", "SARIMA"
+STAMP = "%Y%m%d%H%M%S"
 
 
 def model_name(kind: str, target: str, moment: dt.datetime | None = None) -> str:
-    return f"{kind}_{target}_{(moment or dt.datetime.now()).strftime('%Y%m%d%H%M%S')}"
+    return f"{kind}_{target}_{(moment or dt.datetime.now()).strftime(STAMP)}"
 
 
 def kind_from_name(name: str, default: str = FOREST) -> str:
@@ -39,17 +42,19 @@ def read_card(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/card").first()["value"])
 
 
-def save_forest(spark: SparkSession, model: PipelineModel | None, path: str, target: str = "", features: Sequence[str] = ()) -> None:
+def save_forest(spark: SparkSession, model: Forest | None, path: str, target: str = "", features: Sequence[str] = ()) -> None:
+    """Store the trees and, beside them, the codes of the text features."""
     if model is None:
         raise ValueError("there is no trained model to save")
-    model.write().overwrite().save(f"{path}/model")
+    model.trees.write().overwrite().save(f"{path}/model")
+    model.codes.write.mode("overwrite").parquet(f"{path}/codes")
     created = dt.datetime.now().isoformat()
-    _write_card(spark, path, {"kind": FOREST, "target": target, "features": list(features), "created": created})
+    _write_card(spark, path, {"kind": FOREST, "target": target, "features": list(features), "texts": list(model.texts), "created": created})
 
 
-def load_forest(spark: SparkSession, path: str) -> PipelineModel:
-    read_card(spark, path)
-    return PipelineModel.load(f"{path}/model")
+def load_forest(spark: SparkSession, path: str) -> Forest:
+    card = read_card(spark, path)
+    return Forest(PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/codes"), tuple(card["texts"]))
 
 
 def save_panel(

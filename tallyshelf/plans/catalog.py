@@ -1277,6 +1277,39 @@ def _rf_steps_importance(spark, folder):
     return forest.feature_importances(forest.fit_forest(rows, **STEP_FOREST), rows)
 
 
+def _labelled_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """A target that follows a text feature with more values than lines in most tables: how often the value occurs."""
+    lines = table(spark, folder, "lineitem").select(F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("label"), "l_linenumber")
+    often = lines.groupBy("label").agg(F.count(F.lit(1)).alias("often"))
+    return lines.join(often, "label").select("label", "l_linenumber", (F.col("often") * 10.0).alias("target"), F.lit(1).alias("same"))
+
+
+@register(
+    "text_feature_codes",
+    """SELECT 'label' AS feature, 'order ' || l_orderkey AS label, CAST(row_number() OVER (ORDER BY COUNT(*) DESC, 'order ' || l_orderkey) - 1 AS DOUBLE) AS code,
+    COUNT(*) OVER () AS "values" FROM lineitem GROUP BY l_orderkey""",
+)
+def _text_feature_codes(spark, folder):
+    return forest.frequency_codes(_labelled_steps(spark, folder), ["label"])
+
+
+@register(
+    "rf_text_forecast",
+    """SELECT label, l_linenumber, n >= 4 AS predicted_often FROM (SELECT 'order ' || l_orderkey AS label, l_linenumber,
+      COUNT(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE n NOT IN (3, 4)""",
+)
+def _rf_text_forecast(spark, folder):
+    """Codes follow the frequency, so one threshold on them tells frequent values apart, however many values there are.
+
+    Trained on and asked for all rows; where the two classes meet (values that occur three or four times) a bin
+    of the forest holds codes of both, so these are not compared.
+    """
+    rows = _labelled_steps(spark, folder).withColumn("often", (F.col("target") >= 40).cast("double"))
+    found = forest.predict_forest(forest.fit_forest(rows, "often", ["label", "same"], trees=5, max_depth=3), rows)
+    found = found.where(~F.col("target").isin(30.0, 40.0))
+    return found.select("label", "l_linenumber", (F.col("prediction") >= 0.5).alias("predicted_often"))
+
+
 @register("model_round_trip", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 40.0 ELSE 10.0 END::DOUBLE AS prediction FROM part")
 def _model_round_trip(spark, folder):
     """The newest of two stored models, loaded, predicts what the trained one did."""
