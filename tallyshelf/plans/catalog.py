@@ -22,11 +22,13 @@ from tallyshelf.operators.features import add_features
 from tallyshelf.operators.metrics import regression_metrics
 from tallyshelf.plans.report import headline_texts, processed_lines
 from tallyshelf.schema import CORRUPT, ROW_ID
-from tallyshelf.session import staging_dir
+from tallyshelf.session import staging_dir, stored
 from tallyshelf.sources.files import keep_raw, read_csv, read_csv_with_rejects, read_lines, type_columns
-from tallyshelf.sources.payload import parse_objects, read_payload
+from tallyshelf.sources.payload import parse_objects, parse_variants, read_payload
 from tallyshelf.sources.sinks import write_table
 from tallyshelf.sources.star import retail_lines, table
+from tallyshelf.streaming import lines as line_stream
+from tallyshelf.streaming import totals as total_stream
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -1130,7 +1132,8 @@ def _forest(spark: SparkSession, folder: str):
     sales = _sales(spark, folder, "InvoiceNo", "StockCode", "Country").drop("TotalPrice")
     features = [*forest.default_features(sales, "Quantity"), "UnitPrice", "Country"]
     order = ["InvoiceDate", "InvoiceNo", "StockCode"]
-    train, test = splits.ordered_split(sales.select(*order, "Quantity", *features), order, 0.2)
+    # the split and the forest pass over the rows several times
+    train, test = splits.ordered_split(stored(sales.select(*order, "Quantity", *features)), order, 0.2)
     return forest.fit_forest(train, "Quantity", features), test
 
 
@@ -1519,3 +1522,119 @@ def _panel_holdout_metrics(spark, folder):
     model = panel.fit_panel(train, orders=SEASONAL, exog=["UnitPrice"], by=["Country"])
     path = panel.forecast_panel(model, 12, "MS", SEASONAL, test, ["UnitPrice"])
     return regression_metrics(test.join(path, ["Country", "bucket"]), "value", "forecast", ["Country"])
+
+
+# ---------------------------------------------------------------- streams, rewritten months, stored sketches
+
+CUT = "1995-01-01"
+LANDED = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country"]
+
+
+def _land(spark: SparkSession, folder: str, path: str, second: bool) -> None:
+    """The lines before the cut, or those after it and once more the last weeks before it, as CSV files."""
+    lines = retail_lines(spark, folder, LANDED)
+    day = F.col("InvoiceDate").cast("date")
+    again = day.between(F.date_sub(F.lit(CUT).cast("date"), 20), F.date_sub(F.lit(CUT).cast("date"), 1))
+    part = (day >= CUT) | again if second else day < CUT
+    text = lines.where(part).withColumn("InvoiceDate", F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss"))
+    text.write.mode("append").option("header", True).option("escape", '"').csv(path)
+
+
+@register(
+    "stream_clean_lines",
+    f"""WITH {SALES} SELECT DISTINCT InvoiceNo, StockCode, Quantity, CAST(InvoiceDate AS DATE) AS day, CustomerID, Country,
+    CAST(TotalPrice AS DOUBLE) AS TotalPrice, CAST(quarter(InvoiceDate) AS INT) AS OrderQuarter FROM sales""",
+)
+def _stream_clean_lines(spark, folder):
+    """Files land twice, some lines in both; the job is stopped between and restarted from its checkpoint."""
+    root = staging_dir(spark)
+    for second in (False, True):
+        _land(spark, folder, f"{root}/landing", second)
+        lines = line_stream.processed_stream(line_stream.landing_stream(spark, f"{root}/landing"))
+        line_stream.write_stream(line_stream.without_copies(lines), f"{root}/lines", f"{root}/marks").awaitTermination()
+    lines = _cents(spark.read.parquet(f"{root}/lines"), "TotalPrice")
+    return lines.select(
+        "InvoiceNo", "StockCode", F.col("Quantity").cast("double").alias("Quantity"), F.col("InvoiceDate").cast("date").alias("day"),
+        "CustomerID", "Country", F.col("TotalPrice").cast("double").alias("TotalPrice"), "OrderQuarter")
+
+
+@register(
+    "stream_stock",
+    f"""WITH {LINES}, twice AS (SELECT * FROM lines UNION ALL SELECT * FROM lines
+      WHERE CAST(InvoiceDate AS DATE) BETWEEN DATE '{CUT}' - 20 AND DATE '{CUT}' - 1),
+    {STOCK.replace("FROM lines", "FROM twice")} SELECT * FROM stock""",
+)
+def _stream_stock(spark, folder):
+    """Stock per product after two landings, each brought in by a run of its own; every landed line counts."""
+    root = staging_dir(spark)
+    for second in (False, True):
+        _land(spark, folder, f"{root}/landing", second)
+        landed = line_stream.landing_stream(spark, f"{root}/landing")
+        total_stream.keep_totals(inventory.stock_estimate(landed), f"{root}/stock", f"{root}/marks").awaitTermination()
+    return total_stream.current_totals(spark, f"{root}/stock", ["StockCode"])
+
+
+@register(
+    "month_rewritten",
+    f"""WITH {SALES} SELECT year(InvoiceDate) AS OrderYear, month(InvoiceDate) AS OrderMonth, COUNT(*) AS n,
+    CAST(SUM(CASE WHEN year(InvoiceDate) = 1996 AND month(InvoiceDate) = 3 THEN 2 ELSE 1 END * TotalPrice) AS DOUBLE) AS total
+    FROM sales GROUP BY 1, 2""",
+)
+def _month_rewritten(spark, folder):
+    """A table by month of which March 1996 is written again, twice, at double prices; all other months stay."""
+    path = f"{staging_dir(spark)}/sales.parquet"
+    sales = _sales(spark, folder, "InvoiceNo")
+    write_table(sales, path)
+    march = sales.where("OrderYear = 1996 AND OrderMonth = 3").withColumn("TotalPrice", (F.col("TotalPrice") * 2).cast("decimal(18,2)"))
+    for _ in range(2):
+        write_table(march, path, only_these_months=True)
+    found = spark.read.parquet(path).groupBy(F.col("OrderYear").cast("long").alias("OrderYear"), F.col("OrderMonth").cast("long").alias("OrderMonth"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.sum("TotalPrice").cast("double").alias("total"))
+
+
+@register(
+    "json_variants",
+    """SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+    CASE WHEN event_type = 'click' THEN user_id END AS user_id, event_type = 'error' AS rejected FROM events""",
+)
+def _json_variants(spark, folder):
+    """Two shapes of records, flat and nested, and broken ones that come back apart."""
+    nested = F.concat(F.lit('{"v": 2, "data": '), F.col("props"), F.lit(', "by": {"user": '), F.col("user_id").cast("string"), F.lit("}}"))
+    broken = F.replace("props", F.lit("}"), F.lit(""))
+    text = F.when(F.col("event_type") == "error", broken).when(F.col("event_type") == "click", nested).otherwise(F.col("props"))
+    records = table(spark, folder, "events").select("event_id", text.alias("payload"))
+    good, bad = parse_variants(records, "payload", {"k": ("$.k|$.data.k", "bigint"), "user_id": ("$.by.user", "bigint")})
+    columns = ["event_id", "k", "user_id", "rejected"]
+    missing = F.lit(None).cast("bigint")
+    return good.withColumn("rejected", F.lit(False)).select(columns).unionByName(
+        bad.select("event_id", missing.alias("k"), missing.alias("user_id"), F.lit(True).alias("rejected")))
+
+
+@register(
+    "merged_figures",
+    f"""WITH {SALES} SELECT COUNT(*) AS records, CAST(SUM(TotalPrice) AS DOUBLE) AS revenue, CAST(MIN(InvoiceDate) AS DATE) AS first_date,
+    CAST(MAX(InvoiceDate) AS DATE) AS last_date, COUNT(DISTINCT InvoiceNo) > 0 AS as_other_parts,
+    COUNT(DISTINCT StockCode) > 0 AS close FROM sales WHERE year(InvoiceDate) BETWEEN 1994 AND 1995""",
+)
+def _merged_figures(spark, folder):
+    """Two years of stored monthly sketches merged, beside the same lines sketched in other parts and the exact counts."""
+    sales = _sales(spark, folder, "InvoiceNo", "StockCode", "CustomerID")
+    path = f"{staging_dir(spark)}/sketches.parquet"
+    totals.figure_sketches(sales).write.parquet(path)
+    some = F.year("month").between(1994, 1995)
+    merged = totals.merged_figures(spark.read.parquet(path).where(some))
+    period = sales.where(F.year("InvoiceDate").between(1994, 1995))
+    exact = totals.headline_figures(period)
+    quarters = period.withColumn("InvoiceDate", F.date_trunc("quarter", "InvoiceDate"))
+    other = totals.merged_figures(totals.figure_sketches(quarters))
+    names = ["invoices", "known_customers", "products"]
+    both = merged.crossJoin(F.broadcast(other.select(*[F.col(n).alias(f"{n}_other") for n in names]))).crossJoin(
+        F.broadcast(exact.select(*[F.col(n).alias(f"{n}_exact") for n in names])))
+    same, close = F.lit(True), F.lit(True)
+    for n in names:
+        # five standard errors of the sketch; other parts give the same registers, but the order may pick another estimator
+        bound = 5 * 0.0082 * F.col(f"{n}_exact")
+        same = same & (F.abs(F.col(n) - F.col(f"{n}_other")) <= bound)
+        close = close & (F.abs(F.col(n) - F.col(f"{n}_exact")) <= bound)
+    return both.select("records", F.col("revenue").cast("double").alias("revenue"), "first_date", "last_date",
+                       same.alias("as_other_parts"), close.alias("close"))

@@ -39,6 +39,26 @@ def read_payload(
     raise ValueError(f"unsupported payload format {file_format!r}: use csv or json")
 
 
+def parse_variants(
+    df: DataFrame, column: str, fields: dict[str, tuple[str, str]], extra: str = "_record"
+) -> tuple[DataFrame, DataFrame]:
+    """Records of drifting shapes in a text column, without a pass that infers a schema.
+
+    ``fields`` maps a column name to (path in the record, type): what a record lacks, or holds as something that does not
+    convert, is null. Fields of different shapes are found by separate paths, the first that gives a value wins (``"$.a|$.b.a"``).
+    ``extra`` is the whole record as VARIANT, so nothing of it is lost. Rows that are no JSON come back apart; null stays a
+    row without fields.
+    """
+    parsed = df.withColumn(extra, F.try_parse_json(column))
+
+    def field(paths: str, kind: str) -> Column:
+        return F.coalesce(*[F.try_variant_get(extra, path, kind) for path in paths.split("|")])
+
+    bad = F.col(column).isNotNull() & F.col(extra).isNull()
+    good = parsed.where(~bad).select(*df.columns, *[field(*f).alias(name) for name, f in fields.items()], extra)
+    return good, parsed.where(bad).select(*df.columns)
+
+
 def parse_objects(df: DataFrame, column: str | Column, schema: str) -> tuple[DataFrame, DataFrame]:
     """Parse a text column that holds one JSON object per row; unparsable rows come back apart."""
     text = F.col(column) if isinstance(column, str) else column

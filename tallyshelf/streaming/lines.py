@@ -1,8 +1,8 @@
 """Invoice lines cleaned as they land.
 
-Only the row rules and derived columns run on the stream: they keep no state, so the job needs
-no watermark and restarts from its checkpoint. Capping and removal of copies look at the whole
-table and stay in the batch job that reads the landed result.
+The row rules and derived columns keep no state, so the job needs no watermark and restarts from its
+checkpoint. Removal of copies keeps the lines of a stretch of time: a copy must land while its original is
+within the delay. Capping looks at the whole table and stays in the batch job that reads the landed result.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -32,6 +33,15 @@ def processed_stream(lines: DataFrame, rules: CleaningRules = CleaningRules()) -
     return add_features(apply_row_rules(lines, rules))
 
 
+def without_copies(lines: DataFrame, delay: str = "40 days", ts: str = "InvoiceDate") -> DataFrame:
+    """Lines that have not landed before; their state goes once the newest line is `delay` past them.
+
+    Lines older than that when they land are dropped: they can no longer be told from copies.
+    """
+    stamped = lines.withColumn("_stamp", F.to_timestamp_ltz(F.col(ts).cast("string"))).withWatermark("_stamp", delay)
+    return stamped.dropDuplicatesWithinWatermark(lines.columns).drop("_stamp")
+
+
 def write_stream(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what has landed so far to a partitioned parquet table, then stop."""
     parts = [c for c in PARTITION_COLUMNS if c in lines.columns]
