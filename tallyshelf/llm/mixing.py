@@ -7,14 +7,18 @@
    where S_d is the sum of rate_i * share_i * posterior_id, the expected tokens of domain d, share_i is the
    document's part of all tokens, and T are the wanted totals. weight_d is 1, or LEAST_SHARE / share_d for a domain
    with a smaller part of all tokens, so that the ridge moves no domain by more than about a hundredth of its own
-   tokens, however rare it is. At the minimum rate_i = max(0, 1 - posterior_i . multipliers) with one multiplier per
-   domain, so Newton's method looks for these few numbers: each step is one pass over the stored posteriors that adds
-   up a small vector for several step lengths at once. No rate is ever collected or stored between the steps.
-   What the ridge leaves of a positive target is then taken up by moving its centre to the multipliers found (the
-   method of multipliers). A target of zero is not chased like that: posteriors are never exactly 0, so it could
+   tokens, however rare it is. This is solved by projected-gradient steps on the rates, all of which start at 1. A step moves
+   every rate along its preconditioned gradient and cuts it off at 0,
+       rate_i <- max(0, rate_i + length * (1 - posterior_i . multipliers - rate_i)),
+   where the few multipliers, one per domain, come from the domains' residuals and a small matrix summed over the
+   documents that are free to move; that is Newton's direction among them, and at the minimum it moves nothing.
+   Several lengths are tried in one pass over the stored posteriors, and the one with the least objective is taken. A document's
+   rate follows from its posteriors and the few steps so far, so no rate is ever collected or stored between them.
+   What the ridge leaves of a positive target is then taken up by shifting the target by it (the method of multipliers). A
+   target of zero is not chased like that: posteriors are never exactly 0, so it could
    only be met by dropping documents that are almost surely of another domain. `Fit.missed` names the domains whose
    expected tokens are not within `tolerance` of a positive target, or above NEAR_ZERO of what they had for a target
-   of zero; `mix` warns of them.
+   of zero; `mix` warns of them, and `fit_report` is a table of targets, totals reached and status.
 3. `copies` turns a rate into a whole number: its integer part, plus one if the fraction exceeds a hash of the id.
 
 Defined results: null or empty texts have no tokens, no influence on the fit, and the rate their posteriors imply;
@@ -35,7 +39,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,17 +227,26 @@ def with_posteriors(df: DataFrame, model: DomainModel, text: str = "text", keep:
 
 @dataclass(frozen=True)
 class Fit:
-    """One multiplier for each domain, from which any document's rate follows, and how far the targets are met."""
+    """The steps (length, multipliers) from which any document's rate follows, and how far the targets are met."""
 
-    multipliers: tuple[float, ...]
+    steps: tuple[tuple[float, tuple[float, ...]], ...]
     expected: tuple[float, ...]
     target: tuple[float, ...]
     missed: tuple[str, ...] = ()
 
     def walk(self, posteriors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rates, and which of them are above zero and so change with the multipliers."""
-        raw = 1 - posteriors @ np.array(self.multipliers)
-        return np.maximum(0.0, raw), raw > 0
+        """Rates after all steps, and which of them are free to move."""
+        rate, free = np.ones(len(posteriors)), np.ones(len(posteriors), bool)
+        # a step of full length forgets those before it
+        full = max((i for i, (length, _) in enumerate(self.steps) if length == 1), default=0)
+        for length, multipliers in self.steps[full:]:
+            rate, free = _moved(rate, 1 - posteriors @ np.array(multipliers), length)
+        return rate, free
+
+
+def _moved(rate: np.ndarray, aim: np.ndarray, length: float) -> tuple[np.ndarray, np.ndarray]:
+    moved = np.maximum(0.0, rate + length * (aim - rate))
+    return moved, (moved > 0) | (aim > 0)
 
 
 def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
@@ -256,57 +269,69 @@ def _totals(rated: DataFrame, terms, k: int) -> np.ndarray:
 
 def fit_rates(rated: DataFrame, weights: dict[str, float], held: str, domains: tuple[str, ...] = DOMAINS, steps: int = STEPS,
               ridge: float = RIDGE, tolerance: float = 1e-3) -> Fit:
-    """Newton's method for the multipliers over stored posteriors, one pass over them per step.
+    """Projected-gradient steps on the rates over stored posteriors, one pass over them per step.
 
     `weights` are the wanted proportions of the domains' tokens; the domain `held` keeps the total that it has.
-    Every minimum is searched until a step changes nothing, `steps` steps at most; `tolerance` is relative to a target.
+    Every minimum is searched until a step improves nothing, `steps` steps at most; `tolerance` is relative to a target.
     """
     k = len(domains)
     goal = np.array([weights[d] / weights[held] for d in domains])
     sums = _totals(rated, lambda n, p: np.concatenate([n[:, None], n[:, None] * p], 1), k)
     if not len(sums) or sums[0] == 0:
-        return Fit((0.0,) * k, (0.0,) * k, tuple(goal.tolist()))
+        return Fit((), (0.0,) * k, tuple(goal.tolist()))
     total, now = sums[0], sums[1:] / sums[0]
     goal = goal * now[domains.index(held)]
-    pull = ridge / np.maximum(1.0, LEAST_SHARE / np.where(now > 0, now, 1.0))
+    weight = np.maximum(1.0, LEAST_SHARE / np.where(now > 0, now, 1.0))
+    pull = ridge / weight
     scale = np.maximum(np.maximum(now, goal), np.finfo(float).tiny)
+    taken: list[tuple[float, tuple[float, ...]]] = []
+
+    def tried(multipliers: np.ndarray, lengths) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """After a further step of each length: the ridge's sum, the domains' totals, those of the free rows at rate 1, their matrix."""
+        so_far = Fit(tuple(taken), (), ())
 
-    def tried(points: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """At each of some multipliers: the dual's value without the ridge on them, the domains' totals, their slopes."""
         def terms(n: np.ndarray, p: np.ndarray) -> np.ndarray:
-            out = []
-            for m in points:
-                rate, some = Fit(tuple(m.tolist()), (), ()).walk(p)
-                out.append(np.concatenate([[n @ rate**2 / 2], (n * rate) @ p, (p.T @ ((n * some)[:, None] * p)).ravel()]))
+            out, before, aim = [], so_far.walk(p)[0], 1 - p @ multipliers
+            for length in lengths:
+                rate, free = _moved(before, aim, length)
+                out.append(np.concatenate([[n @ (rate - 1) ** 2], (n * rate) @ p, (n * free) @ p, (p.T @ ((n * free)[:, None] * p)).ravel()]))
             return np.concatenate(out)[None, :]
 
-        parts = (_totals(rated, terms, k) / total).reshape(len(points), -1)
-        return [(v[0], v[1:1 + k], v[1 + k:].reshape(k, k)) for v in parts]
+        parts = (_totals(rated, terms, k) / total).reshape(len(lengths), -1)
+        return [(v[0], v[1:1 + k], v[1 + k:1 + 2 * k], v[1 + 2 * k:].reshape(k, k)) for v in parts]
 
-    centre = at = np.zeros(k)
-    value, found, slope = tried(at[None, :])[0]
+    shift = np.zeros(k)
+    state = tried(np.zeros(k), [1.0])[0]
     for _ in range(CENTRES):
+        wanted = goal - pull * shift
+
+        def worth(state, wanted=wanted) -> float:
+            return float((weight * (state[1] - wanted) ** 2).sum() / 2 + ridge * state[0] / 2)
+
         for _ in range(steps):
-            down = found - goal - pull * (at - centre)
-            step = np.linalg.solve(slope + np.diag(pull), down)
-            gain = down @ step
-            if (np.abs(down) <= 1e-7 * scale).all() or gain <= 0:
+            multipliers = np.linalg.solve(state[3] + np.diag(pull), state[2] - wanted)
+            if (np.abs(state[1] - wanted - pull * multipliers) <= 1e-7 * scale).all():
                 break
-            points = at + LENGTHS[:, None] * step
-            worth = lambda v, m: v + m @ goal + (pull * (m - centre) ** 2).sum() / 2
-            results = tried(points)
-            values = np.array([worth(r[0], m) for r, m in zip(results, points)])
-            best = int(np.argmin(values))
-            if values[best] >= worth(value, at):  # as far as numbers of this precision go
+            results = tried(multipliers, LENGTHS)
+            best = int(np.argmin([worth(r) for r in results]))
+            if worth(results[best]) >= worth(state):  # as far as numbers of this precision go
                 break
-            at, (value, found, slope) = points[best], results[best]
-        off = np.abs(found - goal) > tolerance * goal
+            state = results[best]
+            taken.append((float(LENGTHS[best]), tuple(multipliers.tolist())))
+        off = np.abs(state[1] - goal) > tolerance * goal
         open_ = off & (goal > 0) & (now > 0)
         if not open_.any():
             break
-        centre = np.where(open_, at, centre)
+        shift = np.where(open_, multipliers, shift)
+    found = state[1]
     missed = np.where(goal > 0, off, found > NEAR_ZERO * now)
-    return Fit(tuple(at.tolist()), tuple(found.tolist()), tuple(goal.tolist()), tuple(d for d, m in zip(domains, missed) if m))
+    return Fit(tuple(taken), tuple(found.tolist()), tuple(goal.tolist()), tuple(d for d, m in zip(domains, missed) if m))
+
+
+def fit_report(spark: SparkSession, fit: Fit, domains: tuple[str, ...] = DOMAINS) -> DataFrame:
+    """(domain, target, expected, status): parts of all tokens, and whether a target is reached."""
+    rows = [(d, t, e, "missed" if d in fit.missed else "reached") for d, t, e in zip(domains, fit.target, fit.expected)]
+    return spark.createDataFrame(rows, "domain string, target double, expected double, status string")
 
 
 def with_rates(rated: DataFrame, fit: Fit) -> DataFrame:
@@ -333,13 +358,20 @@ def nearest_copies(rate: Column) -> Column:
     return F.floor(rate + 0.5).cast("int")
 
 
-def mix(documents: DataFrame, labelled: DataFrame, weights: dict[str, float], held: str,
-        domains: tuple[str, ...] = DOMAINS, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with n_words, posteriors, rate and copies."""
+def mix_with_fit(documents: DataFrame, labelled: DataFrame, weights: dict[str, float], held: str,
+                 domains: tuple[str, ...] = DOMAINS, keep: list[str] | None = None) -> tuple[DataFrame, Fit]:
+    """The kept columns with n_words, posteriors, rate and copies, and the fit that gave the rates."""
     model = fit_domains(documents, labelled, domains)
     rated = stored(with_posteriors(documents.drop("rate", "copies"), model, keep=keep))
     fitted = fit_rates(rated.select("n_words", "posteriors"), weights, held, domains)
+    return with_rates(rated, fitted).withColumn("copies", copies(F.col("rate"), F.col("doc_id"))), fitted
+
+
+def mix(documents: DataFrame, labelled: DataFrame, weights: dict[str, float], held: str,
+        domains: tuple[str, ...] = DOMAINS, keep: list[str] | None = None) -> DataFrame:
+    """The table of :func:`mix_with_fit`, with a warning of targets that are not reached."""
+    mixed, fitted = mix_with_fit(documents, labelled, weights, held, domains, keep)
     if fitted.missed:
         figures = ", ".join(f"{d} {s:.3g} for {t:.3g}" for d, s, t in zip(domains, fitted.expected, fitted.target) if d in fitted.missed)
         warnings.warn(f"targets not reached, in parts of all tokens: {figures}", stacklevel=2)
-    return with_rates(rated, fitted).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    return mixed

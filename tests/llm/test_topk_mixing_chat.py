@@ -1,9 +1,11 @@
 """Top-k search, mixing and chat formatting."""
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
+import xxhash
 from helpers import AWKWARD, documents, odd_rows, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -156,6 +158,42 @@ def test_targets_out_of_reach_are_reported(spark):
         mixing.mix(present, marks, {"clean": 0.7, "low": 0.2, "toxic": 0.1}, "clean")
 
 
+def test_the_fit_is_a_table_with_a_status(spark):
+    docs, marks, _ = labelled_corpus(spark)
+    mixed, fit = mixing.mix_with_fit(docs.where("doc_id < 120"), marks, {"clean": 0.7, "low": 0.2, "toxic": 0.1}, "clean")
+    report = {r["domain"]: r for r in mixing.fit_report(spark, fit).collect()}
+    assert {d: r["status"] for d, r in report.items()} == {"clean": "reached", "low": "missed", "toxic": "reached"}
+    rows = mixed.collect()
+    total = sum(r["n_words"] for r in rows)
+    for i, d in enumerate(mixing.DOMAINS):
+        assert abs(sum(r["rate"] * r["n_words"] * r["posteriors"][i] for r in rows) / total - report[d]["expected"]) < 1e-9
+
+
+def test_partial_steps_replay_to_the_same_rates():
+    p = np.random.default_rng(1).dirichlet([0.5, 0.5, 0.5], 50)
+    steps = ((0.5, (2.0, -1.0, 0.5)), (1.0, (0.3, 0.9, -2.0)), (0.25, (1.5, 0.1, 0.0)), (0.5, (4.0, 0.0, 0.0)))
+    rate = np.ones(50)
+    for length, m in steps:
+        rate = np.maximum(0, (1 - length) * rate + length * (1 - p @ np.array(m)))
+    assert np.allclose(mixing.Fit(steps, (), ()).walk(p)[0], rate)
+
+
+def test_posteriors_against_a_plain_softmax(spark):
+    docs, marks, _ = labelled_corpus(spark)
+    model = mixing.fit_domains(docs, marks)
+    got = {r["doc_id"]: r["posteriors"] for r in mixing.with_posteriors(docs, model).collect()}
+    for r in docs.collect():
+        words = r["text"].lower().split()
+        parts = set()
+        for w in {w.strip(".,;:!?()\"'") for w in words}:
+            parts |= {w, *[w[:n] + "*" for n in mixing.BEGINNINGS if len(w) > n]}
+        buckets = {xxhash.xxh3_64_intdigest(x.encode()) % mixing.BUCKETS for x in parts}
+        buckets.add(mixing.BUCKETS + min(9, 10 * len(set(words)) // len(words)))
+        raw = [sum(model.weights[model.places[b]][d] for b in buckets) + model.bias[d] for d in range(3)]
+        odds = [math.exp(x - max(raw)) for x in raw]
+        assert got[r["doc_id"]] == pytest.approx([o / sum(odds) for o in odds], abs=1e-9)
+
+
 def test_labels_of_absent_documents_have_no_say(spark):
     docs, marks, names = labelled_corpus(spark)
     present = docs.where("doc_id < 120")  # the low-quality ones are gone, their labels are not
