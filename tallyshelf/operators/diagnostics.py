@@ -64,3 +64,66 @@ def autocorrelation(series: DataFrame, value: str, lags: int = 10, by: Sequence[
         F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"_s{k}"), F.col("_s0")).alias("acf")) for k in range(lags + 1)
     ]
     return sums.select(*by, F.inline(F.array(*cells))).where(F.col("acf").isNotNull())
+
+
+def histogram_by(residuals: DataFrame, z: str = "z", by: Sequence[str] = (), bins: int = 10) -> DataFrame:
+    """Per series equal-width bins over its own range, scaled to a density; empty bins show 0."""
+    rows = residuals.where(F.col(z).isNotNull()).select(*by, F.col(z).alias("_z"))
+    facts = rows.groupBy(*by).agg(F.min("_z").alias("_lo"), F.max("_z").alias("_hi"), F.count(F.lit(1)).alias("_rows"))
+    # a series of equal values has no width and one bin of its own, half a unit to each side
+    pad = F.when(F.col("_lo") == F.col("_hi"), 0.5).otherwise(0.0)
+    facts = facts.select(*by, (F.col("_lo") - pad).alias("_lo"), ((F.col("_hi") - F.col("_lo") + 2 * pad) / bins).alias("_w"), "_rows")
+    met = rows.join(facts, list(by)) if by else rows.crossJoin(F.broadcast(facts))
+    bin_of = F.least(F.floor((F.col("_z") - F.col("_lo")) / F.col("_w")), F.lit(bins - 1)).cast("int")
+    counts = met.select(*by, bin_of.alias("bin")).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    edges = facts.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    found = edges.join(counts, [*by, "bin"], "left")
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return found.select(*by, "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("lower"), (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("upper"),
+                        n.alias("n"), (n / (F.col("_rows") * F.col("_w"))).alias("density"))
+
+
+def density_by(residuals: DataFrame, z: str = "z", by: Sequence[str] = (), points: int = 50, reach: float = 3.92) -> DataFrame:
+    """Per series the Gaussian density estimate (Scott's rule) between -reach and reach, beside the standard normal density."""
+    rows = residuals.where(F.col(z).isNotNull()).select(*by, F.col(z).alias("_z"))
+    whole = series_window(by)
+    spread = rows.withColumns({"_n": F.count(F.lit(1)).over(whole).cast("double"), "_sd": F.stddev_samp("_z").over(whole)})
+    spread = spread.withColumn("_h", F.col("_sd") * F.pow("_n", F.lit(-0.2))).where("_h > 0")
+    grid = spread.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    x = F.lit(-reach) + F.col("point") * F.lit(2 * reach / (points - 1))
+    u = (x - F.col("_z")) / F.col("_h")
+    summed = grid.select(*by, "point", x.alias("x"), (F.exp(-u * u / 2) / (F.col("_n") * F.col("_h"))).alias("_k")).groupBy(*by, "point", "x").agg(F.sum("_k").alias("_s"))
+    root = F.sqrt(2 * F.pi())
+    return summed.select(*by, "point", "x", (F.col("_s") / root).alias("density"), (F.exp(-F.col("x") * F.col("x") / 2) / root).alias("normal"))
+
+
+def diagnose(
+    residuals: DataFrame, resid: str = "resid", by: Sequence[str] = (), order: str = BUCKET, *, lags: int = 10, bins: int = 10, points: int = 50
+) -> dict[str, DataFrame]:
+    """The tables behind the four diagnostic charts of fitted series, all per series.
+
+    ``residuals`` (standardized, in order), ``histogram`` and ``density`` (with the normal one), ``qq`` and ``acf``. Series
+    are what a seasonal model was fitted to, so each is small; they are spread by ``by``.
+    """
+    standard = standardized(residuals, resid, by).select(*by, order, "z")
+    return {
+        "residuals": standard,
+        "histogram": histogram_by(standard, "z", by, bins),
+        "density": density_by(standard, "z", by, points),
+        "qq": qq_points(standard, "z", by, order),
+        "acf": autocorrelation(standard, "z", lags, by, order),
+    }
+
+
+def as_one_table(tables: dict[str, DataFrame], by: Sequence[str] = (), order: str = BUCKET) -> DataFrame:
+    """The tables of :func:`diagnose` in long form: (by, chart, place, x, y)."""
+    shapes = {
+        "residuals": (F.row_number().over(series_window(by, order)), F.lit(None).cast("double"), F.col("z")),
+        "histogram": (F.col("bin"), F.col("lower"), F.col("density")), "density": (F.col("point"), F.col("x"), F.col("density")),
+        "qq": (F.col("rank"), F.col("theoretical"), F.col("sample")), "acf": (F.col("lag"), F.col("lag").cast("double"), F.col("acf")),
+    }
+    out = None
+    for chart, (place, x, y) in shapes.items():
+        one = tables[chart].select(*by, F.lit(chart).alias("chart"), place.cast("int").alias("place"), x.alias("x"), y.alias("y"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -1107,6 +1107,35 @@ def _qq_theoretical(spark, folder):
     return _rounded(_rounded(points, 8, "share"), 7, "theoretical")
 
 
+PRIORITY = "o_orderpriority"
+
+
+def _diagnostics_sql() -> str:
+    by = PRIORITY
+    return f"""WITH {PANEL}, ch AS (SELECT {by}, bucket, value - LAG(value) OVER (PARTITION BY {by} ORDER BY bucket) AS r FROM m),
+    z AS (SELECT {by}, bucket, (r - AVG(r) OVER w) / STDDEV_POP(r) OVER w AS z FROM ch WHERE r IS NOT NULL WINDOW w AS (PARTITION BY {by})),
+    f AS (SELECT {by}, MIN(z) AS lo, (MAX(z) - MIN(z)) / 10 AS w, COUNT(*) AS n, STDDEV_SAMP(z) * pow(COUNT(*), -0.2) AS h, AVG(z) AS mean FROM z GROUP BY 1),
+    b AS (SELECT {by}, CAST(least(floor((z - lo) / w), 9) AS INT) AS bin, COUNT(*) AS k FROM z JOIN f USING ({by}) GROUP BY 1, 2),
+    xs AS (SELECT j, -3.92 + j * CAST({2 * 3.92 / 49!r} AS DOUBLE) AS x FROM range(50) t(j)),
+    q AS (SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY z, bucket) AS rank, z,
+      row_number() OVER (PARTITION BY {by} ORDER BY z, bucket) / (COUNT(*) OVER (PARTITION BY {by}) + 1) AS share FROM z),
+    o AS (SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY bucket) AS i, z - mean AS c FROM z JOIN f USING ({by})),
+    ac AS (SELECT o.{by} AS {by}, o.i - p.i AS lag, SUM(o.c * p.c) AS s FROM o JOIN o p ON o.{by} = p.{by} AND o.i - p.i BETWEEN 0 AND 10 GROUP BY 1, 2),
+    l AS (
+      SELECT {by}, 'residuals' AS chart, row_number() OVER (PARTITION BY {by} ORDER BY bucket) AS place, NULL::DOUBLE AS x, z AS y FROM z
+      UNION ALL SELECT f.{by}, 'histogram', j, lo + j * w, coalesce(k, 0) / (n * w) FROM f CROSS JOIN range(10) t(j) LEFT JOIN b ON b.{by} = f.{by} AND b.bin = j
+      UNION ALL SELECT {by}, 'density', j, x, SUM(exp(-((x - z) / h) * ((x - z) / h) / 2) / (n * h)) / sqrt(2 * pi()) FROM z JOIN f USING ({by}), xs GROUP BY {by}, j, x
+      UNION ALL SELECT {by}, 'qq', rank, {_normal_sql("share")}, z FROM q
+      UNION ALL SELECT {by}, 'acf', lag, lag::DOUBLE, s / MAX(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY {by}) FROM ac)
+    SELECT {by}, chart, CAST(place AS INT) AS place, {_r("x", 5)} AS x, {_r("y", 5)} AS y FROM l"""
+
+
+@register("panel_diagnostics", _diagnostics_sql())
+def _panel_diagnostics(spark, folder):
+    changes = series.difference(_monthly(spark, folder, PRIORITY), "value", "resid", by=[PRIORITY])
+    return _rounded(diagnostics.as_one_table(diagnostics.diagnose(changes, by=[PRIORITY]), [PRIORITY]), 5, "x", "y")
+
+
 @register(
     "ordered_split",
     """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, COUNT(*) OVER () AS n FROM orders)
@@ -1173,7 +1202,6 @@ def _panel_forecast(spark, folder):
 NAIVE = Orders(0, 1, 0, 0, 1, 0, 12)
 SERIES_OF = f"""{PANEL}, s AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY bucket) AS i,
     COUNT(*) OVER (PARTITION BY o_orderpriority) AS n, MAX(bucket) OVER (PARTITION BY o_orderpriority) AS last FROM m)"""
-PRIORITY = "o_orderpriority"
 
 
 @register(
