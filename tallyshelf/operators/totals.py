@@ -54,30 +54,39 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 def headline_figures(df: DataFrame, *, approximate: bool = False) -> DataFrame:
     """One row: records, columns, revenue, invoices, known customers, products, first and last date.
 
-    Figures whose column is absent are left out. ``approximate`` swaps the exact distinct counts,
-    which shuffle every distinct key, for mergeable sketches.
+    Figures whose column is absent are left out. The rows are read once: every distinct count is an entry of its own per row,
+    entries of one value are combined on the map side, and the other figures ride along with those of the first count.
+    ``approximate`` swaps the exact counts, which shuffle every distinct value, for mergeable sketches.
     """
     have = set(df.columns)
-
-    def distinct(c: str) -> Column:
-        if approximate:
-            return F.approx_count_distinct(F.col(c))
-        # a subquery of its own: distinct counts side by side would copy every row once per count
-        return df.where(F.col(c).isNotNull()).select(c).distinct().agg(F.count(F.lit(1))).scalar()
-
-    figures = [F.count(F.lit(1)).alias("records"), F.lit(len(df.columns)).alias("features")]
-    if "TotalPrice" in have:
-        figures.append(F.coalesce(F.sum("TotalPrice"), F.lit(0)).alias("revenue"))
     counted = {"InvoiceNo": "invoices", "CustomerID": "known_customers", "StockCode": "products"}
     counted = {c: name for c, name in counted.items() if c in have}
-    if "InvoiceDate" in have:
-        figures.append(F.min(F.col("InvoiceDate").cast("date")).alias("first_date"))
-        figures.append(F.max(F.col("InvoiceDate").cast("date")).alias("last_date"))
     if "CustomerID" in have:
         df = df.withColumn("CustomerID", F.when(F.col("CustomerID") != UNKNOWN_CUSTOMER, F.col("CustomerID")))
-    counts = [distinct(c).alias(name) for c, name in counted.items()]
+    dates = {"first_date": F.min, "last_date": F.max} if "InvoiceDate" in have else {}
+    day = F.col("InvoiceDate").cast("date")
+    features = F.lit(len(df.columns)).alias("features")
     order = ["records", "features", "revenue", *counted.values(), "first_date", "last_date"]
-    found = df.agg(*figures, *counts) if approximate else df.agg(*figures).select("*", *counts)
+    if approximate or not counted:
+        figures = [F.count(F.lit(1)).alias("records"), features, *[f(day).alias(name) for name, f in dates.items()]]
+        figures += [F.coalesce(F.sum("TotalPrice"), F.lit(0)).alias("revenue")] if "TotalPrice" in have else []
+        found = df.agg(*figures, *[F.approx_count_distinct(F.col(c)).alias(name) for c, name in counted.items()])
+        return found.select(*[c for c in order if c in found.columns])
+
+    entry = F.explode(F.array(*[F.lit(i) for i in range(len(counted))])).alias("_entry")
+    rows = df.select(*counted, *[c for c in ("TotalPrice", "InvoiceDate") if c in have], entry)
+    first, value = F.col("_entry") == 0, None
+    for i, c in enumerate(counted):
+        value = F.when(F.col("_entry") == i, F.col(c).cast("string")) if value is None else value.when(F.col("_entry") == i, F.col(c).cast("string"))
+    sums = [F.sum(F.when(first, F.col("TotalPrice"))).alias("_revenue")] if "TotalPrice" in have else []
+    ends = [f(F.when(first, day)).alias(name) for name, f in dates.items()]
+    values = rows.groupBy("_entry", value.alias("_value")).agg(F.count(F.lit(1)).alias("_n"), *sums, *ends)
+    figures = [F.coalesce(F.sum(F.when(first, F.col("_n"))), F.lit(0)).cast("long").alias("records"), features]
+    if "TotalPrice" in have:
+        kind = df.agg(F.coalesce(F.sum("TotalPrice"), F.lit(0)).alias("r")).schema["r"].dataType
+        figures.append(F.coalesce(F.sum("_revenue"), F.lit(0)).cast(kind).alias("revenue"))
+    figures += [F.count_if((F.col("_entry") == i) & F.col("_value").isNotNull()).alias(name) for i, name in enumerate(counted.values())]
+    found = values.agg(*figures, *[f(name).alias(name) for name, f in dates.items()])
     return found.select(*[c for c in order if c in found.columns])
 
 
