@@ -1481,12 +1481,8 @@ def _csv_mixed_headers(spark, folder):
 def _csv_rejects(spark, folder):
     events, path = table(spark, folder, "events"), f"{staging_dir(spark)}/lines.csv"
     cells = F.concat_ws(",", "event_id", "event_type", F.when(F.col("event_type") == "error", "extra"))
-    events.select(F.lit("").alias("value")).limit(0).write.text(path)
-    header = spark.range(1).select(F.lit("event_id,event_type").alias("value"))
-    # every file of the folder begins with the header
-    lines = events.select(cells.alias("value"), (F.col("event_id") % 4).alias("part"))
-    for i in range(4):
-        header.union(lines.where(F.col("part") == i).select("value")).coalesce(1).write.mode("append").text(path)
+    # whole lines as the one cell of a writer that separates by another character: every file begins with the header
+    events.select(cells.alias("event_id,event_type")).write.options(header=True, sep="\u0001").csv(path)
     return read_csv_with_rejects(spark, path)[1].select(F.col(CORRUPT).alias("line"))
 
 
