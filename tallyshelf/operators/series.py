@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyshelf.functions.aggregates import AGGREGATORS, ZERO_WHEN_EMPTY, named_aggregate, order_of
 from tallyshelf.functions.buckets import CHUNK, Bucket, bucket_for
@@ -77,7 +78,17 @@ def resample(
 
     # each bucket brings the empty ones that follow it: one window, no calendar join; the steps are laid out in
     # chunks, so that no array grows with a gap
-    following = F.lead("_start").over(series_window(by, "_start"))
+    if rule.intraday:
+        # clock buckets of one series can be many: windows run inside a day, and a day's last bucket is followed by the
+        # first one of the next day that has any, found over one row per day
+        sums = sums.withColumn("_day", F.col("_start").cast("date"))
+        firsts = sums.groupBy(*by, "_day").agg(F.min("_start").alias("_first"))
+        later = firsts.select(*by, "_day", F.lead("_first").over(series_window(by, "_day")).alias("_later"))
+        within = F.lead("_start").over(series_window([*by, "_day"], "_start"))
+        sums = sums.withColumn("_within", within).join(later, [*by, "_day"])
+        following = F.coalesce("_within", "_later")
+    else:
+        following = F.lead("_start").over(series_window(by, "_start"))
     spans = sums.withColumn("_steps", rule.following(F.col("_start"), following))
     chunks = spans.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_steps") - 1) / CHUNK).cast("int"))))
     base = F.col("_chunk").cast("long") * CHUNK
@@ -103,9 +114,29 @@ def _first_start(rows: DataFrame, rule: Bucket, by: Sequence[str]) -> Column:
 
 
 def forward_fill(series: DataFrame, columns: Sequence[str], by: Sequence[str] = (), order: str = BUCKET) -> DataFrame:
-    """Missing values take the last present one before them."""
-    past = series_window(by, order).rowsBetween(Window.unboundedPreceding, 0)
-    return series.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in columns})
+    """Missing values take the last present one before them.
+
+    Points with a time of day are filled inside their day, and what a day begins with comes from the last values of
+    the days before, one row per day: a long series of clock buckets is not one task.
+    """
+    start = Window.unboundedPreceding
+    if not isinstance(series.schema[order].dataType, (T.TimestampType, T.TimestampNTZType)):
+        past = series_window(by, order).rowsBetween(start, 0)
+        return series.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in columns})
+    keys = [*by, "_day"]
+    days = series.withColumn("_day", F.col(order).cast("date"))
+    ends = days.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_end{i}") for i, c in enumerate(columns)])
+    before = series_window(by, "_day").rowsBetween(start, -1)
+    carried = ends.select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+        *[F.last(f"_end{i}", ignorenulls=True).over(before).alias(f"_carried{i}") for i in range(len(columns))])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    past = series_window(keys, order).rowsBetween(start, 0)
+    filled = days.withColumns({f"_in{i}": F.last(c, ignorenulls=True).over(past) for i, c in enumerate(columns)}).join(carried, same, "left")
+    values = {c: F.coalesce(f"_in{i}", f"_carried{i}").alias(c) for i, c in enumerate(columns)}
+    return filled.select(*[values.get(c, F.col(c)) for c in series.columns])
 
 
 def daily_trend(df: DataFrame, ts: str, value: str, how: str = "sum", by: Sequence[str] = ()) -> DataFrame:

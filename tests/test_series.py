@@ -126,6 +126,25 @@ def test_frequency_names(spark):
     assert series.infer_frequency(odd.limit(2)).first()["freq"] is None
 
 
+def test_clock_buckets_are_filled_day_by_day(spark, capsys):
+    rng = np.random.default_rng(8)
+    at = pd.to_datetime("2024-02-27 22:13:07") + pd.to_timedelta(np.sort(rng.choice(9 * 24 * 60, 60, replace=False)), unit="min")
+    at = at[(at.day != 1) & (at.day != 2)]  # two days without any
+    pdf = pd.DataFrame({"k": np.where(rng.random(len(at)) < 0.5, "a", "b"), "ts": at, "v": np.where(rng.random(len(at)) < 0.3, np.nan, np.arange(len(at)))})
+    df = spark.createDataFrame(pdf, "k string, ts timestamp_ntz, v double").withColumn("v", F.nanvl("v", F.lit(None)))
+    for by in ([], ["k"]):
+        made = series.resample(df, "ts", {"v": ("v", "last"), "n": ("v", "count")}, "30min", by)
+        filled = series.forward_fill(made, ["v"], by)
+        assert filled.columns == made.columns
+        got = [tuple(r) for r in filled.orderBy(*by, "bucket").collect()]
+        wanted = []
+        for key, part in (pdf.groupby("k") if by else [(None, pdf)]):
+            one = part.set_index("ts")["v"].resample("30min").agg(["last", "count"])
+            last = one["last"].ffill()
+            wanted += [(*([key] if by else []), t.to_pydatetime(), None if np.isnan(v) else v, n) for t, v, n in zip(one.index, last, one["count"])]
+        assert got == wanted
+
+
 def our_name(name):
     """The library's spelling of what pandas calls a frequency."""
     if name is None:
