@@ -23,6 +23,7 @@ from tallyshelf.operators.metrics import regression_metrics
 from tallyshelf.plans.report import headline_texts, processed_lines
 from tallyshelf.schema import CORRUPT, ROW_ID
 from tallyshelf.session import staging_dir, stored
+from tallyshelf.sources import paths
 from tallyshelf.sources.files import keep_raw, read_csv, read_csv_with_rejects, read_lines, type_columns
 from tallyshelf.sources.payload import parse_objects, parse_variants, read_payload
 from tallyshelf.sources.sinks import write_table
@@ -1276,6 +1277,54 @@ def _panel_phi(spark, folder):
     return _rounded(panel.coefficients(model).where("part = 'phi'").select(PRIORITY, F.col("value").alias("phi")), 3, "phi")
 
 
+@register(
+    "panel_seasonal_phi",
+    f"""WITH {SERIES_OF}, z AS (SELECT {PRIORITY}, bucket, value - LAG(value) OVER (PARTITION BY {PRIORITY} ORDER BY bucket) AS z FROM s),
+    p AS (SELECT {PRIORITY}, z, LAG(z, 12) OVER (PARTITION BY {PRIORITY} ORDER BY bucket) AS z12 FROM z)
+    SELECT {PRIORITY}, {_r("SUM(z * z12) / SUM(z12 * z12)", 3)} AS seasonal_phi FROM p WHERE z12 IS NOT NULL AND z IS NOT NULL GROUP BY 1""",
+)
+def _panel_seasonal_phi(spark, folder):
+    """One seasonal autoregressive term, stored as a model and loaded again."""
+    orders, path = Orders(0, 1, 0, 1, 0, 0, 12), f"{staging_dir(spark)}/{model_store.model_name('SARIMA', 'value')}"
+    model_store.save_panel(spark, panel.fit_panel(_monthly(spark, folder, PRIORITY), orders=orders, by=[PRIORITY]), path, orders, "MS", "value")
+    model, loaded, freq, _ = model_store.load_panel(spark, path)
+    if (loaded, freq) != (orders, "MS"):
+        raise ValueError("the stored model is not the one that was saved")
+    found = panel.coefficients(model).where("part = 'seasonal_phi'")
+    return _rounded(found.select(PRIORITY, F.col("value").alias("seasonal_phi")), 3, "seasonal_phi")
+
+
+@register(
+    "stored_or_read",
+    f"""WITH {SALES} SELECT 'sales_processed.parquet' AS name, 'parquet' AS kind, COUNT(*) AS n, CAST(SUM(TotalPrice) AS DOUBLE) AS total,
+    TRUE AS stored FROM sales UNION ALL SELECT 'other_processed.parquet', 'parquet', COUNT(*), CAST(SUM(TotalPrice) AS DOUBLE), FALSE FROM sales""",
+)
+def _stored_or_read(spark, folder):
+    """The processed copy of one file is stored and read, that of another is missing and made anew."""
+    root, out = staging_dir(spark), None
+    first = paths.processed_path(f"{root}/sales.csv")
+    write_table(_sales(spark, folder).withColumn("stored", F.lit(True)), first)
+    for path in (first, paths.processed_path(f"{root}/other.xlsx")):
+        found = paths.stored_or(spark, path, spark.read.parquet, lambda: _sales(spark, folder).withColumn("stored", F.lit(False)))
+        one = found.agg(F.count(F.lit(1)).alias("n"), F.sum("TotalPrice").cast("double").alias("total"), F.first("stored").alias("stored"))
+        one = one.select(F.lit(path.rsplit("/", 1)[-1]).alias("name"), F.lit(paths.extension(path)).alias("kind"), "n", "total", "stored")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register(
+    "default_features",
+    f"""WITH {SALES} SELECT year(InvoiceDate) AS OrderYear, month(InvoiceDate) AS OrderMonth, day(InvoiceDate) AS OrderDay,
+    isodow(InvoiceDate) - 1 AS OrderDayOfWeek, hour(InvoiceDate) AS OrderHour, weekofyear(InvoiceDate) AS OrderWeekOfYear,
+    quarter(InvoiceDate) AS OrderQuarter, COUNT(*) AS n FROM sales GROUP BY ALL""",
+)
+def _default_features(spark, folder):
+    sales = _sales(spark, folder, "InvoiceNo", "StockCode")
+    chosen = forest.default_features(sales, "Quantity")
+    counted = sales.groupBy(*chosen).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(*[F.col(c).cast("long").alias(c) for c in chosen], "n")
+
+
 def _steps(spark: SparkSession, folder: str) -> DataFrame:
     """A target that follows a feature of two values, which any grown forest returns exactly."""
     part = table(spark, folder, "part")
@@ -1315,6 +1364,17 @@ def _labelled_steps(spark: SparkSession, folder: str) -> DataFrame:
     return lines.join(often, "label").select("label", "l_linenumber", (F.col("often") * 10.0).alias("target"), F.lit(1).alias("same"))
 
 
+@register(
+    "rf_all_but_target",
+    """SELECT 'large' AS Feature, 1.0::DOUBLE AS Importance FROM part HAVING COUNT(DISTINCT p_size > 25) = 2
+    UNION ALL SELECT 'same', 0.0::DOUBLE""",
+)
+def _rf_all_but_target(spark, folder):
+    """Without named features every column but the target is one."""
+    rows = _steps(spark, folder).drop("p_partkey")
+    return forest.feature_importances(forest.fit_forest(rows, "target", trees=10, max_depth=3), rows)
+
+
 @register(
     "text_feature_codes",
     """SELECT 'label' AS feature, 'order ' || l_orderkey AS label, CAST(row_number() OVER (ORDER BY COUNT(*) DESC, 'order ' || l_orderkey) - 1 AS DOUBLE) AS code,
