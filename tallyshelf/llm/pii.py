@@ -90,6 +90,24 @@ def _ssn(value: Column, before: Column, after: Column) -> Column:
     return _apart(before, after) & ~value.rlike("^(000|666|9)") & ~value.rlike("-00-|-0000$")
 
 
+# Characters of an IBAN by country, from the public registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """As many characters as the country has, in one piece or in groups of four: what follows is never taken."""
+    kinds = []
+    for length, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(length - 4, 4)
+        spaced = rf"(?:\x20[A-Z0-9]{{4}}){{{groups}}}" + (rf"\x20[A-Z0-9]{{{rest}}}" if rest else "")
+        kinds.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{length - 4}}}|{spaced})")
+    return "(?:" + "|".join(kinds) + ")"
+
+
 # The patterns of the first four are those of the contract, written so that no attempt scans a run twice: a match
 # can only begin where a run begins or where the last match ended, and what was taken is never given back.
 RULES = (
@@ -100,8 +118,7 @@ RULES = (
     PiiRule("card", r"[0-9](?:[\x20-]?[0-9])++", _card, 80, "card|visa|credit|payment", "order|invoice|tracking", base=True),
     PiiRule("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone, 60, "phone|call|tel|mobile|fax", "order|invoice|version",
             base=True, needs="+"),
-    PiiRule("iban", r"[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})", _iban, 80,
-            "iban|account|bank", "serial"),
+    PiiRule("iban", _iban_pattern(), _iban, 80, "iban|account|bank", "serial"),
     PiiRule("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", _ssn, 50, "ssn|social security", "order|invoice", needs="-"),
 )
 

@@ -1,9 +1,11 @@
 """Quality rules and the passage classifier."""
 
 import re
+import math
 import zlib
 
 import numpy as np
+import pytest
 from helpers import AWKWARD, documents, odd_rows, prose
 
 from tallyshelf.llm import mil, quality_rules
@@ -144,6 +146,27 @@ def test_classifier_holds_out_and_learns(spark):
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-9 for r in rows)
 
 
+def test_scores_bag_by_bag(spark):
+    """Every passage through the layers by itself, in plain loops."""
+    clean, junk = corpus()
+    texts = [*clean[:10], *junk[:10], "", prose(700, 3)]
+    model = mil.fit(documents(spark, clean + junk), labels(spark, 120, 40))
+    w, encoder = {k: v.astype(float) for k, v in model.weights.items()}, mil.PassageEncoder()
+    got = {r["doc_id"]: r["score"] for r in mil.classify(documents(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        hidden, raw = [], []
+        for features in encoder.encode(text):
+            x = [(f - m) / s for f, m, s in zip(features.tolist(), model.mean.tolist(), model.scale.tolist())]
+            h = [math.tanh(sum(a * b for a, b in zip(x, w["W"][:, j])) + w["b"][j]) for j in range(mil.HIDDEN)]
+            dot = lambda matrix, j, h=h: sum(a * b for a, b in zip(h, matrix[:, j]))
+            raw.append(sum(w["w"][j] * math.tanh(dot(w["V"], j)) / (1 + math.exp(-dot(w["U"], j))) for j in range(mil.GATE)))
+            hidden.append(h)
+        odds = [math.exp(r - max(raw)) for r in raw]
+        z = [sum(o * h[j] for o, h in zip(odds, hidden)) / sum(odds) for j in range(mil.HIDDEN)]
+        score = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, w["c"])) + w["d"][0])))
+        assert got[i] == pytest.approx(score, abs=1e-4)
+
+
 def test_classifier_edges(spark):
     df = odd_rows(spark, AWKWARD)
     rows = mil.score_all(df, labels(spark, 0, 0)).collect()

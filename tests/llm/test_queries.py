@@ -6,11 +6,12 @@ import os
 import corpus_pipeline
 import duckdb
 import pytest
+import sentencepiece
 from check_oracles import compare
 from helpers import documents, odd_rows, prose
 
 from tallyshelf.llm import mil, simhash
-from tallyshelf.llm.catalog import LLM_CATALOG
+from tallyshelf.llm.catalog import LLM_CATALOG, piece_model
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -56,8 +57,38 @@ def test_stages_one_by_one(spark, data):
 
 
 def test_run_is_the_stages_in_turn(spark, data):
+    """Each stage on what its predecessor kept, held against the plain meaning of the stage, and the last against run()."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    held = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    first = corpus_pipeline.keep_quality(spark, docs, data).persist()
+    kept = {r["doc_id"] for r in first.collect()}
+    assert kept < set(held)
+    second = corpus_pipeline.drop_near_copies(spark, first, data).persist()
+    prints = {i: simhash.fingerprint(held[i]) for i in kept}
+    alone = set()
+    left = sorted(kept)
+    while left:  # the component of the smallest id left
+        group, edge = {left[0]}, [left[0]]
+        while edge:
+            near = {j for j in left if j not in group and bin(prints[j] ^ prints[edge[-1]]).count("1") <= simhash.MOST_BITS}
+            edge.pop()
+            edge += near
+            group |= near
+        alone.add(left[0])
+        left = [j for j in left if j not in group]
+    assert {r["doc_id"] for r in second.collect()} == alone
+    third = corpus_pipeline.hide_secrets(spark, second, data).persist()
+    texts = {r["doc_id"]: r["text"] or "" for r in third.collect()}
+    assert set(texts) == alone and all(("<secret:" in t) == (t != held[i]) for i, t in texts.items())
+    fourth = corpus_pipeline.mix_to_target(spark, third, data).collect()
+    assert {r["doc_id"] for r in fourth} <= alone
+    labels = spark.read.parquet(f"{data}/labels.parquet").where("quality = 1 AND toxic = 0")
+    assert {r["doc_id"] for r in labels.collect()} & alone <= {r["doc_id"] for r in fourth}
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    wanted = sorted((r["doc_id"], [model.bos_id(), *model.encode(r["text"] or ""), model.eos_id()]) for r in fourth)
     out = corpus_pipeline.run(spark, data)
-    assert out.count() > 0 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert sorted((r["doc_id"], r["ids"]) for r in out.collect()) == wanted
 
 
 def test_odd_rows_pass_every_stage(spark, data):

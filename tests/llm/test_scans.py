@@ -72,6 +72,14 @@ def test_pii_context_and_checksums(spark):
     assert rows[0]["max_score"] == 100 and rows[9]["max_score"] is None
 
 
+def test_an_iban_ends_where_its_country_says(spark):
+    codes = ["ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606", "DE89370400440532013000"]
+    tails = ["", " EUR 500", " I paid", ", x", " 12", " ABCD", "."]
+    texts = [f"bank {c}{t}" for c in codes for t in tails] + ["bank ES91 2100 0418 4502 0005 133", "bank ZZ91 2100 0418 4502 0005 1332", f"bank {codes[3]}0"]
+    rows = {r["doc_id"]: r["n_iban"] for r in pii.digest(pii.find_pii(documents(spark, texts))).collect()}
+    assert [rows[i] for i in range(len(texts))] == [1] * (len(codes) * len(tails)) + [0, 0, 0]
+
+
 def test_secrets_match_plain_patterns(spark):
     texts = TEXTS + AWKWARD
     rows = secrets.scan_digest(documents(spark, texts)).collect()
