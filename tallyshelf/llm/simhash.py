@@ -83,9 +83,13 @@ def fingerprints_of(df: DataFrame, name: str, text: str = "text", size: int = SH
 
 
 def _shards(points: DataFrame, most: int) -> tuple[list, list[tuple[int, np.uint64, int]]]:
-    """A tree per block of bits, and for each its first shard, mask and reach. The sample is bounded by about `SAMPLE`."""
+    """A tree per block of bits, and for each its first shard, mask and reach.
+
+    The sample has about `SAMPLE` points, or `LEAST_SAMPLED` for every shard where that is more (one point in 1,024), so
+    shards stay as large as they are however many points there are.
+    """
     n = points.count()
-    every = max(1, n // SAMPLE)
+    every = max(1, n // max(SAMPLE, LEAST_SAMPLED * n // SHARD_POINTS))
     sample = points.where(F.pmod(F.xxhash64("fingerprint"), F.lit(every)) == 0).select("fingerprint").toArrow()
     sample = np.sort(sample.column(0).to_numpy().view(np.uint64))
     np.random.default_rng(1).shuffle(sample)
