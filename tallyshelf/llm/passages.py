@@ -19,7 +19,7 @@ what has to be looked at:
 
 Counts are aggregated before they are shuffled and joined back by key, so a hot anchor costs one partial count per
 task. The anchors, the repeating ones, the contexts for the shards and what these find are stored in the shared folder.
-Texts are shuffled once, by a key of their own; both joins use that exchange.
+Texts are shuffled by a key of their own, once to meet the judgement of their anchors and once to meet their runs.
 
 Defined results: a null text is empty; texts shorter than the length keep everything; repeated rows repeat each
 other and lose all bytes that a string covers; rows without an id take part like any other; an empty table gives
@@ -143,12 +143,15 @@ def _flag_map(flags: list[dict]) -> dict[tuple[int, int], dict]:
     return {(f["a"] & mask, f["c"] & mask): f for f in flags}
 
 
-SENT = ["a", "hot", "key", "begin", "bytes", "left", "right"]
-SENT_SCHEMA = "a bigint, hot boolean, key bigint, begin bigint, bytes binary, left bigint, right bigint"
+SENT = ["a", "hot", "key", "begin", "end", "bytes", "left", "right"]
+SENT_SCHEMA = "a bigint, hot boolean, key bigint, begin bigint, end bigint, bytes binary, left bigint, right bigint"
 
 
 def _sent(length: int):
-    """The contexts that a shard has to look at; those of hot anchors with hashes of the bytes on both sides."""
+    """The contexts that a shard has to look at; those of hot anchors with hashes of the bytes on both sides.
+
+    Rows without an anchor are runs of strings that counts have settled already: all around contexts that repeat.
+    """
     side = -(-(length - PIECE) // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +159,15 @@ def _sent(length: int):
             keys, flags, out = batch.column("key").to_pylist(), batch.column("flags"), []
             for i, text in enumerate(_bytes(batch)):
                 known = _flag_map(flags[i].as_py() or [])
-                if not any(f["send"] for f in known.values()):
+                if not any(f["send"] or f["all"] for f in known.values()):
                     continue
                 positions, a = anchors(np.frombuffer(text, np.uint8), length)
                 begins, ends, c = contexts(text, positions, length)
-                done = set()
+                done, settled = set(), []
                 for pair, at, begin, end in zip(zip(a.tolist(), c.tolist()), positions.tolist(), begins, ends):
                     flag = known.get(pair)
+                    if flag and flag["all"]:
+                        settled.append(at)
                     if flag and flag["send"] and pair not in done:
                         # a context that repeats is settled by counts everywhere: one occurrence stands for all in the text
                         if flag["all"]:
@@ -170,10 +175,16 @@ def _sent(length: int):
                         # none where the context ends earlier: no string has so many bytes there
                         left = _signed(text[at - side:at]) if flag["hot"] and at - side >= begin else None
                         right = _signed(text[at + PIECE:at + PIECE + side]) if flag["hot"] and at + PIECE + side <= end else None
-                        out.append((flag["a"], flag["hot"], keys[i], begin, text[begin:end], left, right))
+                        out.append((flag["a"], flag["hot"], keys[i], begin, None, text[begin:end], left, right))
+                if settled:
+                    at = np.array(settled)
+                    first, last = np.maximum(at + PIECE - length, 0), np.minimum(at, len(text) - length)
+                    new = np.flatnonzero(np.append(True, first[1:] > last[:-1] + 1))
+                    for x, y in zip(first[new].tolist(), last[np.append(new[1:], len(at)) - 1].tolist()):
+                        out.append((None, None, keys[i], x, y, None, None, None))
             if out:
                 columns = list(zip(*out))
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], SENT)
 
     return run
@@ -277,24 +288,16 @@ def covered(size: int, begins, ends, length: int = LENGTH) -> np.ndarray:
 def _removed(length: int, keep: list[str], texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            flags, runs, out = batch.column("flags"), batch.column("runs"), []
+            runs, out = batch.column("runs"), []
             for i, text in enumerate(_bytes(batch)):
-                begins, ends = [], []
-                known = _flag_map(flags[i].as_py() or [])
-                if any(f["all"] for f in known.values()):
-                    positions, a = anchors(np.frombuffer(text, np.uint8), length)
-                    c = contexts(text, positions, length)[2]
-                    for p, pair in zip(positions.tolist(), zip(a.tolist(), c.tolist())):
-                        if pair in known and known[pair]["all"]:
-                            begins.append(max(0, p + PIECE - length))
-                            ends.append(min(p, len(text) - length))
-                for r in runs[i].as_py() or []:
-                    begins.append(r["begin"])
-                    ends.append(r["end"])
-                gone = covered(len(text), begins, ends, length) if begins else np.zeros(len(text), bool)
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+                found = runs[i].as_py() or []
+                if found:
+                    gone = covered(len(text), [r["begin"] for r in found], [r["end"] for r in found], length)
+                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                    spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                    out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+                else:
+                    out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text))
             columns = list(zip(*out))
             last = pa.array(columns[4], pa.binary()) if texts else pa.array(columns[3], pa.string())
             yield pa.RecordBatch.from_arrays(
@@ -306,21 +309,22 @@ def _removed(length: int, keep: list[str], texts: bool):
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and kept_sha256 or, with `texts`, the remaining bytes as `kept`."""
-    # a key of its own for every text; texts that share one by chance are still told apart by their hashes
+    # a key of its own for every text; rows with the same id and text are alike
     docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     rows = stored(docs.select("key", "text").mapInArrow(_anchor_rows(length), "key bigint, a bigint, c bigint, n bigint"))
-    # both uses read the same columns, so the exchanges below them are run once
-    flagged = docs.join(_flags(rows), "key", "left").select("doc_id", "key", "text", "flags")
+    # texts without a repeating anchor have no flags and send nothing
+    flagged = docs.select("key", "text").join(_flags(rows), "key")
     sent = stored(flagged.mapInArrow(_sent(length), SENT_SCHEMA))
-    by_group = _dealt(sent).repartition("a", "side", "part").sortWithinPartitions("a", "side", "part")
+    by_group = _dealt(sent.where("a IS NOT NULL")).repartition("a", "side", "part").sortWithinPartitions("a", "side", "part")
     found = stored(by_group.mapInArrow(_shards(length), FOUND_SCHEMA))
     open_ = found.where("open")
     buckets = 1 + open_.count() // OPEN_TOGETHER
     merged = open_.groupBy(F.pmod("first", F.lit(buckets)).alias("bucket")).applyInArrow(_merge, "key bigint, begin bigint, end bigint")
     runs = found.where("NOT open").select("key", "begin", "end").unionByName(merged)
+    runs = runs.unionByName(sent.where("a IS NULL").select("key", "begin", "end"))
     runs = runs.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
     kind = df.schema["doc_id"].dataType.simpleString()
     last = "kept binary" if texts else "kept_sha256 string"
-    return flagged.join(runs, "key", "left").mapInArrow(
+    return docs.join(runs, "key", "left").mapInArrow(
         _removed(length, ["doc_id"], texts), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, {last}")
