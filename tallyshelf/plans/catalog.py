@@ -676,6 +676,8 @@ def _sales_trend(spark, folder):
     return _rounded(_as_double(bands, "mean"), 4, "low", "high")
 
 
+# Values are converted at this rate: an odd factor keeps exact halves out of the rounding.
+RATE = 0.7310585786300049
 BOOTSTRAP = 200  # replicates of the registered queries
 
 
@@ -696,21 +698,23 @@ def _bootstrap_sql(rows: str, *keys: str) -> str:
 
 @register(
     "line_bootstrap",
-    _bootstrap_sql("SELECT l_linenumber, l_returnflag, CAST(l_extendedprice AS DOUBLE) AS y, l_orderkey * 8 + l_linenumber AS id FROM lineitem",
+    _bootstrap_sql(f"SELECT l_linenumber, l_returnflag, CAST(l_extendedprice AS DOUBLE) * CAST({RATE} AS DOUBLE) AS y, l_orderkey * 8 + l_linenumber AS id FROM lineitem",
                    "l_linenumber", "l_returnflag"),
 )
 def _line_bootstrap(spark, folder):
     lines = table(spark, folder, "lineitem").withColumn("id", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long"))
+    lines = lines.withColumn("l_extendedprice", F.col("l_extendedprice").cast("double") * RATE)
     bands = charts.line_bootstrap(lines, "l_linenumber", "l_extendedprice", "l_returnflag", key=["id"], replicates=BOOTSTRAP)
     return _rounded(bands, 4, "mean", "low", "high")
 
 
 @register(
     "trend_bootstrap",
-    _bootstrap_sql("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(o_totalprice AS DOUBLE) AS y, o_orderkey AS id FROM orders", "month"),
+    _bootstrap_sql(f"SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(o_totalprice AS DOUBLE) * CAST({RATE} AS DOUBLE) AS y, o_orderkey AS id FROM orders", "month"),
 )
 def _trend_bootstrap(spark, folder):
     orders = table(spark, folder, "orders").withColumn("month", F.trunc(F.col("o_orderdate").cast("date"), "month"))
+    orders = orders.withColumn("o_totalprice", F.col("o_totalprice").cast("double") * RATE)
     bands = charts.trend_table(orders, "month", "o_totalprice", key=["o_orderkey"], replicates=BOOTSTRAP)
     return _rounded(bands, 4, "mean", "low", "high")
 
@@ -821,9 +825,6 @@ register("resample_7min", _clock_sql(420))(_clock("7min"))
 register("resample_30s", _clock_sql(30))(_clock("30s"))
 
 
-# Monthly values are converted at this rate: an odd factor keeps exact halves out of the rounding.
-RATE = 0.7310585786300049
-
 MONTHLY = f"""m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket, COUNT(*) AS n_orders,
     CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) * CAST({RATE} AS DOUBLE) AS value FROM orders GROUP BY 1)"""
 PANEL = f"""a AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket,
