@@ -129,12 +129,13 @@ def iqr_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, *
 def winsorize(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, *, exact: bool = True) -> DataFrame:
     """Pull values outside the quartile fences back to the fence; missing values stay missing.
 
-    Absent and non-numeric columns are left alone. The fences are one row, which every row meets.
+    Absent and non-numeric columns are left alone. The fences are a scalar subquery: one row,
+    computed once and shared by all references.
     """
     columns = [c for c in columns if c in df.columns and kind_of(df.schema[c].dataType) == "numeric"]
     if not columns:
         return df
-    met = df.crossJoin(F.broadcast(_fences(df, columns, multiplier, exact)))
+    met = df.withColumn("_fence", _fences(df, columns, multiplier, exact).scalar())
 
     def capped(c: str) -> Column:
         value = F.col(c).cast("double")
@@ -151,11 +152,11 @@ def _fences(df: DataFrame, columns: Sequence[str], multiplier: float, exact: boo
 def outlier_counts(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, *, exact: bool = True) -> DataFrame:
     """Per column: the fences and how many values lie below and above them."""
     fences = _fences(df, columns, multiplier, exact)
-    beyond = df.crossJoin(F.broadcast(fences)).select(
+    beyond = df.withColumn("_fence", fences.scalar()).select(
         *[(F.col(c) < F.col(f"_fence.{c}.lo")).alias(f"{c}_below") for c in columns],
         *[(F.col(c) > F.col(f"_fence.{c}.hi")).alias(f"{c}_above") for c in columns],
     )
-    counted = beyond.agg(*[F.count_if(F.col(flag)).alias(flag) for flag in beyond.columns]).crossJoin(F.broadcast(fences))
+    counted = beyond.agg(*[F.count_if(F.col(flag)).alias(flag) for flag in beyond.columns]).withColumn("_fence", fences.scalar())
     rows = [
         F.struct(
             F.lit(c).alias("column"), F.col(f"_fence.{c}.lo").alias("lower"), F.col(f"_fence.{c}.hi").alias("upper"),
