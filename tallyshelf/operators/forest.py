@@ -24,6 +24,10 @@ from tallyshelf.session import stored
 
 MAX_DEPTH = 30  # Spark ML accepts no deeper trees
 CODES_SCHEMA = "feature string, label string, code double, values bigint"
+TASK_ROWS = 40_000  # fewer rows are not worth a task of their own
+# The statistics of the nodes that one pass grows, per task. Every row updates them at a random place for each tree, so
+# small ones that stay in a core's cache beat fewer passes by far. The trees are the same for any value.
+PASS_MB = 4
 
 
 @dataclass(frozen=True)
@@ -94,6 +98,18 @@ def _stages(df: DataFrame, features: Sequence[str]) -> tuple[list, list[str]]:
     ], texts
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """The rows in enough parts for all cores; each part in a fixed order, which the bootstrap draws follow.
+
+    Not in more: every part of the rows sends statistics of every node.
+    """
+    sizes = rows.groupBy(F.spark_partition_id()).count().agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("rows")).first()
+    parts = min(-(-(sizes["rows"] or 0) // TASK_ROWS), 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    if parts <= sizes["parts"]:
+        return rows
+    return rows.repartition(parts).sortWithinPartitions(*rows.columns)
+
+
 def fit_forest(
     train: DataFrame,
     target: str,
@@ -112,7 +128,7 @@ def fit_forest(
     forest = RandomForestRegressor(
         featuresCol="__features", labelCol="__label", predictionCol="prediction", numTrees=trees,
         maxDepth=max_depth, seed=seed, maxBins=max_bins, featureSubsetStrategy="all",
-        minInstancesPerNode=1, bootstrap=True, subsamplingRate=1.0,
+        minInstancesPerNode=1, bootstrap=True, subsamplingRate=1.0, maxMemoryInMB=PASS_MB,
     )
     rows = train.select(*features, F.col(target).cast("double").alias("__label")).where("__label IS NOT NULL")
     stages, texts = _stages(rows, features)
@@ -122,7 +138,7 @@ def fit_forest(
         rows = _coded(rows, texts, codes)
     # binning and the trees pass over the rows again and again; blocks lost with an executor are
     # computed again from the plan
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return Forest(Pipeline(stages=[*stages, forest]).fit(rows), codes, tuple(texts))
     finally:

@@ -39,6 +39,25 @@ def test_forest_learns(training, model):
     assert sum(w["Importance"] for w in weights) == pytest.approx(1)
 
 
+def test_a_forest_uses_all_cores_and_small_passes(spark, training, monkeypatch):
+    monkeypatch.setattr(forest, "TASK_ROWS", 1000)
+    rows = spark.range(0, 6000, 1, 1).selectExpr("id % 7 AS a", "id AS __label")
+    spread = forest._spread(rows)
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 6 and max(sizes) <= 1010 and sum(sizes) == 6000
+    at = lambda df: [tuple(r) for r in df.withColumn("_p", F.spark_partition_id()).collect()]
+    assert at(spread) == at(forest._spread(rows))  # the bootstrap follows the order of the rows
+    assert at(forest._spread(rows.limit(900))) == at(rows.limit(900))
+    # how many nodes grow in a pass changes no tree
+    trees = []
+    for size in (1, 256):
+        monkeypatch.setattr(forest, "PASS_MB", size)
+        fitted = forest.fit_forest(training, "sales_quantity", FEATURES, trees=5, max_depth=6).trees.stages[-1]
+        assert fitted.getMaxMemoryInMB() == size
+        trees.append(fitted.toDebugString.split("\n", 1)[1])
+    assert trees[0] == trees[1]
+
+
 def test_absent_features_count_as_zero(training, model):
     without = forest.predict_forest(model, training.drop("feature2").withColumn("extra", F.lit(1)))
     zero = forest.predict_forest(model, training.withColumn("feature2", F.lit(0.0)))
