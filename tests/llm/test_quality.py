@@ -92,6 +92,19 @@ def test_the_cut_follows_the_trusted_documents(spark):
     assert {i for i, r in rows.items() if r["kept"]} == {i for i, r in rows.items() if not r["base_failed"] and r["score"] >= cut}
 
 
+def test_every_trusted_document_counts(spark, monkeypatch):
+    clean, junk = corpus()
+    docs, marks = documents(spark, clean + junk), labels(spark, 100, 0)
+    want = sorted(map(tuple, quality_rules.apply_rules(docs, marks).collect()))
+    # neither a bound on the trusted documents nor the way of the join changes the result
+    monkeypatch.setattr(quality_rules, "TRUSTED_SAMPLE", 20, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, quality_rules.apply_rules(docs, marks).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_the_cut_gives_up_one_in_a_thousand(spark):
     scores = spark.range(5000).selectExpr("(id - 2500) / 1000D + 0.00005D AS untrusted_score")
     assert abs(quality_rules.cut(scores) + 2.495) < 1e-9
