@@ -1636,7 +1636,7 @@ def _stream_clean_lines(spark, folder):
     for second in (False, True):
         _land(spark, folder, f"{root}/landing", second)
         lines = line_stream.processed_stream(line_stream.landing_stream(spark, f"{root}/landing"))
-        line_stream.write_stream(line_stream.without_copies(lines), f"{root}/lines", f"{root}/marks").awaitTermination()
+        line_stream.write_stream(line_stream.without_copies(lines, by=LANDED), f"{root}/lines", f"{root}/marks").awaitTermination()
     lines = _cents(spark.read.parquet(f"{root}/lines"), "TotalPrice")
     return lines.select(
         "InvoiceNo", "StockCode", F.col("Quantity").cast("double").alias("Quantity"), F.col("InvoiceDate").cast("date").alias("day"),

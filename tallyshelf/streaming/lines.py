@@ -33,18 +33,29 @@ def processed_stream(lines: DataFrame, rules: CleaningRules = CleaningRules()) -
     return add_features(apply_row_rules(lines, rules))
 
 
-def without_copies(lines: DataFrame, delay: str = "40 days", ts: str = "InvoiceDate") -> DataFrame:
+# Tasks that write one month of a batch: a file each, however many tasks came before.
+WRITERS = 16
+
+
+def without_copies(lines: DataFrame, delay: str = "40 days", ts: str = "InvoiceDate", by: Sequence[str] = ()) -> DataFrame:
     """Lines that have not landed before; their state goes once the newest line is `delay` past them.
 
+    Copies agree in all columns. `by` may name those that the others follow from; only these are kept as state.
     Lines older than that when they land are dropped: they can no longer be told from copies.
     """
     stamped = lines.withColumn("_stamp", F.to_timestamp_ltz(F.col(ts).cast("string"))).withWatermark("_stamp", delay)
-    return stamped.dropDuplicatesWithinWatermark(lines.columns).drop("_stamp")
+    return stamped.dropDuplicatesWithinWatermark(list(by) or lines.columns).drop("_stamp")
 
 
 def write_stream(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append what has landed so far to a partitioned parquet table, then stop."""
+    """Append what has landed so far to a partitioned parquet table, then stop.
+
+    The lines of a month are brought to a few tasks, so that not every task writes a file for every month.
+    """
     parts = [c for c in PARTITION_COLUMNS if c in lines.columns]
+    if parts:
+        rest = [c for c in lines.columns if c not in parts]
+        lines = lines.repartition(*parts, F.pmod(F.xxhash64(*rest), F.lit(WRITERS)))
     return (
         lines.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .partitionBy(*parts).outputMode("append").trigger(availableNow=True).start()

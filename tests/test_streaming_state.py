@@ -41,6 +41,19 @@ def test_copies_in_a_later_landing_are_dropped_after_a_restart(spark, tmp_path):
     assert run() == [("1", 5), ("2", 6), ("2", 7), ("3", 1), ("4", 1)]
 
 
+def test_a_batch_is_few_files_and_its_state_few_columns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tallyshelf.streaming.lines.WRITERS", 1)
+    landing, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
+    landing.mkdir()
+    for k in range(3):
+        land(landing, f"{k}.csv", [line(i, "A", i, f"03-{i % 9 + 1:02d}") for i in range(k * 10 + 1, k * 10 + 21)])
+    lines = processed_stream(landing_stream(spark, str(landing)))
+    write_stream(without_copies(lines, by=HEADER.split(",")), out, marks).awaitTermination()
+    found = spark.read.parquet(out)
+    assert sorted(r["Quantity"] for r in found.collect()) == list(range(1, 41))
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) == 1
+
+
 def test_a_replayed_batch_changes_no_total(spark, tmp_path):
     landing, path, marks = tmp_path / "in", str(tmp_path / "stock"), str(tmp_path / "marks")
     landing.mkdir()
