@@ -105,6 +105,39 @@ def test_every_trusted_document_counts(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("buckets", [1 << 8, 1 << 14, 1 << 16, 1 << 20])
+def test_buckets_are_packed_and_back(buckets):
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 700, 40_000):
+        found = np.append(rng.integers(0, buckets, n), buckets - 1).astype(np.uint64)
+        packed = quality_rules.bucket_steps(found, buckets)
+        assert quality_rules.buckets_of(packed, buckets).tolist() == sorted(found.tolist())
+
+
+def test_no_text_is_shuffled(spark, monkeypatch):
+    """The join with the trusted ids deals buckets, and deals them at every size."""
+    plans, collected = [], quality_rules.bucket_counts
+    monkeypatch.setattr(quality_rules, "bucket_counts", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collected(df))
+    clean, junk = corpus()
+    quality_rules.apply_rules(documents(spark, clean + junk), labels(spark, 100, 0)).collect()
+    joins = [x for x in plans[0].split("\n") if "Join" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+    below = plans[0].split("SortMergeJoin", 1)[1]
+    assert "text" not in below.split("MapInArrow", 1)[0] and "MapInArrow" in below
+
+
+def test_a_null_id_counts_but_is_not_trusted(spark):
+    texts = [prose(60, i) for i in range(6)]
+    df = documents(spark, texts).selectExpr("nullif(doc_id, 5) AS doc_id", "text")
+    df = df.union(df.where("doc_id = 0"))
+    found = quality_rules.text_ngrams(df, "text", "doc_id")
+    marked = found.join(spark.createDataFrame([(0, True), (None, True)], "doc_id long, trusted boolean"), "doc_id", "left")
+    counts = quality_rules.sum_ngrams(marked).collect()
+    each = [2 * len(t.split()) - 1 for t in texts]
+    assert sum(r["raw"] for r in counts) == sum(each) + each[0]
+    assert sum(r["trusted"] for r in counts) == 2 * each[0]
+
+
 def test_the_cut_gives_up_one_in_a_thousand(spark):
     scores = spark.range(5000).selectExpr("(id - 2500) / 1000D + 0.00005D AS untrusted_score")
     assert abs(quality_rules.cut(scores) + 2.495) < 1e-9
