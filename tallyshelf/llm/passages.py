@@ -14,7 +14,9 @@ what has to be looked at:
 4. A string around an anchor has `SIDE` bytes or more on one side of it. The contexts of an anchor that occurs more than
    `PART` times are therefore dealt by the bytes next to it, once by those to the left and once by those to the right:
    whoever shares a string meets in one of both groups. Groups of one are dropped, the others are whole in a shard.
-5. Only a group that itself has more than `PART` contexts is spread over several shards. Those hand on one
+   A group that itself has more than `PART` contexts is dealt once more, in `FINE` ranges of where a string can begin,
+   by all bytes that the strings of a range have in common; of a context only the bytes of the range go on.
+5. Only what then still is a group of more than `PART` is spread over several shards. Those hand on one
    fingerprint of every different string, and a merge looks each up among the other shards' by binary search.
 
 Counts are aggregated before they are shuffled and joined back by key, so a hot anchor costs one partial count per
@@ -44,6 +46,7 @@ from tallyshelf.session import stored
 LENGTH = 200
 PIECE = 64
 PART = 4096
+FINE = 4
 OPEN_TOGETHER = 100_000  # fingerprints that are merged in one task
 SHARD_BYTES = 1 << 18  # small arrays stay in a core's cache
 CHUNK = 1 << 22
@@ -78,7 +81,9 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
         down = np.minimum.accumulate(block, axis=1).ravel()
         up = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(up[:len(keys) - width + 1], down[width - 1:len(keys)])
-        where = np.unique(least & LOW).astype(np.int64)
+        # the smallest moves to the right only
+        where = (least & LOW).astype(np.int64)
+        where = where[np.append(True, where[1:] != where[:-1])]
         found.append(where + at)
         values.append(h[where])
     positions, first = np.unique(np.concatenate(found), return_index=True)
@@ -143,8 +148,8 @@ def _flag_map(flags: list[dict]) -> dict[tuple[int, int], dict]:
     return {(f["a"] & mask, f["c"] & mask): f for f in flags}
 
 
-SENT = ["a", "hot", "key", "begin", "end", "bytes", "left", "right"]
-SENT_SCHEMA = "a bigint, hot boolean, key bigint, begin bigint, end bigint, bytes binary, left bigint, right bigint"
+SENT = ["a", "hot", "key", "begin", "end", "at", "bytes", "left", "right"]
+SENT_SCHEMA = "a bigint, hot boolean, key bigint, begin bigint, end bigint, at int, bytes binary, left bigint, right bigint"
 
 
 def _sent(length: int):
@@ -175,16 +180,16 @@ def _sent(length: int):
                         # none where the context ends earlier: no string has so many bytes there
                         left = _signed(text[at - side:at]) if flag["hot"] and at - side >= begin else None
                         right = _signed(text[at + PIECE:at + PIECE + side]) if flag["hot"] and at + PIECE + side <= end else None
-                        out.append((flag["a"], flag["hot"], keys[i], begin, None, text[begin:end], left, right))
+                        out.append((flag["a"], flag["hot"], keys[i], begin, None, at - begin, text[begin:end], left, right))
                 if settled:
                     at = np.array(settled)
                     first, last = np.maximum(at + PIECE - length, 0), np.minimum(at, len(text) - length)
                     new = np.flatnonzero(np.append(True, first[1:] > last[:-1] + 1))
                     for x, y in zip(first[new].tolist(), last[np.append(new[1:], len(at)) - 1].tolist()):
-                        out.append((None, None, keys[i], x, y, None, None, None))
+                        out.append((None, None, keys[i], x, y, None, None, None, None))
             if out:
                 columns = list(zip(*out))
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], SENT)
 
     return run
@@ -196,16 +201,40 @@ def _signed(data: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _dealt(sent: DataFrame) -> DataFrame:
+def _ranges(large: DataFrame, length: int) -> DataFrame:
+    """The rows of groups that share one side, dealt by ranges of the bytes that a string has to the left of its anchor.
+
+    `low` and `high` bound them. The strings of a range have `low` bytes to the left and all but `high` of the others to the
+    right in common, which is the new group; the row keeps the bytes that a string of the range can cover.
+    """
+    reach = length - PIECE
+    half = reach // 2
+    step = max(1, -(-half // FINE))
+    first = F.when(F.col("on") == 0, reach - half).otherwise(0)
+    rows = large.withColumn("low", F.explode(F.sequence(first, first + max(half - 1, 0), F.lit(step))))
+    rows = rows.withColumn("high", F.least(F.col("low") + step, first + half))
+    rows = rows.where(f"at >= low AND at + {PIECE + reach} - high <= length(bytes)").withColumn("cut", F.expr("greatest(at - high, 0)"))
+    return rows.select(
+        "a", F.expr(f"xxhash64('range', low, substring(bytes, at - low + 1, {PIECE + reach} + low - high))").alias("side"),
+        "key", (F.col("begin") + F.col("cut")).alias("begin"), F.expr(f"substring(bytes, cut + 1, at + {PIECE + reach} - low - cut)").alias("bytes"))
+
+
+def _dealt(sent: DataFrame, length: int = LENGTH) -> DataFrame:
     """(a, side, part, key, begin, bytes): the rows of the shards' groups, in several parts where a group is large."""
-    cold = sent.where("NOT hot").select("a", F.lit(None).cast("long").alias("side"), F.lit(None).cast("int").alias("part"), "key", "begin", "bytes")
+    columns = ["a", "side", "part", "key", "begin", "bytes"]
+    none = F.lit(None).cast("int").alias("part")
+    cold = sent.where("NOT hot").select("a", F.lit(None).cast("long").alias("side"), none, "key", "begin", "bytes")
     sides = F.array(F.xxhash64(F.lit("left"), "left"), F.xxhash64(F.lit("right"), "right"))
     there = F.array(F.col("left").isNotNull(), F.col("right").isNotNull())
-    hot = sent.where("hot").select("*", F.explode(F.arrays_zip(sides.alias("side"), there.alias("there"))).alias("_s"))
-    hot = hot.where("_s.there").select("a", F.col("_s.side").alias("side"), "key", "begin", "bytes")
-    sizes = hot.groupBy("a", "side").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    hot = sent.where("hot").select("*", F.posexplode(F.arrays_zip(sides.alias("side"), there.alias("there"))).alias("on", "_s"))
+    hot = hot.where("_s.there").select("a", F.col("_s.side").alias("side"), "on", "key", "begin", "at", "bytes")
+    count = lambda rows: rows.groupBy("a", "side").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    halves = hot.join(count(hot), ["a", "side"])
+    ranges = _ranges(halves.where(F.col("size") > PART), length)
     parts = F.when(F.col("size") > PART, F.pmod(F.xxhash64("key", "begin"), F.ceil(F.col("size") / PART)))
-    return cold.unionByName(hot.join(sizes, ["a", "side"]).select("a", "side", parts.cast("int").alias("part"), "key", "begin", "bytes"))
+    dealt = ranges.join(count(ranges), ["a", "side"]).withColumn("part", parts.cast("int"))
+    whole = halves.where(F.col("size") <= PART).withColumn("part", none)
+    return cold.unionByName(whole.select(columns)).unionByName(dealt.select(columns))
 
 
 FOUND = ["key", "begin", "end", "first", "second", "open"]
@@ -316,7 +345,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, texts: bool = False) ->
     # texts without a repeating anchor have no flags and send nothing
     flagged = docs.select("key", "text").join(_flags(rows), "key")
     sent = stored(flagged.mapInArrow(_sent(length), SENT_SCHEMA))
-    by_group = _dealt(sent.where("a IS NOT NULL")).repartition("a", "side", "part").sortWithinPartitions("a", "side", "part")
+    by_group = _dealt(sent.where("a IS NOT NULL"), length).repartition("a", "side", "part").sortWithinPartitions("a", "side", "part")
     found = stored(by_group.mapInArrow(_shards(length), FOUND_SCHEMA))
     open_ = found.where("open")
     buckets = 1 + open_.count() // OPEN_TOGETHER

@@ -10,36 +10,44 @@ import numpy as np
 
 BREAK = 0xFF
 WORD = 8
+BLOCK = 8  # words that are compared at once
+STEPS = np.arange(0, WORD * BLOCK, WORD)
 
 
 def packed(data: np.ndarray) -> np.ndarray:
     """The eight bytes from every position on as one number, BREAK beyond the end."""
     longer = np.concatenate([data, np.full(WORD, BREAK, np.uint8)])
-    out = np.zeros(len(data), np.uint64)
-    for k in range(WORD):
-        out = (out << np.uint64(8)) | longer[k:k + len(data)].astype(np.uint64)
-    return out
+    return np.ndarray(len(data), ">u8", longer, strides=(1,)).astype(np.uint64)
 
 
 def symbols(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Eight bytes from every position on, nothing but BREAK after the end of its piece, and the bytes to that end."""
     ends = np.flatnonzero(data == BREAK)
-    room = ends[np.searchsorted(ends, np.arange(len(data)))] - np.arange(len(data))
-    short = np.maximum(WORD - room, 0).astype(np.uint64) * np.uint64(8)
-    beyond = np.where(short < 64, (np.uint64(1) << (short & np.uint64(63))) - np.uint64(1), np.iinfo(np.uint64).max)
-    return packed(data) | beyond.astype(np.uint64), room
+    room = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(data))
+    words, near = packed(data), np.flatnonzero(room < WORD)
+    beyond = np.array([(1 << 8 * (WORD - k)) - 1 for k in range(WORD)], np.uint64)
+    words[near] |= beyond[room[near]]
+    return words, room
 
 
-def _sorted_places(major: np.ndarray, minor: np.ndarray, bits: int) -> np.ndarray:
-    """The stable order by two columns of numbers below 2**bits.
+def _sorted_places(major: np.ndarray, minor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order by two columns of numbers below 2**bits, and where a pair is not the one before it.
 
     Both and the index go into one number where they fit, since plain numbers sort many times faster than an
     order can be found.
     """
-    index = np.arange(len(major))
+    new = np.ones(len(major), bool)
     if 3 * bits <= 63:
-        return np.sort((major << 2 * bits) | (minor << bits) | index) & ((1 << bits) - 1)
-    return np.lexsort((minor, major))
+        keys = (major << 2 * bits) | (minor << bits) | np.arange(len(major))
+        keys.sort()
+        by = keys & ((1 << bits) - 1)
+        keys >>= bits
+        new[1:] = keys[1:] != keys[:-1]
+        return by, new
+    by = np.lexsort((minor, major))
+    major, minor = major[by], minor[by]
+    new[1:] = (major[1:] != major[:-1]) | (minor[1:] != minor[:-1])
+    return by, new
 
 
 def suffix_array(words: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +73,9 @@ def suffix_array(words: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.nd
     at = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
     while len(at):
         positions = order[at]
-        groups, after = place[positions], place[positions + done]
-        by = _sorted_places(groups, after, bits)
-        positions, groups, after = positions[by], groups[by], after[by]
+        by, new = _sorted_places(place[positions], place[positions + done], bits)
+        positions = positions[by]
         order[at] = positions
-        new = np.ones(len(at), bool)
-        new[1:] = (groups[1:] != groups[:-1]) | (after[1:] != after[:-1])
         place[positions] = np.maximum.accumulate(np.where(new, at, 0))
         # what now is alone in its group is decided
         at = at[~(new & np.append(new[1:], True))]
@@ -82,9 +87,11 @@ def common_prefixes(order: np.ndarray, place: np.ndarray, words: np.ndarray, roo
     """By place: how many bytes a suffix shares with the one before it in the order.
 
     Kasai's walk through the positions, where each keeps all but one of the bytes its neighbour shared; stretches
-    of positions are walked side by side, and bytes are compared eight at a time.
+    of positions are walked side by side. Bytes are compared eight at a time, and BLOCK times as many where these
+    are alike.
     """
     n = len(order)
+    words = np.append(words, np.zeros(BLOCK, np.uint64).repeat(WORD))
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     shared = np.zeros(n, np.int64)
@@ -98,25 +105,29 @@ def common_prefixes(order: np.ndarray, place: np.ndarray, words: np.ndarray, roo
         most = np.where(j >= 0, np.minimum(room[i], room[j]), 0)
         length = np.minimum(np.maximum(held - 1, 0), most)
         active = np.flatnonzero(length < most)
+        at, other = i[active] + length[active], j[active] + length[active]
+        differ = words[at] ^ words[other]
+        length[active] += _leading_bytes(differ)
+        same = differ == 0
+        active, at, other = active[same], at[same] + WORD, other[same] + WORD
         while len(active):
-            l = length[active]
-            differ = words[i[active] + l] ^ words[j[active] + l]
+            differ = words[at[:, None] + STEPS] ^ words[other[:, None] + STEPS]
+            word = np.argmax(differ != 0, axis=1)
+            differ = differ[np.arange(len(active)), word]
             same = differ == 0
-            length[active] = np.minimum(l + np.where(same, WORD, _leading_bytes(differ)), most[active])
-            active = active[same]
-            active = active[length[active] < most[active]]
+            length[active] += np.where(same, WORD * BLOCK, WORD * word + _leading_bytes(differ))
+            same &= length[active] < most[active]
+            active, at, other = active[same], at[same] + WORD * BLOCK, other[same] + WORD * BLOCK
+        np.minimum(length, most, out=length)
         shared[i] = held = length
     return shared[order]
 
 
 def _leading_bytes(differ: np.ndarray) -> np.ndarray:
     """How many of the highest bytes are 0."""
-    zeros = np.zeros(len(differ), np.int64)
-    for shift in (32, 16, 8):
-        clear = differ >> np.uint64(64 - shift) == 0
-        zeros += clear * (shift // 8)
-        differ = np.where(clear, differ << np.uint64(shift), differ)
-    return zeros
+    # without the bit below the highest, the number cannot be rounded up to a power of two
+    exponent = (differ & ~(differ >> np.uint64(1))).astype(np.float64).view(np.int64) >> 52
+    return np.where(differ == 0, WORD, (1023 + 63 - exponent) >> 3)
 
 
 def repeated_starts(data: np.ndarray, identity: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -190,6 +190,20 @@ def test_a_hot_anchor_in_unlike_contexts(spark, monkeypatch, part):
     assert passages_found(documents(spark, texts)) == slow_removal(rows, passages.LENGTH)
 
 
+@pytest.mark.parametrize("width, most", [(175, 0), (230, 60 * 60)])
+def test_a_spread_group_hands_on_few_strings(spark, monkeypatch, width, most):
+    """Surroundings that differ too near to the shared bytes drop out by counts, not string by string."""
+    monkeypatch.setattr(passages, "PART", 8)
+    found, stored = [], passages.stored
+    monkeypatch.setattr(passages, "stored", lambda df: found.append(stored(df)) or found[-1])
+    core = prose(60, 1234)[:width]
+    texts = [prose(40, 800 + i) + f" {i:02d}" + core + f"{i:02d} " + prose(40, 900 + i) for i in range(60)]
+    rows = list(enumerate(texts))
+    assert passages_found(documents(spark, texts)) == slow_removal(rows, passages.LENGTH)
+    # only of ranges whose bytes recur, not one for each of the strings around the core
+    assert found[-1].where("open").count() <= most
+
+
 def test_repeats_in_odd_rows_and_empty_tables(spark):
     texts = [prose(80), None, "", "short", prose(80, 3)]
     df = odd_rows(spark, texts)
