@@ -1,4 +1,4 @@
-"""Random-forest regression on rows, trained by Spark ML.
+"""Random-forest regression on rows, trained by Spark ML, or from histograms (``forest_passes``) where there are many.
 
 Text features are coded by frequency: the most frequent value is 0, equal frequencies follow the text, and a missing
 or unseen value comes after all of them. The codes are a table that is joined to the rows and stored with the model,
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyshelf.functions.scalar import date_parts
+from tallyshelf.operators import forest_passes
 from tallyshelf.schema import columns_of_kind, kind_of, require_columns, require_kind
 from tallyshelf.session import stored
 
@@ -28,6 +29,8 @@ TASK_ROWS = 40_000  # fewer rows are not worth a task of their own
 # The statistics of the nodes that one pass grows, per task. Every row updates them at a random place for each tree, so
 # small ones that stay in a core's cache beat fewer passes by far. The trees are the same for any value.
 PASS_MB = 4
+# From so many training rows on, passes over binned rows grow the forest: the same trees, whose rows are drawn otherwise.
+MANY_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -136,6 +139,10 @@ def fit_forest(
     if texts:
         codes = stored(frequency_codes(rows, texts))
         rows = _coded(rows, texts, codes)
+    many = train.where(F.col(target).isNotNull()).count()
+    if many >= MANY_ROWS:
+        inputs = [(F.col(f"{c}__code") if c in texts else F.col(c).cast("double")).alias(f"_{i}") for i, c in enumerate(features)]
+        return Forest(PipelineModel([*stages, forest_passes.fit(rows.select(*inputs, "__label"), many, forest)]), codes, tuple(texts))
     # binning and the trees pass over the rows again and again; blocks lost with an executor are
     # computed again from the plan
     rows = _spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
