@@ -43,10 +43,6 @@ PART_SCHEMA = "bucket int, cells binary, labels binary, counts binary"
 BLOCK_SCHEMA = "bucket int, block int, bins binary, lengths binary, labels binary, counts binary"
 SUMS_SCHEMA = "tree int, low int, place long, sums binary"
 SPLITS_SCHEMA = "tree int, low int, features binary, cuts binary"
-NODE_SCHEMA = (
-    "treeID int, nodeData struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, rawCount: bigint, gain: double, "
-    "leftChild: int, rightChild: int, split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>>"
-)
 
 
 def _steps() -> tuple[np.ndarray, np.ndarray]:
@@ -467,7 +463,7 @@ def _statistics(blocks: DataFrame, edges: Sequence[np.ndarray], trees: Sequence[
     return totals
 
 
-def _rows(number: int, tree: _Tree, total: np.ndarray, edges: Sequence[np.ndarray]) -> Iterator[tuple]:
+def _nodes(number: int, tree: _Tree, total: np.ndarray, edges: Sequence[np.ndarray]) -> pa.Table:
     """The nodes as Spark ML stores them; leaves of one parent that predict the same are one, as there."""
     weight, label, square = total
     prediction = label / weight
@@ -477,28 +473,37 @@ def _rows(number: int, tree: _Tree, total: np.ndarray, edges: Sequence[np.ndarra
         a = left[node]
         if not left[a] and not left[a + 1] and prediction[a] == prediction[a + 1]:
             left[node] = 0
-    kept = [0]
-    for node in kept:  # grows while it is read: children come after their parents
-        if left[node]:
-            kept += [left[node], left[node] + 1]
-    new = {int(node): i for i, node in enumerate(kept)}
-    for i, node in enumerate(kept):
-        stats = (i, float(prediction[node]), float(impurity[node]), total[:, node].tolist(), round(weight[node]))
-        if not left[node]:
-            yield number, (*stats, -1.0, -1, -1, (-1, [], -1))
-            continue
-        a, b = int(left[node]), int(left[node]) + 1
-        gain = impurity[node] - (weight[a] * impurity[a] + weight[b] * impurity[b]) / weight[node]
-        f = int(tree.feature[node])
-        yield number, (*stats, float(gain), new[a], new[b], (f, [float(edges[f][tree.cut[node]])], -1))
-
-
-def _as_model(spark: SparkSession, estimator: RandomForestRegressor, nodes: list[tuple], features: int) -> RandomForestRegressionModel:
+    kept = np.zeros(len(left), bool)
+    kept[0] = True
+    for node in np.flatnonzero(left):  # children come after their parents
+        kept[left[node]:left[node] + 2] = kept[node]
+    at, new = np.flatnonzero(kept), np.cumsum(kept) - 1
+    inner = left[at] > 0
+    a, b = np.where(inner, left[at], 0), np.where(inner, left[at] + 1, 0)
+    gain = impurity[at] - (weight[a] * impurity[a] + weight[b] * impurity[b]) / weight[at]
+    places = np.cumsum([0, *map(len, edges)])
+    cuts = np.concatenate([*edges, [0.0]])[(places[tree.feature[at]] + tree.cut[at])[inner]]
+    i32, n = pa.int32(), len(at)
+    lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), i32), pa.array(values))
+    split = {
+        "featureIndex": pa.array(np.where(inner, tree.feature[at], -1), i32), "leftCategoriesOrThreshold": lists(np.cumsum(inner), cuts),
+        "numCategories": pa.array(np.full(n, -1), i32),
+    }
+    data = {
+        "id": pa.array(np.arange(n), i32), "prediction": pa.array(prediction[at]), "impurity": pa.array(impurity[at]),
+        "impurityStats": lists(3 * np.arange(1, n + 1), total[:, at].T.reshape(-1)), "rawCount": pa.array(np.rint(weight[at]).astype(np.int64)),
+        "gain": pa.array(np.where(inner, gain, -1.0)), "leftChild": pa.array(np.where(inner, new[a], -1), i32),
+        "rightChild": pa.array(np.where(inner, new[b], -1), i32), "split": pa.StructArray.from_arrays(list(split.values()), list(split)),
+    }
+    return pa.table({"treeID": pa.array(np.full(n, number), i32), "nodeData": pa.StructArray.from_arrays(list(data.values()), list(data))})
+
+
+def _as_model(spark: SparkSession, estimator: RandomForestRegressor, nodes: pa.Table, features: int) -> RandomForestRegressionModel:
     """A Spark ML model with these nodes: the stored form of one with the same parameters, and read back."""
     one = spark.createDataFrame([(Vectors.dense([0.0] * features), 0.0)], [estimator.getFeaturesCol(), estimator.getLabelCol()])
     path = staging_dir(spark)
     estimator.fit(one).write().save(path)
-    spark.createDataFrame(nodes, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/data")
+    spark.createDataFrame(nodes).write.mode("overwrite").parquet(f"{path}/data")
     return RandomForestRegressionModel.load(path)
 
 
@@ -516,5 +521,5 @@ def fit(rows: DataFrame, n: int, estimator: RandomForestRegressor) -> RandomFore
         for _ in range(estimator.getMaxDepth()):
             _grow(blocks, edges, trees, seed)
     totals = _statistics(blocks, edges, trees, seed)
-    nodes = [r for i, (tree, total) in enumerate(zip(trees, totals, strict=True)) for r in _rows(i, tree, total, edges)]
+    nodes = pa.concat_tables([_nodes(i, tree, total, edges) for i, (tree, total) in enumerate(zip(trees, totals, strict=True))])
     return _as_model(spark, estimator, nodes, len(edges))
