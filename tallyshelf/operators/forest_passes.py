@@ -365,8 +365,8 @@ def _pass(edges: Sequence[np.ndarray], trees: Sequence[_Tree], seed: int, job: S
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, place = None, 0
         for batch in batches:
-            for row in batch.to_pylist():
-                block = _Block(row, len(sizes), kind)
+            for i in range(batch.num_rows):
+                block = _Block(batch.slice(i, 1).to_pylist()[0], len(sizes), kind)
                 if found is None:
                     found = [np.zeros((3, high - low, 1) if leaves else (2, high - low, starts[-1])) for _, low, high in job]
                     place = block.place[0] << 32 | block.place[1]
